@@ -106,7 +106,7 @@ class Vocabulary:
         if len(known) > CACHE_ENTRIES:
             known.clear()
         cut = [None if self.whole(t) else self.pieces(t) for t in texts]
-        new = list({p for ps in cut if ps for p in ps} - known.keys())
+        new = [p for p in {p for ps in cut if ps for p in ps} if p not in known]
         split = [self.pattern.findall(p) for p in new]
         distinct = list({t for ts in split for t in ts})
         size: dict[str, int] = {}
@@ -125,8 +125,9 @@ class Vocabulary:
         if len(known) > CACHE_ENTRIES:
             known.clear()
         cut = [None if self.whole(t) else self.pieces(t) for t in texts]
-        for p in {p for ps in cut if ps for p in ps} - known.keys():
-            known[p] = np.array(self.fast.encode_ordinary(p), dtype="<u4").tobytes()
+        for p in {p for ps in cut if ps for p in ps}:
+            if p not in known:
+                known[p] = np.array(self.fast.encode_ordinary(p), dtype="<u4").tobytes()
         return [
             np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() if ps is None else b"".join(map(known.__getitem__, ps))
             for t, ps in zip(texts, cut, strict=True)

@@ -15,29 +15,34 @@ from pyspark.sql import functions as F
 from tallyhawk.llm.common import CACHE_ENTRIES, slices
 
 _UPPER, _LOWER, _DIGIT = re.compile(r"[^\W\d_a-zß-öø-ÿ]+"), re.compile(r"[a-zß-öø-ÿ]+"), re.compile(r"\d+")
-_SEEN: dict[str, tuple[int, int]] = {}
+_WORD: dict[str, int] = {}
+_SHAPE: dict[str, int] = {}
 
 
-def _codes(word: str) -> tuple[int, int]:
-    """Hashes of a word and of its shape (letters, capitals and digits as classes, runs as one, signs kept)."""
-    shape = _DIGIT.sub("0", _UPPER.sub("A", _LOWER.sub("a", word)))
-    return zlib.crc32(word.encode()), zlib.crc32(b"\x00" + shape.encode())
+def _learn_words(words: list[str]) -> None:
+    """Hashes of words and of their shapes (letters, capitals and digits as classes, runs as one, signs kept)."""
+    if len(_WORD) > CACHE_ENTRIES:
+        _WORD.clear()
+        _SHAPE.clear()
+    for w in set(words):
+        if w not in _WORD:
+            shape = _DIGIT.sub("0", _UPPER.sub("A", _LOWER.sub("a", w)))
+            _WORD[w], _SHAPE[w] = zlib.crc32(w.encode()), zlib.crc32(b"\x00" + shape.encode())
 
 
 def features(text: str, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashed features of a whole text and their values (log counts, of length 1 together).
 
-    Words, pairs of words, and shapes of one to three words.
+    Words, pairs of words, and shapes of one to three words; a word that repeats the one before has a shape of
+    its own.
     """
     words = text.split()
     if not words:
         return np.zeros(0, np.int64), np.zeros(0)
-    if len(_SEEN) > CACHE_ENTRIES:
-        _SEEN.clear()
-    for w in set(words) - _SEEN.keys():
-        _SEEN[w] = _codes(w)
-    codes = np.array([_SEEN[w] for w in words], dtype=np.uint64)
-    word, shape = codes[:, 0], codes[:, 1]
+    _learn_words(words)
+    word = np.fromiter(map(_WORD.__getitem__, words), dtype=np.uint64, count=len(words))
+    shape = np.fromiter(map(_SHAPE.__getitem__, words), dtype=np.uint64, count=len(words))
+    shape[1:][word[1:] == word[:-1]] = 1
     k1, k2 = np.uint64(0x9E3779B1), np.uint64(0x85EBCA77)
     grams = [word, word[:-1] * k1 + word[1:] * k2 + np.uint64(1), shape, shape[:-1] * k1 + shape[1:] * k2 + np.uint64(2)]
     if len(shape) > 2:
