@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators and of the pipeline."""
+"""The registered queries of the ten operators."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyhawk.llm import packing, quality, secrets, token_counts
+from tallyhawk.llm import chat, decontaminate, embed_dedup, html_extract, near_dup, packing, quality, secrets, suffix_tree, token_counts
 from tallyhawk.plans.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,24 +16,49 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op2_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.score_texts(table(spark, sf_dir, "documents"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op6_vector_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.link_counts(table(spark, sf_dir, "embeddings"))
+
+
+def op7_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return chat.format_preferences(turns, chat.neighbours(turns))
+
+
+def op8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_near")
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
-    "op1_secrets": op1_secrets,
-    "op3_packing": op3_packing,
-    "op5_token_counts": op5_token_counts,
-    "op9_quality": op9_quality,
+    f.__name__: f
+    for f in (
+        op1_secrets, op2_suffix_tree, op3_packing, op4_main_text, op5_token_counts, op6_vector_links, op7_preferences, op8_leaks, op9_quality, op10_near_duplicates,
+    )
 }
 
 #: DuckDB SQL, where SQL can express a query.
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op7_preferences": chat.ORACLE, "op8_leaks": decontaminate.ORACLE}
