@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhawk.llm import packing, quality, secrets
-from tallyhawk.plans.session import table
+from tallyhawk.llm import decontaminate, near_dup, packing, quality, secrets
+from tallyhawk.plans.session import cut, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -19,6 +19,19 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality.classify(docs, table(spark, sf_dir, "labels"), keep=tuple(COLUMNS)).where("predicted = 1").select(*COLUMNS)
 
 
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the least id of each class of near-duplicates; equal rows once."""
+    others = near_dup.near_duplicates(docs).where("not kept").select("doc_id").distinct()
+    return docs.select(*COLUMNS).join(others, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"])
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no window of a benchmark item occurs."""
+    keyed = docs.select(*COLUMNS, F.xxhash64("doc_id", "text").alias("_key"))
+    leaks = decontaminate.find_leaks(keyed, table(spark, sf_dir, "benchmark"), keep=("_key",))
+    return keyed.join(leaks.where("contaminated").select("_key").distinct(), "_key", "left_anti").select(*COLUMNS)
+
+
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, their secrets replaced."""
     return secrets.scan(docs.select(*COLUMNS), redact=True)
@@ -31,6 +44,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES: list[tuple[str, Stage]] = [
     ("quality", keep_quality),
+    ("near_duplicates", drop_near_duplicates),
+    ("leaks", drop_leaks),
     ("secrets", redact_secrets),
     ("packing", pack),
 ]
@@ -40,7 +55,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
+    """All stages over ``documents``; each but the last is written to the checkpoint folder and read again."""
+    docs = table(spark, sf_dir, "documents").select(*COLUMNS)
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = cut(docs)
     return docs
