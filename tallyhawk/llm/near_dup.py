@@ -121,7 +121,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def star_edges(reps: DataFrame) -> DataFrame:
-    """``a, b``: each document with the least one of its band bucket, so a bucket gives rows, not pairs.
+    """``a, b, n``: each document with the least one of its band buckets, and of how many; rows, not pairs.
 
     Each batch of documents first makes its own stars and passes only their centres on; a bucket that holds a
     third of all documents so reaches the shuffle as one row per batch.
@@ -137,9 +137,10 @@ def star_edges(reps: DataFrame) -> DataFrame:
             _, first, group = np.unique(keys, return_index=True, return_inverse=True)
             doc = np.arange(len(keys)) // (len(keys) // max(1, len(ids)))
             centre = ids[doc[first]]  # ids ascend, so the first place of a key has its least id
-            edge = np.unique(np.stack([centre[group], ids[doc]], 1)[centre[group] != ids[doc]], axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(keys[first]), pa.array(centre), pa.nulls(len(first), batch.column("id").type)], ["key", "a", "b"])
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(edge), pa.int64()), pa.array(edge[:, 0]), pa.array(edge[:, 1])], ["key", "a", "b"])
+            edge, n = np.unique(np.stack([centre[group], ids[doc]], 1)[centre[group] != ids[doc]], axis=0, return_counts=True)
+            names = ["key", "a", "b", "n"]
+            yield pa.RecordBatch.from_arrays([pa.array(keys[first]), pa.array(centre), pa.nulls(len(first), batch.column("id").type), pa.nulls(len(first), pa.int64())], names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(edge), pa.int64()), pa.array(edge[:, 0]), pa.array(edge[:, 1]), pa.array(n)], names)
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, centre = None, None
@@ -157,9 +158,9 @@ def star_edges(reps: DataFrame) -> DataFrame:
             far = own != ids
             yield pa.RecordBatch.from_arrays([pa.array(own[far]), pa.array(ids[far])], ["a", "b"])
 
-    made = cut(reps.select("id", "bands").mapInArrow(local, f"key long, a {kind}, b {kind}"))
+    made = cut(reps.select("id", "bands").mapInArrow(local, f"key long, a {kind}, b {kind}, n long"))
     between = made.where("key is not null").select("key", "a").repartition("key").sortWithinPartitions("key", "a").mapInArrow(stream, f"a {kind}, b {kind}")
-    return made.where("key is null").select("a", "b").union(between).distinct()
+    return made.where("key is null").select("a", "b", "n").union(between.withColumn("n", F.lit(1))).groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
 def _packed(e: np.ndarray, w: np.ndarray) -> bytes:
@@ -265,26 +266,39 @@ def crossing_pairs(reps: DataFrame, labels: DataFrame) -> DataFrame:
     return grouped.select("key", "i", "j", "mine", "id", "component", "sig").mapInArrow(pairs, f"a {kind}, b {kind}").distinct()
 
 
+def apart(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """Edges whose ends are in different components."""
+    for end in ("a", "b"):
+        edges = edges.join(labels.select(F.col("node").alias(end), F.col("component").alias(f"_{end}")), end, "left")
+    return edges.where(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b")
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """``doc_id, class_id, kept`` for every row of ``docs``; ``class_id`` is the least id of the class.
 
     A class is a connected group of documents, a link being a weighted Jaccard index of 0.8 or more of the
     bags of five-word shingles (folded words; a text of one to four words is one shingle). Equal bags are one
-    node from the start. Candidates share a band of their BagMinHash signatures. First each document is
-    verified against the least of each bucket (rows, not pairs); then the pairs of a bucket that are still in
-    different classes are, so no candidate link between different texts is left out, and links that could not
-    change a class are not looked at. Documents without words (null, empty) are classes by themselves; a null
-    id has class null and is kept; rows that share an id are one node, and a row is kept only under the class's
-    least id; an empty table gives an empty table.
+    node from the start.
+
+    Candidates share a band of their BagMinHash signatures. Three rounds verify them, each only what the ones
+    before have not joined: each document with the bucket centre it shares most bands with, with all centres of
+    its buckets, and at last all pairs of a bucket. So a group of near-copies costs rows, not pairs, no
+    candidate link between different texts is left out, and links that could not change a class are not looked
+    at. Documents without words (null, empty) are classes by themselves; a null id has class null and is
+    kept; rows that share an id are one node, and a row is kept only under the class's least id; an empty
+    table gives an empty table.
     """
     sigs = cut(signatures(docs, id_col, text_col))
     reps = cut(sigs.groupBy("set_a", "set_b").agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
-    links = cut(verified(star_edges(reps), docs, id_col, text_col, similarity))
-    labels = connected_components(links, "a", "b")
-    more = cut(crossing_pairs(reps, labels))
-    if not more.isEmpty():
-        more = verified(more, docs, id_col, text_col, similarity)
-        labels = connected_components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), "a", "b")
+    stars = cut(star_edges(reps))
+    first = cut(stars.groupBy("b").agg(F.min_by("a", F.struct(-F.col("n"), F.col("a"))).alias("a")).select("a", "b"))
+    labels = connected_components(verified(first, docs, id_col, text_col, similarity), "a", "b")
+    rest = stars.join(first, ["a", "b"], "left_anti").select("a", "b")
+    for candidates in (lambda: apart(rest, labels), lambda: crossing_pairs(reps, labels)):
+        more = cut(candidates())
+        if not more.isEmpty():
+            known = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
+            labels = connected_components(known.union(verified(more, docs, id_col, text_col, similarity)), "a", "b")
     nodes = sigs.select("id", "set_a", "set_b").join(reps.select("set_a", "set_b", F.col("id").alias("node")), ["set_a", "set_b"])
     classes = nodes.join(labels, "node", "left").groupBy("id").agg(F.min(F.coalesce("component", "node")).alias("class_id"))
     out = docs.select(F.col(id_col).alias("doc_id")).join(classes.withColumnRenamed("id", "doc_id"), "doc_id", "left")
