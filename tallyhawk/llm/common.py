@@ -40,6 +40,13 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def hash_words(words: Iterable[bytes]) -> np.ndarray:
+    """64-bit hashes of different words."""
+    import xxhash
+
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64)
+
+
 class WordHashes:
     """64-bit hashes of words, computed once for each different word of a worker."""
 
