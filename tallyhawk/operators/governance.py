@@ -60,7 +60,8 @@ def risk_factors(findings: DataFrame, table: DataFrame, inventory_present: bool
         governance += [F.when(F.col("shadow"), entry("governance", F.lit("shadow"))), F.when(~F.col("shadow"), entry("governance", F.lit("registered")))]
     if "mcp_unapproved" in has:
         governance.append(F.when(F.col("mcp_unapproved") > 0, entry("governance", F.lit("mcp-not-in-approved-registry"))))
-    lists = [F.transform(F.array_distinct(F.coalesce(F.col(c), F.array().cast("array<string>"))), lambda x, g=g: entry(g, x)) for c, g in (("capabilities", "capability"), ("tags", "tag"), ("model_providers", "provider")) if c in has]
+    each = lambda c, g: F.transform(F.array_distinct(F.coalesce(F.col(c), F.array().cast("array<string>"))), lambda x: entry(g, x))
+    lists = [each(c, g) for c, g in (("capabilities", "capability"), ("tags", "tag"), ("model_providers", "provider")) if c in has]
     keys = F.concat(F.array(entry("kind", F.col("kind"))), *lists, *([F.array_compact(F.array(*governance))] if basis != "danger" else []))
     looked = findings.select(F.col("id").alias("finding_id"), F.explode(keys).alias("k")).select("finding_id", "k.grp", F.col("k.id").alias("factor"))
     named = looked.join(F.broadcast(table.withColumnRenamed("id", "factor")), ["grp", "factor"], "left")

@@ -40,7 +40,7 @@ def match_values(rows: DataFrame, signals: DataFrame, column: str, *types: str,
     prefix = s.where("match = 'prefix'").select(*pick, F.lower("value").alias("_v"))
     hits = hits.union(values.join(small(prefix), F.lower(F.col(column)).startswith(F.col("_v"))).select(column, *pick))
     regex = s.where("match = 'regex'").select(*pick, "value", "required")
-    test = (F.col("required").isNull() | F.lower(F.col(column)).contains(F.col("required"))) & F.col(column).rlike(F.col("value"))
+    test = (F.col("required").isNull() | F.lower(F.col(column)).contains(F.col("required"))) & F.regexp_like(F.col(column), F.col("value"))
     hits = hits.union(values.join(small(regex), test).select(column, *pick))
     return rows.join(hits.dropDuplicates([column, "signature_id", "type"]), column)
 
@@ -69,8 +69,8 @@ def match_lines(texts: DataFrame, signals: DataFrame, *types: str, key: str = "d
     test = F.col("required").isNull() | low.contains(F.col("required"))
     if language:
         test = test & (F.col("language").isNull() | (F.col("language") == F.col(language)))
-    j = texts.join(s, test & F.col(text).rlike(F.col("_re")))
-    lines = j.select(key, "signature_id", "category", "type", "weight", "_re", F.posexplode(F.split(text, "\n")).alias("line", "_l")).where(F.col("_l").rlike(F.col("_re")))
+    j = texts.join(s, test & F.regexp_like(F.col(text), F.col("_re")))
+    lines = j.select(key, "signature_id", "category", "type", "weight", "_re", F.posexplode(F.split(text, "\n")).alias("line", "_l")).where(F.regexp_like(F.col("_l"), F.col("_re")))
     found = lines.select(key, "signature_id", "category", "type", "weight", (F.col("line") + 1).alias("line"), F.expr("regexp_extract(_l, _re, 0)").alias("value"))
     order = Window.partitionBy(key, "signature_id", "type").orderBy("line", "value")
     return found.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= most).drop("_k")
@@ -81,7 +81,7 @@ def match_file(files: DataFrame, signals: DataFrame, path: str = "path") -> Data
     s = of_type(signals, "file").select("signature_id", "category", "weight", glob_to_regex(F.col("value")).alias("_re"), F.concat(F.lit("**/"), "value").alias("_v"))
     s = s.withColumn("_tail", glob_to_regex(F.regexp_replace("_v", r"^\*\*/", "*/")))
     base = F.element_at(F.split(F.col(path), "/"), -1)
-    return files.join(small(s), F.col(path).rlike(F.col("_re")) | F.col(path).rlike(F.col("_tail")) | base.rlike(F.col("_re"))).drop("_re", "_tail", "_v")
+    return files.join(small(s), F.regexp_like(F.col(path), F.col("_re")) | F.regexp_like(F.col(path), F.col("_tail")) | F.regexp_like(base, F.col("_re"))).drop("_re", "_tail", "_v")
 
 
 def keep_file_matches(matches: DataFrame, path: str = "path") -> DataFrame:
@@ -107,7 +107,7 @@ def match_domain(hosts: DataFrame, signals: DataFrame, column: str = "host") ->
     literal = s.where("match in ('exact', 'suffix')").select(*pick, "match", F.lower("value").alias("_p"))
     hits = up.join(small(literal), "_p").where("match = 'suffix' or _p = _h").select(column, *pick)
     regex = s.where("match = 'regex'").select(*pick, "value")
-    hits = hits.union(own.join(small(regex), F.col("_h").rlike(F.col("value"))).select(column, *pick))
+    hits = hits.union(own.join(small(regex), F.regexp_like(F.col("_h"), F.col("value"))).select(column, *pick))
     return hosts.join(hits.dropDuplicates([column, "signature_id"]), column)
 
 
