@@ -54,17 +54,18 @@ INSTRUCTION_RULES = (
     ("data-transfer", r"(?i)\b(?:send|post|upload|exfiltrate|forward|transmit)\b[^.\n]{0,60}\b(?:secrets?|tokens?|credentials?|passwords?|keys?|conversation|files?)\b[^.\n]{0,40}\b(?:to|at)\b"),
     ("remote-code-fetch", r"(?i)\b(?:curl|wget)\b[^|\n]{0,200}\|\s*(?:sudo\s+)?(?:ba|z|da)?sh\b"),
     ("decode-to-shell", r"(?i)\bbase64\b[^|\n]{0,100}(?:-d|--decode)\b[^|\n]{0,100}\|\s*(?:ba|z)?sh\b"),
-    ("hidden-comment", r"<!--\s*(?:\S+\s+){5,}\S+\s*-->"),
     ("invisible-text", r"[​‌‍⁠‪-‮⁦-⁩﻿]"),
 )
 
 
-def instruction_audit(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """``key, rule, line``: suspicious lines; text in fenced blocks and quotations is set aside for sentence rules."""
+def instruction_audit(texts: DataFrame, key: str, text: str, comment_words: int = 6) -> DataFrame:
+    """``key, rule, line``: suspicious lines and comments of ``comment_words`` words; text in fenced blocks and quotations is set aside for sentence rules."""
     plain = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"(?s)```.*?```", "")
     lines = texts.select(key, F.posexplode(F.split(plain, "\n")).alias("line", "_l"))
     bare = F.regexp_replace("_l", r"\"[^\"\n]*\"|`[^`\n]*`|^\s*>.*$", "")
-    rules = F.array_compact(F.array(*[F.when((bare if name in ("override", "data-transfer") else F.col("_l")).rlike(p), F.lit(name)) for name, p in INSTRUCTION_RULES]))
+    comments = F.regexp_extract_all("_l", F.lit(r"<!--(.*?)-->"), F.lit(1))
+    hidden = F.when(F.exists(comments, lambda c: F.size(F.split(F.trim(c), r"\s+")) >= comment_words), F.lit("hidden-comment"))
+    rules = F.array_compact(F.array(hidden, *[F.when((bare if name in ("override", "data-transfer") else F.col("_l")).rlike(p), F.lit(name)) for name, p in INSTRUCTION_RULES]))
     return lines.select(key, (F.col("line") + 1).alias("line"), F.explode(rules).alias("rule"))
 
 

@@ -1 +1,139 @@
-"""Driver queries."""
+"""Driver queries on texts and pages; each with its DuckDB equivalent (whose patterns avoid look-around)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallyhawk.functions.scalars import csv_safe, host_of, normalise_package
+from tallyhawk.operators import matching, reports, text_audit
+from tallyhawk.plans.registry import query
+from tallyhawk.plans.session import table
+
+SIGNALS = [
+    ("site.com", "platform", "domain", None, None, "suffix", "example.com", 0.6, None, True),
+    ("site.net", "provider", "domain", None, None, "suffix", "example.net", 0.7, None, False),
+    ("site.mobile", "framework", "domain", None, None, "regex", r"^m\.", 0.9, None, True),
+    ("site.org", "provider", "domain", None, None, "suffix", "example.org", 0.7, None, False),
+]
+SIGNAL_SCHEMA = "signature_id string, category string, type string, ecosystem string, language string, match string, value string, weight double, required string, agent_indicator boolean"
+CATEGORY = {"framework": 0, "provider": 1, "platform": 2}
+
+
+def signals(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(SIGNALS, SIGNAL_SCHEMA)
+
+
+_HOST = r"nullif(lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#:]+)', 1)), '')"
+_HITS = f"""
+WITH h AS (SELECT page_id, {_HOST} AS host FROM pages),
+m AS (SELECT page_id, host, 'site.com' AS s, 'platform' AS c, 0.6 AS w FROM h WHERE host LIKE '%.example.com' OR host = 'example.com'
+  UNION ALL SELECT page_id, host, 'site.net', 'provider', 0.7 FROM h WHERE host LIKE '%.example.net' OR host = 'example.net'
+  UNION ALL SELECT page_id, host, 'site.org', 'provider', 0.7 FROM h WHERE host LIKE '%.example.org' OR host = 'example.org'
+  UNION ALL SELECT page_id, host, 'site.mobile', 'framework', 0.9 FROM h WHERE host LIKE 'm.%')"""
+
+
+@query(_HITS + " SELECT page_id, host, s AS signature_id, CAST(w AS DOUBLE) AS weight FROM m")
+def signature_domain_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hosts = table(spark, sf_dir, "pages").select("page_id", host_of("url").alias("host"))
+    return matching.match_domain(hosts, signals(spark)).select("page_id", "host", "signature_id", "weight")
+
+
+@query(_HITS + " SELECT DISTINCT host, s AS signature_id FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY w DESC, CASE c WHEN 'framework' THEN 0 WHEN 'provider' THEN 1 ELSE 2 END, s) AS k FROM (SELECT DISTINCT host, s, c, w FROM m)) WHERE k = 1")
+def host_service(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hosts = table(spark, sf_dir, "pages").select(host_of("url").alias("host")).distinct()
+    return matching.host_service(matching.match_domain(hosts, signals(spark)), CATEGORY).select("host", "signature_id")
+
+
+@query(r"""
+SELECT page_id, list_aggregate(list_sort(list_distinct([lower(h) FOR h IN regexp_extract_all(html, '(?i)\b(?:[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?\.)+[a-z]{2,24}\b')])), 'string_agg', '|') AS hosts FROM pages""")
+def hosts_in_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "pages")
+    found = matching.hosts_in_text(p, "page_id", "html").groupBy("page_id").agg(F.array_join(F.array_sort(F.collect_set("host")), "|").alias("hosts"))
+    return p.select("page_id").join(found, "page_id", "left")
+
+
+_RX = r"""(?i)(?:password|passwd|secret|token|api_?key)["'']? *[:=] *["'']?([A-Za-z0-9+/_.=-]{12,})"""
+_ENTROPY = "(SELECT -sum((n / t) * log2(n / t)) FROM (SELECT count(*) AS n, length(value) AS t FROM (SELECT unnest(string_split(value, '')) AS ch) GROUP BY ch))"
+_SECRETS = f"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line FROM documents WHERE text IS NOT NULL),
+v AS (SELECT doc_id, line, unnest(regexp_extract_all(x, '{_RX}', 1)) AS value FROM l),
+e AS (SELECT doc_id, line, value, {_ENTROPY} AS bits FROM v WHERE length(value) >= 16),
+s AS (SELECT doc_id, line, value FROM e WHERE bits >= 3.0 AND NOT regexp_matches(lower(value), 'example|changeme|placeholder|dummy|sample|your|xxxx|test|redacted|insert|todo|fake'))"""
+
+
+@query(_SECRETS + " SELECT doc_id, CAST(line AS BIGINT) AS line, sha256(value) AS digest FROM s")
+def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = text_audit.assigned_secrets(table(spark, sf_dir, "documents"))
+    return s.select("doc_id", F.col("line").cast("long").alias("line"), F.sha2("value", 256).alias("digest"))
+
+
+@query(_SECRETS + " SELECT source AS path, count(*) AS secrets, count(DISTINCT value) AS different, CAST(min(line) AS BIGINT) AS first_line FROM (SELECT DISTINCT source, value, line FROM s JOIN documents USING (doc_id)) GROUP BY 1")
+def secret_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    s = text_audit.assigned_secrets(d).join(d.select("doc_id", F.col("source").alias("path")), "doc_id")
+    return text_audit.rollup_secrets(s, "path").select("path", "secrets", "different", F.col("first_line").cast("long").alias("first_line"))
+
+
+def _redaction_sql() -> str:
+    out = "text"
+    for p, r in text_audit.REDACTIONS:
+        q = p.replace("'", "''")
+        out = f"regexp_replace({out}, '{q}', '{r.replace('$1', chr(92) + '1')}', 'g')"
+    return out
+
+
+@query(f"SELECT doc_id, sha256({_redaction_sql()}) AS digest, CAST(length({_redaction_sql()}) AS BIGINT) AS n FROM documents")
+def redact_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = table(spark, sf_dir, "documents").select("doc_id", text_audit.redact_text(F.col("text")).alias("t"))
+    return t.select("doc_id", F.sha2("t", 256).alias("digest"), F.length("t").cast("long").alias("n"))
+
+
+@query(r"""
+WITH l AS (SELECT page_id, unnest(string_split(regexp_replace(html, '```.*?```', '', 'gs'), chr(10))) AS x, unnest(range(1, len(string_split(regexp_replace(html, '```.*?```', '', 'gs'), chr(10))) + 1)) AS line FROM pages)
+SELECT page_id, 'hidden-comment' AS rule, CAST(line AS BIGINT) AS line FROM l WHERE len(list_filter(regexp_extract_all(x, '<!--(.*?)-->', 1), lambda c: len(regexp_split_to_array(trim(c), '\s+')) >= 2)) > 0
+UNION ALL SELECT page_id, 'override', CAST(line AS BIGINT) FROM l WHERE regexp_matches(x, '(?i)\b(?:ignore|disregard|forget|override)\b[^.\n]{0,40}\b(?:previous|prior|above|earlier|all)\b[^.\n]{0,40}\b(?:instructions?|rules?|prompts?|guidelines?)\b')""")
+def instruction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = text_audit.instruction_audit(table(spark, sf_dir, "pages"), "page_id", "html", comment_words=2).where("rule in ('hidden-comment', 'override')")
+    return found.select("page_id", "rule", F.col("line").cast("long").alias("line"))
+
+
+@query("""
+WITH c AS (SELECT toxic = 1 AS truth, regexp_matches(lower(text), 'idiot|clown|worthless|pathetic|stupid') AS p FROM labels JOIN documents USING (doc_id)),
+n AS (SELECT CAST(count(*) FILTER (truth AND p) AS DOUBLE) AS tp, CAST(count(*) FILTER (NOT truth AND p) AS DOUBLE) AS fp, CAST(count(*) FILTER (truth AND NOT p) AS DOUBLE) AS fn, CAST(count(*) FILTER (NOT truth AND NOT p) AS DOUBLE) AS tn FROM c)
+SELECT tp, fp, fn, tn, CASE WHEN tp + fn > 0 THEN round(tp / (tp + fn), 6) END AS recall, CASE WHEN tp + fp > 0 THEN round(tp / (tp + fp), 6) END AS precision,
+       CASE WHEN 2 * tp + fp + fn > 0 THEN round(2 * tp / (2 * tp + fp + fn), 6) END AS f1 FROM n""")
+def detection_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents"), "doc_id")
+    cases = c.select((F.col("toxic") == 1).alias("truth"), F.lower("text").rlike("idiot|clown|worthless|pathetic|stupid").alias("predicted"))
+    return reports.detection_metrics(cases).select("tp", "fp", "fn", "tn", "recall", "precision", "f1")
+
+
+@query(r"SELECT doc_id, CASE WHEN regexp_matches(text, '^\s*[=+\-@\t\r]') THEN '''' || text ELSE text END AS cell FROM documents WHERE length(text) < 200")
+def csv_safe_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").where("length(text) < 200").select("doc_id", csv_safe("text").alias("cell"))
+
+
+@query(r"SELECT DISTINCT p_partkey AS subject, regexp_replace(lower(p_name), '[-_. ]+', '-', 'g') AS package, 'dep.' || split_part(p_name, ' ', 2) AS signature_id FROM part WHERE p_name LIKE 'red %' OR p_name = 'blue bolt'")
+def dependency_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    deps = p.select(F.col("p_partkey").alias("subject"), F.lit("npm").alias("ecosystem"), F.translate("p_name", " ", "_").alias("name"))
+    things = [r[0] for r in p.select(F.split("p_name", " ")[1]).distinct().collect()]  # product nouns, a handful
+    rows = [(f"dep.{t}", "framework", "dependency", "any", None, "exact", f"red-{t}", 0.5, None, False) for t in things] + [("dep.bolt", "framework", "dependency", "npm", None, "prefix", "blue-bo", 0.5, None, False)]
+    out = matching.match_dependency(deps, spark.createDataFrame(rows, SIGNAL_SCHEMA))
+    return out.select("subject", normalise_package("name").alias("package"), "signature_id")
+
+
+@query("""
+SELECT doc_id, round(CASE WHEN source LIKE 'src1%' THEN 0.5 WHEN source IN ('src2', 'src3') THEN 0.6 ELSE 1.0 END, 6) AS scale FROM documents""")
+def path_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = F.when(F.col("source").startswith("src1"), "tests/").when(F.col("source").isin("src2", "src3"), "examples/").otherwise("lib/")
+    return table(spark, sf_dir, "documents").select("doc_id", text_audit.path_context(F.concat(folder, "source", F.lit(".py")))["scale"].alias("scale"))
+
+
+@query(r"""
+SELECT conv_id, CAST(len(list_distinct(flatten(list([lower(w) FOR w IN regexp_extract_all(coalesce(text, ''), '[A-Za-z]{14,}')])))) AS BIGINT) AS long_words, count(*) AS turns FROM conversations GROUP BY conv_id""")
+def conversation_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = F.transform(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[A-Za-z]{14,}"), F.lit(0)), F.lower)
+    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list(words)))).cast("long").alias("long_words"), F.count("*").alias("turns"))
+    return c.select("conv_id", "long_words", "turns")
