@@ -31,7 +31,7 @@ def iam_policy_signals(policies: DataFrame, text: str = "policy") -> DataFrame:
     s = s.select("policy_id", one_or_many("_s", "Action").alias("a"), one_or_many("_s", "Resource").alias("r"), F.get_json_object("_s", "$.NotAction").isNotNull().alias("_not"))
     acts = F.array(*[F.lit(a) for a in AI_ACTIONS])
     x = s.select("policy_id", "_not", F.explode_outer("a").alias("action"), F.array_contains("r", "*").alias("_any"))
-    hit = F.when(F.col("action").isNotNull(), F.filter(acts, lambda k: F.regexp_like(F.lower(k), F.lower(glob_to_regex("action")))))
+    hit = F.when(F.col("action").isNotNull(), F.filter(acts, lambda k: F.regexp_like(k, F.concat(F.lit("(?i)"), glob_to_regex("action")))))
     x = x.withColumn("_hit", F.when(F.col("action").contains("*") | F.col("action").contains("?"), hit).otherwise(F.filter(acts, lambda k: F.lower(k) == F.lower(F.col("action")))))
     return x.groupBy("policy_id").agg(F.array_sort(F.collect_set("action")).alias("actions"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("_hit")))).alias("ai_actions"), F.bool_or(F.coalesce(F.col("action") == "*", F.lit(False)) & F.coalesce(F.col("_any"), F.lit(False))).alias("wildcard"), F.bool_or("_not").alias("not_action"))
 
