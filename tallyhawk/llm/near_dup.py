@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -140,11 +141,16 @@ def star_edges(reps: DataFrame) -> DataFrame:
             edge, n = np.unique(np.stack([centre[group], ids[doc]], 1)[centre[group] != ids[doc]], axis=0, return_counts=True)
             names = ["key", "a", "b", "n"]
             yield pa.RecordBatch.from_arrays([pa.array(keys[first]), pa.array(centre), pa.nulls(len(first), batch.column("id").type), pa.nulls(len(first), pa.int64())], names)
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(edge), pa.int64()), pa.array(edge[:, 0]), pa.array(edge[:, 1]), pa.array(n)], names)
+            spread = mix64(mix64(edge[:, 0].astype(np.uint64)) + edge[:, 1].astype(np.uint64)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(spread), pa.array(edge[:, 0]), pa.array(edge[:, 1]), pa.array(n)], names)
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows with an end are edges already and go through; the others are a bucket's centres, in order."""
         key, centre = None, None
-        for batch in batches:
+        for whole in batches:
+            edge = whole.column("b").is_valid()
+            yield whole.filter(edge).select(["a", "b", "n"])
+            batch = whole.filter(pc.invert(edge))
             keys, ids = batch.column("key").to_numpy(), batch.column("a").to_numpy()
             if not len(keys):
                 continue
@@ -156,11 +162,11 @@ def star_edges(reps: DataFrame) -> DataFrame:
             own = held[from_]
             key, centre = keys[-1], own[-1]
             far = own != ids
-            yield pa.RecordBatch.from_arrays([pa.array(own[far]), pa.array(ids[far])], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(own[far]), pa.array(ids[far]), pa.array(np.ones(int(far.sum()), np.int64))], ["a", "b", "n"])
 
-    made = cut(reps.select("id", "bands").mapInArrow(local, f"key long, a {kind}, b {kind}, n long"))
-    between = made.where("key is not null").select("key", "a").repartition("key").sortWithinPartitions("key", "a").mapInArrow(stream, f"a {kind}, b {kind}")
-    return made.where("key is null").select("a", "b", "n").union(between.withColumn("n", F.lit(1))).groupBy("a", "b").agg(F.sum("n").alias("n"))
+    made = reps.select("id", "bands").mapInArrow(local, f"key long, a {kind}, b {kind}, n long")
+    edges = made.repartition("key").sortWithinPartitions("key", "a").mapInArrow(stream, f"a {kind}, b {kind}, n long")
+    return edges.groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
 def _packed(e: np.ndarray, w: np.ndarray) -> bytes:
@@ -179,7 +185,20 @@ def _unpacked(blob: bytes) -> np.ndarray:
     return raw.reshape(-1).view("<u8")
 
 
-def verified(edges: DataFrame, docs: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
+def bags_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``b, bag``: the packed bags of the documents with one of the given ids."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(ids, "id", "left_semi")
+
+    def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            packed = [_packed(*shingles(t)) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(packed, pa.binary())], ["b", "bag"])
+
+    return texts.mapInArrow(bags, f"b {kind}, bag binary")
+
+
+def verified(edges: DataFrame, bag: DataFrame, similarity: float) -> DataFrame:
     """The edges whose bags have a weighted Jaccard index of ``similarity`` or more.
 
     The bags of the documents concerned travel once per edge to their centre, whose own bag is read first and
@@ -187,15 +206,6 @@ def verified(edges: DataFrame, docs: DataFrame, id_col: str, text_col: str, simi
     """
     edges = cut(edges)
     kind = edges.schema["a"].dataType.simpleString()
-    ends = edges.select("a").union(edges.select("b")).distinct().withColumnRenamed("a", "id")
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(ends, "id")
-
-    def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            packed = [_packed(*shingles(t)) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(packed, pa.binary())], ["b", "bag"])
-
-    bag = texts.mapInArrow(bags, f"b {kind}, bag binary")
     groups = edges.groupBy("a").agg(F.ceil(F.count("*") / CENTRE_GROUP).cast("int").alias("n"))
     wanted = edges.join(groups, "a").select("a", F.pmod(F.xxhash64("b"), F.col("n")).cast("int").alias("g"), "b", F.lit(1).alias("role"))
     centres = groups.select("a", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("g"), F.col("a").alias("b"), F.lit(0).alias("role"))
@@ -219,8 +229,12 @@ def verified(edges: DataFrame, docs: DataFrame, id_col: str, text_col: str, simi
     return rows.select("a", "g", "role", "b", "bag").mapInArrow(compare, f"a {kind}, b {kind}")
 
 
-def crossing_pairs(reps: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of one bucket that verified edges have not joined yet and whose signatures agree well enough."""
+def crossing_pairs(reps: DataFrame, labels: DataFrame, best: bool) -> DataFrame:
+    """Pairs of one bucket that verified edges have not joined yet and whose signatures agree well enough.
+
+    With ``best`` only each document's most similar one (over all its buckets), and none for the documents of a
+    group's most common component, whom the others look for.
+    """
     kind = reps.schema["id"].dataType.simpleString()
     placed = reps.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     rows = placed.select("id", "component", F.explode("bands").alias("key"))
@@ -232,19 +246,27 @@ def crossing_pairs(reps: DataFrame, labels: DataFrame) -> DataFrame:
     found = found.withColumn("mine", own).withColumn("other", F.explode(F.expr("sequence(0, s - 1)")))
     found = found.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "id", "component", "sig")
 
+    def told(out: list[tuple], of: pa.DataType) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], of), pa.array([x[1] for x in out], of), pa.array([x[2] for x in out], pa.float64())], ["a", "b", "alike"])
+
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def close(group: list[tuple]) -> list[tuple]:
             sig = np.stack([np.frombuffer(g[4], np.uint8) for g in group])
             comp, ids, mine = (np.array([g[k] for g in group]) for k in (3, 2, 1))
             i, j = group[0][0][1:]
             out = []
+            names, sizes = np.unique(comp, return_counts=True)
             for k in range(len(group)):
-                with_ = (ids > ids[k]) & (comp != comp[k])
+                if best and comp[k] == names[sizes.argmax()]:
+                    continue
+                with_ = (ids != ids[k] if best else ids > ids[k]) & (comp != comp[k])
                 if i != j:
                     with_ &= mine != mine[k]  # pairs inside a block belong to that block's own group
                 at = np.flatnonzero(with_)
                 if len(at):
-                    out += [(ids[k], ids[x]) for x in at[(sig[at] == sig[k]).mean(axis=1) >= PLAUSIBLE]]
+                    alike = (sig[at] == sig[k]).mean(axis=1)
+                    chosen = [int(alike.argmax())] if best and alike.max() >= PLAUSIBLE else [] if best else np.flatnonzero(alike >= PLAUSIBLE)
+                    out += [(ids[k], ids[at[x]], alike[x]) for x in chosen]
             return out
 
         group: list[tuple] = []
@@ -256,14 +278,15 @@ def crossing_pairs(reps: DataFrame, labels: DataFrame) -> DataFrame:
                     out += close(group)
                     group = []
                 group.append(row)
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], batch.column("id").type), pa.array([x[1] for x in out], batch.column("id").type)], ["a", "b"])
+            yield told(out, batch.column("id").type)
         if group:
-            out = close(group)
-            kind_ = pa.array([group[0][2]]).type
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], kind_), pa.array([x[1] for x in out], kind_)], ["a", "b"])
+            yield told(close(group), pa.array([group[0][2]]).type)
 
     grouped = found.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return grouped.select("key", "i", "j", "mine", "id", "component", "sig").mapInArrow(pairs, f"a {kind}, b {kind}").distinct()
+    found = grouped.select("key", "i", "j", "mine", "id", "component", "sig").mapInArrow(pairs, f"a {kind}, b {kind}, alike double")
+    if best:
+        return found.groupBy("a").agg(F.max_by("b", F.struct("alike", "b")).alias("b"))
+    return found.select("a", "b").distinct()
 
 
 def apart(edges: DataFrame, labels: DataFrame) -> DataFrame:
@@ -280,9 +303,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     bags of five-word shingles (folded words; a text of one to four words is one shingle). Equal bags are one
     node from the start.
 
-    Candidates share a band of their BagMinHash signatures. Three rounds verify them, each only what the ones
-    before have not joined: each document with the bucket centre it shares most bands with, with all centres of
-    its buckets, and at last all pairs of a bucket. So a group of near-copies costs rows, not pairs, no
+    Candidates share a band of their BagMinHash signatures. Five rounds verify them, each only what the ones
+    before have not joined: each document with the bucket centre it shares most bands with, then with all centres
+    of its buckets, then with the most similar document of its buckets (twice), at last all pairs of a bucket. So a group of near-copies costs rows, not pairs, no
     candidate link between different texts is left out, and links that could not change a class are not looked
     at. Documents without words (null, empty) are classes by themselves; a null id has class null and is
     kept; rows that share an id are one node, and a row is kept only under the class's least id; an empty
@@ -292,13 +315,16 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     reps = cut(sigs.groupBy("set_a", "set_b").agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
     stars = cut(star_edges(reps))
     first = cut(stars.groupBy("b").agg(F.min_by("a", F.struct(-F.col("n"), F.col("a"))).alias("a")).select("a", "b"))
-    labels = connected_components(verified(first, docs, id_col, text_col, similarity), "a", "b")
+    ends = stars.select(F.col("a").alias("id")).union(stars.select("b")).distinct()
+    bag = cut(bags_of(docs, ends, id_col, text_col))  # all later candidates share a bucket, so they are among these
+    labels = connected_components(verified(first, bag, similarity), "a", "b")
     rest = stars.join(first, ["a", "b"], "left_anti").select("a", "b")
-    for candidates in (lambda: apart(rest, labels), lambda: crossing_pairs(reps, labels)):
+    rounds = (lambda: apart(rest, labels), *[lambda: crossing_pairs(reps, labels, best=True)] * 2, lambda: crossing_pairs(reps, labels, best=False))
+    for candidates in rounds:
         more = cut(candidates())
         if not more.isEmpty():
             known = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
-            labels = connected_components(known.union(verified(more, docs, id_col, text_col, similarity)), "a", "b")
+            labels = connected_components(known.union(verified(more, bag, similarity)), "a", "b")
     nodes = sigs.select("id", "set_a", "set_b").join(reps.select("set_a", "set_b", F.col("id").alias("node")), ["set_a", "set_b"])
     classes = nodes.join(labels, "node", "left").groupBy("id").agg(F.min(F.coalesce("component", "node")).alias("class_id"))
     out = docs.select(F.col(id_col).alias("doc_id")).join(classes.withColumnRenamed("id", "doc_id"), "doc_id", "left")
