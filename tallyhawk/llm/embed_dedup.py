@@ -100,7 +100,7 @@ def link_counts(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str =
     weight. A cell gives a row per vector (how many links, least linked row), never its pairs; a cell with many rows
     is compared block by block in as many tasks. Null, zero, empty and non-finite vectors, or those with null
     components, link with nothing; vectors of different length neither; a null id is counted by the others but
-    belongs to no component (its own is null, and it is kept); rows with one id are one vector each for the
+    reports no links and belongs to no component (its own is null, and it is kept); rows with one id are one vector each for the
     counts and one node for the components. An empty table gives an empty table.
     """
     kind = vectors.schema[id_col].dataType.simpleString()

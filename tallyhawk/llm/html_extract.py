@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 _TOKEN = re.compile(
-    r"""<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?>(?:[^>"']++|"[^"]*"|'[^']*')*)|[^>]*)>""", re.DOTALL
+    r"""<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)((?>(?:[^>"']++|"[^"]*"|'[^']*')*)|[^>]*+)>""", re.DOTALL
 )
 _ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _LABEL = re.compile(r"[a-z0-9]+")
@@ -88,8 +88,11 @@ def blocks(page: str, words: bool = True) -> tuple[list[Block], list[tuple[str,
         if links:
             linked += len(text)
 
-    at, end = 0, len(page)
+    at, end, last = 0, len(page), page.rfind(">")
     while at < end:
+        if at > last:  # no tag ends here any more; only a comment can still open
+            say(page[at:].partition("<!--")[0])
+            break
         m = _TOKEN.search(page, at)
         if not m:
             say(page[at:])
