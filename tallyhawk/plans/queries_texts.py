@@ -125,7 +125,7 @@ def dependency_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT doc_id, round(CASE WHEN source LIKE 'src1%' THEN 0.5 WHEN source IN ('src2', 'src3') THEN 0.6 ELSE 1.0 END, 6) AS scale FROM documents""")
+SELECT doc_id, CAST(CASE WHEN source LIKE 'src1%' THEN 0.5 WHEN source IN ('src2', 'src3') THEN 0.6 ELSE 1.0 END AS DOUBLE) AS scale FROM documents""")
 def path_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = F.when(F.col("source").startswith("src1"), "tests/").when(F.col("source").isin("src2", "src3"), "examples/").otherwise("lib/")
     return table(spark, sf_dir, "documents").select("doc_id", text_audit.path_context(F.concat(folder, "source", F.lit(".py")))["scale"].alias("scale"))
