@@ -114,6 +114,16 @@ def csv_safe_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").where("length(text) < 200").select("doc_id", csv_safe("text").alias("cell"))
 
 
+_CELL = r"CASE WHEN regexp_matches(text, '^\s*[=+\-@\t\r]') THEN '''' || text ELSE text END"
+
+
+@query(f"SELECT doc_id, sha256({_CELL}) AS digest, CAST(length({_CELL}) AS BIGINT) AS n FROM documents")
+def csv_safe_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text as a cell; null stays null."""
+    c = table(spark, sf_dir, "documents").select("doc_id", csv_safe("text").alias("cell"))
+    return c.select("doc_id", F.sha2("cell", 256).alias("digest"), F.length("cell").cast("long").alias("n"))
+
+
 @query(r"SELECT DISTINCT p_partkey AS subject, regexp_replace(lower(p_name), '[-_. ]+', '-', 'g') AS package, 'dep.' || split_part(p_name, ' ', 2) AS signature_id FROM part WHERE p_name LIKE 'red %' OR p_name = 'blue bolt'")
 def dependency_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
