@@ -98,6 +98,33 @@ def instruction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "rule", F.col("line").cast("long").alias("line"))
 
 
+def _audit_sql() -> str:
+    bare = r"""regexp_replace(x, '"[^"\n]*"|`[^`\n]*`|^\s*>.*$', '', 'g')"""
+    out = [r"SELECT source, id, turn, 'hidden-comment' AS rule, CAST(line AS BIGINT) AS line FROM l WHERE len(list_filter(regexp_extract_all(x, '<!--(.*?)-->', 1), lambda c: len(regexp_split_to_array(trim(c), '\s+')) >= 2)) > 0"]
+    for name, p in text_audit.INSTRUCTION_RULES:
+        out.append(f"SELECT source, id, turn, '{name}', CAST(line AS BIGINT) FROM l WHERE regexp_matches({bare if name in ('override', 'data-transfer') else 'x'}, '{p}')")
+    return r"""
+WITH t AS (SELECT 'documents' AS source, CAST(doc_id AS VARCHAR) AS id, CAST(NULL AS BIGINT) AS turn, text AS x FROM documents
+  UNION ALL SELECT 'conversations', CAST(conv_id AS VARCHAR), CAST(turn AS BIGINT), text FROM conversations
+  UNION ALL SELECT 'pages', CAST(page_id AS VARCHAR), NULL, html FROM pages),
+s AS (SELECT source, id, turn, string_split(regexp_replace(coalesce(x, ''), '```.*?```', '', 'gs'), chr(10)) AS xs FROM t),
+l AS (SELECT source, id, turn, unnest(xs) AS x, unnest(range(1, len(xs) + 1)) AS line FROM s)
+""" + " UNION ALL ".join(out)
+
+
+@query(_audit_sql())
+def instruction_audit_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rules over documents, conversations and pages."""
+    parts = [("documents", "doc_id", None, "text"), ("conversations", "conv_id", "turn", "text"), ("pages", "page_id", None, "html")]
+    texts = None
+    for name, key, turn, text in parts:
+        at = F.struct(F.lit(name).alias("source"), F.col(key).cast("string").alias("id"), (F.col(turn) if turn else F.lit(None)).cast("long").alias("turn"))
+        part = table(spark, sf_dir, name).select(at.alias("at"), F.col(text).alias("text"))
+        texts = part if texts is None else texts.unionByName(part)
+    found = text_audit.instruction_audit(texts, "at", "text", comment_words=2)
+    return found.select("at.source", "at.id", "at.turn", "rule", F.col("line").cast("long").alias("line"))
+
+
 @query("""
 WITH c AS (SELECT toxic = 1 AS truth, regexp_matches(lower(text), 'idiot|clown|worthless|pathetic|stupid') AS p FROM labels JOIN documents USING (doc_id)),
 n AS (SELECT CAST(count(*) FILTER (truth AND p) AS DOUBLE) AS tp, CAST(count(*) FILTER (NOT truth AND p) AS DOUBLE) AS fp, CAST(count(*) FILTER (truth AND NOT p) AS DOUBLE) AS fn, CAST(count(*) FILTER (NOT truth AND NOT p) AS DOUBLE) AS tn FROM c)
