@@ -76,6 +76,82 @@ def test_op2_probabilities_sum_to_one(spark, sf):
     assert np.allclose(per_class[S._SHARED > 0], 1)
 
 
+def test_op2_longer_contexts(spark):
+    """Contexts below the broadcast part, however rare, against counting them all one by one."""
+    from tallyhawk.llm import suffix_tree as S
+
+    rng = np.random.default_rng(5)
+    texts = []
+    for i in range(300):
+        noise = " ".join("".join(rng.choice(list("abcdefghijkl"), 6)) for _ in range(60))
+        sign = int(rng.integers(2))
+        texts.append(f"{noise} {'pq'[sign]}abcabcabc{'yz'[sign]}" + (" " + texts[i - 1][:60] if i % 5 == 4 else ""))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    share, S.LEAST_SHARE = S.LEAST_SHARE, 1e-2  # as small an upper part as that of a corpus of 4,000 times the size
+    try:
+        tree = S.build(docs, "doc_id", "text", 7, 2)
+    finally:
+        S.LEAST_SHARE = share
+    syms = [S.stream([S.tokens(t)])[1].tolist() for t in texts]
+    paths = [(S.END, *x) for x in syms]
+    taught = [zlib.crc32(str(i).encode()) % 7 != 2 for i in range(len(texts))]
+
+    def suffixes(path, i):
+        """Contexts of the symbol at i, nearest symbol first, as far as the text and SPAN go."""
+        out, bits = [()], 0
+        for s in path[i - 1 :: -1]:
+            bits += int(tree.bits[s])
+            if bits > S.SPAN:
+                break
+            out.append((*out[-1], s))
+        return out
+
+    counts = collections.defaultdict(collections.Counter)
+    for path, t in zip(paths, taught, strict=True):
+        for i in range(1, len(path)) if t else ():
+            for c in suffixes(path, i):
+                counts[c][path[i]] += 1
+    expected, upper, deepest = [], [], 0
+    state = {x: tree.states(np.array(x, dtype=np.int32)) for x in map(tuple, syms)}
+    tops = {}
+    for path, x in zip(paths, syms, strict=True):
+        for i, v in enumerate(state[tuple(x)].tolist(), 1):
+            tops.setdefault(suffixes(path, i)[int(tree.depth[v])], v)
+
+    def proportion(c, s, v):
+        return 10.0 ** float(tree.logp[v, s]) if c in tops else counts[c][s] / counts[c].total()
+
+    good = set()
+    for path, x in zip(paths, syms, strict=True):
+        for i, v in enumerate(state[tuple(x)].tolist(), 1):
+            for c in suffixes(path, i)[int(tree.depth[v]) + 1 :]:
+                n = counts[c]
+                if c not in good and n.total() >= S.LEAST:
+                    k, up = len(c), c[:-1]
+                    ratio = lambda s: proportion(up, s, v) if k - 1 == int(tree.depth[v]) else counts[up][s] / counts[up].total()  # noqa: B023, E731
+                    if sum(m * math.log(m / n.total() / ratio(s)) for s, m in n.items() if m) >= S.GAIN * sum(m > 0 for m in n.values()):
+                        good.update(c[:j] for j in range(1, k + 1))
+    for path, x in zip(paths, syms, strict=True):
+        change = 0.0
+        for i, v in enumerate(state[tuple(x)].tolist(), 1):
+            p = base = 10.0 ** float(tree.logp[v, path[i]])
+            for c in suffixes(path, i)[int(tree.depth[v]) + 1 :]:
+                if c in good:
+                    types = sum(m > 0 for m in counts[c].values())
+                    p, deepest = (counts[c][path[i]] + types * p) / (counts[c].total() + types), max(deepest, len(c))
+            change += math.log10(p / base)
+        upper.append(tree.score([S.tokens(texts[len(upper)])])[0])
+        expected.append(upper[-1] + change)
+    S.LEAST_SHARE = 1e-2
+    try:
+        got = {r["doc_id"]: r["score"] for r in S.score_texts(docs).collect()}
+    finally:
+        S.LEAST_SHARE = share
+    assert deepest > 9
+    assert np.allclose([got[i] for i in range(len(texts))], expected, atol=1e-3)
+    assert sum(expected) > sum(upper) + 50
+
+
 def test_op3_round_trip(spark, sf, texts):
     from tokenizers import Tokenizer
 
