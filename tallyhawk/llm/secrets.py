@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyhawk.plans.session import cut
+
 # Fixed values of the base findings: pattern, group that is measured, least length.
 BASE = (
     ("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE), 2, 12),
@@ -57,8 +59,12 @@ N_CODES = len(_CLASSES) + 2
 
 
 def window(text: str, start: int, end: int) -> bytes:
-    """Left context, value and right context at fixed places, as character classes (0: nothing there)."""
-    parts = ((text[max(0, start - LEFT) : start], LEFT, True), (text[start:end][:VALUE], VALUE, False), (text[end : end + RIGHT], RIGHT, False))
+    """Left context, value and right context at fixed places, as character classes (0: nothing there).
+
+    A value that is longer than its place is shown by its head and its tail.
+    """
+    value = text[start:end] if end - start <= VALUE else text[start : start + VALUE // 2] + text[end - VALUE // 2 : end]
+    parts = ((text[max(0, start - LEFT) : start], LEFT, True), (value, VALUE, False), (text[end : end + RIGHT], RIGHT, False))
     return b"".join(
         _CODE[np.frombuffer(s.encode("latin-1", "replace"), np.uint8)].tobytes().rjust(n, b"\0") if at_end else _CODE[np.frombuffer(s.encode("latin-1", "replace"), np.uint8)].tobytes().ljust(n, b"\0")
         for s, n, at_end in parts
@@ -70,12 +76,13 @@ class CharNet:
     """Embedding, one convolution, maxima over the context and over the value, one hidden layer, one output.
 
     ``platt`` turns the output into a probability; ``threshold`` is the greatest that keeps the recall asked
-    for on findings that training did not see, one half at least.
+    for on findings that training did not see, one half at least; ``recall`` is what it reaches on them.
     """
 
     params: dict[str, np.ndarray]
     platt: tuple[float, float] = (1.0, 0.0)
     threshold: float = 0.5
+    recall: float = 0.0
 
     @classmethod
     def new(cls, seed: int = 7, dim: int = 8, filters: int = 24, span: int = 5, hidden: int = 16) -> CharNet:
@@ -134,7 +141,8 @@ class CharNet:
             a, b = a - 0.5 * float(np.mean(e * logit)) / max(1.0, float(np.mean(logit * logit))), b - 0.5 * float(np.mean(e))
         self.platt = (a, b)
         hits = np.sort(self.probability(x)[y > 0])[::-1]
-        self.threshold = max(0.5, float(hits[min(len(hits) - 1, int(np.ceil(recall * len(hits))) - 1)])) if len(hits) else 2.0
+        at = max(0.5, float(hits[min(len(hits) - 1, int(np.ceil(recall * len(hits))) - 1)])) if len(hits) else 2.0
+        self.threshold, self.recall = at, float(np.mean(hits >= at)) if len(hits) else 0.0
 
     def probability(self, x: np.ndarray) -> np.ndarray:
         a, b = self.platt
@@ -146,30 +154,37 @@ def _stack(windows: list[bytes]) -> np.ndarray:
 
 
 def train(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = 20_000, per_label: int = 3_000, recall: float = 0.98
+    docs: DataFrame, *, text_col: str = "text", per_label: int = 3_000, recall: float = 0.98
 ) -> CharNet | None:
     """A network learnt from labelled findings: candidates that a base finding covers, against all others.
 
-    Bounds: about ``sample_docs`` documents (by a hash of the id) are looked at, and the ``per_label`` candidates
-    of either label with the least hashes are fetched. Half of the positives also enter with the left context of
+    All documents are looked at, so rare secrets are found in however large a corpus. Bound: the ``per_label``
+    different candidates of either label with the least hashes leave each task and are fetched. Half of the positives also enter with the left context of
     a negative, so that values count without a tell-tale word. A fourth of the rows is kept for calibration.
     None if either label is missing.
     """
-    total = docs.count()
-    share = min(1.0, sample_docs / total) if total else 1.0
-    some = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).where(F.pmod(F.xxhash64("i"), F.lit(1 << 20)) < int(share * (1 << 20)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        best: list[dict[bytes, int]] = [{}, {}]
+
+        def least(of: dict[bytes, int]) -> dict[bytes, int]:
+            return dict(sorted(of.items(), key=lambda r: (r[1], r[0]))[:per_label])
+
         for batch in batches:
-            rows: list[tuple[bytes, int]] = []
             for text in batch.column("t").to_pylist():
                 if text and (found := candidates(text)):
                     base = base_spans(text)
-                    rows += [(window(text, s, e), int(any(s < b and a < e for _, a, b in base))) for s, e in found]
-            w, y = zip(*rows, strict=True) if rows else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(w, pa.binary()), pa.array(y, pa.int32())], ["w", "y"])
-
-    found = some.mapInArrow(run, "w binary, y int").distinct().withColumn("h", F.xxhash64("w"))
+                    for s, e in found:
+                        w = window(text, s, e)
+                        best[any(s < b and a < e for _, a, b in base)][w] = (xxhash.xxh64_intdigest(w, 42) + (1 << 63)) % (1 << 64)  # in the order of Spark's signed hash
+            best = [least(x) if len(x) > 4 * per_label else x for x in best]
+        for y, x in enumerate(best):
+            w = list(least(x))
+            yield pa.RecordBatch.from_arrays([pa.array(w, pa.binary()), pa.array([y] * len(w), pa.int32())], ["w", "y"])
+
+    found = cut(docs.select(F.col(text_col).alias("t")).mapInArrow(run, "w binary, y int").distinct().withColumn("h", F.xxhash64("w")))
     rows = [r for y in (0, 1) for r in found.where(F.col("y") == y).orderBy("h", "w").limit(per_label).collect()]
     y = np.array([r["y"] for r in rows], dtype=float)
     if not rows or y.min() == y.max():
@@ -214,7 +229,7 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", net
     text has no spans (and stays null when redacting); repeated rows are scanned each; an empty table gives an
     empty table.
     """
-    net = net or train(docs, id_col=id_col, text_col=text_col)
+    net = net or train(docs, text_col=text_col)
     held = docs.sparkSession.sparkContext.broadcast(net)
     if redact:
         names = docs.columns

@@ -54,6 +54,22 @@ def test_op1_network_learns():
     assert (p[y[1::2] > 0] >= net.threshold).mean() >= 0.98 and (p[y[1::2] == 0] >= net.threshold).mean() < 0.02
 
 
+def test_op1_learns_from_rare_findings(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.range(40_000).withColumnRenamed("id", "doc_id")
+    late = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) >= 1 << 19  # what a sample by this hash leaves out
+    secret = F.concat(F.lit("password = "), F.sha2(F.col("doc_id").cast("string"), 224))
+    plain = F.concat(F.lit("see build/step-2024-"), F.col("doc_id"))
+    net = secrets.train(docs.select("doc_id", F.when(late & (F.col("doc_id") % 400 == 0), secret).otherwise(plain).alias("text")))
+    assert net is not None and 0 < net.recall <= 1
+
+
+def test_op1_windows_show_tails():
+    assert secrets.window("a" * 50 + "0123456789", 0, 60) != secrets.window("a" * 60, 0, 60)
+    assert len(secrets.window("a" * 60, 0, 60)) == secrets.WIDTH
+
+
 def test_op2_base_score(spark, sf, texts):
     toks = {i: re.findall(rb"[^\x20\x09-\x0d]+", t.encode().translate(FOLD)) + ["end"] for i, t in texts.items()}
     c = collections.Counter(w for i, ws in toks.items() if zlib.crc32(str(i).encode()) % 7 != 2 for w in ws)
