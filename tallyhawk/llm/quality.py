@@ -92,8 +92,9 @@ def train(
     """Weights learnt from a bounded sample of the labelled rows outside fold 0 (``crc32(id) mod folds``).
 
     ``sample`` is the documented bound: the labelled ids with the least hashes are taken, whatever the size of
-    the corpus, so the driver gets the features of that many texts at most. Rows with a null id or label don't
-    count; without any labelled row every score is one half.
+    the corpus, and of their different texts again that many with the least hashes, so the driver gets the
+    features of that many texts at most; equal rows are learnt once. Rows with a null id or label don't count;
+    without any labelled row every score is one half.
     """
     chosen = (
         labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("double").alias("_y"))
@@ -114,7 +115,8 @@ def train(
                 ["id", "y", "i", "x"],
             )
 
-    got = rows.mapInArrow(run, "id string, y double, i binary, x binary").collect()
+    found = rows.mapInArrow(run, "id string, y double, i binary, x binary").distinct()
+    got = found.orderBy(F.xxhash64("id", "y", "i", "x"), "id", "y", "i", "x").limit(sample).collect()
     got.sort(key=lambda r: (zlib.crc32(r["id"].encode()), r["id"], r["y"], bytes(r["i"])))
     model = Ftrl(bits)
     for _ in range(epochs):

@@ -145,3 +145,16 @@ def test_folds():
 def test_spark_crc_is_the_same(spark):
     got = spark.range(20).select(F.crc32(F.col("id").cast("string").cast("binary"))).collect()
     assert [r[0] for r in got] == [zlib.crc32(str(i).encode()) for i in range(20)]
+
+
+def test_quality_bounds_repeated_ids(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, f"text number {i}") for i in range(40)] + [(1, "text number 0")] * 40 + [(2, "other words")] * 40, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in (1, 2, 3, 4)], "doc_id long, quality int")
+    learnt = []
+    learn = quality.Ftrl.learn
+    monkeypatch.setattr(quality.Ftrl, "learn", lambda self, *a: learnt.append(1) or learn(self, *a))
+    quality.train(docs, labels, folds=1_000_003, epochs=1)
+    assert len(learnt) == 41  # each different text once
+    learnt.clear()
+    quality.train(docs, labels, folds=1_000_003, epochs=1, sample=10)
+    assert len(learnt) == 10
