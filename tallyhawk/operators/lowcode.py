@@ -34,7 +34,7 @@ def zapier_steps(rows: DataFrame) -> DataFrame:
     return rows.select(F.col("Title").alias("workflow"), F.col("Title").alias("name"), F.col("Owner").alias("owner"), (F.lower("Status") == "on").alias("active"), F.posexplode(F.split("Apps", r"\s*[,>|]\s*")).alias("ord", "step_type"))
 
 
-def reachable_egress(edges: DataFrame, nodes: DataFrame, rounds: int = 100) -> DataFrame:
+def reachable_egress(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """``workflow, node``: egress steps that an untrusted input reaches by way of an AI step.
 
     ``edges``: ``workflow, src, dst``; ``nodes``: ``workflow, node, role`` (input, ai, egress). A state is a node and whether AI was
@@ -43,7 +43,7 @@ def reachable_egress(edges: DataFrame, nodes: DataFrame, rounds: int = 100) -> D
     e = edges.join(nodes.select("workflow", F.col("node").alias("dst"), F.coalesce(F.col("role") == "ai", F.lit(False)).alias("_ai")), ["workflow", "dst"])
     seen = cut(nodes.where("role = 'input'").select("workflow", "node", F.lit(False).alias("ai")))
     frontier = seen
-    for _ in range(rounds):
+    while True:
         step = frontier.withColumnRenamed("node", "src").join(e, ["workflow", "src"]).select("workflow", F.col("dst").alias("node"), (F.col("ai") | F.col("_ai")).alias("ai")).distinct()
         frontier = cut(step.join(seen, ["workflow", "node", "ai"], "left_anti"))
         if frontier.isEmpty():

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -129,11 +131,11 @@ def model_id_literals(texts: DataFrame, key: str, text: str) -> DataFrame:
     return texts.select(key, F.explode(F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(rx), F.lit(0)), F.lower))).alias("model"))
 
 
-def locked_packages(edges: DataFrame, roots: DataFrame, rounds: int = 50) -> DataFrame:
+def locked_packages(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """``package, relation, depth`` reachable from the roots over ``(package, requires)`` edges."""
     found = roots.select("package").distinct().withColumn("depth", F.lit(0))
     frontier = found
-    for d in range(1, rounds + 1):
+    for d in itertools.count(1):
         frontier = cut(frontier.join(edges, "package").select(F.col("requires").alias("package")).distinct().join(found, "package", "left_anti").withColumn("depth", F.lit(d)))
         if frontier.isEmpty():
             break

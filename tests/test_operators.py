@@ -192,6 +192,17 @@ def test_reachability(spark, edges, hit):
     assert (lowcode.reachable_egress(e, n).count() == 1) is hit
 
 
+def test_loops_go_to_the_end(spark):
+    n = 103
+    e = spark.createDataFrame([("w", f"n{i}", f"n{i + 1}") for i in range(n)], "workflow string, src string, dst string").coalesce(1)
+    roles = {0: "input", 1: "ai", n: "egress"}
+    nodes = spark.createDataFrame([("w", f"n{i}", roles.get(i)) for i in range(n + 1)], "workflow string, node string, role string").coalesce(1)
+    assert rows(lowcode.reachable_egress(e, nodes)) == [("w", f"n{n}")]
+    p = e.where(F.substring("src", 2, 9).cast("int") < 53).select(F.col("src").alias("package"), F.col("dst").alias("requires"))
+    got = text_audit.locked_packages(p, spark.createDataFrame([("n0",)], "package string"))
+    assert got.agg(F.max("depth")).first()[0] == 53
+
+
 def test_streams(spark, tmp_path):
     src, out = str(tmp_path / "in"), str(tmp_path / "out")
     spark.createDataFrame([("c", f"2024-01-01T00:00:{s:02d}Z", "ok", 1.0) for s in (0, 5, 10)] + [("c", "2024-01-01T09:00:00Z", "error", 2.0)], "caller string, ts string, status string, cost double").write.json(src)
