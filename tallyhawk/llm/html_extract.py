@@ -18,7 +18,7 @@ _ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'
 _LABEL = re.compile(r"[a-z0-9]+")
 
 # Elements by their part in a page.
-RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "xmp", "noembed", "noframes", "template", "svg", "math", "object"}
+RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "xmp", "noembed", "noframes", "template", "svg", "object"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCKS = {
     "address", "article", "aside", "blockquote", "body", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption",
@@ -33,42 +33,82 @@ AROUND_WORDS = {
     "sidebar", "aside", "footer", "masthead", "comment", "comments", "disqus", "reply", "replies", "respond", "share", "sharing", "social", "related",
     "recommended", "newsletter", "subscribe", "subscription", "widget", "toolbar", "pager", "pagination", "signup", "login", "search", "skip",
 }
+#: Words that say nothing of an element's part: what is left of a name decides.
+PLAIN_WORDS = {
+    "area", "article", "bar", "block", "body", "bottom", "box", "buttons", "container", "content", "entry", "group", "header", "holder", "inner", "item",
+    "items", "left", "link", "links", "list", "main", "outer", "page", "panel", "post", "posts", "reader", "right", "section", "site", "slot", "text",
+    "thread", "top", "user", "wrap", "wrapper",
+}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6", "hgroup"}
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 LISTS = {"ul", "ol", "dl", "table", "menu", "select"}
+#: Elements for running text; a text that stands in any other is judged by its own path alone.
+TEXT = {"p", "li", "pre", "blockquote", "td", "th", "dd", "dt", "figcaption", "caption", "summary"}
 PUNCTUATION = re.compile(r"[.,;:!?…。，、！？]")
 
 
+#: How far names count against an element: one that says nothing but surroundings, and one that also says other things.
+NAMED, HINTED = 0.1, 0.6
+#: What a text outside the article's element keeps; what running text has from the best running text beside it; a
+#: block's own share in the fusion with its smoothed surroundings; the least level, as a share of the mean one.
+OUTSIDE, COMPANY, OWN, LEAST = 0.25, 0.5, 0.75, 0.3
+
+
 @dataclass
 class Block:
-    path: str
+    path: int
+    tag: str
     text: str
     linked: int
-    chain: tuple[int, ...]  # numbers of the open block elements, outermost first
-    around: bool
+    element: int
+
+
+@dataclass
+class Page:
+    """Text blocks in order; for each element its tag, parent and last descendant (elements are numbered in order)."""
+
+    blocks: list[Block]
+    tags: list[str]
+    parents: list[int]
+    last: list[int]
+    prior: list[float]  # by path
+
 
+def _names(found: dict[str, str]) -> float:
+    """How far class and id count against an element."""
+    weight = 1.0
+    for name in f"{found.get('class', '')} {found.get('id', '')}".split():
+        words = _LABEL.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower())
+        telling = [w for w in words if w not in PLAIN_WORDS and not w.isdigit()]
+        if telling and all(w in AROUND_WORDS for w in telling):
+            weight = min(weight, NAMED)
+        elif any(w in AROUND_WORDS for w in telling):
+            weight = min(weight, HINTED)
+    return weight
 
-def _around(tag: str, attributes: str, within_article: bool, words: bool) -> bool:
-    if tag in AROUND or tag == "header" and not within_article:
+
+def _attributes(raw: str) -> dict[str, str]:
+    return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(raw)} if raw.strip() else {}
+
+
+def _around(tag: str, found: dict[str, str], within_article: bool, forms: bool) -> bool:
+    """Is this element no part of an article, by what it is?"""
+    if tag in AROUND and (forms or tag not in ("form", "fieldset")) or tag == "header" and not within_article:
         return True
-    if not attributes.strip():
-        return False
-    found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
     if "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower():
         return True
-    if found.get("role", "").lower() in AROUND_ROLES:
-        return True
-    if not words or tag in ("html", "body", "main"):
-        return False
-    names = re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{found.get('class', '')} {found.get('id', '')}").lower()
-    labels = set(_LABEL.findall(names))
-    return bool(labels & ({"comment", "comments", "reply"} if tag == "article" else AROUND_WORDS))
+    role = found.get("role", "").lower()
+    return role in AROUND_ROLES and (forms or role != "form")
 
 
-def blocks(page: str, words: bool = True) -> tuple[list[Block], list[tuple[str, int]]]:
-    """The page's text blocks in order, and each block element's ``(tag, parent)``; inline tags don't part text."""
-    elements: list[tuple[str, int]] = [("", -1)]
-    stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]  # tag, number, around, within an article
+def read(page: str, forms: bool = True) -> Page:
+    """The page's text blocks; inline tags don't part text. Linear in the page, however deep its elements nest."""
+    tags, parents, last = [""], [-1], [0]
+    paths: dict[tuple[int, str], int] = {}
+    prior = [1.0]
+    # tag, element, path, surroundings, within an article
+    stack: list[tuple[str, int, int, bool, bool]] = [("", 0, 0, False, False)]
+    open_: dict[str, int] = {}
     out: list[Block] = []
     pieces: list[str] = []
     links = linked = 0
@@ -76,8 +116,9 @@ def blocks(page: str, words: bool = True) -> tuple[list[Block], list[tuple[str,
     def flush() -> None:
         nonlocal linked
         text = " ".join("".join(pieces).split())
-        if text:
-            out.append(Block("/".join(s[0] for s in stack[1:]), text, linked, tuple(s[1] for s in stack), stack[-1][2]))
+        tag, element, path, around, _ = stack[-1]
+        if text and not around:
+            out.append(Block(path, tag, text, min(linked, len(text)), element))
         pieces.clear()
         linked = 0
 
@@ -88,9 +129,15 @@ def blocks(page: str, words: bool = True) -> tuple[list[Block], list[tuple[str,
         if links:
             linked += len(text)
 
-    at, end, last = 0, len(page), page.rfind(">")
+    def pop() -> str:
+        tag, element, *_ = stack.pop()
+        last[element] = len(tags) - 1
+        open_[tag] -= 1
+        return tag
+
+    at, end, final = 0, len(page), page.rfind(">")
     while at < end:
-        if at > last:  # no tag ends here any more; only a comment can still open
+        if at > final:  # no tag ends here any more; only a comment can still open
             say(page[at:].partition("<!--")[0])
             break
         m = _TOKEN.search(page, at)
@@ -118,25 +165,42 @@ def blocks(page: str, words: bool = True) -> tuple[list[Block], list[tuple[str,
         if tag not in BLOCKS:
             continue
         flush()
-        names = [s[0] for s in stack]
         if closing:
-            if tag in names:
-                del stack[len(names) - 1 - names[::-1].index(tag) :]
+            if open_.get(tag):
+                while pop() != tag:
+                    pass
                 links = 0
             continue
         if tag not in ("html", "body"):
-            ends = CLOSES.get(tag, set()) | {"p"}
+            ends, keep = CLOSES.get(tag, set()) | {"p"}, len(stack)
             for k in range(len(stack) - 1, 0, -1):
-                if names[k] in ends:
-                    del stack[k:]
-                    names = names[:k]
-                elif names[k] in LISTS or names[k] not in HEADINGS and names[k] not in ("p",):
+                name = stack[k][0]
+                if name in ends:
+                    keep = k
+                elif name not in HEADINGS:
                     break
-        elements.append((tag, stack[-1][1]))
-        above = stack[-1]
-        stack.append((tag, len(elements) - 1, above[2] or _around(tag, m[3], above[3], words), above[3] or tag in ("article", "main")))
+            while len(stack) > keep:
+                pop()
+        _, above, path, around, inside = stack[-1]
+        found = _attributes(m[3])
+        kind = " ".join(sorted(re.sub(r"[0-9]+", "0", found.get("class", "")).split()))
+        key = (path, f"{tag}.{kind}")
+        named = 1.0 if tag in HEADINGS or tag in ("html", "body", "main") or not found else _names(found)
+        if key not in paths:
+            paths[key] = len(prior)
+            prior.append(prior[path] * named)
+        else:
+            prior[paths[key]] = min(prior[paths[key]], prior[path] * named)
+        tags.append(tag)
+        parents.append(above)
+        last.append(0)
+        open_[tag] = open_.get(tag, 0) + 1
+        stack.append((tag, len(tags) - 1, paths[key], around or _around(tag, found, inside, forms), inside or tag in ("article", "main")))
     flush()
-    return out, elements
+    while len(stack) > 1:
+        pop()
+    last[0] = len(tags) - 1
+    return Page(out, tags, parents, last, prior)
 
 
 def _smooth(values: np.ndarray, radius: int = 2) -> np.ndarray:
@@ -146,73 +210,77 @@ def _smooth(values: np.ndarray, radius: int = 2) -> np.ndarray:
     return values if weight is None else np.convolve(values, kernel, "same") / weight
 
 
-def main_text(page: str | None) -> str:
+def _root(page: Page, own: list[Block], weight: np.ndarray) -> int:
+    """The article's element: of article elements (else of main ones) the outermost with most weight, else the lowest with 80 % of it."""
+    held = np.zeros(len(page.tags))
+    np.add.at(held, [b.element for b in own], weight)
+    whole = held.copy()
+    for e in range(len(held) - 1, 0, -1):  # children have higher numbers
+        whole[page.parents[e]] += whole[e]
+    for tag in ("article", "main"):
+        some = [e for e, t in enumerate(page.tags) if t == tag and whole[e] > 0]
+        if some:
+            return max(some, key=lambda e: (whole[e], -e))
+    return max((e for e in range(len(held)) if whole[e] >= 0.8 * whole[0]), default=0)
+
+
+def main_text(html: str | None) -> str:
     """The article's blocks, joined by line feeds.
 
-    Blocks with one root-to-leaf path of tags are seen together: text length and punctuation per block of the
-    path (text within links doesn't count) are given to each of the path's blocks, smoothed along the page and
-    fused by multiplication; paths above the page's mean are content. The element that holds most of their
-    text (an article or main element around it, if there is one) is the article, and all its blocks belong to it
-    but those of menus, forms, comments and other surroundings, which are told by element, role or name.
+    Blocks with one root-to-leaf path of tags (and classes) are seen together: text length and punctuation per
+    block of the path are fused; text within links counts against a path, and so does a name that tells
+    surroundings. Running text (paragraphs, items, cells) has part of what the best running text of the article's element
+    has, and texts outside that element lose most. Levels are smoothed along the page and fused with
+    that; paths whose mean level reaches a share of the page's mean (by text length) are content, and all their
+    blocks belong to the text. A heading belongs to it if what comes next does. Menus, forms, footers
+    and the like are no candidates by what their elements are.
     """
-    found, elements = blocks(page or "")
-    own = [b for b in found if not b.around]
-    if not own:
-        found, elements = blocks(page or "", words=False)
-        own = [b for b in found if not b.around]
+    page = read(html or "")
+    if not page.blocks:
+        page = read(html or "", forms=False)  # pages that are one form
+    own = [b for b in page.blocks if b.tag not in HEADINGS]
     if not own:
-        return ""
-    paths = sorted({b.path for b in own})
-    number = {p: i for i, p in enumerate(paths)}
-    of = np.array([number[b.path] for b in own])
-    nodes = np.bincount(of)
-    length = np.bincount(of, [max(0, len(b.text) - b.linked) for b in own]) / nodes
-    marks = np.bincount(of, [0 if b.linked * 2 > len(b.text) else len(PUNCTUATION.findall(b.text)) for b in own]) / nodes
-    fused = _smooth(np.log1p(length)[of]) * _smooth(np.log1p(marks)[of] + 0.1)
+        return "\n".join(b.text for b in page.blocks)
+    _, of = np.unique([b.path for b in own], return_inverse=True)
+    size, linked = np.array([len(b.text) for b in own], float), np.array([b.linked for b in own], float)
+    marks = np.array([len(PUNCTUATION.findall(b.text)) for b in own], float)
+    nodes, total = np.bincount(of), np.bincount(of, size)
+    free = (1 - np.bincount(of, linked) / total) ** 2
+    ratio = np.log1p(np.bincount(of, size - linked) / nodes) * (1 + np.log1p(np.bincount(of, marks) / nodes))
+    prior = np.array([page.prior[b.path] for b in own])
+    root = _root(page, own, (ratio * free)[of] * prior * size)
+    inside = np.array([root <= b.element <= page.last[root] for b in own])
+    running = np.array([b.tag in TEXT for b in own])
+    value = ratio[of] * free[of] * prior
+    best = value[running & inside].max(initial=0.0)
+    value = np.where(running & inside, np.maximum(value, COMPANY * best * free[of] * prior), value) * np.where(inside, 1.0, OUTSIDE)
+    fused = value**OWN * _smooth(value) ** (1 - OWN)
     level = np.bincount(of, fused) / nodes
-    content = {p for p, x in zip(paths, level, strict=True) if x >= fused.mean() or len(paths) == 1}
-    # how much content text each element holds directly or through list items, cells and headings
-    held: dict[int, int] = {}
-    for b in own:
-        if b.path in content:
-            holder = b.chain[-2] if len(b.chain) > 1 and elements[b.chain[-1]][0] in ("p", "pre", "blockquote", *HEADINGS) else b.chain[-1]
-            held[holder] = held.get(holder, 0) + max(1, len(b.text) - b.linked)
-    best = max(sorted(held), key=lambda e: held[e])
-    up = [best]
-    while elements[up[-1]][1] >= 0:
-        up.append(elements[up[-1]][1])
-    root = next((e for e in reversed(up) if elements[e][0] == "article"), None) or next((e for e in up if elements[e][0] == "main"), None)
-    if root is None:
-        root = best
-        whole = sum(held.values())
-        # climb while the element holds less than most of the content that path ratios chose
-        inside = lambda e: sum(n for h, n in held.items() if e in _ancestry(h, elements))
-        while inside(root) < 0.8 * whole and elements[root][1] >= 0:
-            root = elements[root][1]
-        return "\n".join(b.text for b in own if root in b.chain and (b.path in content or elements[b.chain[-1]][0] in HEADINGS or b.chain[-1] == best or best in b.chain))
-    return "\n".join(b.text for b in own if root in b.chain)
-
-
-def _ancestry(e: int, elements: list[tuple[str, int]]) -> set[int]:
-    out = set()
-    while e >= 0:
-        out.add(e)
-        e = elements[e][1]
-    return out
+    content = level[of] >= LEAST * np.average(level[of], weights=size)
+    kept = {id(b) for b, x in zip(own, content, strict=True) if x}
+    out: list[str] = []
+    follows = False
+    for b in reversed(page.blocks):
+        if b.tag not in HEADINGS:
+            follows = id(b) in kept
+        if follows:
+            out.append(b.text)
+    return "\n".join(reversed(out))
 
 
 def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``page_id, url, text, n_chars`` for every row of ``pages``; one pass, no shuffle.
 
     Null and empty pages have the empty text; a page without tags is one block; unclosed elements and comments
-    reach to the end of what holds them; repeated rows are each extracted; nothing is cut off; an empty
-    table gives an empty table.
+    reach to the end of what holds them; elements may nest as deep as they like, time and memory grow with the
+    page's length only; repeated rows are each extracted; a null id or url stays null; other columns are not
+    read, whatever their names; an empty table gives an empty table.
     """
     types = {f.name: f.dataType.simpleString() for f in pages.schema.fields}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(h) for h in batch.column(2).to_pylist()]
+            texts = [main_text(h.as_py()) for h in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return pages.select(id_col, url_col, html_col).mapInArrow(run, f"page_id {types[id_col]}, url {types[url_col]}, text string, n_chars long")
