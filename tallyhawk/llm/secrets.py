@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyhawk.llm.common import slices
 from tallyhawk.plans.session import cut
 
 # Fixed values of the base findings: pattern, group that is measured, least length.
@@ -23,11 +25,8 @@ BASE = (
 ORDER = {"assign": 0, "access": 1, "hex": 2, "model": 3}
 _WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _LONG_HEX = re.compile(r"[0-9a-f]{16,}")
-#: What the network looks at: runs of 12 and more characters of keys and tokens that hold a digit, or that mix
-#: cases over 20 and more.
+#: What the network looks at: every run of 12 and more characters of keys and tokens.
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{12,}")
-_DIGIT = re.compile(r"[0-9]")
-_MIXED = re.compile(r"[a-z][A-Z].*[a-z][A-Z]|[A-Z]{2}[a-z].*[a-z][A-Z]")
 
 Span = tuple[str, int, int]
 
@@ -47,36 +46,71 @@ def base_spans(text: str) -> list[Span]:
 
 
 def candidates(text: str) -> list[tuple[int, int]]:
-    return [m.span() for m in _CANDIDATE.finditer(text) if _DIGIT.search(v := m[0]) or len(v) >= 20 and _MIXED.search(v)]
+    return [m.span() for m in _CANDIDATE.finditer(text)]
 
 
-LEFT, VALUE, RIGHT = 24, 48, 8
-WIDTH = LEFT + VALUE + RIGHT
-_CLASSES = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789 \n\"':=+/_.-"
-_CODE = np.full(256, len(_CLASSES) + 1, dtype=np.uint8)
+#: Characters of context on either side; a value is seen whole, in pieces of PIECE that overlap by what a filter spans.
+LEFT, RIGHT, PIECE, OVERLAP = 24, 10, 52, 4
+#: Values beyond this are found like all others but not learnt from.
+LEARNT = 4_096
+_CLASSES = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789 \n\"':=+/_.-,;()<>@#$&*?!%[]{}|\\~^`\t"
+_CODE = np.full(128, len(_CLASSES) + 1, dtype=np.uint8)
 _CODE[[ord(c) for c in _CLASSES]] = np.arange(1, len(_CLASSES) + 1)
-N_CODES = len(_CLASSES) + 2
+_CODE[0] = 0
+_CAPITAL, _LETTER, _OTHER = range(len(_CLASSES) + 2, len(_CLASSES) + 5)
+N_CODES = len(_CLASSES) + 5
 
 
-def window(text: str, start: int, end: int) -> bytes:
-    """Left context, value and right context at fixed places, as character classes (0: nothing there).
+def encode(strings: list[str]) -> np.ndarray:
+    """Character classes: ASCII characters for themselves, beyond ASCII capitals, other letters and all else; 0 is nothing."""
+    at = np.frombuffer("".join(strings).encode("utf-32-le", "surrogatepass"), "<u4")
+    out = _CODE[np.minimum(at, 127)].copy()
+    far = at > 127
+    if far.any():
+        known, inverse = np.unique(at[far], return_inverse=True)
+        kind = [_CAPITAL if (c := chr(u)).isupper() else _LETTER if c.isalpha() else _OTHER for u in known.tolist()]
+        out[far] = np.array(kind, dtype=np.uint8)[inverse]
+    return out
 
-    A value that is longer than its place is shown by its head and its tail.
-    """
-    value = text[start:end] if end - start <= VALUE else text[start : start + VALUE // 2] + text[end - VALUE // 2 : end]
-    parts = ((text[max(0, start - LEFT) : start], LEFT, True), (value, VALUE, False), (text[end : end + RIGHT], RIGHT, False))
-    return b"".join(
-        _CODE[np.frombuffer(s.encode("latin-1", "replace"), np.uint8)].tobytes().rjust(n, b"\0") if at_end else _CODE[np.frombuffer(s.encode("latin-1", "replace"), np.uint8)].tobytes().ljust(n, b"\0")
-        for s, n, at_end in parts
-    )
+
+@dataclass
+class Seen:
+    """Candidates as the network sees them: contexts, pieces of values and where each candidate's begin, lengths."""
+
+    context: np.ndarray
+    pieces: np.ndarray
+    first: np.ndarray
+    length: np.ndarray
+
+    @classmethod
+    def of(cls, rows: list[tuple[str, str, str]]) -> Seen:
+        """From what stands before, the value, and what stands after."""
+        context = [(b[-LEFT:] if b else "").rjust(LEFT, "\0") + a[:RIGHT].ljust(RIGHT, "\0") for b, _, a in rows]
+        pieces: list[str] = []
+        first = []
+        step = PIECE - OVERLAP
+        for _, v, _ in rows:
+            first.append(len(pieces))
+            pieces += [v[k : k + PIECE].ljust(PIECE, "\0") for k in range(0, max(1, len(v) - OVERLAP), step)]
+        return cls(encode(context).reshape(-1, LEFT + RIGHT), encode(pieces).reshape(-1, PIECE), np.array(first, dtype=np.int64), np.log2([max(1, len(v)) for _, v, _ in rows]) - 5)
+
+    def take(self, at: np.ndarray) -> Seen:
+        n = np.append(self.first[1:], len(self.pieces)) - self.first
+        size = n[at]
+        first = np.cumsum(size) - size
+        rows = np.repeat(self.first[at] - first, size) + np.arange(int(size.sum()))
+        return Seen(self.context[at], self.pieces[rows], first, self.length[at])
+
+    def __len__(self) -> int:
+        return len(self.first)
 
 
 @dataclass
 class CharNet:
-    """Embedding, one convolution, maxima over the context and over the value, one hidden layer, one output.
+    """Embedding, one convolution, maxima over the context and over the whole value, one hidden layer, one output.
 
     ``platt`` turns the output into a probability; ``threshold`` is the greatest that keeps the recall asked
-    for on findings that training did not see, one half at least; ``recall`` is what it reaches on them.
+    for on labelled findings that training did not see; ``recall`` is what it reaches on them.
     """
 
     params: dict[str, np.ndarray]
@@ -85,55 +119,57 @@ class CharNet:
     recall: float = 0.0
 
     @classmethod
-    def new(cls, seed: int = 7, dim: int = 8, filters: int = 24, span: int = 5, hidden: int = 16) -> CharNet:
+    def new(cls, seed: int = 7, dim: int = 8, filters: int = 24, span: int = OVERLAP + 1, hidden: int = 24) -> CharNet:
         rng = np.random.default_rng(seed)
-        shape = {"emb": (N_CODES, dim), "conv": (span * dim, filters), "conv_b": (filters,), "hid": (2 * filters, hidden), "hid_b": (hidden,), "out": (hidden, 1), "out_b": (1,)}
-        return cls({k: rng.normal(0, 0.3 if k == "emb" else np.sqrt(2 / s[0]), s) * (not k.endswith("_b")) for k, s in shape.items()})
+        shape = {"emb": (N_CODES, dim), "conv": (span * dim, filters), "conv_b": (filters,), "hid": (2 * filters + 1, hidden), "hid_b": (hidden,), "out": (hidden, 1), "out_b": (1,)}
+        return cls({k: (rng.normal(0, 0.3 if k == "emb" else np.sqrt(2 / s[0]), s) * (not k.endswith("_b"))).astype(np.float32) for k, s in shape.items()})
 
-    def forward(self, x: np.ndarray) -> tuple[np.ndarray, tuple]:
+    def _convolve(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         p = self.params
         span = len(p["conv"]) // p["emb"].shape[1]
-        e = p["emb"][x]
-        cols = np.lib.stride_tricks.sliding_window_view(e, span, axis=1).transpose(0, 1, 3, 2).reshape(len(x), WIDTH - span + 1, -1)
-        c = np.maximum(cols @ p["conv"] + p["conv_b"], 0)
-        regions = (slice(0, LEFT), slice(LEFT, LEFT + VALUE))  # a filter that starts in the value may reach past it
-        tops = [c[:, r].argmax(1) + r.start for r in regions]
-        pooled = np.concatenate([np.take_along_axis(c, t[:, None], 1)[:, 0] for t in tops], 1)
+        cols = np.lib.stride_tricks.sliding_window_view(p["emb"][x], span, axis=1).transpose(0, 1, 3, 2).reshape(len(x), x.shape[1] - span + 1, -1)
+        return cols, np.maximum(cols @ p["conv"] + p["conv_b"], 0)
+
+    def forward(self, x: Seen) -> tuple[np.ndarray, tuple]:
+        p = self.params
+        near, value = self._convolve(x.context), self._convolve(x.pieces)
+        tops = near[1].max(1), np.maximum.reduceat(value[1].max(1), x.first, axis=0)
+        pooled = np.concatenate([*tops, x.length[:, None].astype(np.float32)], 1)
         h = np.maximum(pooled @ p["hid"] + p["hid_b"], 0)
-        return (h @ p["out"] + p["out_b"])[:, 0], (x, cols, tops, pooled, h)
+        return (h @ p["out"] + p["out_b"])[:, 0], (near, value, tops, pooled, h)
 
-    def gradients(self, x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+    def gradients(self, x: Seen, y: np.ndarray) -> dict[str, np.ndarray]:
         p = self.params
-        logit, (x, cols, tops, pooled, h) = self.forward(x)
-        d = ((1 / (1 + np.exp(-logit)) - y) / len(y))[:, None]
+        logit, (near, value, tops, pooled, h) = self.forward(x)
+        d = ((1 / (1 + np.exp(-logit)) - y) / len(y))[:, None].astype(np.float32)
         g = {"out": h.T @ d, "out_b": d.sum(0)}
         dh = (d @ p["out"].T) * (h > 0)
         g |= {"hid": pooled.T @ dh, "hid_b": dh.sum(0)}
         dp = (dh @ p["hid"].T) * (pooled > 0)
         filters = p["conv"].shape[1]
-        dc = np.zeros((len(x), cols.shape[1], filters))
-        rows, f = np.arange(len(x))[:, None], np.arange(filters)[None]
-        for k, t in enumerate(tops):
-            dc[rows, t, f] += dp[:, k * filters : (k + 1) * filters]
-        g |= {"conv": np.tensordot(cols, dc, ((0, 1), (0, 1))), "conv_b": dc.sum((0, 1))}
-        de = (dc @ p["conv"].T).reshape(len(x), cols.shape[1], -1, p["emb"].shape[1])
-        g["emb"] = np.zeros_like(p["emb"])
-        for k in range(de.shape[2]):
-            np.add.at(g["emb"], x[:, k : k + cols.shape[1]], de[:, :, k])
+        owner = np.repeat(np.arange(len(x)), np.diff(np.append(x.first, len(x.pieces))))
+        g |= {"conv": 0.0, "conv_b": 0.0, "emb": np.zeros_like(p["emb"])}
+        for (cols, c), top, share, codes, of in ((near, tops[0], dp[:, :filters], x.context, np.arange(len(x))), (value, tops[1], dp[:, filters:-1], x.pieces, owner)):
+            dc = (c == top[of][:, None]) * share[of][:, None]  # a maximum takes the gradient wherever it stands
+            g["conv"] = g["conv"] + np.tensordot(cols, dc, ((0, 1), (0, 1)))
+            g["conv_b"] = g["conv_b"] + dc.sum((0, 1))
+            de = (dc @ p["conv"].T).reshape(len(codes), cols.shape[1], -1, p["emb"].shape[1])
+            for k in range(de.shape[2]):
+                np.add.at(g["emb"], codes[:, k : k + cols.shape[1]], de[:, :, k])
         return g
 
-    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 6, batch: int = 64, rate: float = 0.01, seed: int = 7) -> None:
+    def fit(self, x: Seen, y: np.ndarray, epochs: int = 10, batch: int = 64, rate: float = 0.01, seed: int = 7) -> None:
         rng = np.random.default_rng(seed)
         m, v, step = {k: 0 * a for k, a in self.params.items()}, {k: 0 * a for k, a in self.params.items()}, 0
-        for _ in range(epochs):
-            order = rng.permutation(len(x))
+        for epoch in range(epochs):
+            order, pace = rng.permutation(len(x)), rate * (1 - epoch / epochs)
             for i in range(0, len(x), batch):
                 rows, step = order[i : i + batch], step + 1
-                for k, g in self.gradients(x[rows], y[rows]).items():
+                for k, g in self.gradients(x.take(rows), y[rows]).items():
                     m[k], v[k] = 0.9 * m[k] + 0.1 * g, 0.999 * v[k] + 0.001 * g * g
-                    self.params[k] = self.params[k] - rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
+                    self.params[k] = self.params[k] - pace * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
 
-    def calibrate(self, x: np.ndarray, y: np.ndarray, recall: float) -> None:
+    def calibrate(self, x: Seen, y: np.ndarray, recall: float) -> None:
         logit = self.forward(x)[0]
         a, b = 1.0, 0.0
         for _ in range(300):  # Platt scaling by gradient steps
@@ -141,65 +177,136 @@ class CharNet:
             a, b = a - 0.5 * float(np.mean(e * logit)) / max(1.0, float(np.mean(logit * logit))), b - 0.5 * float(np.mean(e))
         self.platt = (a, b)
         hits = np.sort(self.probability(x)[y > 0])[::-1]
-        at = max(0.5, float(hits[min(len(hits) - 1, int(np.ceil(recall * len(hits))) - 1)])) if len(hits) else 2.0
+        at = float(hits[min(len(hits) - 1, int(np.ceil(recall * len(hits))) - 1)]) if len(hits) else 2.0
         self.threshold, self.recall = at, float(np.mean(hits >= at)) if len(hits) else 0.0
 
-    def probability(self, x: np.ndarray) -> np.ndarray:
+    def probability(self, x: Seen) -> np.ndarray:
         a, b = self.platt
         return 1 / (1 + np.exp(-np.clip(a * self.forward(x)[0] + b, -35, 35)))
 
 
-def _stack(windows: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(windows), np.uint8).reshape(-1, WIDTH)
+def _parts(text: str, start: int, end: int) -> tuple[str, str, str]:
+    return text[max(0, start - LEFT) : start], text[start:end], text[end : end + RIGHT]
+
+
+def looks_random(value: str) -> bool:
+    """Letters and digits change often: in an unlabelled value that may be a secret, so it is no example of a plain one."""
+    kinds = "".join("d" if c.isdigit() else "a" if c.isalpha() else "" for c in value)
+    return len(kinds) >= 16 and sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) >= 4
+
+
+#: Labels by rule: forms of secrets that the patterns do not know, with what may stand before them, and forms that
+#: are long but no secrets. ``n`` gives a number below its argument.
+def _drawn(n: Callable[[int], int], letters: str, least: int, most: int) -> str:
+    return "".join(letters[n(len(letters))] for _ in range(least + n(most - least + 1)))
+
+
+_LOW, _UP, _DIG = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+_LEADS = ("key = ", "Bearer ", "auth: ", '"credential": "', "export SESSION=", "pw: ", "://user:", "sig=", "--key ", "X-Auth: ", "private ", "license ", "", " ", "\n", "(")
+
+
+def secret_form(n: Callable[[int], int]) -> str:
+    """A made-up secret of one of several forms."""
+    match n(7):
+        case 0:
+            return _drawn(n, _LOW + _UP + _DIG, 20, 48)
+        case 1:
+            return _drawn(n, _LOW + _UP + _DIG + "+/", 22, 86) + "=" * n(3)
+        case 2:
+            return _drawn(n, _DIG + "ABCDEF", 24, 64)
+        case 3:
+            return _drawn(n, _LOW, 2, 4) + "_-"[n(2)] + _drawn(n, _LOW + _UP + _DIG, 20, 40)
+        case 4:
+            return ".".join(_drawn(n, _LOW + _UP + _DIG + "_-", 18, 40) for _ in range(3))
+        case 5:
+            return _drawn(n, _LOW + _DIG, 20, 40)
+        case _:
+            return "-".join(_drawn(n, _LOW[:6] + _DIG, k, k) for k in (8, 4, 4, 4, 12))
+
+
+def plain_form(n: Callable[[int], int]) -> str:
+    """A made-up long run that is no secret."""
+    word = lambda: _drawn(n, "aeiou", 1, 1) + _drawn(n, _LOW, 2, 8)
+    match n(10):
+        case 9:
+            return (word() + _drawn(n, _LOW, 10, 16)).upper()
+        case 0:
+            return ".".join(str(n(256)) for _ in range(4)).ljust(12, "0")
+        case 1:
+            return f"{word()}.{word()}{n(100)}.example.com"
+        case 2:
+            return "/".join(word() for _ in range(3 + n(3)))
+        case 3:
+            return f"20{n(10)}{n(10)}-{1 + n(9):02d}-{1 + n(28):02d}T{n(24):02d}"
+        case 4:
+            return _drawn(n, _DIG, 12, 20)
+        case 5:
+            return "_".join(word() for _ in range(2 + n(3)))
+        case 6:
+            return "".join(word().capitalize() for _ in range(2 + n(3)))
+        case 7:
+            return f"{word()}-{n(20)}.{n(20)}.{n(20)}-{word()}"
+        case _:
+            return word() + _drawn(n, _LOW, 10, 16)
 
 
 def train(
-    docs: DataFrame, *, text_col: str = "text", per_label: int = 3_000, recall: float = 0.98
+    docs: DataFrame, *, text_col: str = "text", per_label: int = 3_000, made: int = 3_000, recall: float = 0.98
 ) -> CharNet | None:
-    """A network learnt from labelled findings: candidates that a base finding covers, against all others.
-
-    All documents are looked at, so rare secrets are found in however large a corpus. Bound: the ``per_label``
-    different candidates of either label with the least hashes leave each task and are fetched. Half of the positives also enter with the left context of
-    a negative, so that values count without a tell-tale word. A fourth of the rows is kept for calibration.
-    None if either label is missing.
+    """A network learnt from labelled findings.
+
+    Labels: candidates that a base finding covers are secrets; all others that do not look random are none (a
+    value that looks random may be a secret that no pattern knows). All documents are looked at, so rare secrets
+    are found in however large a corpus. Bound: of either label, and of plain words and other plain values, the
+    ``per_label`` different candidates with the least hashes leave each task and are fetched. To these come
+    ``made`` secrets and as many plain values of forms that the patterns do not know, before and after which
+    stands what stands around plain candidates of the corpus, and a copy of each real secret with such a
+    context, so that values count without a tell-tale word. A fourth of all that is kept for calibration.
+    None if the documents hold no secret or no plain candidate.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        best: list[dict[bytes, int]] = [{}, {}]
+        best: list[dict[tuple[str, str, str], int]] = [{}, {}, {}]
 
-        def least(of: dict[bytes, int]) -> dict[bytes, int]:
+        def least(of: dict) -> dict:
             return dict(sorted(of.items(), key=lambda r: (r[1], r[0]))[:per_label])
 
         for batch in batches:
-            for text in batch.column("t").to_pylist():
-                if text and (found := candidates(text)):
+            for text in batch.column("t"):
+                if (text := text.as_py()) and (found := candidates(text)):
                     base = base_spans(text)
                     for s, e in found:
-                        w = window(text, s, e)
-                        best[any(s < b and a < e for _, a, b in base)][w] = (xxhash.xxh64_intdigest(w, 42) + (1 << 63)) % (1 << 64)  # in the order of Spark's signed hash
-            best = [least(x) if len(x) > 4 * per_label else x for x in best]
-        for y, x in enumerate(best):
-            w = list(least(x))
-            yield pa.RecordBatch.from_arrays([pa.array(w, pa.binary()), pa.array([y] * len(w), pa.int32())], ["w", "y"])
-
-    found = cut(docs.select(F.col(text_col).alias("t")).mapInArrow(run, "w binary, y int").distinct().withColumn("h", F.xxhash64("w")))
-    rows = [r for y in (0, 1) for r in found.where(F.col("y") == y).orderBy("h", "w").limit(per_label).collect()]
-    y = np.array([r["y"] for r in rows], dtype=float)
-    if not rows or y.min() == y.max():
+                        covered = any(s < b and a < e for _, a, b in base)
+                        if e - s <= LEARNT and (covered or not looks_random(text[s:e])):
+                            w = _parts(text, s, e)
+                            best[1 if covered else 0 if w[1].strip(".-=_/+").isalpha() else 2][w] = xxhash.xxh64_intdigest("\0".join(w).encode("utf-8", "surrogatepass"), 42) >> 1
+                    best = [least(x) if len(x) > 4 * per_label else x for x in best]
+        for y, x in enumerate(map(least, best)):
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in x], pa.string()) for k in range(3)] + [pa.array([y] * len(x), pa.int32()), pa.array(list(x.values()), pa.int64())], ["b", "v", "a", "y", "h"])
+
+    found = cut(docs.select(F.col(text_col).alias("t")).mapInArrow(run, "b string, v string, a string, y int, h long").distinct())
+    rows = [tuple(r) for y in (0, 1, 2) for r in found.where(F.col("y") == y).orderBy("h", "v", "b", "a").limit(per_label).collect()]
+    secret, plain = [r[:3] for r in rows if r[3] == 1], [r[:3] for r in rows if r[3] != 1]
+    if not secret or not plain:
         return None
-    x = _stack([bytes(r["w"]) for r in rows])
-    late = np.array([r["h"] % 4 == 0 for r in rows])
-    if not (y[late] > 0).any():
-        late = np.ones(len(y), dtype=bool)
     rng = np.random.default_rng(7)
-    tx, ty = x[~late] if (~late & (y > 0)).any() else x, y[~late] if (~late & (y > 0)).any() else y
-    plain = tx[ty > 0].copy()[::2]
-    plain[:, :LEFT] = tx[ty == 0][rng.integers(0, max(1, int((ty == 0).sum())), len(plain)), :LEFT]
+    n = lambda k: int(rng.integers(k))
+    around = lambda: plain[n(len(plain))]
+    masked = [((c := around())[0], v, c[2]) for _, v, _ in secret]
+    new = [((c := around())[0] + (_LEADS[n(len(_LEADS))] if n(2) else ""), secret_form(n), c[2]) for _ in range(made)]
+    usual = [((c := around())[0], plain_form(n), c[2]) for _ in range(made)]
+    everything = secret + masked + new + plain + usual
+    y = np.array([1.0] * (len(secret) + len(masked) + len(new)) + [0.0] * (len(plain) + len(usual)))
+    x = Seen.of(everything)
+    late = rng.random(len(y)) < 0.25
+    if not (y[late] > 0).any() or not (y[~late] > 0).any():
+        late = np.ones(len(y), dtype=bool)
     net = CharNet.new()
-    net.fit(np.concatenate([tx, plain]), np.concatenate([ty, np.ones(len(plain))]))
-    net.calibrate(x[late], y[late], recall)
+    taught = np.flatnonzero(~late) if not late.all() else np.arange(len(y))
+    net.fit(x.take(taught), y[taught])
+    net.calibrate(x.take(np.flatnonzero(late)), y[late], recall)
     return net
 
 
@@ -207,27 +314,43 @@ def joined(spans: list[Span]) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e in sorted(spans, key=lambda s: (s[1], ORDER[s[0]])))
 
 
-def find(texts: list[str], net: CharNet | None) -> list[tuple[list[Span], list[Span]]]:
-    """Base spans and added spans of each text. Added ones overlap no base span."""
+def find(texts: list[str], net: CharNet | None) -> list[tuple[list[Span], list[Span], int]]:
+    """Of each text the base spans, added spans, and how many candidates of base spans the network finds too.
+
+    Every candidate is judged, whole. Added spans overlap no base span.
+    """
     base = [base_spans(t) for t in texts]
-    left = [(i, s, e) for i, t in enumerate(texts) for s, e in candidates(t) if not any(s < b and a < e for _, a, b in base[i])] if net else []
+    all_ = [(i, s, e) for i, t in enumerate(texts) for s, e in candidates(t)] if net else []
     more: list[list[Span]] = [[] for _ in texts]
-    for k in range(0, len(left), 512):
-        part = left[k : k + 512]
-        for (i, s, e), p in zip(part, net.probability(_stack([window(texts[i], s, e) for i, s, e in part])), strict=True):
+    agreed = [0] * len(texts)
+    for lo, hi in slices([1 + (e - s) // PIECE for _, s, e in all_], 512):
+        part = all_[lo:hi]
+        for (i, s, e), p in zip(part, net.probability(Seen.of([_parts(texts[i], s, e) for i, s, e in part])), strict=True):
             if p >= net.threshold:
-                more[i].append(("model", s, e))
-    return list(zip(base, more, strict=True))
+                if any(s < b and a < e for _, a, b in base[i]):
+                    agreed[i] += 1
+                else:
+                    more[i].append(("model", s, e))
+    return list(zip(base, more, agreed, strict=True))
+
+
+def in_parts(texts: pa.Array, net: CharNet | None) -> list[tuple[list[Span], list[Span], int]]:
+    texts = pc.fill_null(texts, "")
+    return [x for a, b in slices(pc.utf8_length(texts).to_pylist(), 1_000_000) for x in find(texts.slice(a, b - a).to_pylist(), net)]
 
 
 def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", net: CharNet | None = None, redact: bool = False) -> DataFrame:
-    """Secrets of every row of ``docs``: ``doc_id``, counts by kind, ``base_sha256`` and ``spans``.
+    """Secrets of every row of ``docs``: ``doc_id``, counts by kind, ``base_sha256``, ``spans``, ``n_model`` and ``n_agreed``.
+
+    ``spans`` are the base's and those that the network adds; ``n_agreed`` counts candidates of base spans that
+    it finds as well.
 
     With ``redact`` the result is ``docs`` itself with the found spans of the text replaced by
     ``[SECRET:kind]`` (overlapping spans as one, named by the first) and ``n_chars``, if there, counted anew.
     ``net`` is learnt from ``docs`` when not given. One pass without a shuffle after training. A null or empty
-    text has no spans (and stays null when redacting); repeated rows are scanned each; an empty table gives an
-    empty table.
+    text has no spans (and stays null when redacting); a very long text, and a value of any length in it, is
+    scanned whole; repeated rows are scanned each; columns other than the two named are not read (and kept as
+    they are, whatever their names, when redacting); an empty table gives an empty table.
     """
     net = net or train(docs, text_col=text_col)
     held = docs.sparkSession.sparkContext.broadcast(net)
@@ -237,7 +360,7 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", net
         def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 texts = batch.column(text_col).to_pylist()
-                out = [t if t is None else redacted(t, [*b, *m]) for t, (b, m) in zip(texts, find([t or "" for t in texts], held.value), strict=True)]
+                out = [t if t is None else redacted(t, [*b, *m]) for t, (b, m, _) in zip(texts, in_parts(batch.column(text_col), held.value), strict=True)]
                 cols = {n: batch.column(n) for n in names} | {text_col: pa.array(out, pa.string())}
                 if "n_chars" in names:
                     sizes = [n if t == u else len(t) for n, t, u in zip(batch.column("n_chars").to_pylist(), out, texts, strict=True)]
@@ -249,16 +372,16 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", net
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = find([t or "" for t in batch.column(1).to_pylist()], held.value)
-            count = lambda k: pa.array([sum(s[0] == k for s in b) for b, _ in found], pa.int64())
+            found = in_parts(batch.column(1), held.value)
+            count = lambda k: pa.array([sum(s[0] == k for s in b) for b, *_ in found], pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), count("assign"), count("access"), count("hex"), pa.array([hashlib.sha256(joined(b).encode()).hexdigest() for b, _ in found], pa.string()),
-                 pa.array([joined([*b, *m]) for b, m in found], pa.string()), pa.array([len(m) for _, m in found], pa.int64())],
-                ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_model"],
+                [batch.column(0), count("assign"), count("access"), count("hex"), pa.array([hashlib.sha256(joined(b).encode()).hexdigest() for b, *_ in found], pa.string()),
+                 pa.array([joined([*b, *m]) for b, m, _ in found], pa.string()), pa.array([len(m) for _, m, _ in found], pa.int64()), pa.array([n for *_, n in found], pa.int64())],
+                ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_model", "n_agreed"],
             )
 
     return docs.select(id_col, text_col).mapInArrow(
-        run, f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_model long"
+        run, f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_model long, n_agreed long"
     )
 
 
