@@ -42,7 +42,7 @@ def op7_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_near")
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
