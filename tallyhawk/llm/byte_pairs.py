@@ -4,35 +4,29 @@ from __future__ import annotations
 
 import json
 import os
-import re
 from functools import lru_cache
 
 import numpy as np
 
-from tallyhawk.llm.common import CACHE_ENTRIES
+from tallyhawk.llm.common import Memory
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Where a blank follows white space and is followed by white space or the end: there, cutting at single blanks
-#: would part one pre-token. Texts with rare white space or a special token's string go to the library whole.
-_RUN = re.compile(r"\s (?:\s|\Z)")
-_RARE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
+#: The characters that the library takes for white space (Unicode's White_Space; Python's own \s has four more).
+SPACE = r"\t\n\v\f\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 NONE = np.int64(1) << 40
 
 
 class Vocabulary:
-    """A tokenizers file with the merges as arrays, and per-worker memories of the pieces seen."""
+    """A tokenizers file with the merges as arrays. It holds no texts."""
 
     def __init__(self, path: str) -> None:
         import regex
         from public_tokenizers import PATTERN
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
-        self.special = [t["content"] for t in spec["added_tokens"]]
+        special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         pairs = [m.split(" ") if isinstance(m, str) else m for m in merges]
         keys = np.array([(vocab[a] << 20) | vocab[b] for a, b in pairs], dtype=np.int64)
         order = np.argsort(keys)
@@ -46,25 +40,22 @@ class Vocabulary:
         shift = iter(range(256, 512))
         letters = [chr(b) if chr(b) in visible and (33 <= b <= 126 or b >= 161) else chr(next(shift)) for b in range(256)]
         self.byte_ids = np.array([vocab[c] for c in letters], dtype=np.int64)
-        # the same vocabulary as ranks: encodes single pieces several times faster, with the same ids (tested)
+        # the same vocabulary as ranks: encodes whole texts several times faster, with the same ids (tested)
         import tiktoken
 
         raw = {c: b for b, c in enumerate(letters)}
-        ranks = {bytes(map(raw.__getitem__, t)): i for t, i in vocab.items() if t not in self.special}
-        self.fast = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.pattern = regex.compile(PATTERN)
-        self.counts: dict[str, int] = {}
-        self.ids: dict[str, bytes] = {}
-
-    def whole(self, text: str) -> bool:
-        """Must the library see this text in one go?"""
-        return bool(_RUN.search(text) or _RARE.search(text)) or any(s in text for s in self.special)
-
-    @staticmethod
-    def pieces(text: str) -> list[str]:
-        """The text cut before every blank: no pre-token crosses such a cut when ``whole`` is false."""
-        head, *rest = text.split(" ")
-        return [head, *[" " + w for w in rest]]
+        ranks = {bytes(map(raw.__getitem__, t)): i for t, i in vocab.items() if t not in special}
+        self.fast = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
+        own = PATTERN.replace(r"[^\s", f"[^{SPACE}").replace(r"\S", f"[^{SPACE}]").replace(r"\s", f"[{SPACE}]")
+        self.pattern = regex.compile(own)
+        self.special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
+
+    def pre_tokens(self, text: str) -> tuple[list[str], int]:
+        """The library's pre-tokens of a whole text, and how many special tokens stand between them."""
+        if self.special is None or not self.special.search(text):
+            return self.pattern.findall(text), 0
+        parts = self.special.split(text)
+        return [t for part in parts for t in self.pattern.findall(part)], len(parts) - 1
 
     def count_merged(self, tokens: list[bytes]) -> np.ndarray:
         """Symbols left in each pre-token after all merges: rank-synchronous, on ragged arrays.
@@ -100,38 +91,18 @@ class Vocabulary:
             symbols, live = symbols[keep], live[~done]
         return left
 
-    def token_counts(self, texts: list[str], block: int = 200_000) -> list[int]:
-        """Tokens of each text."""
-        known = self.counts
-        if len(known) > CACHE_ENTRIES:
-            known.clear()
-        cut = [None if self.whole(t) else self.pieces(t) for t in texts]
-        new = [p for p in {p for ps in cut if ps for p in ps} if p not in known]
-        split = [self.pattern.findall(p) for p in new]
-        distinct = list({t for ts in split for t in ts})
-        size: dict[str, int] = {}
-        for i in range(0, len(distinct), block):
-            part = distinct[i : i + block]
-            size.update(zip(part, self.count_merged([t.encode() for t in part]).tolist(), strict=True))
-        known.update((p, sum(map(size.__getitem__, ts))) for p, ts in zip(new, split, strict=True))
-        return [
-            len(self.tokenizer.encode(t, add_special_tokens=False).ids) if ps is None else sum(map(known.__getitem__, ps))
-            for t, ps in zip(texts, cut, strict=True)
-        ]
-
-    def token_ids(self, texts: list[str]) -> list[bytes]:
-        """Token ids of each text as little-endian unsigned 32-bit integers, equal to the library's."""
-        known = self.ids
-        if len(known) > CACHE_ENTRIES:
-            known.clear()
-        cut = [None if self.whole(t) else self.pieces(t) for t in texts]
-        for p in {p for ps in cut if ps for p in ps}:
-            if p not in known:
-                known[p] = np.array(self.fast.encode_ordinary(p), dtype="<u4").tobytes()
-        return [
-            np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() if ps is None else b"".join(map(known.__getitem__, ps))
-            for t, ps in zip(texts, cut, strict=True)
-        ]
+    def token_counts(self, texts: list[str], known: Memory, block: int = 50_000) -> list[int]:
+        """Tokens of each text; ``known`` remembers the sizes of pre-tokens."""
+        split = [self.pre_tokens(t) for t in texts]
+        new = known.unknown(t for ts, _ in split for t in ts)
+        for i in range(0, len(new), block):
+            part = new[i : i + block]
+            known.update(zip(part, self.count_merged([t.encode() for t in part]).tolist(), strict=True))
+        return [n + sum(map(known.__getitem__, ts)) for ts, n in split]
+
+    def token_ids(self, text: str) -> np.ndarray:
+        """Token ids of a whole text, equal to the library's."""
+        return self.fast.encode_to_numpy(text, allowed_special="all")
 
 
 @lru_cache(maxsize=2)

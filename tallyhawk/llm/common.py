@@ -11,8 +11,8 @@ import numpy as np
 FOLD_WORDS = bytes(
     b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256)
 )
-#: Bound of the per-worker dictionaries; they are emptied between batches when they have grown beyond it.
-CACHE_ENTRIES = 600_000
+#: About how many bytes a task's memory of words may take; a task starts with an empty one.
+MEMORY = 16_000_000
 
 
 def folded_words(text: str | None) -> list[bytes]:
@@ -47,21 +47,36 @@ def hash_words(words: Iterable[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64)
 
 
+class Memory(dict):
+    """What a task has found out about words; it empties itself when its entries take about ``most`` bytes."""
+
+    def __init__(self, most: int = MEMORY) -> None:
+        super().__init__()
+        self.most, self.taken = most, 0
+
+    def unknown(self, words: Iterable) -> list:
+        """The different words that are not in here, for which there is room now."""
+        words = set(words)
+        new = [w for w in words if w not in self]
+        if self.taken > self.most:
+            self.clear()
+            self.taken, new = 0, list(words)
+        self.taken += sum(map(len, new)) + 160 * len(new)
+        return new
+
+
 class WordHashes:
-    """64-bit hashes of words, computed once for each different word of a worker."""
+    """64-bit hashes of words, computed once for each different word of a task."""
 
     def __init__(self) -> None:
-        self.known: dict[bytes, int] = {}
+        self.known = Memory()
 
     def of(self, words: list[bytes]) -> np.ndarray:
         import xxhash
 
         known = self.known
-        if len(known) > CACHE_ENTRIES:
-            known.clear()
-        for w in set(words):
-            if w not in known:
-                known[w] = xxhash.xxh3_64_intdigest(w)
+        for w in known.unknown(words):
+            known[w] = xxhash.xxh3_64_intdigest(w)
         return np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
 
 

@@ -19,17 +19,17 @@ SIMILARITY = 0.8
 #: Signature of 320 values in 40 bands of 8: a pair of similarity 0.8 shares a band with probability 0.9994.
 BANDS, ROWS = 40, 8
 SIZE = BANDS * ROWS
-#: A pair whose signatures agree in less than this share is not verified (4 standard deviations below 0.8).
-PLAUSIBLE = 0.71
-#: Documents compared with one centre, and rows of one block of a band, in one group at most.
-CENTRE_GROUP, BLOCK = 2_000, 2_000
-_HASHES = WordHashes()
+#: Documents compared with one centre in one group, and shingles of one block of a bucket, at most (a larger
+#: document is a block of its own, give or take what the hash puts beside it).
+CENTRE_GROUP, BLOCK = 256, 400_000
+#: Characters of texts that are shingled and signed at once; a longer text stands alone.
+AT_ONCE = 1_000_000
 _U = np.uint64
 
 
-def shingles(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+def shingles(text: str | None, hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
     """Different shingles of five folded words (all words, if there are fewer) and their counts."""
-    words = _HASHES.of(folded_words(text))
+    words = hashes.of(folded_words(text))
     if not len(words):
         return words, np.zeros(0, np.int64)
     n = max(1, len(words) - WORDS + 1)
@@ -65,7 +65,8 @@ def bag_min_hash(elements: list[tuple[np.ndarray, np.ndarray]], size: int = SIZE
     while len(bag):
         k = int(np.clip(points_at_once // len(bag), 1, 256))
         h = mix64(seed[:, None] + np.arange(drawn + 1, drawn + k + 1, dtype=np.uint64)[None] * _U(0xD1342543DE82EF95))
-        times = time[:, None] + np.cumsum(-np.log1p(-(h >> _U(24)).astype(float) * 2.0**-40) / length[:, None], axis=1)
+        # added one after the other, so that times have the same bits however many are drawn at once
+        times = np.cumsum(np.append(time[:, None], -np.log1p(-(h >> _U(24)).astype(float) * 2.0**-40) / length[:, None], axis=1), axis=1)[:, 1:]
         at = bag[:, None] * size + ((h & _U(0xFFFFFF)) % _U(size)).astype(np.int64)
         if (length > 1).any():
             place = start[:, None] + (mix64(h) >> _U(11)).astype(float) * 2.0**-53 * length[:, None]
@@ -91,65 +92,64 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def short(signature: np.ndarray) -> np.ndarray:
-    """One byte of each value: enough to estimate agreement."""
-    return (mix64(signature.view(np.uint64)) >> _U(56)).astype(np.uint8)
+def bag_key(e: np.ndarray, w: np.ndarray) -> tuple[int, int]:
+    """128 bits that tell bags apart, as two signed numbers."""
+    n = w.astype(np.uint64)
+    both = np.array([(e * n).sum(), (mix64(e) * mix64(n)).sum()], dtype=np.uint64).view(np.int64)
+    return int(both[0]), int(both[1])
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id, set_a, set_b, bands, sig`` for each document with words and an id; equal bags have equal keys."""
+    """``id, set_a, set_b, size, bands`` for each document with words and an id; equal bags have equal keys."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            for a, b in slices([len(t or "") for t in texts], 4_000_000):
-                bags = [shingles(t) for t in texts[a:b]]
+            ids, texts = batch.column(0), batch.column(1)
+            for a, b in slices(pc.fill_null(pc.utf8_length(texts), 0).to_pylist(), AT_ONCE):
+                bags = [shingles(t, hashes) for t in texts.slice(a, b - a).to_pylist()]
                 rows = [i for i, (e, _) in enumerate(bags) if len(e)]
                 bags = [bags[i] for i in rows]
-                sig = bag_min_hash(bags)
-                sums = [(int((e * w.astype(np.uint64)).sum()), int((mix64(e) * mix64(w.astype(np.uint64))).sum())) for e, w in bags]
-                key = np.array(sums, dtype=np.uint64).reshape(-1, 2).view(np.int64)
-                bands = band_keys(sig)
+                bands = band_keys(bag_min_hash(bags))
+                key = np.array([bag_key(*x) for x in bags], dtype=np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(np.array(rows, dtype=np.int64) + a)), pa.array(key[:, 0]), pa.array(key[:, 1]),
-                     pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, BANDS, dtype=np.int32)), pa.array(bands.reshape(-1))),
-                     pa.array([s.tobytes() for s in short(sig)], pa.binary())],
-                    ["id", "set_a", "set_b", "bands", "sig"],
+                    [ids.take(pa.array(np.array(rows, dtype=np.int64) + a)), pa.array(key[:, 0]), pa.array(key[:, 1]), pa.array([int(w.sum()) for _, w in bags], pa.int64()),
+                     pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, BANDS, dtype=np.int32)), pa.array(bands.reshape(-1)))],
+                    ["id", "set_a", "set_b", "size", "bands"],
                 )
 
-    return docs.where(F.col(id_col).isNotNull()).select(id_col, text_col).mapInArrow(run, f"id {kind}, set_a long, set_b long, bands array<long>, sig binary")
+    return docs.where(F.col(id_col).isNotNull()).select(id_col, text_col).mapInArrow(run, f"id {kind}, set_a long, set_b long, size long, bands array<long>")
 
 
 def star_edges(reps: DataFrame) -> DataFrame:
-    """``a, b, n``: each document with the least one of its band buckets, and of how many; rows, not pairs.
+    """``a, b``: each node with the least one of its band buckets; rows, not pairs.
 
-    Each batch of documents first makes its own stars and passes only their centres on; a bucket that holds a
-    third of all documents so reaches the shuffle as one row per batch.
+    Each batch of nodes first makes its own stars and passes only their centres on; a bucket that holds a
+    third of all nodes so reaches the shuffle as one row per batch.
     """
-    kind = reps.schema["id"].dataType.simpleString()
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("id").to_numpy()
+            ids = batch.column("node").to_numpy()
             keys = batch.column("bands").flatten().to_numpy().reshape(len(ids), -1)
             order = np.argsort(ids, kind="stable")
             ids, keys = ids[order], keys[order].reshape(-1)
             _, first, group = np.unique(keys, return_index=True, return_inverse=True)
-            doc = np.arange(len(keys)) // (len(keys) // max(1, len(ids)))
-            centre = ids[doc[first]]  # ids ascend, so the first place of a key has its least id
-            edge, n = np.unique(np.stack([centre[group], ids[doc]], 1)[centre[group] != ids[doc]], axis=0, return_counts=True)
-            names = ["key", "a", "b", "n"]
-            yield pa.RecordBatch.from_arrays([pa.array(keys[first]), pa.array(centre), pa.nulls(len(first), batch.column("id").type), pa.nulls(len(first), pa.int64())], names)
+            node = np.arange(len(keys)) // BANDS
+            centre = ids[node[first]]  # nodes ascend, so the first place of a key has its least one
+            edge = np.unique(np.stack([centre[group], ids[node]], 1)[centre[group] != ids[node]], axis=0)
+            names = ["key", "a", "b"]
+            yield pa.RecordBatch.from_arrays([pa.array(keys[first]), pa.array(centre), pa.nulls(len(first), pa.int64())], names)
             spread = mix64(mix64(edge[:, 0].astype(np.uint64)) + edge[:, 1].astype(np.uint64)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(spread), pa.array(edge[:, 0]), pa.array(edge[:, 1]), pa.array(n)], names)
+            yield pa.RecordBatch.from_arrays([pa.array(spread), pa.array(edge[:, 0]), pa.array(edge[:, 1])], names)
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows with an end are edges already and go through; the others are a bucket's centres, in order."""
-        key, centre = None, None
+        key, centre = None, -1
         for whole in batches:
             edge = whole.column("b").is_valid()
-            yield whole.filter(edge).select(["a", "b", "n"])
+            yield whole.filter(edge).select(["a", "b"])
             batch = whole.filter(pc.invert(edge))
             keys, ids = batch.column("key").to_numpy(), batch.column("a").to_numpy()
             if not len(keys):
@@ -157,16 +157,14 @@ def star_edges(reps: DataFrame) -> DataFrame:
             new = np.append(True, keys[1:] != keys[:-1])
             if keys[0] == key:
                 new[0] = False
-            held = np.append(-1 if centre is None else centre, ids)
-            from_ = np.maximum.accumulate(np.where(new, np.arange(len(keys)) + 1, 0))
-            own = held[from_]
+            held = np.append(centre, ids)
+            own = held[np.maximum.accumulate(np.where(new, np.arange(len(keys)) + 1, 0))]
             key, centre = keys[-1], own[-1]
             far = own != ids
-            yield pa.RecordBatch.from_arrays([pa.array(own[far]), pa.array(ids[far]), pa.array(np.ones(int(far.sum()), np.int64))], ["a", "b", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(own[far]), pa.array(ids[far])], ["a", "b"])
 
-    made = reps.select("id", "bands").mapInArrow(local, f"key long, a {kind}, b {kind}, n long")
-    edges = made.repartition("key").sortWithinPartitions("key", "a").mapInArrow(stream, f"a {kind}, b {kind}, n long")
-    return edges.groupBy("a", "b").agg(F.sum("n").alias("n"))
+    made = reps.select("node", "bands").mapInArrow(local, "key long, a long, b long")
+    return made.repartition("key").sortWithinPartitions("key", "a").mapInArrow(stream, "a long, b long").distinct()
 
 
 def _packed(e: np.ndarray, w: np.ndarray) -> bytes:
@@ -185,31 +183,38 @@ def _unpacked(blob: bytes) -> np.ndarray:
     return raw.reshape(-1).view("<u8")
 
 
-def bags_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``b, bag``: the packed bags of the documents with one of the given ids."""
-    kind = docs.schema[id_col].dataType.simpleString()
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(ids, "id", "left_semi")
+def bags_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``node, bag``: the packed bags of the wanted representatives (``node, id, set_a, set_b``)."""
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(wanted.select("id").distinct(), "id", "left_semi")
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
         for batch in batches:
-            packed = [_packed(*shingles(t)) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(packed, pa.binary())], ["b", "bag"])
+            texts = batch.column("text")
+            for a, b in slices(pc.fill_null(pc.utf8_length(texts), 0).to_pylist(), AT_ONCE):
+                found = [shingles(t, hashes) for t in texts.slice(a, b - a).to_pylist()]
+                key = np.array([bag_key(*x) for x in found], dtype=np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(key[:, 0]), pa.array(key[:, 1]), pa.array([_packed(*x) for x in found], pa.binary())], ["set_a", "set_b", "bag"])
+
+    made = texts.select("text").mapInArrow(bags, "set_a long, set_b long, bag binary")
+    # an id may have several texts, and a text several rows
+    return made.join(wanted.select("set_a", "set_b", "node"), ["set_a", "set_b"]).groupBy("node").agg(F.first("bag").alias("bag"))
+
 
-    return texts.mapInArrow(bags, f"b {kind}, bag binary")
+def alike(both: np.ndarray, one: int, other: np.ndarray, similarity: float) -> np.ndarray:
+    return both >= similarity * (one + other - both) - 1e-9
 
 
 def verified(edges: DataFrame, bag: DataFrame, similarity: float) -> DataFrame:
     """The edges whose bags have a weighted Jaccard index of ``similarity`` or more.
 
-    The bags of the documents concerned travel once per edge to their centre, whose own bag is read first and
+    The bags of the nodes concerned travel once per edge to their centre, whose own bag is read first and
     held; a centre with many edges is split over several groups.
     """
-    edges = cut(edges)
-    kind = edges.schema["a"].dataType.simpleString()
     groups = edges.groupBy("a").agg(F.ceil(F.count("*") / CENTRE_GROUP).cast("int").alias("n"))
     wanted = edges.join(groups, "a").select("a", F.pmod(F.xxhash64("b"), F.col("n")).cast("int").alias("g"), "b", F.lit(1).alias("role"))
     centres = groups.select("a", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("g"), F.col("a").alias("b"), F.lit(0).alias("role"))
-    rows = wanted.union(centres).join(bag, "b").repartition("a", "g").sortWithinPartitions("a", "g", "role", "b")
+    rows = wanted.union(centres).join(bag.withColumnRenamed("node", "b"), "b").repartition("a", "g").sortWithinPartitions("a", "g", "role", "b")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, centre = None, np.zeros(0, np.uint64)
@@ -220,80 +225,90 @@ def verified(edges: DataFrame, bag: DataFrame, similarity: float) -> DataFrame:
                     at, centre = (a, g), _unpacked(blob)
                 elif at == (a, g):
                     own = _unpacked(blob)
-                    both = len(np.intersect1d(centre, own, assume_unique=True))
-                    if both >= similarity * (len(centre) + len(own) - both) - 1e-9:
+                    if alike(len(np.intersect1d(centre, own, assume_unique=True)), len(centre), len(own), similarity):
                         kept.append(i)
-            out = batch.select(["a", "b"]) if len(kept) == batch.num_rows else batch.select(["a", "b"]).take(pa.array(kept, pa.int64()))
-            yield out
+            yield batch.select(["a", "b"]).take(pa.array(kept, pa.int64()))
 
-    return rows.select("a", "g", "role", "b", "bag").mapInArrow(compare, f"a {kind}, b {kind}")
+    return rows.select("a", "g", "role", "b", "bag").mapInArrow(compare, "a long, b long")
 
 
-def crossing_pairs(reps: DataFrame, labels: DataFrame, best: bool) -> DataFrame:
-    """Pairs of one bucket that verified edges have not joined yet and whose signatures agree well enough.
+def joined_so_far(links: DataFrame) -> DataFrame:
+    """``node, label``: what two leaps along the least links lead to. Equal labels mean one class, not the reverse."""
+    up = cut(links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("label")))
+    for _ in range(2):
+        next_ = up.select(F.col("node").alias("label"), F.col("label").alias("far"))
+        up = up.join(next_, "label", "left").select("node", F.coalesce("far", "label").alias("label"))
+    return up
 
-    With ``best`` only each document's most similar one (over all its buckets), and none for the documents of a
-    group's most common component, whom the others look for.
+
+def crossing_links(reps: DataFrame, links: DataFrame, bag: DataFrame, similarity: float) -> DataFrame:
+    """Links between nodes of one bucket that star links have not joined: enough of them to join what is linked.
+
+    Only buckets that still hold several labels count, and of buckets with the same nodes only one. A bucket's
+    most common label is its main part; its rows are needed only against the others. Both are cut into blocks
+    of BLOCK shingles; a pair of blocks is compared in one group, every pair in it exactly but for those that
+    are joined by then, and gives no more links than it has nodes.
     """
-    kind = reps.schema["id"].dataType.simpleString()
-    placed = reps.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    rows = placed.select("id", "component", F.explode("bands").alias("key"))
-    mixed = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
-    mixed = cut(mixed.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("s")))
-    found = rows.join(mixed, "key").join(reps.select("id", "sig"), "id")
-    own = F.pmod(F.xxhash64("id"), F.col("s")).cast("int")
-    # a row goes to every pair of blocks that has its own block
-    found = found.withColumn("mine", own).withColumn("other", F.explode(F.expr("sequence(0, s - 1)")))
-    found = found.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "id", "component", "sig")
-
-    def told(out: list[tuple], of: pa.DataType) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], of), pa.array([x[1] for x in out], of), pa.array([x[2] for x in out], pa.float64())], ["a", "b", "alike"])
-
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def close(group: list[tuple]) -> list[tuple]:
-            sig = np.stack([np.frombuffer(g[4], np.uint8) for g in group])
-            comp, ids, mine = (np.array([g[k] for g in group]) for k in (3, 2, 1))
-            i, j = group[0][0][1:]
-            out = []
-            names, sizes = np.unique(comp, return_counts=True)
-            for k in range(len(group)):
-                if best and comp[k] == names[sizes.argmax()]:
-                    continue
-                with_ = (ids != ids[k] if best else ids > ids[k]) & (comp != comp[k])
-                if i != j:
-                    with_ &= mine != mine[k]  # pairs inside a block belong to that block's own group
-                at = np.flatnonzero(with_)
-                if len(at):
-                    alike = (sig[at] == sig[k]).mean(axis=1)
-                    chosen = [int(alike.argmax())] if best and alike.max() >= PLAUSIBLE else [] if best else np.flatnonzero(alike >= PLAUSIBLE)
-                    out += [(ids[k], ids[at[x]], alike[x]) for x in chosen]
-            return out
+    labels = cut(joined_so_far(links))
+    placed = reps.join(labels, "node", "left").select("node", "size", F.coalesce("label", "node").alias("label"), F.explode("bands").alias("key"))
+    parts = placed.groupBy("key", "label").agg(
+        F.sum("size").alias("w"), F.expr("bit_xor(xxhash64(node))").alias("x"), F.expr("bit_xor(xxhash64(node, 1L))").alias("y")
+    )
+    buckets = parts.groupBy("key").agg(
+        F.count("*").alias("labels"), F.max_by("label", F.struct("w", "label")).alias("main"), F.sum("w").alias("w"), F.max("w").alias("w_main"),
+        F.expr("bit_xor(x)").alias("x"), F.expr("bit_xor(y)").alias("y"),
+    ).where("labels > 1")
+    blocks = lambda w: F.ceil(w / BLOCK).cast("int")
+    buckets = buckets.groupBy("x", "y", "w").agg(F.min(F.struct("key", "main", "w_main")).alias("b")).select(
+        "b.key", "b.main", blocks(F.col("w") - F.col("b.w_main")).alias("s"), blocks(F.col("b.w_main")).alias("s_main")
+    )
+    rows = placed.join(cut(buckets), "key")
+    is_main = F.col("label") == F.col("main")
+    own = F.when(is_main, F.col("s") + F.pmod(F.xxhash64("node"), F.col("s_main"))).otherwise(F.pmod(F.xxhash64("node"), F.col("s"))).cast("int")
+    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.when(is_main, F.col("s")).otherwise(F.col("s") + F.col("s_main")) - 1)))
+    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(is_main, 1).otherwise(0).alias("role"), "own", "node", "label")
+    rows = rows.join(bag, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+    def close(group: list[tuple]) -> list[tuple[int, int]]:
+        bags = [_unpacked(g[-1]) for g in group]
+        size = np.array([len(x) for x in bags])
+        start = np.cumsum(size) - size
+        _, at = np.unique(np.concatenate(bags), return_inverse=True)
+        mark = np.zeros(int(at.max()) + 1, dtype=np.int64)
+        own, label = np.array([g[2] for g in group]), np.array([g[4] for g in group])
+        out = []
+        for k, ((_, i, j), role, mine, node, *_) in enumerate(group):
+            apart = label != label[k]
+            if i != j:
+                apart &= own != mine  # pairs inside a block have a group of their own
+            if role or not apart.any():
+                continue
+            mark[at[start[k] : start[k] + size[k]]] = 1
+            found = np.flatnonzero(apart & alike(np.add.reduceat(mark[at], start), int(size[k]), size, similarity))
+            mark[at[start[k] : start[k] + size[k]]] = 0
+            for x in found:
+                if label[x] != label[k]:
+                    out.append((node, group[x][3]))
+                    label[label == label[x]] = label[k]
+        return out
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def told(out: list[tuple[int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], ["a", "b"])
 
         group: list[tuple] = []
         for batch in batches:
-            out: list[tuple] = []
-            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "i", "j", "mine", "id", "component", "sig")), strict=True):
-                row = (row[:3], *row[3:4], *row[4:])
-                if group and group[0][0] != row[0]:
+            out: list[tuple[int, int]] = []
+            for key, i, j, *row in zip(*(batch.column(c).to_pylist() for c in ("key", "i", "j", "role", "own", "node", "label", "bag")), strict=True):
+                if group and group[0][0] != (key, i, j):
                     out += close(group)
                     group = []
-                group.append(row)
-            yield told(out, batch.column("id").type)
+                group.append(((key, i, j), *row))
+            yield told(out)
         if group:
-            yield told(close(group), pa.array([group[0][2]]).type)
+            yield told(close(group))
 
-    grouped = found.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    found = grouped.select("key", "i", "j", "mine", "id", "component", "sig").mapInArrow(pairs, f"a {kind}, b {kind}, alike double")
-    if best:
-        return found.groupBy("a").agg(F.max_by("b", F.struct("alike", "b")).alias("b"))
-    return found.select("a", "b").distinct()
-
-
-def apart(edges: DataFrame, labels: DataFrame) -> DataFrame:
-    """Edges whose ends are in different components."""
-    for end in ("a", "b"):
-        edges = edges.join(labels.select(F.col("node").alias(end), F.col("component").alias(f"_{end}")), end, "left")
-    return edges.where(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b")
+    return rows.select("key", "i", "j", "role", "own", "node", "label", "bag").mapInArrow(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -303,30 +318,32 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     bags of five-word shingles (folded words; a text of one to four words is one shingle). Equal bags are one
     node from the start.
 
-    Candidates share a band of their BagMinHash signatures. Five rounds verify them, each only what the ones
-    before have not joined: each document with the bucket centre it shares most bands with, then with all centres
-    of its buckets, then with the most similar document of its buckets (twice), at last all pairs of a bucket. So a group of near-copies costs rows, not pairs, no
-    candidate link between different texts is left out, and links that could not change a class are not looked
-    at. Documents without words (null, empty) are classes by themselves; a null id has class null and is
-    kept; rows that share an id are one node, and a row is kept only under the class's least id; an empty
-    table gives an empty table.
+    Candidates share a band of their BagMinHash signatures. First each node is compared with the centre of each
+    of its buckets, so that a group of near-copies costs rows, not pairs; then, in buckets whose nodes that has
+    not joined, all others exactly with each other and with the bucket's main part. No pair of a bucket is left
+    out but those that are in one class already.
+
+    Ids may be of any type that can be ordered. Documents without words (null, empty) are classes by
+    themselves; a null id has class null and is kept; rows that share an id are one document, linked to
+    whatever one of its texts is linked to, and a row is kept only under the class's least id. A very long
+    text is one row like the others: it is signed alone and compared in a block of its own. Columns other than
+    the two named are not read, whatever their names. An empty table gives an empty table.
     """
     sigs = cut(signatures(docs, id_col, text_col))
-    reps = cut(sigs.groupBy("set_a", "set_b").agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
+    reps = sigs.groupBy("set_a", "set_b").agg(F.min("id").alias("id"), F.first("size").alias("size"), F.first("bands").alias("bands"))
+    reps = cut(reps.withColumn("node", F.monotonically_increasing_id()))
     stars = cut(star_edges(reps))
-    first = cut(stars.groupBy("b").agg(F.min_by("a", F.struct(-F.col("n"), F.col("a"))).alias("a")).select("a", "b"))
-    ends = stars.select(F.col("a").alias("id")).union(stars.select("b")).distinct()
-    bag = cut(bags_of(docs, ends, id_col, text_col))  # all later candidates share a bucket, so they are among these
-    labels = connected_components(verified(first, bag, similarity), "a", "b")
-    rest = stars.join(first, ["a", "b"], "left_anti").select("a", "b")
-    rounds = (lambda: apart(rest, labels), *[lambda: crossing_pairs(reps, labels, best=True)] * 2, lambda: crossing_pairs(reps, labels, best=False))
-    for candidates in rounds:
-        more = cut(candidates())
-        if not more.isEmpty():
-            known = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
-            labels = connected_components(known.union(verified(more, bag, similarity)), "a", "b")
-    nodes = sigs.select("id", "set_a", "set_b").join(reps.select("set_a", "set_b", F.col("id").alias("node")), ["set_a", "set_b"])
-    classes = nodes.join(labels, "node", "left").groupBy("id").agg(F.min(F.coalesce("component", "node")).alias("class_id"))
-    out = docs.select(F.col(id_col).alias("doc_id")).join(classes.withColumnRenamed("id", "doc_id"), "doc_id", "left")
+    ends = stars.select(F.col("a").alias("node")).union(stars.select("b")).distinct()
+    # all later candidates share a bucket, so they are among these
+    bag = cut(bags_of(docs, cut(reps.select("node", "id", "set_a", "set_b").join(ends, "node")), id_col, text_col))
+    links = cut(verified(stars, bag, similarity))
+    more = cut(crossing_links(reps, links, bag, similarity))
+    nodes = cut(sigs.select("id", "set_a", "set_b").join(reps.select("set_a", "set_b", "node"), ["set_a", "set_b"]).select("id", "node"))
+    shared = nodes.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("id", "a").join(nodes, "id").select("a", F.col("node").alias("b"))
+    labels = connected_components(links.union(more).union(shared), "a", "b")
+    placed = nodes.join(labels, "node", "left").select("id", F.coalesce("component", "node").alias("component"))
+    least = placed.groupBy("component").agg(F.min("id").alias("class_id"))
+    classes = placed.join(least, "component").select(F.col("id").alias("doc_id"), "class_id").distinct()
+    out = docs.select(F.col(id_col).alias("doc_id")).join(classes, "doc_id", "left")
     class_id = F.coalesce("class_id", "doc_id")
     return out.select("doc_id", class_id.alias("class_id"), F.coalesce(class_id == F.col("doc_id"), F.lit(True)).alias("kept"))

@@ -9,28 +9,25 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyhawk.llm.common import CACHE_ENTRIES, slices
+from tallyhawk.llm.common import Memory, slices
 
 _UPPER, _LOWER, _DIGIT = re.compile(r"[^\W\d_a-zß-öø-ÿ]+"), re.compile(r"[a-zß-öø-ÿ]+"), re.compile(r"\d+")
-_WORD: dict[str, int] = {}
-_SHAPE: dict[str, int] = {}
 
 
-def _learn_words(words: list[str]) -> None:
-    """Hashes of words and of their shapes (letters, capitals and digits as classes, runs as one, signs kept)."""
-    if len(_WORD) > CACHE_ENTRIES:
-        _WORD.clear()
-        _SHAPE.clear()
-    for w in set(words):
-        if w not in _WORD:
+class Words(Memory):
+    """Hash of each word and of its shape (letters, capitals and digits as classes, runs as one, signs kept)."""
+
+    def learn(self, words: list[str]) -> None:
+        for w in self.unknown(words):
             shape = _DIGIT.sub("0", _UPPER.sub("A", _LOWER.sub("a", w)))
-            _WORD[w], _SHAPE[w] = zlib.crc32(w.encode()), zlib.crc32(b"\x00" + shape.encode())
+            self[w] = zlib.crc32(w.encode()) << 32 | zlib.crc32(b"\x00" + shape.encode())
 
 
-def features(text: str, bits: int) -> tuple[np.ndarray, np.ndarray]:
+def features(text: str, bits: int, memory: Words) -> tuple[np.ndarray, np.ndarray]:
     """Hashed features of a whole text and their values (log counts, of length 1 together).
 
     Words, pairs of words, and shapes of one to three words; a word that repeats the one before has a shape of
@@ -39,9 +36,9 @@ def features(text: str, bits: int) -> tuple[np.ndarray, np.ndarray]:
     words = text.split()
     if not words:
         return np.zeros(0, np.int64), np.zeros(0)
-    _learn_words(words)
-    word = np.fromiter(map(_WORD.__getitem__, words), dtype=np.uint64, count=len(words))
-    shape = np.fromiter(map(_SHAPE.__getitem__, words), dtype=np.uint64, count=len(words))
+    memory.learn(words)
+    both = np.fromiter(map(memory.__getitem__, words), dtype=np.uint64, count=len(words))
+    word, shape = both >> np.uint64(32), both & np.uint64(0xFFFFFFFF)
     shape[1:][word[1:] == word[:-1]] = 1
     k1, k2 = np.uint64(0x9E3779B1), np.uint64(0x85EBCA77)
     grams = [word, word[:-1] * k1 + word[1:] * k2 + np.uint64(1), shape, shape[:-1] * k1 + shape[1:] * k2 + np.uint64(2)]
@@ -107,8 +104,9 @@ def train(
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory = Words()
         for batch in batches:
-            found = [features(t or "", bits) for t in batch.column("_text").to_pylist()]
+            found = [features(t or "", bits, memory) for t in batch.column("_text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([str(x) for x in batch.column("_id").to_pylist()]), batch.column("_y"),
                  pa.array([i.astype("<i4").tobytes() for i, _ in found], pa.binary()), pa.array([x.astype("<f4").tobytes() for _, x in found], pa.binary())],
@@ -125,13 +123,13 @@ def train(
     return model.weights()
 
 
-def scorer(docs: DataFrame, weights: np.ndarray) -> Callable[[str], float]:
+def scorer(docs: DataFrame, weights: np.ndarray) -> Callable[[str, Words], float]:
     """A function of a text, for use inside tasks; the weights travel once to each executor."""
     held = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
     bits = int(np.log2(len(weights) - 1))
 
-    def score(text: str) -> float:
-        i, x = features(text, bits)
+    def score(text: str, memory: Words) -> float:
+        i, x = features(text, bits, memory)
         w = held.value
         return float(1 / (1 + np.exp(-np.clip(float(w[i].astype(float) @ x) + float(w[-1]), -35, 35))))
 
@@ -145,22 +143,23 @@ def classify(
     """``doc_id, held_out, score, predicted`` (and the columns in ``keep``) for every row of ``docs``.
 
     Only the text decides a score. Training looks at no row of fold 0. Null and empty texts get the score of
-    the bias alone; repeated rows get the same score; a null id counts as the empty text for ``held_out``;
-    an empty table gives an empty table.
+    the bias alone; repeated rows get the same score; a null id counts as the empty text for ``held_out``; very
+    long texts are scored whole, one at a time; a column in ``keep`` that has the name of a result column is
+    not given a second time; other columns are not read; an empty table gives an empty table.
     """
     weights = train(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, folds=folds, sample=sample)
     score = scorer(docs, weights)
     cols = list(dict.fromkeys([id_col, text_col, *keep]))
     fields = {f.name: f.dataType.simpleString() for f in docs.select(*cols).schema.fields}
-    kept = [c for c in keep if c != id_col]
+    kept = [c for c in dict.fromkeys(keep) if c not in (id_col, "doc_id", "held_out", "score", "predicted")]
     schema = ", ".join([f"doc_id {fields[id_col]}", *[f"`{c}` {fields[c]}" for c in kept], "held_out boolean, score double, predicted int"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory = Words()
         for batch in batches:
-            texts = batch.column(text_col)
-            for a, b in slices([len(t.as_py() or "") for t in texts], 8_000_000):
+            for a, b in slices(pc.fill_null(pc.utf8_length(batch.column(text_col)), 0).to_pylist(), 2_000_000):
                 part = batch.slice(a, b - a)
-                scores = [score(t or "") for t in part.column(text_col).to_pylist()]
+                scores = [score(t or "", memory) for t in part.column(text_col).to_pylist()]
                 held = [zlib.crc32(b"" if i is None else str(i).encode()) % folds == 0 for i in part.column(id_col).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(id_col), *[part.column(c) for c in kept], pa.array(held, pa.bool_()), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32())],

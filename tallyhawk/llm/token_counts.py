@@ -1,14 +1,15 @@
-"""Token counts without a tokenizer call per text: merges run on ragged arrays of different pre-tokens."""
+"""Token counts by rank-synchronous merges on ragged arrays of different pre-tokens; no tokenizer is called."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from tallyhawk.llm.byte_pairs import vocabulary
-from tallyhawk.llm.common import slices
+from tallyhawk.llm.common import Memory, slices
 
 
 def default_vocabulary() -> str:
@@ -24,21 +25,21 @@ def count_tokens(
 
     Counts equal the tokenizers library's for the vocabulary file at ``path`` (no truncation or added
     tokens; special strings inside a text as the library's default has it). One pass, no shuffle. A null or
-    empty text has 0 bytes and tokens; repeated rows are counted each; a null id stays null; other columns
-    are not read; an empty table gives an empty table.
+    empty text has 0 bytes and tokens; a very long text is split and merged like any other; repeated rows are
+    counted each; a null id stays null; other columns are not read; an empty table gives an empty table.
     """
     where = path or default_vocabulary()
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = vocabulary(where)
+        vocab, known = vocabulary(where), Memory()
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
+            texts = pc.fill_null(batch.column(1), "")
             counts: list[int] = []
-            for a, b in slices(map(len, texts), 4_000_000):
-                counts += vocab.token_counts(texts[a:b])
+            for a, b in slices(pc.utf8_length(texts).to_pylist(), 1_000_000):
+                counts += vocab.token_counts(texts.slice(a, b - a).to_pylist(), known)
             n = pa.array(counts, pa.int64())
-            sizes = pa.array([len(t.encode()) for t in texts], pa.int64())
+            sizes = pc.binary_length(texts).cast(pa.int64())
             over = pa.array([c > limit for c in counts], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0), sizes, n, over], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 

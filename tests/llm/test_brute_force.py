@@ -12,6 +12,7 @@ import numpy as np
 import pytest
 
 from tallyhawk.llm import byte_pairs, embed_dedup, near_dup, packing, queries, secrets
+from tallyhawk.llm.common import Memory
 from tests.oracle import same_rows
 
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -22,6 +23,13 @@ def texts(spark, sf):
     return {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
 
 
+def library():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
 def test_oracle(name, spark, sf):
     same_rows(queries.QUERIES[name](spark, sf), queries.ORACLE[name], sf)
@@ -41,17 +49,61 @@ def test_op1_base_spans(spark, sf, texts):
         assert set(filter(None, base.split(","))) <= set(r["spans"].split(","))
 
 
-def test_op1_network_learns():
-    rng = np.random.default_rng(0)
-    secret = ["x = " + "".join(rng.choice(list("abcdef0123456789ABCXYZ"), 32)) + " y" for _ in range(300)]
-    plain = ["at 192.168." + ".".join(map(str, rng.integers(0, 255, 4))) + " on" for _ in range(300)]
-    x = secrets._stack([secrets.window(t, 4 if t[0] == "x" else 3, len(t) - (2 if t[0] == "x" else 3)) for t in secret + plain])
-    y = np.array([1.0] * 300 + [0.0] * 300)
+def words(rng, n: int) -> str:
+    return " ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), int(rng.integers(2, 15)))) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def network(spark, sf):
+    return secrets.train(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+
+
+def test_op1_finds_secrets_of_forms_no_pattern_knows(network):
+    """Held-out secrets (another seed, no key words, two forms that training has not) in running text."""
+    rng = np.random.default_rng(1234)
+    n = lambda k: int(rng.integers(k))
+    made = [secrets.secret_form(n) for _ in range(300)]
+    made += ["glx-" + secrets._drawn(n, "abcdefghijkmnpqrstuvwxyz23456789", 28, 36) + "=" for _ in range(50)] + ["/".join(secrets._drawn(n, "abcXYZ0123456789klmnQRS", 10, 14) for _ in range(3)) for _ in range(50)]
+    plain = [secrets.plain_form(n) for _ in range(400)]
+    leads = ["see ", "value ", "it was ", "then ", "id "]
+    texts = [f"{words(rng, 6)} {leads[n(5)]}{v} {words(rng, 6)}" for v in made + plain]
+    at = [t.index(v) for t, v in zip(texts, made + plain, strict=True)]
+    found = secrets.find(texts, network)
+    hit = [any(s < a + len(v) and a < e for _, s, e in [*b, *m]) for (b, m, _), a, v in zip(found, at, made + plain, strict=True)]
+    added = sum(len(m) for _, m, _ in found[:400])
+    assert np.mean(hit[:400]) >= 0.9 and added > 200
+    assert np.mean(hit[400:]) <= 0.05 and network.recall >= 0.98
+    clean = [words(rng, 200) for _ in range(50)]
+    assert sum(len(m) for _, m, _ in secrets.find(clean, network)) <= 10
+
+
+def test_op1_judges_long_values_whole(network):
+    """What tells a value may stand anywhere in it, and pieces are seen as if the value were one."""
+    value = "q" * 300 + "7fK2x9QmZ4tR8wLpV3nB6cYd" + "q" * 300
     net = secrets.CharNet.new()
-    net.fit(x[::2], y[::2])
-    net.calibrate(x[1::2], y[1::2], 0.98)
-    p = net.probability(x[1::2])
-    assert (p[y[1::2] > 0] >= net.threshold).mean() >= 0.98 and (p[y[1::2] == 0] >= net.threshold).mean() < 0.02
+    a, b = net.forward(secrets.Seen.of([("", value, "")]))[0], net.forward(secrets.Seen.of([("", "q" * 624, "")]))[0]
+    assert a != b
+    rows = [("x = ", "a1" * k, " y") for k in (6, 26, 50, 51, 52, 53, 100, 333)]
+    together = net.forward(secrets.Seen.of(rows))[0]
+    alone = [net.forward(secrets.Seen.of([r]))[0][0] for r in rows]
+    assert np.allclose(together, alone, rtol=1e-4)
+
+
+def test_op1_gradients():
+    rng = np.random.default_rng(3)
+    rows = [(words(rng, 3), secrets.secret_form(lambda k: int(rng.integers(k))), " b") for _ in range(6)]
+    x, y, net = secrets.Seen.of(rows), np.array([0.0, 1, 0, 1, 1, 0]), secrets.CharNet.new()
+    net.params = {k: v.astype(float) for k, v in net.params.items()}
+    loss = lambda: float(np.mean(np.logaddexp(0, z := net.forward(x)[0]) - y * z))
+    g = net.gradients(x, y)
+    for k in ("conv", "hid", "out", "emb"):
+        at = np.unravel_index(np.abs(g[k]).argmax(), g[k].shape)
+        before = net.params[k][at]
+        net.params[k][at] = before + 1e-5
+        up = loss()
+        net.params[k][at] = before - 1e-5
+        assert math.isclose((up - loss()) / 2e-5, g[k][at], rel_tol=2e-2, abs_tol=1e-6), k
+        net.params[k][at] = before
 
 
 def test_op1_learns_from_rare_findings(spark):
@@ -65,11 +117,6 @@ def test_op1_learns_from_rare_findings(spark):
     assert net is not None and 0 < net.recall <= 1
 
 
-def test_op1_windows_show_tails():
-    assert secrets.window("a" * 50 + "0123456789", 0, 60) != secrets.window("a" * 60, 0, 60)
-    assert len(secrets.window("a" * 60, 0, 60)) == secrets.WIDTH
-
-
 def test_op2_base_score(spark, sf, texts):
     toks = {i: re.findall(rb"[^\x20\x09-\x0d]+", t.encode().translate(FOLD)) + ["end"] for i, t in texts.items()}
     c = collections.Counter(w for i, ws in toks.items() if zlib.crc32(str(i).encode()) % 7 != 2 for w in ws)
@@ -82,98 +129,94 @@ def test_op2_base_score(spark, sf, texts):
         assert r["score"] < 0
 
 
-def test_op2_probabilities_sum_to_one(spark, sf):
+def test_op2_beats_the_base_on_held_out_texts(spark):
+    rows = queries.op2_suffix_tree(spark, "/root/testdata/sf0.01").where("held_out").collect()
+    n = sum(r["n_tokens"] for r in rows)
+    assert sum(r["score"] for r in rows) / n > sum(r["base_score"] for r in rows) / n + 0.2
+
+
+def test_op2_root_sums_to_one(spark, sf):
     from tallyhawk.llm import suffix_tree as S
 
-    tree = S.build(spark.read.parquet(f"{sf}/documents.parquet"), "doc_id", "text", 7, 2)
-    usable = (np.arange(128) == S.END) | (S._SHARED > 0)
-    assert np.allclose((10.0 ** tree.logp[:, usable].astype(float)).sum(1), 1, atol=1e-4)
-    per_class = np.bincount(S.SYMBOL, weights=10.0**tree.emit, minlength=128)
-    assert np.allclose(per_class[S._SHARED > 0], 1)
+    root = S.count_words(spark.read.parquet(f"{sf}/documents.parquet"), "doc_id", "text", 7, 2)
+    slots = root.different - len(root.head) - 1 + 1
+    p = 10.0**root.logp
+    assert math.isclose(p[:-1].sum() + slots * p[-1], 1, rel_tol=1e-9)
 
 
-def test_op2_longer_contexts(spark):
-    """Contexts below the broadcast part, however rare, against counting them all one by one."""
+@pytest.mark.parametrize("hot", [10**9, 40])
+def test_op2_states_against_plain_counts(spark, monkeypatch, hot):
+    """All contexts counted, tested and applied one by one."""
     from tallyhawk.llm import suffix_tree as S
 
+    monkeypatch.setattr(S, "HOT", hot)
+    monkeypatch.setattr(S, "GROUP", 500)
     rng = np.random.default_rng(5)
-    texts = []
-    for i in range(300):
-        noise = " ".join("".join(rng.choice(list("abcdefghijkl"), 6)) for _ in range(60))
-        sign = int(rng.integers(2))
-        texts.append(f"{noise} {'pq'[sign]}abcabcabc{'yz'[sign]}" + (" " + texts[i - 1][:60] if i % 5 == 4 else ""))
+    common, rare = list("abcde"), [f"r{i}" for i in range(120)]
+    texts = [" ".join(rng.choice(common if rng.random() < 0.7 else rare) for _ in range(int(rng.integers(0, 40)))) for _ in range(150)]
+    texts += texts[:20] + [t + " a b c d a b c e" for t in texts[20:40]] + ["", "a"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    share, S.LEAST_SHARE = S.LEAST_SHARE, 1e-2  # as small an upper part as that of a corpus of 4,000 times the size
-    try:
-        tree = S.build(docs, "doc_id", "text", 7, 2)
-    finally:
-        S.LEAST_SHARE = share
-    syms = [S.stream([S.tokens(t)])[1].tolist() for t in texts]
-    paths = [(S.END, *x) for x in syms]
+    seqs = [t.encode().split() + ["end"] for t in texts]
     taught = [zlib.crc32(str(i).encode()) % 7 != 2 for i in range(len(texts))]
-
-    def suffixes(path, i):
-        """Contexts of the symbol at i, nearest symbol first, as far as the text and SPAN go."""
-        out, bits = [()], 0
-        for s in path[i - 1 :: -1]:
-            bits += int(tree.bits[s])
-            if bits > S.SPAN:
-                break
-            out.append((*out[-1], s))
-        return out
-
-    counts = collections.defaultdict(collections.Counter)
-    for path, t in zip(paths, taught, strict=True):
-        for i in range(1, len(path)) if t else ():
-            for c in suffixes(path, i):
-                counts[c][path[i]] += 1
-    expected, upper, deepest = [], [], 0
-    state = {x: tree.states(np.array(x, dtype=np.int32)) for x in map(tuple, syms)}
-    tops = {}
-    for path, x in zip(paths, syms, strict=True):
-        for i, v in enumerate(state[tuple(x)].tolist(), 1):
-            tops.setdefault(suffixes(path, i)[int(tree.depth[v])], v)
-
-    def proportion(c, s, v):
-        return 10.0 ** float(tree.logp[v, s]) if c in tops else counts[c][s] / counts[c].total()
-
-    good = set()
-    for path, x in zip(paths, syms, strict=True):
-        for i, v in enumerate(state[tuple(x)].tolist(), 1):
-            for c in suffixes(path, i)[int(tree.depth[v]) + 1 :]:
-                n = counts[c]
-                if c not in good and n.total() >= S.LEAST:
-                    k, up = len(c), c[:-1]
-                    ratio = lambda s: proportion(up, s, v) if k - 1 == int(tree.depth[v]) else counts[up][s] / counts[up].total()  # noqa: B023, E731
-                    if sum(m * math.log(m / n.total() / ratio(s)) for s, m in n.items() if m) >= S.GAIN * sum(m > 0 for m in n.values()):
-                        good.update(c[:j] for j in range(1, k + 1))
-    for path, x in zip(paths, syms, strict=True):
-        change = 0.0
-        for i, v in enumerate(state[tuple(x)].tolist(), 1):
-            p = base = 10.0 ** float(tree.logp[v, path[i]])
-            for c in suffixes(path, i)[int(tree.depth[v]) + 1 :]:
-                if c in good:
-                    types = sum(m > 0 for m in counts[c].values())
-                    p, deepest = (counts[c][path[i]] + types * p) / (counts[c].total() + types), max(deepest, len(c))
-            change += math.log10(p / base)
-        upper.append(tree.score([S.tokens(texts[len(upper)])])[0])
-        expected.append(upper[-1] + change)
-    S.LEAST_SHARE = 1e-2
-    try:
-        got = {r["doc_id"]: r["score"] for r in S.score_texts(docs).collect()}
-    finally:
-        S.LEAST_SHARE = share
-    assert deepest > 9
-    assert np.allclose([got[i] for i in range(len(texts))], expected, atol=1e-3)
-    assert sum(expected) > sum(upper) + 50
+    c = collections.Counter(w for s, t in zip(seqs, taught, strict=True) if t for w in s)
+    total, different = sum(c.values()), len(c)
+    z = total + different + 1
+    often = {w for w in c if c[w] >= 2 and w != "end"}
+    slots = different - len(often) - 1 + 1
+    rest = total - sum(c[w] for w in often) - c["end"]
+
+    def root(w):
+        return (c[w] + 1) / z if w in often or w == "end" else (rest + slots) / slots / z
+
+    def contexts(s, i):
+        w = [s[i - k] if i >= k else None for k in range(1, 5)]
+        warm = [x is None or c[x] > hot for x in w]
+        all_ = [(1, w[0]), (2, w[0], w[1]), (4, *w)]
+        return all_[0 if not warm[0] else 1 if not warm[1] else 2 :]
+
+    n = collections.defaultdict(collections.Counter)
+    shorter = {}
+    for s, t in zip(seqs, taught, strict=True):
+        for i in range(1, len(s)):
+            cs = contexts(s, i)
+            for k, x in enumerate(cs):
+                shorter[x] = cs[k - 1] if k else None
+                if t:
+                    n[x][s[i]] += 1
+    import functools
+
+    @functools.lru_cache(None)
+    def p(x, w):
+        if x is None:
+            return root(w)
+        up = p(shorter[x], w)
+        return (n[x][w] + kinds(x) * up) / (n[x].total() + kinds(x)) if state(x) else up
+
+    def kinds(x):
+        return sum(m > 0 for m in n[x].values())
+
+    @functools.lru_cache(None)
+    def state(x):
+        whole = n[x].total()
+        gain = 0.0
+        for w, m in n[x].items():
+            if m:
+                up, others = p(shorter[x], w), kinds(x) - (m == 1)
+                left = (m - 1 + others * up) / (whole - 1 + others) if whole - 1 + others else 0
+                gain += m * math.log(max(left, 1e-300) / up)
+        return whole >= 2 and gain > 0
+
+    got = {r["doc_id"]: r["score"] for r in S.score_texts(docs).collect()}
+    states = 0
+    for d, s in enumerate(seqs):
+        expected = math.log10(root(s[0])) + sum(math.log10(p(contexts(s, i)[-1], s[i])) for i in range(1, len(s)))
+        states += sum(state(contexts(s, i)[-1]) for i in range(1, len(s)))
+        assert math.isclose(got[d], expected, rel_tol=1e-6), d
+    assert states > 100
 
 
 def test_op3_round_trip(spark, sf, texts):
-    from tokenizers import Tokenizer
-
-    import public_tokenizers
-
-    lib = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    lib = library()
     ids = {i: lib.encode(t, add_special_tokens=False).ids + [0] for i, t in texts.items()}
     rows = queries.op3_packing(spark, sf).collect()
     at = collections.defaultdict(list)
@@ -202,21 +245,33 @@ def test_op3_patterns_place_everything():
                 got[p] += n
         assert got == h
     assert packing.patterns_of({}, 8) == []
+    # one copy a pack: both packs of 5 get a 2 before either gets a second
+    assert sorted((sorted(x), n) for x, n in packing.patterns_of({5: 2, 2: 2}, 9)) == [([2, 5], 2)]
+
+
+def test_op3_packs_tightly(spark):
+    rows = queries.op3_packing(spark, "/root/testdata/sf0.01").groupBy("sequence_id").sum("length").collect()
+    assert sum(r[1] for r in rows) >= 0.97 * 1024 * len(rows)
 
 
 def test_op5_matches_library(spark, sf, texts):
-    vocab = byte_pairs.vocabulary(queries.token_counts.default_vocabulary())
+    lib = library()
     for r in queries.op5_token_counts(spark, sf).collect():
         t = texts[r["doc_id"]]
-        assert r["n_tokens"] == len(vocab.tokenizer.encode(t, add_special_tokens=False).ids) and r["n_bytes"] == len(t.encode())
+        assert r["n_tokens"] == len(lib.encode(t, add_special_tokens=False).ids) and r["n_bytes"] == len(t.encode())
 
 
 def test_op5_odd_texts():
     vocab = byte_pairs.vocabulary(queries.token_counts.default_vocabulary())
-    odd = ["", " ", "  ", "a  b", "a \n b", "foo\n \t bar", "x <|endoftext|> y", "aaaaaaaaaaaaa", "\n\n x \n\n", "don't we'll I'd", "日本語 テスト", "x\x1c y", " \tq", "a b ", "a\xa0b \xa0", "é" * 500, "a" * 3000, "  x", "\x85 a"]
-    expected = [vocab.tokenizer.encode(t, add_special_tokens=False).ids for t in odd]
-    assert vocab.token_counts(odd) == [len(e) for e in expected]
-    assert [np.frombuffer(b, "<u4").tolist() for b in vocab.token_ids(odd)] == expected
+    odd = ["", " ", "  ", "a  b", "a \n b", "foo\n \t bar", "x <|endoftext|> y", "<|endoftext|><|endoftext|>", "aaaaaaaaaaaaa", "\n\n x \n\n", "don't we'll I'd", "日本語 テスト", "x\x1c y", " \tq", "a b ", "a\xa0b \xa0", "é" * 500, "a" * 3000, "  x", "\x85 a"]
+    rng = np.random.default_rng(8)
+    signs = [" ", "  ", "\n", "\t", "a", "b", "é", "1", ".", "'s", "\x1c", "\x1f", "\x85", "\xa0", "\u2009", "\u3000", "\u200b", "日", "<|endoftext|>", "<|endof", "\u0301", "²"]
+    odd += ["".join(rng.choice(signs, int(rng.integers(1, 20)))) for _ in range(1500)]
+    lib = library()
+    expected = [lib.encode(t, add_special_tokens=False).ids for t in odd]
+    assert vocab.token_counts(odd, Memory()) == [len(e) for e in expected]
+    assert vocab.token_counts(odd, Memory(0)) == [len(e) for e in expected]
+    assert [vocab.token_ids(t).tolist() for t in odd] == expected
 
 
 def test_op6_links(spark):
@@ -255,6 +310,38 @@ def test_op9_learns(spark):
     assert all(r["predicted"] == r["doc_id"] % 2 for r in rows if r["held_out"])
 
 
+def test_op9_scores_against_plain_ftrl(spark, sf, texts):
+    """Coordinates one by one, in dictionaries."""
+    labels = [(r["doc_id"], r["quality"]) for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if r["quality"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 5]
+    q, memory, bits = queries.quality, queries.quality.Words(), 18
+    seen = {}
+    for i, y in labels:
+        if i in texts:
+            at, x = q.features(texts[i], bits, memory)
+            x = x.astype(np.float32).astype(float)
+            seen[str(i), y, tuple(at.tolist())] = list(zip(at.tolist(), x.tolist(), strict=True)), (zlib.crc32(str(i).encode()), str(i), float(y), at.astype("<i4").tobytes())
+    z, n = collections.defaultdict(float), collections.defaultdict(float)
+
+    def weight(k):
+        l1, l2 = (0.0, 0.0) if k == 1 << bits else (0.05, 0.1)
+        return 0.0 if abs(z[k]) <= l1 else -(z[k] - math.copysign(l1, z[k])) / ((1 + math.sqrt(n[k])) / 0.5 + l2)
+
+    for _ in range(3):
+        for (_, y, _), (xs, _) in sorted(seen.items(), key=lambda r: r[1][1]):
+            xs = [*xs, (1 << bits, 1.0)]
+            w = {k: weight(k) for k, _ in xs}
+            p = 1 / (1 + math.exp(-sum(w[k] * x for k, x in xs)))
+            for k, x in xs:
+                g = (p - (y > 0)) * x
+                sigma = (math.sqrt(n[k] + g * g) - math.sqrt(n[k])) / 0.5
+                z[k] += g - sigma * w[k]
+                n[k] += g * g
+    for r in queries.op9_quality(spark, sf).collect():
+        at, x = q.features(texts[r["doc_id"]], bits, memory)
+        score = 1 / (1 + math.exp(-(sum(weight(k) * v for k, v in zip(at.tolist(), x.tolist(), strict=True)) + weight(1 << bits))))
+        assert math.isclose(r["score"], score, abs_tol=1e-4)
+
+
 def bag(t: str) -> collections.Counter:
     w = t.encode().translate(near_dup_fold()).split()
     return collections.Counter(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else collections.Counter()
@@ -303,6 +390,33 @@ def test_op10_signatures_are_unbiased():
     assert abs((s[0] == s[1]).mean() - np.minimum(a, b).sum() / np.maximum(a, b).sum()) < 0.02
 
 
+def test_op10_signatures_do_not_depend_on_the_batch():
+    rng = np.random.default_rng(9)
+    bags = [(np.unique(rng.integers(0, 2**63, n).astype(np.uint64)), None) for n in (30, 400, 5, 90)]
+    bags = [(e, rng.integers(1, 4, len(e))) for e, _ in bags]
+    together = near_dup.bag_min_hash(bags)
+    assert (together == near_dup.bag_min_hash(bags, points_at_once=3)).all()
+    assert all((together[i] == near_dup.bag_min_hash([b])[0]).all() for i, b in enumerate(bags))
+
+
+def test_op10_ids_of_any_type_and_repeated_ids(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    near_a, near_b = a.replace("a30 ", "q "), b + " more"
+    rows = [("x", a), ("y", near_a), ("x", b), ("z", near_b), ("u", "other words here"), (None, a)]
+    got = {(r["doc_id"], r["class_id"], r["kept"]) for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert got == {("x", "x", True), ("y", "x", False), ("z", "x", False), ("u", "u", True), (None, None, True)}
+
+
+def test_op10_links_across_star_centres(spark, monkeypatch):
+    """Chains whose ends are not alike: only comparing all of a bucket finds the links; blocks of two sizes."""
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(words[9 * k : 9 * k + 200]) for k in range(20)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    for block in (near_dup.BLOCK, 300):
+        monkeypatch.setattr(near_dup, "BLOCK", block)
+        assert {r["class_id"] for r in near_dup.near_duplicates(df).collect()} == {0}
+
+
 def test_op4_pages(spark, sf):
     from html import unescape
 
@@ -313,6 +427,37 @@ def test_op4_pages(spark, sf):
         assert r["text"] == "\n".join(filter(None, blocks)) and r["n_chars"] == len(r["text"])
 
 
+P = "<p>One sentence, and then another one. It goes on, as articles do, for some time; then it ends.</p>"
+
+
+@pytest.mark.parametrize(("html", "text"), [
+    (f"<article>{P}<div class='x'>buy now</div>{P}{P}</article>", "PPP"),
+    (f"<main><h1>T</h1>{P}{P}<ul><li><a href='a'>First teaser here</a></li><li><a href='b'>Second teaser</a></li></ul></main>", "TPP"),
+    (f"<article>{P}<section class='social-history'>{P}</section></article>", "PP"),
+    (f"<article>{P}<h2 id='related-work'>W</h2>{P}</article>", "PWP"),
+    (f"<article>{P}<p>As <math><mi>x</mi></math> grows, so it does.</p></article>", "P|As x grows, so it does."),
+    (f"<body><div class='cookie-notice'><p>We use cookies, as all do. Accept them, please.</p></div><div id='content'><h1>T</h1>{P}{P}</div><div class='sidebar'><p>About me, the writer. Hello.</p></div><div class='comments'><p>I liked this, a lot. Thank you for it!</p></div></body>", "TPP"),
+    (f"<form><div><h1>T</h1>{P}{P}</div></form>", "TPP"),
+    (f"<header><h1>Site</h1></header><nav><a href='/'>Home</a></nav><article><header><h1>T</h1></header>{P}<ul><li>first thing</li><li>second thing</li></ul></article><aside>{P}</aside><footer><p>All rights, reserved. Forever.</p></footer>", "TP|first thing|second thing"),
+    (f"<table><tr><td>{P}{P}</td><td><a href='x'>A link to go</a></td></tr></table>", "PP"),
+    (f"<article>{P}</article><h3>More</h3><ul><li><a href='1'>one more story</a></li></ul>", "P"),
+    ("<div>" * 20_000 + P + "</div>" * 20_000, "P"),
+    ("<div>x " * 20_000, None),
+])
+def test_op4_page_forms(html, text):
+    import time
+
+    from tallyhawk.llm.html_extract import main_text
+
+    start = time.perf_counter()
+    got = main_text(html)
+    assert time.perf_counter() - start < 3
+    if text is not None:
+        p = P[3:-4]
+        expected = [p if c == "P" else c for c in text.partition("|")[0]] + [x for x in text.partition("|")[2].split("|") if x]
+        assert got.split("\n") == expected
+
+
 def test_pipeline_rows(spark, sf, texts):
     """Stage by stage against the operators' own results; the packed ids are those of the redacted texts."""
     import corpus_pipeline
@@ -330,3 +475,12 @@ def test_pipeline_rows(spark, sf, texts):
     d = corpus_pipeline.redact_secrets(spark, c, sf)
     for r in d.collect():
         assert not secrets.base_spans(r["text"] or "") and r["n_chars"] >= 0
+    redacted = {r["doc_id"]: r["text"] or "" for r in d.collect()}
+    lib, rows = library(), corpus_pipeline.pack(spark, d, sf).collect()
+    ids = {i: lib.encode(t, add_special_tokens=False).ids + [0] for i, t in redacted.items()}
+    placed = collections.Counter()
+    for r in rows:
+        own = ids[r["doc_id"]][r["start"] : r["start"] + r["length"]]
+        assert zlib.crc32(np.array(own, "<u4").tobytes()) == r["ids_crc32"] and r["length"] == len(own)
+        placed[r["doc_id"]] += r["length"]
+    assert placed == {i: len(x) for i, x in ids.items()}

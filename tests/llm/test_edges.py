@@ -82,6 +82,32 @@ def test_leaks(docs, benchmark, limit):
     assert decontaminate.find_leaks(docs.limit(0), benchmark).count() == 0
 
 
+def test_vectors_of_any_magnitude(spark):
+    v = [1.0, 2.0, -3.0, 0.5, 4.0, 1.0, 1.0, 2.0]
+    rows = [(i, [c * m for c in v], 1) for i, m in enumerate((1.0, 1e200, 1e-200, 1e300, 1e-300))]
+    got = embed_dedup.link_counts(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert {(r["n_links"], r["component_id"]) for r in got} == {(4, 0)}
+
+
+def test_vectors_in_blocks(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(12)
+    a = rng.normal(size=16)
+    rows = [(i, [float(c) for c in a + 0.03 * rng.normal(size=16)], 1) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    whole = {tuple(r) for r in embed_dedup.link_counts(df).collect()}
+    monkeypatch.setattr(embed_dedup, "BLOCK", 16)
+    monkeypatch.setattr(embed_dedup, "TILE", 5)
+    assert {tuple(r) for r in embed_dedup.link_counts(df).collect()} == whole
+
+
+def test_leaks_keep_no_column_twice(spark, benchmark):
+    d = spark.createDataFrame([(1, "b c d", 7, "x")], "doc_id long, text string, n_hit int, term string")
+    got = decontaminate.find_leaks(d, benchmark, keep=("n_hit", "term"))
+    assert sorted(got.columns) == sorted(set(got.columns)) and got.first()["term"] == "x"
+
+
 def test_leaks_find_near_phrases(spark, benchmark):
     d = spark.createDataFrame([(1, "b c d e f g h i X j k l")], "doc_id long, text string")
     r = decontaminate.find_leaks(d, benchmark).first()
@@ -138,10 +164,6 @@ def test_pipeline_stages(spark, docs, labels, benchmark, tmp_path):
     assert kept == {0, 1, 5, 6, 7, 8}
 
 
-def test_folds():
-    assert zlib.crc32(b"7") % 5 == [r for r in range(5) if zlib.crc32(b"7") % 5 == r][0]
-
-
 def test_spark_crc_is_the_same(spark):
     got = spark.range(20).select(F.crc32(F.col("id").cast("string").cast("binary"))).collect()
     assert [r[0] for r in got] == [zlib.crc32(str(i).encode()) for i in range(20)]
