@@ -15,30 +15,51 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier does not reject."""
+    """Documents that the classifier does not reject (score of 0.3 and more).
+
+    Null and empty texts have the bias's score; a null id is judged by its text; repeated rows share their score
+    and stay or go together; very long texts are scored whole; an empty table gives an empty table.
+    """
     return quality.classify(docs, table(spark, sf_dir, "labels"), keep=tuple(COLUMNS)).where("predicted = 1").select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each class of near-duplicates; equal rows once."""
+    """The document with the least id of each class of near-duplicates; rows with equal id and text once.
+
+    Null and empty texts and rows with a null id are classes by themselves and stay (equal ones once); very long
+    texts are compared like others; an empty table gives an empty table.
+    """
     others = near_dup.near_duplicates(docs).where("not kept").select("doc_id").distinct()
     return docs.select(*COLUMNS).join(others, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"])
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no window of a benchmark item occurs."""
+    """Documents in which no window of a benchmark item occurs.
+
+    Null and empty texts have no words and stay; rows are judged by id and text, so repeated rows and rows
+    with a null id stay or go by their own text; very long texts are searched whole; with an empty benchmark all
+    stay; an empty table gives an empty table.
+    """
     keyed = docs.select(*COLUMNS, F.xxhash64("doc_id", "text").alias("_key"))
     leaks = decontaminate.find_leaks(keyed, table(spark, sf_dir, "benchmark"), keep=("_key",))
     return keyed.join(leaks.where("contaminated").select("_key").distinct(), "_key", "left_anti").select(*COLUMNS)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, their secrets replaced."""
+    """All documents, their secrets replaced by ``[SECRET:kind]`` and ``n_chars`` counted anew.
+
+    Null texts stay null, empty ones empty; ids are not looked at; repeated rows stay repeated; very long texts
+    are scanned whole; an empty table gives an empty table.
+    """
     return secrets.scan(docs.select(*COLUMNS), redact=True)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The packed pieces of all documents."""
+    """The packed pieces of all documents.
+
+    A null or empty text is its end id; a null id stays null; repeated rows are each packed; very long texts are
+    cut at multiples of the sequence length; an empty table gives an empty table.
+    """
     return packing.pack(docs)
 
 
