@@ -16,6 +16,7 @@ def local_session(cpus: int = 8, shuffle_partitions: int = 8, app: str = "tallyh
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "6g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
@@ -31,10 +32,14 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the cluster's checkpoint folder and go on from there.
 
     Every executor reads those files, so a lost executor costs no recomputation. The folder is the one in
-    ``spark.checkpoint.dir``; only where that is unset (tests, laptops) a temporary one is made.
+    ``spark.checkpoint.dir``. Where that is unset, a local session makes a temporary one; a cluster must name a
+    shared folder, as executors don't see the driver's.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tallyhawk-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tallyhawk-"))
     return df.checkpoint(eager=True)
