@@ -12,10 +12,16 @@ from tallyhawk.functions.scalars import likelihood
 def noisy_or_confidence(evidence: DataFrame, key: str = "finding_id", group: Column | None = None, weight: str = "weight") -> DataFrame:
     """``key, confidence``: 1 - prod(1 - greatest weight of each group), rounded to 3 places.
 
-    The group is the row's own, else its signal. Null weights weigh nothing.
+    The group is the row's own, else its signal; on the code surface (if there is a ``surface``) rows without a
+    group stand each for themselves. Weights are kept within 0 and 1; null ones weigh nothing.
     """
-    g = group if group is not None else F.coalesce("confidence_group", "signal")
-    most = evidence.groupBy(key, g.alias("_g")).agg(F.max(F.coalesce(F.col(weight), F.lit(0.0))).alias("_w"))
+    if group is None:
+        by_signal = F.concat(F.lit("signal:"), F.coalesce("signal", F.lit("")))
+        if "surface" in evidence.columns:
+            by_signal = F.when(F.col("surface") == "code", F.concat(F.lit("row:"), F.monotonically_increasing_id())).otherwise(by_signal)
+        group = F.coalesce(F.concat(F.lit("group:"), "confidence_group"), by_signal)
+    bounded = F.least(F.greatest(F.coalesce(F.col(weight), F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
+    most = evidence.select(key, group.alias("_g"), bounded.alias("_b")).groupBy(key, "_g").agg(F.max("_b").alias("_w"))
     return most.groupBy(key).agg(F.round(1 - F.product(1 - F.col("_w")), 3).alias("confidence"))
 
 
@@ -41,21 +47,31 @@ def finalize_findings(findings: DataFrame, evidence: DataFrame) -> DataFrame:
     return scored.withColumn("likelihood", likelihood("confidence"))
 
 
-KIND_ORDER = {"agent": 0, "service-identity": 1, "oauth-grant": 2}
+#: Which kind wins when observations of one finding differ; all others are below these.
+KIND_PRIORITY = {"agent": 3, "service-identity": 2, "oauth-grant": 1}
 
 
 def merge_findings(findings: DataFrame, lists: tuple[str, ...] = ("capabilities", "tags"), firsts: tuple[str, ...] = ("owner", "title"), order: str = "ord") -> DataFrame:
-    """One row per id: first known scalar in the given order, union of lists, earliest and latest time, kind by rank."""
-    rank = F.coalesce(F.create_map(*[F.lit(x) for kv in KIND_ORDER.items() for x in kv])[F.col("kind")], F.lit(9))
+    """One row per id: first known scalar in the given order, union of lists, earliest and latest time.
+
+    Kind and ``resource_type`` (if there) are chosen as a pair: by the kind's priority, then the greatest name, so
+    that merges of merges give the same; ``observed_kinds`` has all of them where they differ.
+    """
+    priority = F.coalesce(F.create_map(*[F.lit(x) for kv in KIND_PRIORITY.items() for x in kv])[F.col("kind")], F.lit(0))
+    typed = "resource_type" in findings.columns
+    pair = F.struct(priority.alias("p"), F.col("kind").alias("kind"), (F.coalesce("resource_type", F.lit("")) if typed else F.lit("")).alias("resource_type"))
     known = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col(order)))
     aggs = [F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in lists]
     aggs += [known(c).alias(c) for c in firsts]
-    return findings.groupBy("id").agg(*aggs, F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.min_by("kind", F.struct(rank, F.col("kind"))).alias("kind"), F.count("*").alias("observations"))
+    return findings.groupBy("id").agg(*aggs, F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.max(pair).alias("_pair"), F.array_sort(F.collect_set("kind")).alias("_kinds"), F.count("*").alias("observations")).withColumn("kind", F.col("_pair.kind")).withColumns(
+        {"observed_kinds": F.when(F.size("_kinds") > 1, F.col("_kinds"))} | ({"resource_type": F.nullif(F.col("_pair.resource_type"), F.lit(""))} if typed else {})
+    ).drop("_pair", "_kinds")
 
 
 def dedupe_evidence(evidence: DataFrame) -> DataFrame:
-    """One row per (finding, signal, location, description), the one of greatest weight."""
-    order = Window.partitionBy("finding_id", "signal", "location", "description").orderBy(F.desc("weight"))
+    """One row per (finding, signal, location, description), the one of greatest weight; equal ones by their other columns."""
+    same = ["finding_id", "signal", "location", "description"]
+    order = Window.partitionBy(*same).orderBy(F.desc_nulls_last("weight"), *sorted(c for c in evidence.columns if c not in (*same, "weight")))
     return evidence.withColumn("_k", F.row_number().over(order)).where("_k = 1").drop("_k")
 
 
@@ -68,6 +84,12 @@ def summarise_findings(findings: DataFrame) -> DataFrame:
     return findings.select(rows.alias("r")).where("r.value is not null").groupBy("r.dim", "r.value").agg(F.count("*").alias("n"))
 
 
+def order_fleet(findings: DataFrame) -> DataFrame:
+    """Findings of several reports: unregistered before unassessed before registered, then by risk, danger, confidence and id."""
+    rank = F.when(F.col("shadow"), 0).when(F.col("shadow").isNull(), 1).otherwise(2)
+    return findings.orderBy(rank, F.desc_nulls_last("score"), F.desc_nulls_last("danger_score"), F.desc_nulls_last("confidence"), "id")
+
+
 def order_findings(findings: DataFrame) -> DataFrame:
     return findings.orderBy(F.desc("score"), F.desc("confidence"), "surface", "title")
 

@@ -19,7 +19,7 @@ def merge_intervals(spans: DataFrame, keys: Sequence[str], start: str = "start",
     return rows.groupBy(*keys, "_island").agg(F.min("_s").alias(start), F.max("_e").alias(end), F.count("*").alias("spans")).drop("_island")
 
 
-def dns_validity(dns: DataFrame, keys: Sequence[str], max_ttl: int = 3600, skew: int = 5) -> DataFrame:
+def dns_validity(dns: DataFrame, keys: Sequence[str], max_ttl: int = 86_400, skew: int = 5) -> DataFrame:
     """One span per answered address: from the answer until its shortest time to live (bounded) and some skew."""
     rows = dns.select(*[k for k in keys if k != "ip"], "ts", F.explode("answers").alias("ip"), F.least(F.coalesce(F.array_min("ttls"), F.lit(max_ttl)), F.lit(max_ttl)).alias("_ttl"))
     start = F.unix_seconds(F.col("ts").cast("timestamp"))

@@ -80,11 +80,15 @@ FIELDS: dict[str, dict] = {
 }
 
 
-def normalise(rows: DataFrame, schema: str) -> DataFrame:
-    """JSON texts in ``raw`` of one export as ``llm_event`` columns; rows without any caller of a generic log are dropped."""
+def _whole_body() -> Column:
+    """The record; an object that ``properties`` holds as a text becomes the object (of equal keys the first counts)."""
+    inner = F.get_json_object(RAW, "$.properties")
+    return F.when(F.json_object_keys(inner).isNotNull(), F.concat(F.lit('{"properties":'), inner, F.lit(","), F.substring(F.trim(RAW), 2, 1 << 30))).otherwise(F.col(RAW))
+
+
+def _fields(schema: str) -> list[Column]:
+    """The ``llm_event`` columns of one export's JSON text in ``raw``."""
     spec = FIELDS[schema]
-    body = F.regexp_replace(F.regexp_replace(F.regexp_replace(RAW, r'"properties"\s*:\s*"(\{.*?\})"', '"properties":$1'), r"\\\"", '"'), r"\\\\", r"\\") if schema == "azure-openai" else F.col(RAW)
-    r = rows.withColumn(RAW, F.when(F.json_object_keys(body).isNotNull(), body).otherwise(F.col(RAW)))
 
     def field(name: str) -> Column:
         if name in spec.get("fixed", {}):
@@ -110,13 +114,20 @@ def normalise(rows: DataFrame, schema: str) -> DataFrame:
         line = F.regexp_extract(_v("request"), r"^([A-Z]+)\s+(\S+)", 1)
         method = F.coalesce(method, F.nullif(line, F.lit("")))
         path = F.coalesce(first_truthy(*[_v(p) for p in spec["path"][:-1]]), F.nullif(F.regexp_extract(_v("request"), r"^[A-Z]+\s+(\S+)", 1), F.lit("")))
-    out = r.select(
+    return [
         F.concat(F.lit(spec["prefix"] + ":"), F.coalesce(name, F.lit("unknown"))).alias("caller"), kind.alias("caller_kind"), F.coalesce(name, F.lit("unknown")).alias("caller_label"),
         parse_timestamp(field("ts")).alias("ts"), parse_timestamp(field("end")).alias("interval_end"), F.when(counted.isNotNull(), coerce_int(counted)).otherwise(1).alias("request_count"), counted.isNotNull().alias("aggregated"),
         model.alias("model"), field("provider").alias("provider"), host_of(field("host")).alias("host"), field("user_agent").alias("user_agent"), field("ip").alias("ip"), field("user").alias("user"), field("team").alias("team"),
         declared_tools(field("request")).alias("tools"), called_tools(field("response")).alias("tool_calls"), tokens_in.alias("tokens_in"), coerce_int(field("tokens_out")).alias("tokens_out"), coerce_double(field("cost")).alias("cost"),
         status.alias("status"), path.alias("path"), method.alias("method"), F.lit(schema).alias("schema"), name.isNotNull().alias("_known"),
-    )
+    ]
+
+
+def normalise(rows: DataFrame, schema: str) -> DataFrame:
+    """JSON texts in ``raw`` of one export as ``llm_event`` columns; rows without any caller of a generic log are dropped."""
+    if schema == "azure-openai":
+        rows = rows.withColumn(RAW, _whole_body())
+    out = rows.select(*_fields(schema))
     return (out.where("_known") if schema == "generic" else out).drop("_known")
 
 

@@ -26,7 +26,7 @@ def reconcile_inventory(findings: DataFrame, inventory: DataFrame, pattern: str
     ``inventory`` has one row per approval and pattern, and lists ``surfaces, providers, accounts, regions`` (empty: any).
     Literal patterns are an equi-join; only patterns with wild cards are tried one by one. Exactly one
     approval approves; several are ambiguous; an identity that is redacted or padded is not compared; an
-    empty inventory leaves ``shadow`` null. Weak gateway identities are for review only.
+    empty inventory leaves ``shadow`` null.
     """
     wild = F.col(pattern).rlike(r"[*?\[]")
     inv = inventory.select(F.struct(ident, pattern, *[f"{s}s" for s in SCOPES]).alias("inv"), F.col(pattern).alias("_pattern"), wild.alias("_wild"))
@@ -98,7 +98,7 @@ def match_mcp_registry(servers: DataFrame, registry: DataFrame) -> DataFrame:
     pk = registry.select(F.explode("packages").alias("_k"), "name").distinct()
     rm = registry.select(F.explode("remotes").alias("_u"), "name").select(normalise_remote_url("_u").alias("_k"), "name").distinct()
     s = servers.withColumn("_url", normalise_remote_url("url"))
-    by = s.join(pk, s.package == F.col("_k")).select("server_id", F.col("name").alias("n") if False else pk["name"].alias("entry"), F.lit(0).alias("way"))
+    by = s.join(pk, s.package == F.col("_k")).select("server_id", pk["name"].alias("entry"), F.lit(0).alias("way"))
     by = by.union(s.join(rm, s["_url"] == F.col("_k")).select("server_id", rm["name"].alias("entry"), F.lit(1).alias("way")))
     by = by.union(s.join(registry.select(F.col("name").alias("entry")).distinct(), s["name"] == F.col("entry")).select("server_id", "entry", F.lit(2).alias("way")))
     best = by.withColumn("_k", F.row_number().over(Window.partitionBy("server_id").orderBy("way", "entry"))).where("_k = 1").select("server_id", "entry", "way")

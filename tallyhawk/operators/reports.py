@@ -119,6 +119,20 @@ def inventory_counts(findings: DataFrame, levels: DataFrame) -> DataFrame:
     return levels.select("level").join(counts, "level", "left").fillna(0)
 
 
+def inventory_document(findings: DataFrame) -> DataFrame:
+    """``part, name, n, unowned, shadow, worst``: the inventory's figures by level, kind, owner, status and in all, in one pass.
+
+    Credentials are not part of an inventory. A null owner is ``unowned``; a status is three-valued. Every finding
+    gives a row per part to the partial aggregation; what is shuffled is as many rows as there are names.
+    """
+    status = F.when(F.col("shadow"), "shadow").when(~F.col("shadow"), "registered").otherwise("unassessed")
+    parts = (("level", F.col("level")), ("kind", F.col("kind")), ("owner", F.coalesce("owner", F.lit("unowned"))), ("status", status), ("total", F.lit("all")))
+    rows = findings.where("kind <> 'secret'").select("owner", "shadow", "score", F.explode(F.array(*[F.struct(F.lit(p).alias("part"), v.alias("name")) for p, v in parts])).alias("r"))
+    return rows.groupBy("r.part", "r.name").agg(
+        F.count("*").alias("n"), F.count_if(F.col("owner").isNull()).alias("unowned"), F.count_if(F.col("shadow")).alias("shadow"), F.max("score").alias("worst")
+    )
+
+
 def autonomy_matrix(findings: DataFrame, tiers: str, status: str, statuses: Sequence[str]) -> DataFrame:
     """Tier by status; the statuses are given, so the pivot takes one pass."""
     return findings.groupBy(tiers).pivot(status, list(statuses)).count().fillna(0)

@@ -185,12 +185,3 @@ def contact_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(F.col("event_type") == "signup", "dns").when(F.col("event_type") == "click", "tls").when(F.col("event_type") == "purchase", "flow")
     rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("client"), _k().alias("service"), kind.alias("kind"), F.col("event_type").alias("host"), F.floor(F.col("value") * 100).cast("long").alias("bytes"), _us("ts").alias("ts"), F.lit("s").alias("sensor"))
     return network.rollup_contacts(rows).select("client", "service", "dns_queries", "tls_connections", "flows", "bytes", F.col("first_seen").alias("first_us"), F.col("last_seen").alias("last_us"))
-
-
-@query("""
-SELECT event_id, CASE WHEN json_extract_string(props, '$.k') IS NOT NULL THEN 'keyed' ELSE 'generic' END AS schema, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events""")
-def schema_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tallyhawk.operators.normalise import detect
-
-    rules = (("keyed", F.array_contains(F.json_object_keys("props"), "k")),)
-    return table(spark, sf_dir, "events").select("event_id", detect(rules).alias("schema"), _k().cast("long").alias("k"))

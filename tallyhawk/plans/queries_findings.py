@@ -157,7 +157,7 @@ def registry_reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 SELECT p_brand, p_type, arg_max(p_name, struct_pack(a := p_retailprice, b := p_name)) AS latest, count(*) AS versions FROM part GROUP BY 1, 2""")
-def mcp_registry_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+def latest_part_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconcile.latest_versions(table(spark, sf_dir, "part"), ["p_brand", "p_type"], "p_name", "p_retailprice")
 
 

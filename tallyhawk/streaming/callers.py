@@ -16,9 +16,10 @@ def hourly_callers(events: DataFrame, watermark: str = "1 hour") -> DataFrame:
 
 
 def session_loops(events: DataFrame, gap: str = "30 seconds", least: int = 3, watermark: str = "1 hour") -> DataFrame:
-    """Sessions of calls with gaps below ``gap`` and ``least`` calls. A gap of exactly that length opens a new one."""
-    rows = events.withWatermark("ts", watermark) if events.isStreaming else events
-    out = rows.groupBy(F.session_window("ts", gap).alias("w"), "caller").agg(F.count("*").alias("calls"))
+    """Sessions of calls at most ``gap`` apart with ``least`` different times, as ``loop_cadence`` has them."""
+    rows = (events.withWatermark("ts", watermark) if events.isStreaming else events).select("caller", "ts").dropDuplicates(["caller", "ts"])
+    # a window's end opens the next one, so a gap of exactly that length needs a moment more
+    out = rows.groupBy(F.session_window("ts", f"{gap} 1 microsecond").alias("w"), "caller").agg(F.count("*").alias("calls"))
     return out.where(F.col("calls") >= least).select("caller", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "calls")
 
 

@@ -237,3 +237,24 @@ def test_detector_registry():
     pipeline.register_detector("t")(lambda spark, params: None)
     with pytest.raises(ValueError):
         pipeline.register_detector("t")(lambda spark, params: None)
+
+
+def test_kinds_and_types_merge_as_a_pair(spark):
+    f = spark.createDataFrame(
+        [(1, "token", "b", 0), (1, "agent-config", "z", 1), (2, "oauth-grant", "x", 0), (2, "service-identity", "a", 1), (3, "agent", "a", 0), (3, "agent", "c", 1)],
+        "id int, kind string, resource_type string, ord int",
+    ).selectExpr("*", "array('t') as tags", "array('c') as capabilities", "'o' as owner", "'t' as title", "1L as first_seen", "2L as last_seen")
+    got = {r["id"]: (r["kind"], r["resource_type"], r["observed_kinds"]) for r in findings.merge_findings(f).collect()}
+    assert got == {1: ("token", "b", ["agent-config", "token"]), 2: ("service-identity", "a", ["oauth-grant", "service-identity"]), 3: ("agent", "c", None)}
+
+
+def test_code_evidence_counts_row_by_row(spark):
+    e = spark.createDataFrame([("a", "code", "s", None, 0.5), ("a", "code", "s", None, 0.5), ("b", "log", "s", None, 0.5), ("b", "log", "s", None, 0.5), ("c", "code", "s", "g", 0.5), ("c", "code", "t", "g", 1.7), ("d", "log", "s", None, -3.0)], "finding_id string, surface string, signal string, confidence_group string, weight double")
+    assert dict(rows(findings.noisy_or_confidence(e))) == {"a": 0.75, "b": 0.5, "c": 1.0, "d": 0.0}
+
+
+def test_a_gap_of_thirty_seconds_is_one_session(spark):
+    from tallyhawk.streaming import callers as live
+
+    e = spark.sql("select 'a' as caller, timestamp_seconds(t) as ts from values (0), (30), (60), (60), (91), (200), (201), (201) as v(t)")
+    assert [(r["calls"]) for r in live.session_loops(e).collect()] == [3]
