@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyhawk.functions.scalars import called_tools, coerce_double, coerce_int, declared_tools, first_truthy, get_path, host_of, parse_timestamp
+from tallyhawk.plans.session import cut
 
 RAW = "raw"
 
@@ -132,8 +133,8 @@ def normalise(rows: DataFrame, schema: str) -> DataFrame:
 
 
 def normalise_all(rows: DataFrame) -> DataFrame:
-    """Detect each row's export and normalise it: one branch per export, put together."""
-    found = detect_log_schema(rows)
+    """Detect each row's export once, write it, and normalise each export's rows; put together."""
+    found = cut(detect_log_schema(rows))
     out = None
     for schema in FIELDS:
         branch = normalise(found.where(F.col("schema") == schema).select(RAW), schema)
