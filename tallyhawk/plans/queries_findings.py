@@ -94,7 +94,7 @@ SELECT a.k AS key, a.e AS src, b.e AS dst FROM r a JOIN r b ON a.k = b.k AND a.e
 
 @query(_PAIRS)
 def correlate_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    side = lambda name, p, e: table(spark, sf_dir, name).select(F.concat(F.lit(e), F.col(f"{p}key" if p != "c_" else "c_custkey")).alias("e") if False else F.concat(F.lit(e), F.col("s_suppkey" if name == "supplier" else "c_custkey")).alias("e"), F.lit(name).alias("connector"), F.concat(F.col(f"{p}nationkey"), F.lit(":"), F.floor(F.col(f"{p}acctbal") / 100)).alias("k"))
+    side = lambda name, p, e: table(spark, sf_dir, name).select(F.concat(F.lit(e), F.col("s_suppkey" if name == "supplier" else "c_custkey")).alias("e"), F.lit(name).alias("connector"), F.concat(F.col(f"{p}nationkey"), F.lit(":"), F.floor(F.col(f"{p}acctbal") / 100)).alias("k"))
     rows = side("supplier", "s_", "s-").union(side("customer", "c_", "c-"))
     return correlate.key_pairs(rows, "k", "e", 25, ("connector",))
 

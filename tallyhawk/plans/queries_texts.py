@@ -93,15 +93,6 @@ def redact_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("doc_id", F.sha2("t", 256).alias("digest"), F.length("t").cast("long").alias("n"))
 
 
-@query(r"""
-WITH l AS (SELECT page_id, unnest(string_split(regexp_replace(html, '```.*?```', '', 'gs'), chr(10))) AS x, unnest(range(1, len(string_split(regexp_replace(html, '```.*?```', '', 'gs'), chr(10))) + 1)) AS line FROM pages)
-SELECT page_id, 'hidden-comment' AS rule, CAST(line AS BIGINT) AS line FROM l WHERE len(list_filter(regexp_extract_all(x, '<!--(.*?)-->', 1), lambda c: len(regexp_split_to_array(trim(c), '\s+')) >= 2)) > 0
-UNION ALL SELECT page_id, 'override', CAST(line AS BIGINT) FROM l WHERE regexp_matches(x, '(?i)\b(?:ignore|disregard|forget|override)\b[^.\n]{0,40}\b(?:previous|prior|above|earlier|all)\b[^.\n]{0,40}\b(?:instructions?|rules?|prompts?|guidelines?)\b')""")
-def instruction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = text_audit.instruction_audit(table(spark, sf_dir, "pages"), "page_id", "html", comment_words=2).where("rule in ('hidden-comment', 'override')")
-    return found.select("page_id", "rule", F.col("line").cast("long").alias("line"))
-
-
 def _audit_sql() -> str:
     bare = r"""regexp_replace(x, '"[^"\n]*"|`[^`\n]*`|^\s*>.*$', '', 'g')"""
     out = [r"SELECT source, id, turn, 'hidden-comment' AS rule, CAST(line AS BIGINT) AS line FROM l WHERE len(list_filter(regexp_extract_all(x, '<!--(.*?)-->', 1), lambda c: len(regexp_split_to_array(trim(c), '\s+')) >= 2)) > 0"]
@@ -116,6 +107,12 @@ l AS (SELECT source, id, turn, unnest(xs) AS x, unnest(range(1, len(xs) + 1)) AS
 """ + " UNION ALL ".join(out)
 
 
+@query(f"SELECT CAST(id AS BIGINT) AS page_id, rule, line FROM ({_audit_sql()}) WHERE source = 'pages'")
+def instruction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = text_audit.instruction_audit(table(spark, sf_dir, "pages"), "page_id", "html", comment_words=2)
+    return found.select("page_id", "rule", F.col("line").cast("long").alias("line"))
+
+
 @query(_audit_sql())
 def instruction_audit_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All rules over documents, conversations and pages."""
@@ -140,9 +137,9 @@ def detection_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.detection_metrics(cases).select("tp", "fp", "fn", "tn", "recall", "precision", "f1")
 
 
-@query(r"SELECT doc_id, CASE WHEN regexp_matches(text, '^\s*[=+\-@\t\r]') THEN '''' || text ELSE text END AS cell FROM documents WHERE length(text) < 200")
+@query(r"SELECT doc_id, CASE WHEN regexp_matches(text, '^\s*[=+\-@\t\r]') THEN '''' || text ELSE text END AS cell FROM documents")
 def csv_safe_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").where("length(text) < 200").select("doc_id", csv_safe("text").alias("cell"))
+    return table(spark, sf_dir, "documents").select("doc_id", csv_safe("text").alias("cell"))
 
 
 _CELL = r"CASE WHEN regexp_matches(text, '^\s*[=+\-@\t\r]') THEN '''' || text ELSE text END"
@@ -159,9 +156,13 @@ def csv_safe_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dependency_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
     deps = p.select(F.col("p_partkey").alias("subject"), F.lit("npm").alias("ecosystem"), F.translate("p_name", " ", "_").alias("name"))
-    things = [r[0] for r in p.select(F.split("p_name", " ")[1]).distinct().collect()]  # product nouns, a handful
-    rows = [(f"dep.{t}", "framework", "dependency", "any", None, "exact", f"red-{t}", 0.5, None, False) for t in things] + [("dep.bolt", "framework", "dependency", "npm", None, "prefix", "blue-bo", 0.5, None, False)]
-    out = matching.match_dependency(deps, spark.createDataFrame(rows, SIGNAL_SCHEMA))
+    noun, none = F.split("p_name", " ")[1], F.lit(None).cast("string")
+    exact = p.select(noun.alias("n")).distinct().select(
+        F.concat(F.lit("dep."), "n").alias("signature_id"), F.lit("framework").alias("category"), F.lit("dependency").alias("type"), F.lit("any").alias("ecosystem"), none.alias("language"), F.lit("exact").alias("match"),
+        F.concat(F.lit("red-"), "n").alias("value"), F.lit(0.5).alias("weight"), none.alias("required"), F.lit(False).alias("agent_indicator"),
+    )
+    prefix = spark.createDataFrame([("dep.bolt", "framework", "dependency", "npm", None, "prefix", "blue-bo", 0.5, None, False)], SIGNAL_SCHEMA)
+    out = matching.match_dependency(deps, exact.unionByName(prefix))
     return out.select("subject", normalise_package("name").alias("package"), "signature_id")
 
 

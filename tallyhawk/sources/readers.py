@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallyhawk.functions.scalars import get_path, parse_timestamp
+from tallyhawk.plans.session import cut
 
 RECORD = "source string, raw string"
 
@@ -210,13 +211,29 @@ def input_completeness(records: DataFrame, by: str = "source") -> DataFrame:
     return records.groupBy(by).agg(F.count("*").alias("examined"), bad.alias("malformed"), partial.alias("limited")).withColumn("status", F.when((F.col("malformed") > 0) | F.col("limited"), "incomplete").otherwise("complete"))
 
 
-def expand_envelopes(rows: DataFrame, raw: str = "raw") -> DataFrame:
-    """Log records out of their carriers: log events, JSON payloads, messages, usage buckets (two passes)."""
-    for _ in range(2):
-        events = F.transform(F.from_json(F.get_json_object(raw, "$.logEvents"), "array<struct<message:string,timestamp:string>>"), lambda e: e["message"])
-        buckets = F.from_json(F.get_json_object(raw, "$.results"), "array<string>")
-        start, end = F.get_json_object(raw, "$.start_time"), F.get_json_object(raw, "$.end_time")
-        dated = F.transform(buckets, lambda b: F.when(start.isNotNull(), F.concat(F.lit('{"start_time":"'), start, F.lit('","end_time":"'), F.coalesce(end, F.lit("")), F.lit('",'), F.substring(b, 2, 1_000_000_000))).otherwise(b))
-        inner = F.coalesce(F.get_json_object(raw, "$.jsonPayload"), *[F.when(F.json_object_keys(F.get_json_object(raw, f"$.{k}")).isNotNull(), F.get_json_object(raw, f"$.{k}")) for k in ("message", "textPayload", "log")])
-        rows = rows.withColumn(raw, F.explode(F.coalesce(events, dated, F.array(F.coalesce(inner, F.col(raw))))))
-    return rows
+def _carried(raw: str) -> Column:
+    """What a record carries: messages of log events, dated usage buckets, one JSON payload; null for a plain record."""
+    events = F.transform(F.from_json(F.get_json_object(raw, "$.logEvents"), "array<struct<message:string,timestamp:string>>"), lambda e: e["message"])
+    buckets = F.from_json(F.get_json_object(raw, "$.results"), "array<string>")
+    start, end = F.get_json_object(raw, "$.start_time"), F.get_json_object(raw, "$.end_time")
+    span = F.concat(F.lit('{"start_time":"'), start, F.lit('","end_time":"'), F.coalesce(end, F.lit("")), F.lit('",'))
+    dated = F.transform(buckets, lambda b: F.when(start.isNotNull(), F.concat(span, F.substring(b, 2, 2_147_483_647))).otherwise(b))
+    payloads = [F.get_json_object(raw, f"$.{k}") for k in ("message", "textPayload", "log")]
+    inner = F.coalesce(F.get_json_object(raw, "$.jsonPayload"), *[F.when(F.json_object_keys(p).isNotNull(), p) for p in payloads])
+    return F.coalesce(events, dated, F.when(inner.isNotNull(), F.array(inner)))
+
+
+def expand_envelopes(rows: DataFrame, raw: str = "raw", depth: int = 16) -> DataFrame:
+    """Log records out of their carriers, layer by layer; plain records go through untouched.
+
+    Each round opens only what is still a carrier and ends when nothing is. Records nested deeper than ``depth``
+    come out as the last carrier, as no log export nests that deep.
+    """
+    found = rows.withColumn("_carried", _carried(raw))
+    plain, packed = found.where("_carried is null").drop("_carried"), found.where("_carried is not null")
+    for _ in range(depth):
+        opened = cut(packed.withColumn(raw, F.explode("_carried")).withColumn("_carried", _carried(raw)))
+        plain, packed = plain.unionByName(opened.where("_carried is null").drop("_carried")), opened.where("_carried is not null")
+        if packed.isEmpty():
+            return plain
+    return plain.unionByName(packed.drop("_carried"))
