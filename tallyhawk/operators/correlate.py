@@ -46,7 +46,7 @@ def attribute_runtime(code: DataFrame, observed: DataFrame) -> DataFrame:
     if all observations are complete, else unknown.
     """
     o = observed.select(F.explode("code_resources").alias("resource"), F.col("frameworks").alias("_f"), "environment", "events", "first_seen", "last_seen")
-    j = code.join(o, "resource", "left").where(F.col("_f").isNull() | (F.size("_f") == 0) | F.arrays_overlap("frameworks", "_f"))
+    j = code.select("id", "resource", "frameworks").join(o, "resource", "left").where(F.col("_f").isNull() | (F.size("_f") == 0) | F.arrays_overlap("frameworks", "_f"))
     found = j.groupBy("id").agg(F.sum("events").alias("events"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.array_sort(F.collect_set("environment")).alias("environments"))
     complete = observed.agg(F.coalesce(F.bool_and("complete"), F.lit(False)).alias("_complete"))
     out = code.select("id").join(found, "id", "left").crossJoin(F.broadcast(complete))  # one row

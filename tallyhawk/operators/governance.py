@@ -47,48 +47,56 @@ def metadata_factors(findings: DataFrame) -> Column:
     return F.array_compact(F.array(*[F.when(test, F.struct(F.lit("metadata").alias("grp"), F.lit(i).alias("id"), w.cast("int").alias("weight"))) for i, test, w in rules]))
 
 
-def risk_factors(findings: DataFrame, table: DataFrame, inventory_present: bool = True, basis: str = "combined") -> DataFrame:
-    """One row per finding and factor: ``finding_id, grp, factor, weight``.
+def with_factors(findings: DataFrame, table: DataFrame, inventory_present: bool = True, basis: str = "combined") -> DataFrame:
+    """``findings`` with ``_factors``, an array of ``(grp, factor, weight)``, without a shuffle of the findings.
 
     Reads ``id, kind, capabilities, tags, model_providers, owner, shadow`` and what ``metadata_factors`` reads.
-    Under the basis ``danger`` governance weighs nothing.
+    ``table`` (a row per rule, hundreds at most) travels as one row that holds a map. Under the basis ``danger``
+    governance weighs nothing. Null lists are empty; what the table does not name weighs nothing, but a kind 5.
     """
-    entry = lambda g, x: F.struct(F.lit(g).alias("grp"), x.alias("id"))
+    key = lambda g, x: F.concat(F.lit(f"{g}\u0000"), x)
+    weights = table.where("weight is not null").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("\u0000", "grp", "id"), F.col("weight").cast("int")))).alias("_weights"))
+    entry = lambda g, x, default=None: F.struct(
+        F.lit(g).alias("grp"), x.alias("factor"), F.coalesce(F.element_at(F.col("_weights"), key(g, x)), F.lit(default).cast("int")).alias("weight")
+    )
     has = set(findings.columns)
-    governance = [F.when(F.coalesce(F.col("owner"), F.lit("")) == "", entry("governance", F.lit("no-owner")))]
+    governance = [F.when(F.coalesce(F.col("owner"), F.lit("")) == "", F.lit("no-owner"))]
     if inventory_present:
-        governance += [F.when(F.col("shadow"), entry("governance", F.lit("shadow"))), F.when(~F.col("shadow"), entry("governance", F.lit("registered")))]
+        governance += [F.when(F.col("shadow"), F.lit("shadow")), F.when(~F.col("shadow"), F.lit("registered"))]
     if "mcp_unapproved" in has:
-        governance.append(F.when(F.col("mcp_unapproved") > 0, entry("governance", F.lit("mcp-not-in-approved-registry"))))
-    each = lambda c, g: F.transform(F.array_distinct(F.coalesce(F.col(c), F.array().cast("array<string>"))), lambda x: entry(g, x))
-    lists = [each(c, g) for c, g in (("capabilities", "capability"), ("tags", "tag"), ("model_providers", "provider")) if c in has]
-    keys = F.concat(F.array(entry("kind", F.col("kind"))), *lists, *([F.array_compact(F.array(*governance))] if basis != "danger" else []))
-    looked = findings.select(F.col("id").alias("finding_id"), F.explode(keys).alias("k")).select("finding_id", "k.grp", F.col("k.id").alias("factor"))
-    named = looked.join(F.broadcast(table.withColumnRenamed("id", "factor")), ["grp", "factor"], "left")
-    named = named.withColumn("weight", F.coalesce("weight", F.when(F.col("grp") == "kind", 5))).where("weight is not null and (weight <> 0 or grp = 'kind')")
-    extra = findings.select(F.col("id").alias("finding_id"), F.explode(metadata_factors(findings)).alias("m")).select("finding_id", "m.grp", F.col("m.id").alias("factor"), "m.weight")
-    return named.select("finding_id", "grp", "factor", "weight").unionByName(extra)
+        governance.append(F.when(F.col("mcp_unapproved") > 0, F.lit("mcp-not-in-approved-registry")))
+    each = lambda c, g: F.transform(F.array_compact(F.array_distinct(F.coalesce(c, F.array().cast("array<string>")))), lambda x: entry(g, x))
+    lists = [each(F.col(c), g) for c, g in (("capabilities", "capability"), ("tags", "tag"), ("model_providers", "provider")) if c in has]
+    named = F.filter(F.concat(*lists, *([each(F.array(*governance), "governance")] if basis != "danger" else [F.array().cast("array<struct<grp:string,factor:string,weight:int>>")])), lambda f: f["weight"] != 0)
+    extra = F.transform(metadata_factors(findings), lambda m: F.struct(m["grp"].alias("grp"), m["id"].alias("factor"), m["weight"].alias("weight")))
+    one = findings.crossJoin(F.broadcast(weights))  # one row
+    return one.withColumn("_factors", F.concat(F.array(entry("kind", F.col("kind"), 5)), named, extra)).drop("_weights")
+
+
+def risk_factors(findings: DataFrame, table: DataFrame, inventory_present: bool = True, basis: str = "combined") -> DataFrame:
+    """One row per finding and factor: ``finding_id, grp, factor, weight``; as ``with_factors`` finds them."""
+    each = with_factors(findings, table, inventory_present, basis).select(F.col("id").alias("finding_id"), F.explode("_factors").alias("f"))
+    return each.select("finding_id", "f.grp", "f.factor", "f.weight")
 
 
 def score_risk(findings: DataFrame, table: DataFrame, inventory_present: bool = True, basis: str = "combined") -> DataFrame:
     """``findings`` with ``score, danger_score, level`` and ``factors``, which sum to the score.
 
     The subtotal of all factors is scaled by confidence, rounded half to even and kept within 0 to 100; what
-    scaling and bounds take is listed as factors too.
+    scaling and bounds take is listed as factors too. Row by row: no shuffle.
     """
-    f = risk_factors(findings, table, inventory_present, basis).join(findings.select(F.col("id").alias("finding_id"), "confidence"), "finding_id")
-    sums = f.groupBy("finding_id").agg(
-        F.sum("weight").alias("total"), F.coalesce(F.sum(F.when(F.col("grp") != "governance", F.col("weight"))), F.lit(0)).alias("danger"),
-        F.array_sort(F.collect_list(F.struct(F.col("factor").alias("id"), F.col("grp").alias("description"), F.col("weight").cast("int").alias("weight")))).alias("listed"), F.first("confidence").alias("confidence"),
-    )
+    total = lambda fs: F.aggregate(fs, F.lit(0), lambda a, f: a + f["weight"])
     clamp = lambda x: F.greatest(F.lit(0), F.least(F.lit(100), x))
-    out = sums.withColumns({"_scaled": scaled(F.col("total"), F.col("confidence")), "danger_score": clamp(scaled(F.col("danger"), F.col("confidence")))})
-    out = out.withColumns({"score": clamp(F.col("_scaled")), "_adj": F.when(F.col("confidence") < 1, F.least(F.lit(0), F.col("_scaled") - F.col("total"))).otherwise(0).cast("int")})
+    out = with_factors(findings, table, inventory_present, basis)
+    out = out.withColumns({"_total": total(F.col("_factors")), "_danger": total(F.filter("_factors", lambda f: f["grp"] != "governance"))})
+    out = out.withColumns({"_scaled": scaled(F.col("_total"), F.col("confidence")), "danger_score": clamp(scaled(F.col("_danger"), F.col("confidence")))})
+    out = out.withColumns({"score": clamp(F.col("_scaled")), "_adj": F.when(F.col("confidence") < 1, F.least(F.lit(0), F.col("_scaled") - F.col("_total"))).otherwise(0).cast("int")})
     more = lambda i, d, w, test: F.when(test, F.struct(F.lit(i).alias("id"), F.lit(d).alias("description"), w.cast("int").alias("weight")))
-    rest = F.col("score") - F.col("total") - F.col("_adj")
-    factors = F.concat("listed", F.array_compact(F.array(more("confidence-scaling", "confidence", F.col("_adj"), F.col("confidence") < 1), more("bounds", "bounds", rest, rest != 0))))
-    out = out.select(F.col("finding_id").alias("id"), "score", "danger_score", risk_level("score").alias("level"), factors.alias("factors"))
-    return findings.join(out, "id", "left")
+    rest = F.col("score") - F.col("_total") - F.col("_adj")
+    listed = F.array_sort(F.transform("_factors", lambda f: F.struct(f["factor"].alias("id"), f["grp"].alias("description"), f["weight"].alias("weight"))))
+    added = F.array_compact(F.array(more("confidence-scaling", "confidence", F.col("_adj"), F.col("confidence") < 1), more("bounds", "bounds", rest, rest != 0)))
+    own = [c for c in findings.columns if c not in ("score", "danger_score", "level", "factors")]
+    return out.select(*own, "score", "danger_score", risk_level("score").alias("level"), F.concat(listed, added).alias("factors"))
 
 
 # What evidence raises the least level of autonomy.
@@ -159,16 +167,12 @@ def registration_vote(rows: DataFrame, key: str = "id") -> DataFrame:
 
 
 def declared_governance(findings: DataFrame, inventory: DataFrame, columns: tuple[str, ...] = ("owner_team", "autonomy_level")) -> DataFrame:
-    """Facts of the approving inventory row only; findings without one have nulls."""
-    facts = inventory.select(F.col("agent_id").alias("registry_match"), *[F.col(c).alias(f"declared_{c}") for c in columns]).dropDuplicates(["registry_match"])
+    """Facts of the approving inventory row only (the least of an agent's rows); findings without one have nulls."""
+    facts = inventory.groupBy(F.col("agent_id").alias("registry_match")).agg(F.min(F.struct(*columns)).alias("_f"))
+    facts = facts.select("registry_match", *[F.col(f"_f.{c}").alias(f"declared_{c}") for c in columns])
     return findings.join(facts, "registry_match", "left")
 
 
-def temporal_rank(rows: DataFrame, key: str, ts: str) -> DataFrame:
-    """``_nth`` row of a key in time."""
-    return rows.withColumn("_nth", F.row_number().over(Window.partitionBy(key).orderBy(ts)))
-
-
 def weights_of(policy: Mapping[str, Mapping[str, int]], spark: SparkSession) -> DataFrame:
     """A user's risk policy as a weight table that overrides the built-in one."""
     return spark.createDataFrame([(g, k, int(w)) for g, t in policy.items() for k, w in t.items()], "grp string, id string, weight int")

@@ -26,16 +26,19 @@ def dns_validity(dns: DataFrame, keys: Sequence[str], max_ttl: int = 86_400, ske
     return rows.select(*keys, start.alias("start"), (start + F.col("_ttl") + skew).alias("end"))
 
 
-def attribute_flows(flows: DataFrame, spans: DataFrame, keys: Sequence[str], service: str = "service", flow_id: str = "flow_id", ts: str = "ts") -> DataFrame:
+def attribute_flows(flows: DataFrame, spans: DataFrame, keys: Sequence[str], service: str = "service", flow_id: str = "flow_id", ts: str = "ts", bucket: int = 3600) -> DataFrame:
     """``flow_id, candidates, service, status`` for every flow.
 
     A flow meets the spans of its keys that hold its time; exactly one service attributes it, several make it
-    ambiguous, none leaves it unattributed. The equi keys keep the join hash-based; spans are merged first, so
-    a service meets a flow once per island at most.
+    ambiguous, none leaves it unattributed. Spans are merged first, so a service meets a flow once per island at
+    most, and dealt to the buckets of time they touch (``bucket`` in the unit of ``ts``, an hour of seconds): the
+    bucket is part of the equi key, so a busy address is many keys. A null time or key is unattributed.
     """
-    merged = merge_intervals(spans, [*keys, service])
-    f, s = flows.select(flow_id, *keys, F.col(ts).alias("_t")), merged.withColumnsRenamed({k: f"s_{k}" for k in keys})
-    on = [F.col(k) == F.col(f"s_{k}") for k in keys] + [F.col("_t") >= F.col("start"), F.col("_t") < F.col("end")]
+    at = lambda c: F.floor(F.col(c) / bucket)
+    merged = merge_intervals(spans, [*keys, service]).where(F.col("end") > F.col("start"))
+    s = merged.withColumnsRenamed({k: f"s_{k}" for k in keys}).withColumn("_bucket", F.explode(F.sequence(at("start"), at("end"))))
+    f = flows.select(flow_id, *keys, F.col(ts).alias("_t"), at(ts).alias("_at"))
+    on = [F.col(k) == F.col(f"s_{k}") for k in keys] + [F.col("_at") == F.col("_bucket"), F.col("_t") >= F.col("start"), F.col("_t") < F.col("end")]
     joined = f.join(s, on, "left").groupBy(flow_id).agg(F.count_distinct(service).alias("candidates"), F.min(service).alias("_one"))
     status = F.when(F.col("candidates") == 1, "attributed").when(F.col("candidates") > 1, "ambiguous").otherwise("unattributed")
     return joined.select(flow_id, "candidates", F.when(F.col("candidates") == 1, F.col("_one")).alias("service"), status.alias("status"))

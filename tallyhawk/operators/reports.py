@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallyhawk.functions import weights as W
+from tallyhawk.plans.session import cut
 
 COVERAGE_RANK = {"complete": 0, "skipped": 1, "incomplete": 2, "failed": 3}
 
@@ -108,9 +109,17 @@ def control_evidence(refs: DataFrame, controls: DataFrame, findings: DataFrame,
 
 
 def ranked_counts(rows: DataFrame, value: str) -> DataFrame:
-    """``value, n, place``: most frequent first, null last among equals, then by value."""
+    """``value, n, place``: most frequent first, null last among equals, then by value.
+
+    The counts are dealt by ranges of that order and ranked in each; only the ranges' sizes meet in one task.
+    """
+    order = (F.desc("n"), F.asc_nulls_last("value"))
     counts = rows.groupBy(F.col(value).alias("value")).agg(F.count("*").alias("n"))
-    return counts.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), F.asc_nulls_last("value"))))
+    dealt = cut(counts.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    sizes = dealt.groupBy("_range").agg(F.count("*").alias("_size"))
+    before = sizes.select("_range", F.coalesce(F.sum("_size").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) + F.col("_before")
+    return dealt.join(F.broadcast(before), "_range").select("value", "n", place.alias("place"))  # a row per range
 
 
 def inventory_counts(findings: DataFrame, levels: DataFrame) -> DataFrame:

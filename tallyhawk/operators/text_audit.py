@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import itertools
+from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,26 +13,63 @@ from pyspark.sql.window import Window
 from tallyhawk.functions.scalars import placeholder_reason, shannon_entropy
 from tallyhawk.plans.session import cut
 
-# What is withheld, in this order.
+# Published credential forms; how they begin, the characters that follow, the fewest of those.
+TOKEN_FORMS = (
+    ("sk-", "A-Za-z0-9_-", 8), ("pk-", "A-Za-z0-9_-", 16), ("rk-", "A-Za-z0-9_-", 16),
+    ("sk_live_", "A-Za-z0-9", 16), ("sk_test_", "A-Za-z0-9", 16), ("rk_live_", "A-Za-z0-9", 16), ("rk_test_", "A-Za-z0-9", 16), ("whsec_", "A-Za-z0-9", 24),
+    ("ghp_", "A-Za-z0-9", 8), ("gho_", "A-Za-z0-9", 8), ("ghu_", "A-Za-z0-9", 8), ("ghs_", "A-Za-z0-9", 8), ("ghr_", "A-Za-z0-9", 8), ("github_pat_", "A-Za-z0-9_", 8),
+    ("glpat-", "A-Za-z0-9_-", 8), ("glrt-", "A-Za-z0-9_-", 8), ("gldt-", "A-Za-z0-9_-", 8), ("glptt-", "A-Za-z0-9_-", 8),
+    ("xoxa-", "A-Za-z0-9-", 8), ("xoxb-", "A-Za-z0-9-", 8), ("xoxe-", "A-Za-z0-9-", 8), ("xoxp-", "A-Za-z0-9-", 8), ("xoxr-", "A-Za-z0-9-", 8), ("xoxs-", "A-Za-z0-9-", 8), ("xapp-", "A-Za-z0-9-", 8),
+    ("AIza", "A-Za-z0-9_-", 16), ("ya29.", "A-Za-z0-9_-", 20), ("GOCSPX-", "A-Za-z0-9_-", 20), ("hf_", "A-Za-z0-9", 8),
+    ("gsk_", "A-Za-z0-9", 40), ("pcsk_", "A-Za-z0-9_", 20), ("tgp_v1_", "A-Za-z0-9_-", 30), ("tvly-", "A-Za-z0-9_-", 20), ("xai-", "A-Za-z0-9", 60), ("pplx-", "A-Za-z0-9", 40),
+    ("csk-", "A-Za-z0-9", 30), ("nvapi-", "A-Za-z0-9_-", 60), ("r8_", "A-Za-z0-9", 30), ("npm_", "A-Za-z0-9", 30), ("pypi-AgE", "A-Za-z0-9_-", 40), ("dapi", "a-f0-9", 32),
+    ("dop_v1_", "a-f0-9", 64), ("ATATT3", "A-Za-z0-9_=-", 40), ("lin_api_", "A-Za-z0-9", 32), ("ntn_", "A-Za-z0-9", 40), ("sbp_", "a-f0-9", 40), ("glc_", "A-Za-z0-9+/", 32),
+    ("shpat_", "a-fA-F0-9", 32), ("hvs.", "A-Za-z0-9_-", 24), ("ABSK", "A-Za-z0-9+/", 60), ("bedrock-api-key-", "A-Za-z0-9+/_-", 40),
+)
+# Addresses whose path is the credential; what is kept of them.
+SECRET_PATHS = (
+    "hooks.slack.com/services/", "hooks.slack.com/workflows/", "hooks.slack.com/triggers/", "discord.com/api/webhooks/", "discordapp.com/api/webhooks/",
+    "outlook.office.com/webhook/", "hooks.zapier.com/hooks/", "mcp.zapier.com/api/mcp/s/", "actions.zapier.com/mcp/", "api.telegram.org/bot",
+)
+
+
+def _either(literals: tuple[str, ...]) -> str:
+    return "|".join(x.replace(".", r"\.") for x in literals)
+
+
+# What is withheld, in this order: words that a text must hold (in lower case; any of them), pattern, replacement.
 REDACTIONS = (
-    (r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----", "[REDACTED:private-key]"),
-    (r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]*", "[REDACTED:jwt]"),
-    (r"AKIA[A-Z0-9]{14,}", "[REDACTED:access-key]"),
-    (r"(?:sk|pk|rk)-[A-Za-z0-9_-]{16,}", "[REDACTED:api-key]"),
-    (r"gh[opsu]_[A-Za-z0-9]{20,}", "[REDACTED:api-key]"),
-    (r"(?i)(authorization\s*[:=]\s*(?:bearer|basic)\s+)[A-Za-z0-9+/_.=-]+", "$1[REDACTED]"),
-    (r"([a-zA-Z][a-zA-Z0-9+.-]*://)[^/\s:@]+:[^/\s@]+@", "$1[REDACTED]@"),
-    (r"(?i)([?&](?:key|token|secret|password|sig|signature)=)[^&\s#]+", "$1[REDACTED]"),
-    (r"""(?i)((?:password|passwd|secret|token|api_?key)["']? *[:=] *["']?)[A-Za-z0-9+/_.=-]{12,}""", "$1[REDACTED]"),
-    (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[REDACTED:email]"),
-    (r"\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b", "[REDACTED:ip]"),
+    (("private key",), r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?(?:-----END [A-Z ]*PRIVATE KEY-----|\z)", "[REDACTED:private-key]"),
+    (("eyj",), r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}(?:\.[A-Za-z0-9_-]*)+", "[REDACTED:jwt]"),
+    (("akia", "asia"), r"AKIA[A-Z0-9]{14,}|\bASIA[A-Z0-9]{16}\b", "[REDACTED:access-key]"),
+    ((), r"(?<![A-Za-z0-9_])(?:" + "|".join(_either((start,)) + f"[{body}]{{{least},}}" for start, body, least in TOKEN_FORMS) + ")", "[REDACTED:api-key]"),
+    (("hooks", "mcp", "telegram"), f"({_either(SECRET_PATHS)})[^\\s\"'<>\\[\\]]+", "$1[REDACTED]"),
+    (("authorization",), r"(?i)(authorization\s*[:=]\s*(?:bearer|basic)\s+)[A-Za-z0-9+/_.=-]+", "$1[REDACTED]"),
+    (("://",), r"([a-zA-Z][a-zA-Z0-9+.-]*://)[^/\s:@]+:[^/\s@]+@", "$1[REDACTED]@"),
+    (("?", "&"), r"(?i)([?&](?:key|token|secret|password|sig|signature)=)[^&\s#]+", "$1[REDACTED]"),
+    (("password", "passwd", "secret", "token", "apikey", "api_key"), r"""(?i)((?:password|passwd|secret|token|api_?key)["']? *[:=] *["']?)[A-Za-z0-9+/_.=-]{12,}""", "$1[REDACTED]"),
+    (("@",), r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[REDACTED:email]"),
+    ((), r"\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b", "[REDACTED:ip]"),
 )
 
 
+def _redaction_step(words: tuple[str, ...], pattern: str, instead: str) -> Callable[[Column], Column]:
+    def step(t: Column) -> Column:
+        done = F.regexp_replace(t, pattern, instead)
+        held = [F.lower(t).contains(w) for w in words]
+        return F.when(reduce(Column.__or__, held), done).otherwise(t) if held else done
+
+    return step
+
+
 def redact_text(text: Column) -> Column:
-    """Tokens, keys, headers, URL credentials, assignments, addresses replaced, in the listed order. Null stays null."""
-    for pattern, instead in REDACTIONS:
-        text = F.regexp_replace(text, pattern, instead)
+    """Tokens, keys, headers, secret addresses, URL credentials, assignments, addresses replaced, in the listed order. Null stays null.
+
+    A pattern is tried only on texts that hold one of its words; each step names its text once, so the
+    expression grows with the number of rules only.
+    """
+    for rule in REDACTIONS:
+        text = F.element_at(F.transform(F.array(text), _redaction_step(*rule)), 1)
     return text
 
 

@@ -111,7 +111,7 @@ SELECT event_id AS flow_id, n AS candidates, CASE WHEN n = 1 THEN one END AS ser
 def dns_flow_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
     flows = events.where("event_type = 'purchase'").select(F.col("event_id").alias("flow_id"), "user_id", _us("ts").alias("ts"))
-    return network.attribute_flows(flows, _spans(events), ["user_id"])
+    return network.attribute_flows(flows, _spans(events), ["user_id"], bucket=3_600_000_000)  # times in microseconds
 
 
 @query("""
