@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyhawk.functions.scalars import finding_id, get_path, glob_to_regex
+from tallyhawk.operators.matching import small
 
 
 def egress_policy_gap(workloads: DataFrame, policies: DataFrame) -> DataFrame:
@@ -66,7 +67,7 @@ def cloud_resource_findings(records: DataFrame, provider: str) -> tuple[DataFram
 
 def k8s_workloads(containers: DataFrame, images: DataFrame, bindings: DataFrame, policies: DataFrame) -> DataFrame:
     """Container rows (``cluster, namespace, workload, service_account, image, env ARRAY<STRING>, gpu, privileged, exposed``) as workloads with tags."""
-    ai = containers.join(F.broadcast(images.select(F.col("pattern").alias("_p"), "signature_id")), F.regexp_like(F.col("image"), F.col("_p")), "left")
+    ai = containers.join(small(images.select(F.col("pattern").alias("_p"), "signature_id")), F.regexp_like(F.col("image"), F.col("_p")), "left")
     w = ai.groupBy("cluster", "namespace", "workload").agg(F.first("service_account").alias("service_account"), F.array_sort(F.collect_set("signature_id")).alias("frameworks"), F.bool_or("gpu").alias("gpu"), F.bool_or("privileged").alias("privileged"), F.bool_or("exposed").alias("exposed"), F.bool_or(F.exists("env", lambda e: e.rlike(r"^(OPENAI|ANTHROPIC|AZURE_OPENAI|GOOGLE|GEMINI|MISTRAL|COHERE)_.*KEY"))).alias("provider_env"))
     w = w.where((F.size("frameworks") > 0) | F.col("gpu") | F.col("provider_env"))
     gap = egress_policy_gap(w, policies).select("cluster", "namespace", "workload", F.lit(True).alias("_gap"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallyhawk.functions.scalars import plaintext_remote, version_pinned
+from tallyhawk.operators.matching import small
 
 
 def tool_name_shadowing(tools: DataFrame, name: str = "name", server: str = "server") -> DataFrame:
@@ -91,7 +92,7 @@ def classify_process(processes: DataFrame, rules: DataFrame) -> DataFrame:
     word = lambda i: F.element_at(F.filter("argv", lambda a: ~a.startswith("-")), i)
     target = F.when(F.col("exe").rlike(r"^(npx|uvx|bunx|pipx)$"), F.try_element_at(F.filter("argv", lambda a: ~a.startswith("-")), F.lit(2))).when(F.col("exe").rlike(r"^python[0-9.]*$"), F.nullif(F.regexp_extract(F.array_join("argv", " "), r"\s-m\s+(\S+)", 1), F.lit(""))).when(F.col("exe").rlike(r"^(node|deno|bun)$"), F.nullif(F.regexp_extract(F.array_join("argv", " "), r"node_modules/((?:@[^/\s]+/)?[^/\s]+)", 1), F.lit("")))
     p = processes.withColumn("_t", F.regexp_replace(F.coalesce(target, F.lit("")), r"(?<=.)@[^/]*$", ""))
-    r = F.broadcast(rules.select(F.col("match").alias("_m"), "tool"))
+    r = small(rules.select(F.col("match").alias("_m"), "tool"))
     return p.join(r, (F.col("exe") == F.col("_m")) | (F.col("_t") == F.col("_m"))).drop("_m").withColumnRenamed("_t", "target")
 
 
@@ -117,7 +118,7 @@ LOCAL_PORTS = (11434, 1234, 8080, 8000)
 
 def ebpf_egress(events: DataFrame, ai_hosts: DataFrame) -> DataFrame:
     """Connections to known hosts or local model ports, per process and destination."""
-    known = events.join(F.broadcast(ai_hosts.select(F.col("host").alias("destination"), F.lit(True).alias("_ai"))), "destination", "left")
+    known = events.join(ai_hosts.select(F.col("host").alias("destination"), F.lit(True).alias("_ai")), "destination", "left")
     return known.where(F.col("_ai") | F.col("destination_port").isin(*LOCAL_PORTS)).groupBy("process_name", "destination", "destination_port", "namespace", "pod").agg(F.count("*").alias("connections"))
 
 

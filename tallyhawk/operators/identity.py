@@ -28,7 +28,7 @@ def join_directory(principals: DataFrame, grants: DataFrame, assignments: DataFr
     Principals that snapshots describe differently are marked, not merged.
     """
     scopes = grants.select("client_id", "consent_type", F.explode(F.split(F.trim("scope"), r"\s+")).alias("scope")).groupBy("client_id").agg(F.array_sort(F.collect_set("scope")).alias("scopes"), F.bool_or(F.col("consent_type") == "AllPrincipals").alias("tenant_wide"))
-    named = assignments.join(F.broadcast(roles), "role_id", "left").groupBy("principal_id").agg(F.array_sort(F.collect_set(F.coalesce("role", "role_id"))).alias("app_roles"))
+    named = assignments.join(roles, "role_id", "left").groupBy("principal_id").agg(F.array_sort(F.collect_set(F.coalesce("role", "role_id"))).alias("app_roles"))
     state = principals.groupBy("id").agg(F.count_distinct(F.sha2(F.concat_ws("\x1f", "app_id", "name"), 256)).alias("_states"), F.min_by("app_id", "snapshot").alias("app_id"), F.min_by("name", "snapshot").alias("name"))
     out = state.join(scopes, F.col("id") == F.col("client_id"), "left").join(named, F.col("id") == F.col("principal_id"), "left")
     out = out.select("id", "app_id", "name", (F.col("_states") > 1).alias("conflicting"), "scopes", F.coalesce("tenant_wide", F.lit(False)).alias("tenant_wide"), "app_roles")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallyhawk.functions.scalars import glob_to_regex, normalise_remote_url, usable_identity
+from tallyhawk.operators.matching import small
 
 SCOPES = ("surface", "provider", "account", "region")
 
@@ -33,7 +34,7 @@ def reconcile_inventory(findings: DataFrame, inventory: DataFrame, pattern: str
     usable = findings.where(usable_identity("resource"))
     literal = usable.join(inv.where("not _wild"), F.col("resource") == F.col("_pattern")).where(_in_scope("inv"))
     globs = inv.where("_wild").withColumn("_regex", glob_to_regex("_pattern"))
-    matched = usable.join(F.broadcast(globs), F.regexp_like(F.col("resource"), F.col("_regex"))).where(_in_scope("inv"))
+    matched = usable.join(small(globs), F.regexp_like(F.col("resource"), F.col("_regex"))).where(_in_scope("inv"))
     hits = literal.select("id", f"inv.{ident}").union(matched.select("id", f"inv.{ident}")).groupBy("id").agg(F.count_distinct(ident).alias("_n"), F.min(ident).alias("_one"))
     known = inventory.limit(1).agg(F.count("*").alias("_known"))
     out = findings.join(hits, "id", "left").crossJoin(F.broadcast(known))  # one row
@@ -48,13 +49,13 @@ def suggest_by_name(findings: DataFrame, names: DataFrame, text: str = "title",
     escaped = F.regexp_replace("name", r"([.+^$(){}|\\\[\]*?])", r"\\$1")
     n = n.withColumn("_re", F.concat(F.lit("(?<![a-z0-9])"), escaped, F.lit("(?![a-z0-9])")))
     low = F.lower(F.col(text))
-    return findings.join(F.broadcast(n), low.contains(F.col("name")) & F.regexp_like(low, F.col("_re"))).select("id", "name")
+    return findings.join(small(n), low.contains(F.col("name")) & F.regexp_like(low, F.col("_re"))).select("id", "name")
 
 
 def inventory_warnings(inventory: DataFrame, probes: DataFrame, pattern: str = "pattern", many: int = 2) -> DataFrame:
     """Approvals whose pattern is universal or takes in several unrelated probe names."""
     p = inventory.select("agent_id", pattern, glob_to_regex(pattern).alias("_re"))
-    hits = p.join(F.broadcast(probes.select("probe")), F.regexp_like(F.col("probe"), F.col("_re")), "left").groupBy("agent_id", pattern).agg(F.count("probe").alias("probes"))
+    hits = p.join(small(probes.select("probe")), F.regexp_like(F.col("probe"), F.col("_re")), "left").groupBy("agent_id", pattern).agg(F.count("probe").alias("probes"))
     return hits.withColumn("warning", F.when(F.col(pattern).rlike(r"^[*?/:]*$"), "universal").when(F.col("probes") >= many, "broad")).where("warning is not null")
 
 
@@ -132,5 +133,5 @@ def assign_owner(paths: DataFrame, rules: DataFrame, path: str = "path") -> Data
     rx = F.regexp_replace(F.regexp_replace(F.regexp_replace(rx, r"\*\*", "\u0002"), r"\*", "[^/]*"), r"\?", "[^/]")
     rx = F.regexp_replace(F.regexp_replace(rx, "\u0001", "(?:.*/)?"), "\u0002", ".*")
     r = rules.select("line_no", "owners", F.concat(F.when(anchored, r"\A").otherwise(r"\A(?:.*/)?"), rx, F.lit(r"(?:/.*)?\z")).alias("_re"))
-    hit = paths.select(path).distinct().join(F.broadcast(r), F.regexp_like(F.col(path), F.col("_re"))).groupBy(path).agg(F.max_by("owners", "line_no").alias("owners"))
+    hit = paths.select(path).distinct().join(small(r), F.regexp_like(F.col(path), F.col("_re"))).groupBy(path).agg(F.max_by("owners", "line_no").alias("owners"))
     return paths.join(hit, path, "left")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallyhawk.functions import weights as W
+from tallyhawk.operators.matching import small
 from tallyhawk.plans.session import cut
 
 COVERAGE_RANK = {"complete": 0, "skipped": 1, "incomplete": 2, "failed": 3}
@@ -94,7 +95,7 @@ def map_controls(findings: DataFrame, rules: DataFrame) -> DataFrame:
     test = (F.col("r.kinds").isNull() | F.array_contains("r.kinds", F.col("f.kind"))) & overlap("tags") & overlap("capabilities")
     test = test & (F.col("r.min_floor").isNull() | F.coalesce(F.col("f.floor") >= F.col("r.min_floor"), F.lit(False)))
     test = test & (F.col("r.shadow").isNull() | F.coalesce(F.col("f.shadow") == F.col("r.shadow"), F.lit(False)))
-    return findings.alias("f").join(F.broadcast(rules.alias("r")), test).select("f.id", "r.ref").distinct()
+    return findings.alias("f").join(small(rules).alias("r"), test).select("f.id", "r.ref").distinct()
 
 
 def control_evidence(refs: DataFrame, controls: DataFrame, findings: DataFrame, complete: bool, examples: int = 3) -> DataFrame:
