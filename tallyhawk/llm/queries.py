@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators."""
+"""The registered queries of the training-data operators."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyhawk.llm import chat, decontaminate, embed_dedup, html_extract, near_dup, packing, quality, secrets, suffix_tree, token_counts
+from tallyhawk.llm import bpe_codec, chat, decontaminate, embed_dedup, html_extract, near_dup, packing, quality, secrets, suffix_tree, token_counts
 from tallyhawk.plans.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,10 +53,15 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op13_byte_pair_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_codec.round_trip(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_secrets, op2_suffix_tree, op3_packing, op4_main_text, op5_token_counts, op6_vector_links, op7_preferences, op8_leaks, op9_quality, op10_near_duplicates,
+        op13_byte_pair_round_trip,
     )
 }
 
