@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,18 +29,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the cluster's checkpoint folder and go on from there.
+def shared_folder(spark: SparkSession) -> str:
+    """A folder that the driver and all executors see: the one in ``spark.checkpoint.dir``.
 
-    Every executor reads those files, so a lost executor costs no recomputation. The folder is the one in
-    ``spark.checkpoint.dir``. Where that is unset, a local session makes a temporary one; a cluster must name a
-    shared folder, as executors don't see the driver's.
+    Where that is unset, a local session makes a temporary one; a cluster must name it, as executors don't see
+    the driver's folders.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None and not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tallyhawk-"))
+    return str(context.getCheckpointDir())
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the cluster's checkpoint folder and go on from there.
+
+    Every executor reads those files, so a lost executor costs no recomputation.
+    """
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Like ``cut``, but as a compressed table, of which later steps read the columns they need."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
