@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyhawk.llm import bpe_codec, chat, decontaminate, divergence, embed_dedup, html_extract, near_dup, packing, quality, secrets, suffix_tree, token_counts
+from tallyhawk.llm import bpe_codec, chat, conversation_repair, decontaminate, divergence, embed_dedup, html_extract, near_dup, packing, quality, secrets, suffix_tree, token_counts
 from tallyhawk.plans.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,6 +57,10 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair(table(spark, sf_dir, "conversations"))
+
+
 def op13_byte_pair_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.round_trip(table(spark, sf_dir, "documents"))
 
@@ -65,9 +69,9 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_secrets, op2_suffix_tree, op3_packing, op4_main_text, op5_token_counts, op6_vector_links, op7_preferences, op8_leaks, op9_quality, op10_near_duplicates,
-        op11_source_divergence, op13_byte_pair_round_trip,
+        op11_source_divergence, op12_conversation_repair, op13_byte_pair_round_trip,
     )
 }
 
 #: DuckDB SQL, where SQL can express a query.
-ORACLE: dict[str, str] = {"op7_preferences": chat.ORACLE, "op8_leaks": decontaminate.ORACLE, "op11_source_divergence": divergence.ORACLE}
+ORACLE: dict[str, str] = {"op7_preferences": chat.ORACLE, "op8_leaks": decontaminate.ORACLE, "op11_source_divergence": divergence.ORACLE, "op12_conversation_repair": conversation_repair.ORACLE}
