@@ -16,7 +16,12 @@ from tallyhawk.plans.session import cut, stored
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 #: Entries that a task's counts hold before they are passed on.
-HELD = 800_000
+HELD = 1_500_000
+#: An entry is its occurrences and, from this bit on, its documents.
+ONE_BITS = 40
+ONE = 1 << ONE_BITS
+#: Chunks of a language that a task remembers to have looked up in the filter.
+LOOKED_UP = 400_000
 #: Bits of the filter of chunks whose documents must be told apart: 2 MB, whatever the input.
 FILTER_BITS = 1 << 24
 #: Groups (language and source) up to which their table is broadcast; beyond, it is shuffled.
@@ -37,24 +42,20 @@ def count_chunks(docs: DataFrame) -> DataFrame:
         def rows(counts: dict) -> Iterator[pa.RecordBatch]:
             for (lang, source), entries in counts.items():
                 n = len(entries)
-                flat = np.fromiter((v for e in entries.values() for v in e), dtype=np.int64, count=2 * n).reshape(n, 2)
+                both = np.fromiter(entries.values(), dtype=np.int64, count=n)
                 chunks = pa.array(list(entries), pa.binary()).cast(pa.string())
-                yield pa.RecordBatch.from_arrays([pa.repeat(lang, n), pa.repeat(source, n), chunks, pa.array(flat[:, 0]), pa.array(flat[:, 1])], ["lang", "source", "chunk", "occurrences", "documents"])
+                yield pa.RecordBatch.from_arrays([pa.repeat(lang, n), pa.repeat(source, n), chunks, pa.array(both & (ONE - 1)), pa.array(both >> ONE_BITS)], ["lang", "source", "chunk", "occurrences", "documents"])
 
-        counts: dict[tuple, dict[bytes, list[int]]] = defaultdict(dict)
+        counts: dict[tuple, dict[bytes, int]] = defaultdict(dict)
         held = 0
         for batch in batches:
             langs, sources = batch.column(1).to_pylist(), batch.column(2).to_pylist()
             for text, lang, source in zip(batch.column(0), langs, sources, strict=True):
                 group = counts[lang, source]
                 held -= len(group)
-                for chunk, n in Counter(text.as_buffer().to_pybytes().split() if text.is_valid else ()).items():
-                    entry = group.get(chunk)
-                    if entry is None:
-                        group[chunk] = [n, 1]
-                    else:
-                        entry[0] += n
-                        entry[1] += 1
+                known = group.get
+                for chunk, n in Counter(text.as_buffer().to_pybytes().split()).items():
+                    group[chunk] = known(chunk, 0) + n + ONE
                 held += len(group)
                 if held > HELD:
                     yield from rows(counts)
@@ -124,22 +125,34 @@ def count_documents(docs: DataFrame, chunks: DataFrame, open_terms: DataFrame, l
         import xxhash
         from pyspark import TaskContext
 
+        def looked_up(lang: str, chunks: list[bytes]) -> Iterator[bytes]:
+            seed = xxhash.xxh64_intdigest(lang.encode(), seed=42)  # as the hash of two columns has it
+            h = np.fromiter((xxhash.xxh64_intdigest(c, seed=seed) for c in chunks), dtype=np.uint64, count=len(chunks))
+            hit = np.ones(len(h), dtype=bool)
+            for place in _positions(h):
+                hit &= (bits[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) == 1
+            return (chunks[i] for i in np.flatnonzero(hit).tolist())
+
         row = TaskContext.get().partitionId() << 40
+        known: dict[str, tuple[set[bytes], set[bytes]]] = defaultdict(lambda: (set(), set()))
         for batch in batches:
             rows, langs, found = [], [], []
             for text, lang in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 row += 1
-                different = list(set(text.as_buffer().to_pybytes().split())) if text.is_valid else []
-                if different:
-                    seed = xxhash.xxh64_intdigest(lang.encode(), seed=42)  # as the hash of two columns has it
-                    h = np.fromiter((xxhash.xxh64_intdigest(c, seed=seed) for c in different), dtype=np.uint64, count=len(different))
-                    hit = np.ones(len(h), dtype=bool)
-                    for place in _positions(h):
-                        hit &= (bits[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) == 1
-                    at = np.flatnonzero(hit).tolist()
-                    rows += [row] * len(at)
-                    langs += [lang] * len(at)
-                    found += [different[i] for i in at]
+                different = set(text.as_buffer().to_pybytes().split())
+                seen, hits = known[lang]
+                new = different - seen
+                if new:
+                    if len(seen) > LOOKED_UP:
+                        seen.clear()
+                        hits.clear()
+                        new = different
+                    seen |= new
+                    hits.update(looked_up(lang, list(new)))
+                mine = different & hits
+                rows += [row] * len(mine)
+                langs += [lang] * len(mine)
+                found += mine
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(langs, pa.string()), pa.array(found, pa.binary()).cast(pa.string())], ["row", "lang", "chunk"])
 
     seen = docs.select("text", "lang").mapInArrow(run, "row long, lang string, chunk string").join(rare, ["lang", "chunk"])
