@@ -22,6 +22,10 @@ _PATHS = [
 _AGENTS = ["Mozilla/5.0 (X11) Firefox/1", "Mozilla/5.0 (compatible; Somebot/2)", "python-requests/2", None, "Mozilla/5.0 (X11) HeadlessChrome/1"]
 
 
+def _sql_list(values: list) -> str:
+    return "[" + ", ".join("NULL" if v is None else f"'{v}'" for v in values) + "]"
+
+
 def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("event_id")
     return table(spark, sf_dir, "events").select(
@@ -30,9 +34,18 @@ def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("""
-SELECT event_id, event_id % 7 <> 0 AND event_id % 12 IN (0, 1, 8, 9, 10) AND NOT (event_id % 3 = 0 AND event_id % 2 = 1) AS generation, event_id % 5 = 0 AS browser, event_id % 12 = 5 AS mcp, event_id % 12 IN (4, 6) AS static,
-       CASE WHEN event_id % 7 <> 0 AND event_id % 12 = 7 THEN 'Assistants API run' END AS operation FROM events""")
+_REQUESTS_SQL = f"""
+WITH q AS (SELECT event_id, user_id, {_sql_list(_PATHS)}[event_id % 12 + 1] AS path, CASE WHEN event_id % 7 <> 0 THEN 'POST' ELSE 'GET' END AS method, {_sql_list(_AGENTS)}[event_id % 5 + 1] AS agent,
+                  CASE WHEN event_id % 6 = 0 THEN 'gpt' WHEN event_id % 3 = 0 THEN 'text-embedding' END AS model, CASE WHEN event_id % 12 = 7 THEN 'api.openai.com' ELSE 'h.example' END AS host FROM events),
+b AS (SELECT *, rtrim(split_part(path, '?', 1), '/') AS bare FROM q)"""
+
+
+@query(_REQUESTS_SQL + r"""
+SELECT event_id, method = 'POST' AND NOT coalesce(regexp_matches(model, 'embed'), false) AND NOT regexp_matches(bare, 'embed')
+           AND regexp_matches(bare, '^((/v1|/openai/deployments/[^/]+)?/(chat/completions|completions|messages|responses)|/model/[^/]+/(invoke|converse)(-with-response-stream|-stream)?)$') AS generation,
+       coalesce(agent LIKE 'Mozilla/5.0 (%' AND regexp_matches(agent, '[) ](Firefox|Chrome|Safari)/') AND NOT regexp_matches(agent, 'compatible;|Headless'), false) AS browser,
+       regexp_matches(bare, '(^|/)mcp$') AS mcp, bare IN ('/healthz', '/static/app.js') AS static,
+       CASE WHEN method = 'POST' AND host = 'api.openai.com' AND regexp_matches(bare, '^/v1/threads/[^/]+/runs$') THEN 'Assistants API run' END AS operation FROM b""")
 def request_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = _requests(spark, sf_dir)
     return r.select(
