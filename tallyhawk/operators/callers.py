@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallyhawk.functions.scalars import agent_operation, is_browser_ua, is_generation, is_mcp_request
+from tallyhawk.operators.islands import union_spans
 
 STATIC = r"(?i)\.(?:js|css|png|jpe?g|gif|svg|ico|woff2?|ttf|map|html?)$|^/(?:healthz?|livez|readyz|metrics|ping|status|favicon\.ico|robots\.txt)/?$"
 INFERENCE = r"(?i)/(?:chat/completions|completions|responses|messages|embeddings|generate|converse|invoke)(?:[/?:-]|$)|:(?:streamG|g)enerateContent|/(?:threads|runs|assistants|agents|runtimes|reasoningEngines)(?:/|$)|/mcp/?$"
@@ -90,13 +91,10 @@ def loop_cadence(events: DataFrame, keys: Sequence[str], ts: str = "ts", gap_sec
     """Runs of calls at most ``gap_seconds`` apart; a run of ``least`` different times or more is a loop.
 
     Columns: ``calls`` (different times), ``loops``, ``longest`` (0 without a loop), ``calls_in_loops``, ``share``.
-    Rows without a time don't count.
+    Rows without a time don't count. A busy caller is many tasks: see ``union_spans``.
     """
     times = events.where(F.col(ts).isNotNull()).select(*keys, F.unix_micros(F.col(ts).cast("timestamp")).alias("_t")).distinct()
-    order = Window.partitionBy(*keys).orderBy("_t")
-    new = F.when(F.col("_t") - F.lag("_t").over(order) <= int(gap_seconds * 1_000_000), 0).otherwise(1)
-    runs = times.withColumn("_new", new).withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    runs = runs.groupBy(*keys, "_run").agg(F.count("*").alias("_n"))
+    runs = union_spans(times.withColumn("_u", F.col("_t")), keys, "_t", "_u", gap=int(gap_seconds * 1_000_000)).withColumnRenamed("spans", "_n")
     loop = F.col("_n") >= least
     out = runs.groupBy(*keys).agg(
         F.sum("_n").alias("calls"), F.count_if(loop).alias("loops"), F.coalesce(F.max(F.when(loop, F.col("_n"))), F.lit(0)).alias("longest"),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyhawk.functions.scalars import usable_identity
+from tallyhawk.operators.islands import join_spans
 
 
 def key_pairs(rows: DataFrame, identifier: str, entity: str, group_limit: int = 25, differ: tuple[str, ...] = ("connector", "surface"), scope: str | None = None) -> DataFrame:
@@ -68,9 +69,10 @@ def link_sessions(events: DataFrame, assumptions: DataFrame, key: str, event_id:
 
     Covering means equal keys and ``start <= ts <= end <= start + hours``; a link needs exactly one candidate.
     """
-    a = assumptions.where(F.col(end) <= F.col(start) + F.expr(f"interval {hours} hours")).select(F.col(key).alias("_k"), F.col(start).alias("_s"), F.col(end).alias("_e"), F.col(ident).alias("_id"))
-    j = events.select(event_id, F.col(key).alias("_key"), F.col(ts).alias("_t")).join(a, (F.col("_key") == F.col("_k")) & F.col("_t").between(F.col("_s"), F.col("_e")), "left")
-    out = j.groupBy(event_id).agg(F.count("_id").alias("candidates"), F.min("_id").alias("_one"))
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    a = assumptions.where(F.col(end) <= F.col(start) + F.expr(f"interval {hours} hours")).select(F.col(key).alias("_key"), micros(start).alias("_s"), micros(end).alias("_e"), F.col(ident).alias("_id"))
+    e = events.select(F.col(event_id).alias("_event"), F.col(key).alias("_key"), micros(ts).alias("_t"))
+    out = join_spans(e, a, ["_key"], "_t", "_s", "_e", closed=True).groupBy(F.col("_event").alias(event_id)).agg(F.count("_id").alias("candidates"), F.min("_id").alias("_one"))
     status = F.when(F.col("candidates") == 1, "linked").when(F.col("candidates") > 1, "ambiguous").otherwise("none")
     return out.select(event_id, "candidates", F.when(F.col("candidates") == 1, F.col("_one")).alias("linked"), status.alias("status"))
 

@@ -6,17 +6,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from tallyhawk.operators.islands import join_spans, union_spans
 
 
 def merge_intervals(spans: DataFrame, keys: Sequence[str], start: str = "start", end: str = "end") -> DataFrame:
-    """Union of overlapping and touching spans of each key. Spans with a null end or a negative length are dropped."""
-    rows = spans.where(F.col(start).isNotNull() & (F.col(end) >= F.col(start))).select(*keys, F.col(start).alias("_s"), F.col(end).alias("_e"))
-    order = Window.partitionBy(*keys).orderBy("_s", "_e")
-    reach = F.max("_e").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumn("_new", F.when(F.col("_s") <= reach, 0).otherwise(1))
-    rows = rows.withColumn("_island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    return rows.groupBy(*keys, "_island").agg(F.min("_s").alias(start), F.max("_e").alias(end), F.count("*").alias("spans")).drop("_island")
+    """Union of overlapping and touching spans of each key, with how many they were; see ``union_spans``."""
+    return union_spans(spans, keys, start, end)
 
 
 def dns_validity(dns: DataFrame, keys: Sequence[str], max_ttl: int = 86_400, skew: int = 5) -> DataFrame:
@@ -26,20 +22,17 @@ def dns_validity(dns: DataFrame, keys: Sequence[str], max_ttl: int = 86_400, ske
     return rows.select(*keys, start.alias("start"), (start + F.col("_ttl") + skew).alias("end"))
 
 
-def attribute_flows(flows: DataFrame, spans: DataFrame, keys: Sequence[str], service: str = "service", flow_id: str = "flow_id", ts: str = "ts", bucket: int = 3600) -> DataFrame:
+def attribute_flows(flows: DataFrame, spans: DataFrame, keys: Sequence[str], service: str = "service", flow_id: str = "flow_id", ts: str = "ts") -> DataFrame:
     """``flow_id, candidates, service, status`` for every flow.
 
     A flow meets the spans of its keys that hold its time; exactly one service attributes it, several make it
     ambiguous, none leaves it unattributed. Spans are merged first, so a service meets a flow once per island at
-    most, and dealt to the buckets of time they touch (``bucket`` in the unit of ``ts``, an hour of seconds): the
-    bucket is part of the equi key, so a busy address is many keys. A null time or key is unattributed.
+    most. Times are whole numbers of any unit, and spans of any length: see ``join_spans``. A null time or key is
+    unattributed.
     """
-    at = lambda c: F.floor(F.col(c) / bucket)
-    merged = merge_intervals(spans, [*keys, service]).where(F.col("end") > F.col("start"))
-    s = merged.withColumnsRenamed({k: f"s_{k}" for k in keys}).withColumn("_bucket", F.explode(F.sequence(at("start"), at("end"))))
-    f = flows.select(flow_id, *keys, F.col(ts).alias("_t"), at(ts).alias("_at"))
-    on = [F.col(k) == F.col(f"s_{k}") for k in keys] + [F.col("_at") == F.col("_bucket"), F.col("_t") >= F.col("start"), F.col("_t") < F.col("end")]
-    joined = f.join(s, on, "left").groupBy(flow_id).agg(F.count_distinct(service).alias("candidates"), F.min(service).alias("_one"))
+    merged = merge_intervals(spans, [*keys, service]).select(*keys, F.col(service).alias("_service"), "start", "end")
+    f = flows.select(F.col(flow_id).alias("_flow"), *keys, F.col(ts).cast("long").alias("_t"))
+    joined = join_spans(f, merged, keys, "_t").groupBy(F.col("_flow").alias(flow_id)).agg(F.count_distinct("_service").alias("candidates"), F.min("_service").alias("_one"))
     status = F.when(F.col("candidates") == 1, "attributed").when(F.col("candidates") > 1, "ambiguous").otherwise("unattributed")
     return joined.select(flow_id, "candidates", F.when(F.col("candidates") == 1, F.col("_one")).alias("service"), status.alias("status"))
 
