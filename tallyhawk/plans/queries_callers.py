@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyhawk.functions.scalars import likelihood
 from tallyhawk.operators import callers, correlate, findings, network
 from tallyhawk.plans.registry import query
-from tallyhawk.plans.session import table
+from tallyhawk.plans.session import shared_folder, table
 
 
 def _us(c: str) -> F.Column:
@@ -94,6 +96,46 @@ def stream_callers_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("caller", _us("window_start").alias("window_us"), "events", "errors", F.round("cost", 2).alias("cost"))
 
 
+# Events land in four slices by their day. What comes in the last half hour of a slice's days lands with the next one (late, within the
+# watermark of an hour); every 97th event of the first half lands with the last (too late).
+_SLICES = """
+WITH d AS (SELECT *, least(CAST(floor((day(ts) - 1) / 8) AS INT), 3) AS own, epoch_us(ts) AS t FROM events),
+e AS (SELECT *, CASE WHEN event_id % 97 = 0 AND own < 2 THEN 3 WHEN least(CAST(floor((day(ts + INTERVAL 30 MINUTE) - 1) / 8) AS INT), 3) > own THEN own + 1 ELSE own END AS s FROM d),
+m AS (SELECT s, max(t) // 1000 * 1000 AS top FROM e GROUP BY s),
+l AS (SELECT e.*, coalesce((SELECT max(top) FROM m WHERE m.s < e.s) - 3600000000, -1) AS mark FROM e),
+z AS (SELECT max(top) - 3600000000 AS done FROM m)"""
+
+
+def _landing(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    slice_of = lambda t: F.least(F.floor((F.day(t) - 1) / 8).cast("int"), F.lit(3))
+    own, soon = slice_of(F.col("ts")), slice_of(F.col("ts") + F.expr("interval 30 minutes"))
+    dealt = e.withColumn("_slice", F.when((F.col("event_id") % 97 == 0) & (own < 2), 3).when(soon > own, own + 1).otherwise(own))
+    return [as_calls(dealt.where(F.col("_slice") == k)) for k in range(4)]
+
+
+@query(_SLICES + """
+SELECT user_id AS caller, t // 3600000000 * 3600000000 AS window_us, count(*) AS events, count(*) FILTER (event_type = 'error') AS errors, round(sum(value), 2) AS cost
+FROM l, z WHERE t // 3600000000 * 3600000000 + 3600000000 > mark GROUP BY 1, 2, done HAVING window_us + 3600000000 <= done""")
+def stream_callers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyhawk.streaming.callers import hourly_callers, replay
+
+    out = replay(_landing(spark, sf_dir), hourly_callers, f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}")
+    return out.select("caller", _us("window_start").alias("window_us"), "events", "errors", F.round("cost", 2).alias("cost"))
+
+
+@query(_SLICES + """,
+t AS (SELECT DISTINCT user_id, t, done FROM l, z WHERE t > mark),
+n AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY user_id ORDER BY t) <= 3600000000 THEN 0 ELSE 1 END AS new FROM t),
+r AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS run FROM n)
+SELECT user_id AS caller, min(t) AS start_us, max(t) AS last_us, count(*) AS calls FROM r GROUP BY user_id, run, done HAVING count(*) >= 3 AND max(t) + 3600000001 <= done""")
+def stream_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyhawk.streaming.callers import replay, session_loops
+
+    out = replay(_landing(spark, sf_dir), lambda e: session_loops(e, gap="1 hour"), f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}")
+    return out.select("caller", _us("start").alias("start_us"), (_us("end") - 3_600_000_001).alias("last_us"), "calls")
+
+
 def _k() -> F.Column:
     return F.get_json_object("props", "$.k")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -31,3 +33,22 @@ def read_stream(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def write_stream(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
     """All that is there now, written once; run again it goes on where it stopped."""
     return df.writeStream.outputMode(mode).format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def replay(slices: Sequence[DataFrame], build: Callable[[DataFrame], DataFrame], folder: str) -> DataFrame:
+    """What a stream has written after all slices: each lands in a folder, is read to its end, and the stream stops.
+
+    Every run starts anew from the one checkpoint in ``folder``: offsets, watermark and state come from there. Within a run
+    the state goes on from micro-batch to micro-batch; at its end an empty one moves the watermark and lets go
+    of what is finished. Rows of a slice that are later than the watermark of the slices before are dropped.
+    """
+    spark = slices[0].sparkSession
+    source, out = f"{folder}/landed", f"{folder}/out"
+    for rows in slices:
+        rows.write.mode("append").parquet(source)
+        stream = spark.readStream.schema(rows.schema).parquet(source)
+        query = write_stream(build(stream), out, f"{folder}/checkpoint")
+        query.awaitTermination()
+        if query.exception():
+            raise query.exception()
+    return spark.read.schema(build(slices[0]).schema).parquet(out)
