@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyhawk.functions.scalars import finding_id, get_path, glob_to_regex
-from tallyhawk.operators.matching import small
+from tallyhawk.operators.literals import candidates, index_patterns, regex_literal
 
 
 def egress_policy_gap(workloads: DataFrame, policies: DataFrame) -> DataFrame:
@@ -67,7 +67,9 @@ def cloud_resource_findings(records: DataFrame, provider: str) -> tuple[DataFram
 
 def k8s_workloads(containers: DataFrame, images: DataFrame, bindings: DataFrame, policies: DataFrame) -> DataFrame:
     """Container rows (``cluster, namespace, workload, service_account, image, env ARRAY<STRING>, gpu, privileged, exposed``) as workloads with tags."""
-    ai = containers.join(small(images.select(F.col("pattern").alias("_p"), "signature_id")), F.regexp_like(F.col("image"), F.col("_p")), "left")
+    patterns = index_patterns(images.select(F.col("pattern").alias("_p"), "signature_id"), regex_literal(F.col("_p")))
+    known = candidates(containers.select("image").distinct(), F.col("image"), patterns).where(F.regexp_like(F.col("image"), F.col("_p"))).select("image", "signature_id").distinct()
+    ai = containers.join(known, "image", "left")
     w = ai.groupBy("cluster", "namespace", "workload").agg(F.first("service_account").alias("service_account"), F.array_sort(F.collect_set("signature_id")).alias("frameworks"), F.bool_or("gpu").alias("gpu"), F.bool_or("privileged").alias("privileged"), F.bool_or("exposed").alias("exposed"), F.bool_or(F.exists("env", lambda e: e.rlike(r"^(OPENAI|ANTHROPIC|AZURE_OPENAI|GOOGLE|GEMINI|MISTRAL|COHERE)_.*KEY"))).alias("provider_env"))
     w = w.where((F.size("frameworks") > 0) | F.col("gpu") | F.col("provider_env"))
     gap = egress_policy_gap(w, policies).select("cluster", "namespace", "workload", F.lit(True).alias("_gap"))
@@ -101,7 +103,3 @@ def vendor_registry_records(rows: DataFrame, registry: str) -> DataFrame:
     resources = F.coalesce(F.from_json(F.get_json_object("raw", "$.resources"), "array<string>"), F.array_compact(F.array(get_path("raw", "resourceArn", "resource", "servicePrincipalId"))))
     bind = F.transform(resources, lambda r: F.struct(r.alias("resource"), get_path("raw", "provider").alias("provider"), get_path("raw", "accountId", "account").alias("account"), get_path("raw", "region").alias("region")))
     return rows.select(F.lit(registry).alias("registry"), get_path("raw", "recordId", "id", "name").alias("record_id"), status.alias("status"), F.lower(F.coalesce(get_path("raw", "approvalMode", "provenance"), F.lit("manual"))).alias("approval_mode"), bind.alias("bindings"), F.coalesce(get_path("raw", "listingComplete", "coverage.complete").try_cast("boolean"), F.lit(False)).alias("listing_complete"))
-
-
-def in_namespace(prefix: str) -> Column:
-    return F.col("namespace").startswith(prefix)

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallyhawk.functions.scalars import plaintext_remote, version_pinned
-from tallyhawk.operators.matching import small
 
 
 def tool_name_shadowing(tools: DataFrame, name: str = "name", server: str = "server") -> DataFrame:
@@ -92,8 +91,8 @@ def classify_process(processes: DataFrame, rules: DataFrame) -> DataFrame:
     word = lambda i: F.element_at(F.filter("argv", lambda a: ~a.startswith("-")), i)
     target = F.when(F.col("exe").rlike(r"^(npx|uvx|bunx|pipx)$"), F.try_element_at(F.filter("argv", lambda a: ~a.startswith("-")), F.lit(2))).when(F.col("exe").rlike(r"^python[0-9.]*$"), F.nullif(F.regexp_extract(F.array_join("argv", " "), r"\s-m\s+(\S+)", 1), F.lit(""))).when(F.col("exe").rlike(r"^(node|deno|bun)$"), F.nullif(F.regexp_extract(F.array_join("argv", " "), r"node_modules/((?:@[^/\s]+/)?[^/\s]+)", 1), F.lit("")))
     p = processes.withColumn("_t", F.regexp_replace(F.coalesce(target, F.lit("")), r"(?<=.)@[^/]*$", ""))
-    r = small(rules.select(F.col("match").alias("_m"), "tool"))
-    return p.join(r, (F.col("exe") == F.col("_m")) | (F.col("_t") == F.col("_m"))).drop("_m").withColumnRenamed("_t", "target")
+    names = p.withColumn("_m", F.explode(F.array_distinct(F.array("exe", "_t"))))
+    return names.join(rules.select(F.col("match").alias("_m"), "tool"), "_m").drop("_m").withColumnRenamed("_t", "target")
 
 
 def rollup_processes(processes: DataFrame, sample: int = 10) -> DataFrame:
@@ -151,8 +150,3 @@ def coding_agents(files: DataFrame) -> DataFrame:
     """Per project and agent (``project, signature_id, role, path``): settings and instruction files, sub-agents."""
     paths = lambda r: F.array_sort(F.collect_set(F.when(F.col("role") == r, F.col("path"))))
     return files.groupBy("project", "signature_id").agg(paths("settings").alias("settings"), paths("instruction").alias("instructions"), F.count_distinct(F.when(F.col("role") == "sub-agent", F.col("path"))).alias("sub_agents"))
-
-
-def latest_snapshot(rows: DataFrame, keys: list[str], ts: str) -> DataFrame:
-    """The last row of each key."""
-    return rows.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(ts)))).where("_k = 1").drop("_k")

@@ -67,9 +67,3 @@ def app_findings(apps: DataFrame, connector: str) -> DataFrame:
 
     none = F.lit(None).cast("string")
     return apps.select(finding_id(F.lit("2"), F.lit("saas"), F.lit(connector), none, none, none, F.col("app_id"), none).alias("id"), F.lit("saas").alias("surface"), F.lit(connector).alias("connector"), F.lit("oauth-grant").alias("kind"), F.col("name").alias("title"), F.col("app_id").cast("string").alias("resource"), "owner", "tags", "frameworks", F.col("users").alias("user_count"))
-
-
-def scope_tags(scopes: Column) -> Column:
-    """Coarse tags of a scope list without a policy table."""
-    hit = lambda p: F.exists(scopes, lambda s: s.rlike(p))
-    return F.array_compact(F.array(F.when(hit(r"(?i)admin|fullcontrol|\.all$|directory\.readwrite"), "policy.privileged-scopes"), F.when(hit(r"(?i)mail|files|drive|chat|repo|sites"), "policy.data-access-scopes")))

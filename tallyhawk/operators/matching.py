@@ -2,7 +2,7 @@
 
 ``signals`` has one row per literal or pattern: ``signature_id, category, type, ecosystem, language, match (exact,
 prefix, suffix, regex), value, weight, required`` (a literal every match must hold, lower case, or null) and
-``agent_indicator``. Such tables are small (checked by ``small``) and broadcast.
+``agent_indicator``. Literals and prefixes are met by equi-joins, patterns by the literal they require (``literals``).
 """
 
 from __future__ import annotations
@@ -12,22 +12,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallyhawk.functions.scalars import glob_to_regex, host_of, normalise_package, placeholder_reason, shannon_entropy
-
-#: Signature tables with more rows than this are not broadcast but joined by the engine's own choice.
-BROADCAST_ROWS = 200_000
-
-
-def small(signals: DataFrame) -> DataFrame:
-    """The table with a broadcast hint if it has few rows."""
-    return F.broadcast(signals) if signals.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else signals
-
+from tallyhawk.operators.literals import by_prefix, candidates, glob_literal, index_patterns, regex_literal
 
 def of_type(signals: DataFrame, *types: str) -> DataFrame:
     return signals.where(F.col("type").isin(*types))
 
 
+def _literal(pattern: str) -> Column:
+    return F.coalesce("required", regex_literal(F.col(pattern)))
+
+
 def match_values(rows: DataFrame, signals: DataFrame, column: str, *types: str, fold: bool = True) -> DataFrame:
-    """Distinct values against literals (an equi-join) and patterns, joined back to all rows.
+    """Distinct values against literals and prefixes (equi-joins) and indexed patterns, joined back to all rows.
 
     Serves user agents, names, models, images, environment names, client ids, scopes and resource types.
     """
@@ -36,12 +32,12 @@ def match_values(rows: DataFrame, signals: DataFrame, column: str, *types: str,
     values = rows.select(F.col(column)).where(F.col(column).isNotNull()).distinct()
     pick = ["signature_id", "category", "type", "weight", "agent_indicator"]
     exact = s.where("match = 'exact'").select(*pick, (F.lower("value") if fold else F.col("value")).alias("_v"))
-    hits = values.join(small(exact), own == F.col("_v")).select(column, *pick)
+    hits = values.join(exact, own == F.col("_v")).select(column, *pick)
     prefix = s.where("match = 'prefix'").select(*pick, F.lower("value").alias("_v"))
-    hits = hits.union(values.join(small(prefix), F.lower(F.col(column)).startswith(F.col("_v"))).select(column, *pick))
-    regex = s.where("match = 'regex'").select(*pick, "value", "required")
-    test = (F.col("required").isNull() | F.lower(F.col(column)).contains(F.col("required"))) & F.regexp_like(F.col(column), F.col("value"))
-    hits = hits.union(values.join(small(regex), test).select(column, *pick))
+    hits = hits.union(by_prefix(values, F.lower(F.col(column)), prefix, "_v").select(column, *pick))
+    regex = index_patterns(s.where("match = 'regex'").select(*pick, "value", "required"), _literal("value"))
+    test = (F.col("required").isNull() | F.lower(F.col(column)).contains(F.col("required"))) & F.regexp_like(F.col(column), F.col("_re"))
+    hits = hits.union(candidates(values, F.col(column), regex.withColumnRenamed("value", "_re")).where(test).select(column, *pick))
     return rows.join(hits.dropDuplicates([column, "signature_id", "type"]), column)
 
 
@@ -54,34 +50,36 @@ def match_dependency(deps: DataFrame, signals: DataFrame, subject: str = "subjec
     s = of_type(signals, "dependency").withColumn("_v", normalise_package("value"))
     eco = (F.col("s.ecosystem") == "any") | (F.col("s.ecosystem") == F.col("d.ecosystem"))
     out = [F.col(f"d.{subject}"), F.col("d.name"), F.col("s.signature_id"), F.col("s.category"), F.col("s.weight")]
-    exact = d.alias("d").join(small(s.where("match = 'exact'")).alias("s"), (F.col("d._n") == F.col("s._v")) & eco).select(*out, F.lit(0).alias("_way"))
-    prefix = d.alias("d").join(small(s.where("match = 'prefix'")).alias("s"), F.col("d._n").startswith(F.col("s._v")) & eco).select(*out, F.lit(1).alias("_way"), F.col("d._n").alias("_n"))
+    exact = d.alias("d").join(s.where("match = 'exact'").alias("s"), (F.col("d._n") == F.col("s._v")) & eco).select(*out, F.lit(0).alias("_way"))
+    starts = s.where("match = 'prefix'").select(F.col("_v").alias("_start"), F.col("ecosystem").alias("_eco"), "signature_id", "category", "weight")
+    prefix = by_prefix(d.withColumnRenamed("_n", "_norm"), F.col("_norm"), starts, "_start").withColumnRenamed("_norm", "_n").where((F.col("_eco") == "any") | (F.col("_eco") == F.col("ecosystem"))).select(subject, "name", "signature_id", "category", "weight", F.lit(1).alias("_way"), "_n")
     banned = s.where("match = 'exclude'").select("signature_id", F.col("_v").alias("_n"))
-    prefix = prefix.join(small(banned), ["signature_id", "_n"], "left_anti").select(subject, "name", "signature_id", "category", "weight", "_way")
-    order = Window.partitionBy(subject, "signature_id").orderBy("_way", "name")
+    prefix = prefix.join(banned, ["signature_id", "_n"], "left_anti").select(subject, "name", "signature_id", "category", "weight", "_way")
+    order = Window.partitionBy(subject, "signature_id").orderBy("_way", "name", "category", "weight")
     return exact.union(prefix).withColumn("_k", F.row_number().over(order)).where("_k = 1").drop("_k", "_way")
 
 
 def match_lines(texts: DataFrame, signals: DataFrame, *types: str, key: str = "doc", text: str = "text", language: str | None = None, most: int = 3) -> DataFrame:
     """Pattern hits in texts with line numbers, at most ``most`` of a signal in a text (a limit of the feature)."""
-    s = small(of_type(signals, *types).where("match = 'regex'").select("signature_id", "category", "type", "weight", F.col("value").alias("_re"), "required", "language"))
-    low = F.lower(F.col(text))
-    test = F.col("required").isNull() | low.contains(F.col("required"))
+    s = of_type(signals, *types).where("match = 'regex'").select("signature_id", "category", "type", "weight", F.col("value").alias("_re"), "required", F.col("language").alias("_language"))
+    lines = texts.select(key, *([language] if language else []), F.posexplode(F.split(text, "\n")).alias("line", "_l"))
+    test = (F.col("required").isNull() | F.lower("_l").contains(F.col("required"))) & F.regexp_like(F.col("_l"), F.col("_re"))
     if language:
-        test = test & (F.col("language").isNull() | (F.col("language") == F.col(language)))
-    j = texts.join(s, test & F.regexp_like(F.col(text), F.col("_re")))
-    lines = j.select(key, "signature_id", "category", "type", "weight", "_re", F.posexplode(F.split(text, "\n")).alias("line", "_l")).where(F.regexp_like(F.col("_l"), F.col("_re")))
-    found = lines.select(key, "signature_id", "category", "type", "weight", (F.col("line") + 1).alias("line"), F.expr("regexp_extract(_l, _re, 0)").alias("value"))
-    order = Window.partitionBy(key, "signature_id", "type").orderBy("line", "value")
-    return found.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= most).drop("_k")
+        test = test & (F.col("_language").isNull() | (F.col("_language") == F.col(language)))
+    hit = candidates(lines, F.col("_l"), index_patterns(s, _literal("_re"))).where(test)
+    found = hit.select(key, "signature_id", "category", "type", "weight", (F.col("line") + 1).alias("line"), F.expr("regexp_extract(_l, _re, 0)").alias("value"), F.sha2("_re", 256).alias("_of"))
+    order = Window.partitionBy(key, "signature_id", "type").orderBy("line", "value", "_of", "category", "weight")
+    return found.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= most).drop("_k", "_of")
 
 
 def match_file(files: DataFrame, signals: DataFrame, path: str = "path") -> DataFrame:
     """Path globs against the whole path, its tail or its last part."""
-    s = of_type(signals, "file").select("signature_id", "category", "weight", glob_to_regex(F.col("value")).alias("_re"), F.concat(F.lit("**/"), "value").alias("_v"))
+    s = of_type(signals, "file").select("signature_id", "category", "weight", "value", glob_to_regex(F.col("value")).alias("_re"), F.concat(F.lit("**/"), "value").alias("_v"))
     s = s.withColumn("_tail", glob_to_regex(F.regexp_replace("_v", r"^\*\*/", "*/")))
     base = F.element_at(F.split(F.col(path), "/"), -1)
-    return files.join(small(s), F.regexp_like(F.col(path), F.col("_re")) | F.regexp_like(F.col(path), F.col("_tail")) | F.regexp_like(base, F.col("_re"))).drop("_re", "_tail", "_v")
+    indexed = index_patterns(s, glob_literal(F.col("value"))).drop("value")
+    fits = F.regexp_like(F.col(path), F.col("_re")) | F.regexp_like(F.col(path), F.col("_tail")) | F.regexp_like(base, F.col("_re"))
+    return candidates(files, F.col(path), indexed).where(fits).drop("_re", "_tail", "_v")
 
 
 def keep_file_matches(matches: DataFrame, path: str = "path") -> DataFrame:
@@ -105,9 +103,9 @@ def match_domain(hosts: DataFrame, signals: DataFrame, column: str = "host") ->
     own = hosts.select(F.col(column)).distinct().withColumn("_h", host_of(column)).where("_h is not null")
     up = own.select(column, "_h", F.explode(parent_domains(F.col("_h"))).alias("_p"))
     literal = s.where("match in ('exact', 'suffix')").select(*pick, "match", F.lower("value").alias("_p"))
-    hits = up.join(small(literal), "_p").where("match = 'suffix' or _p = _h").select(column, *pick)
-    regex = s.where("match = 'regex'").select(*pick, "value")
-    hits = hits.union(own.join(small(regex), F.regexp_like(F.col("_h"), F.col("value"))).select(column, *pick))
+    hits = up.join(literal, "_p").where("match = 'suffix' or _p = _h").select(column, *pick)
+    regex = index_patterns(s.where("match = 'regex'").select(*pick, F.col("value").alias("_re"), "required"), _literal("_re"))
+    hits = hits.union(candidates(own, F.col("_h"), regex).where(F.regexp_like(F.col("_h"), F.col("_re"))).select(column, *pick))
     return hosts.join(hits.dropDuplicates([column, "signature_id"]), column)
 
 
@@ -162,7 +160,7 @@ def apply_matches(matches: DataFrame, key: str = "subject", most: int = 12) -> t
 def classify_permissions(grants: DataFrame, policies: DataFrame, key: str = "app_id", scopes: str = "scopes") -> DataFrame:
     """``key, tags``: policy tags of an app's scopes (``scope, tag`` in ``policies``), compared in lower case."""
     s = grants.select(key, F.explode(F.array_distinct(F.transform(F.col(scopes), F.lower))).alias("scope"))
-    return s.join(small(policies.select(F.lower("scope").alias("scope"), "tag")), "scope").groupBy(key).agg(F.array_sort(F.collect_set("tag")).alias("tags"))
+    return s.join(policies.select(F.lower("scope").alias("scope"), "tag"), "scope").groupBy(key).agg(F.array_sort(F.collect_set("tag")).alias("tags"))
 
 
 def assess_app(apps: DataFrame, signals: DataFrame, policies: DataFrame) -> DataFrame:

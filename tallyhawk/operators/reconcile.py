@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallyhawk.functions.scalars import glob_to_regex, normalise_remote_url, usable_identity
-from tallyhawk.operators.matching import small
+from tallyhawk.operators.literals import candidates, glob_literal, index_patterns
 
 SCOPES = ("surface", "provider", "account", "region")
 
@@ -25,7 +25,7 @@ def reconcile_inventory(findings: DataFrame, inventory: DataFrame, pattern: str
     """``findings`` with ``shadow, registry_match, reason``.
 
     ``inventory`` has one row per approval and pattern, and lists ``surfaces, providers, accounts, regions`` (empty: any).
-    Literal patterns are an equi-join; only patterns with wild cards are tried one by one. Exactly one
+    Literal patterns are an equi-join; patterns with wild cards are met by their rarest literal piece. Exactly one
     approval approves; several are ambiguous; an identity that is redacted or padded is not compared; an
     empty inventory leaves ``shadow`` null.
     """
@@ -33,8 +33,8 @@ def reconcile_inventory(findings: DataFrame, inventory: DataFrame, pattern: str
     inv = inventory.select(F.struct(ident, pattern, *[f"{s}s" for s in SCOPES]).alias("inv"), F.col(pattern).alias("_pattern"), wild.alias("_wild"))
     usable = findings.where(usable_identity("resource"))
     literal = usable.join(inv.where("not _wild"), F.col("resource") == F.col("_pattern")).where(_in_scope("inv"))
-    globs = inv.where("_wild").withColumn("_regex", glob_to_regex("_pattern"))
-    matched = usable.join(small(globs), F.regexp_like(F.col("resource"), F.col("_regex"))).where(_in_scope("inv"))
+    globs = index_patterns(inv.where("_wild").withColumn("_regex", glob_to_regex("_pattern")), glob_literal(F.col("_pattern")))
+    matched = candidates(usable, F.col("resource"), globs).where(F.regexp_like(F.col("resource"), F.col("_regex"))).where(_in_scope("inv"))
     hits = literal.select("id", f"inv.{ident}").union(matched.select("id", f"inv.{ident}")).groupBy("id").agg(F.count_distinct(ident).alias("_n"), F.min(ident).alias("_one"))
     known = inventory.limit(1).agg(F.count("*").alias("_known"))
     out = findings.join(hits, "id", "left").crossJoin(F.broadcast(known))  # one row
@@ -49,13 +49,17 @@ def suggest_by_name(findings: DataFrame, names: DataFrame, text: str = "title",
     escaped = F.regexp_replace("name", r"([.+^$(){}|\\\[\]*?])", r"\\$1")
     n = n.withColumn("_re", F.concat(F.lit("(?<![a-z0-9])"), escaped, F.lit("(?![a-z0-9])")))
     low = F.lower(F.col(text))
-    return findings.join(small(n), low.contains(F.col("name")) & F.regexp_like(low, F.col("_re"))).select("id", "name")
+    found = candidates(findings.select("id", low.alias("_low")), F.col("_low"), index_patterns(n, F.col("name")))
+    return found.where(F.col("_low").contains(F.col("name")) & F.regexp_like(F.col("_low"), F.col("_re"))).select("id", "name")
 
 
 def inventory_warnings(inventory: DataFrame, probes: DataFrame, pattern: str = "pattern", many: int = 2) -> DataFrame:
     """Approvals whose pattern is universal or takes in several unrelated probe names."""
     p = inventory.select("agent_id", pattern, glob_to_regex(pattern).alias("_re"))
-    hits = p.join(small(probes.select("probe")), F.regexp_like(F.col("probe"), F.col("_re")), "left").groupBy("agent_id", pattern).agg(F.count("probe").alias("probes"))
+    met = candidates(probes.select("probe"), F.col("probe"), index_patterns(p, glob_literal(F.col(pattern)))).where(F.regexp_like(F.col("probe"), F.col("_re")))
+    met = met.groupBy(F.col("agent_id").alias("_a"), F.col(pattern).alias("_p")).agg(F.count("*").alias("_n"))
+    mine = p.groupBy("agent_id", pattern).agg(F.count("*").alias("_copies"))
+    hits = mine.join(met, mine["agent_id"].eqNullSafe(met["_a"]) & mine[pattern].eqNullSafe(met["_p"]), "left").select("agent_id", pattern, F.coalesce("_n", F.lit(0)).alias("probes"))
     return hits.withColumn("warning", F.when(F.col(pattern).rlike(r"^[*?/:]*$"), "universal").when(F.col("probes") >= many, "broad")).where("warning is not null")
 
 
@@ -124,7 +128,7 @@ def assign_owner(paths: DataFrame, rules: DataFrame, path: str = "path") -> Data
     """Owners of each path by the last rule that fits it (``line_no, pattern, owners``).
 
     A pattern with a slash before its end is anchored at the root; ``**`` crosses folders, ``*`` doesn't; a
-    pattern that ends in a slash, or names a folder, takes in all below. Few rules, so they are broadcast.
+    pattern that ends in a slash, or names a folder, takes in all below. Rules are met by their rarest literal piece.
     """
     p = F.regexp_replace(F.col("pattern"), r"^/", "")
     anchored = F.col("pattern").rlike(r"/.")
@@ -132,6 +136,7 @@ def assign_owner(paths: DataFrame, rules: DataFrame, path: str = "path") -> Data
     rx = F.regexp_replace(F.regexp_replace(rx, r"/$", "/**"), r"\*\*/", "\u0001")
     rx = F.regexp_replace(F.regexp_replace(F.regexp_replace(rx, r"\*\*", "\u0002"), r"\*", "[^/]*"), r"\?", "[^/]")
     rx = F.regexp_replace(F.regexp_replace(rx, "\u0001", "(?:.*/)?"), "\u0002", ".*")
-    r = rules.select("line_no", "owners", F.concat(F.when(anchored, r"\A").otherwise(r"\A(?:.*/)?"), rx, F.lit(r"(?:/.*)?\z")).alias("_re"))
-    hit = paths.select(path).distinct().join(small(r), F.regexp_like(F.col(path), F.col("_re"))).groupBy(path).agg(F.max_by("owners", "line_no").alias("owners"))
+    r = rules.select("line_no", "owners", F.regexp_replace(p, "/$", "").alias("_p"), F.concat(F.when(anchored, r"\A").otherwise(r"\A(?:.*/)?"), rx, F.lit(r"(?:/.*)?\z")).alias("_re"))
+    indexed = index_patterns(r, glob_literal(F.col("_p")))
+    hit = candidates(paths.select(path).distinct(), F.col(path), indexed).where(F.regexp_like(F.col(path), F.col("_re"))).groupBy(path).agg(F.max_by("owners", "line_no").alias("owners"))
     return paths.join(hit, path, "left")

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallyhawk.functions import weights as W
-from tallyhawk.operators.matching import small
 from tallyhawk.plans.session import cut
 
 COVERAGE_RANK = {"complete": 0, "skipped": 1, "incomplete": 2, "failed": 3}
@@ -95,7 +94,13 @@ def map_controls(findings: DataFrame, rules: DataFrame) -> DataFrame:
     test = (F.col("r.kinds").isNull() | F.array_contains("r.kinds", F.col("f.kind"))) & overlap("tags") & overlap("capabilities")
     test = test & (F.col("r.min_floor").isNull() | F.coalesce(F.col("f.floor") >= F.col("r.min_floor"), F.lit(False)))
     test = test & (F.col("r.shadow").isNull() | F.coalesce(F.col("f.shadow") == F.col("r.shadow"), F.lit(False)))
-    return findings.alias("f").join(small(rules).alias("r"), test).select("f.id", "r.ref").distinct()
+    # a rule is kept under one condition that must hold; a finding looks up all of its own
+    named = lambda what, c: F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda x: F.concat(F.lit(what), x))
+    first = F.when(F.col("kinds").isNotNull(), named("kind:", "kinds")).when(F.col("tags").isNotNull(), named("tag:", "tags")).when(F.col("capabilities").isNotNull(), named("can:", "capabilities")).otherwise(F.array(F.lit("")))
+    own = F.concat(F.array(F.concat(F.lit("kind:"), F.coalesce("kind", F.lit("")))), named("tag:", "tags"), named("can:", "capabilities"), F.array(F.lit("")))
+    f = findings.withColumn("_key", F.explode(F.array_distinct(own)))
+    r = rules.withColumn("_key", F.explode(F.array_distinct(first)))
+    return f.alias("f").join(r.alias("r"), F.col("f._key") == F.col("r._key")).where(test).select("f.id", "r.ref").distinct()
 
 
 def control_evidence(refs: DataFrame, controls: DataFrame, findings: DataFrame, complete: bool, examples: int = 3) -> DataFrame:
