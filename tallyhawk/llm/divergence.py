@@ -72,10 +72,13 @@ def chunk_table(counts: DataFrame) -> DataFrame:
     ``langs`` has the documents of each language and within it the occurrences of each source. One shuffle.
     """
     by_source = counts.repartition("chunk").groupBy("chunk", "lang", "source").agg(F.sum("occurrences").alias("occurrences"), F.sum("documents").alias("documents"))
-    by_lang = by_source.groupBy("chunk", "lang").agg(F.sum("documents").alias("documents"), F.collect_list(F.struct("source", "occurrences")).alias("uses"))
-    by_chunk = by_lang.groupBy("chunk").agg(F.collect_list(F.struct("lang", "documents", "uses")).alias("langs"))
+    by_chunk = by_source.groupBy("chunk").agg(F.collect_list(F.struct("lang", "source", "occurrences", "documents")).alias("all"))
+    of = lambda lang: F.filter("all", lambda u: u["lang"] == lang)
+    documents = lambda lang: F.aggregate(of(lang), F.lit(0).cast("long"), lambda a, u: a + u["documents"])
+    uses = lambda lang: F.transform(of(lang), lambda u: F.struct(u["source"].alias("source"), u["occurrences"].alias("occurrences")))
+    langs = F.transform(F.array_distinct(F.transform("all", lambda u: u["lang"])), lambda g: F.struct(g.alias("lang"), documents(g).alias("documents"), uses(g).alias("uses")))
     terms = F.regexp_extract_all(F.translate("chunk", UPPER, LOWER), F.lit(TERM), F.lit(0))
-    return by_chunk.select("chunk", terms.alias("terms"), "langs").where(F.size("terms") > 0)
+    return by_chunk.select("chunk", "all", terms.alias("terms")).where(F.size("terms") > 0).select("chunk", "terms", langs.alias("langs"))
 
 
 def term_uses(chunks: DataFrame, least_documents: int) -> DataFrame:
@@ -170,7 +173,7 @@ def _gap(p: Column, q: Column) -> Column:
 
 
 def shared_terms(entries: DataFrame) -> DataFrame:
-    """``lang, source, item, both``: what terms in both of two sources add beyond terms that either has alone.
+    """``lang, source, item, both`` (the lesser source first; to be summed): what terms in both of two sources add beyond terms that either has alone.
 
     ``entries`` has a row for each term: ``lang`` and ``uses`` of (source, p, p0) by source. A task multiplies the
     sources of its terms in numpy and passes on sums, so a common term makes no rows.
@@ -209,8 +212,7 @@ def shared_terms(entries: DataFrame) -> DataFrame:
                 )
                 a = b
 
-    half = entries.select("lang", "uses").mapInArrow(run, "lang string, source string, item string, both long").groupBy("lang", "source", "item").agg(F.sum("both").alias("both"))
-    return half.unionByName(half.select("lang", F.col("item").alias("source"), F.col("source").alias("item"), "both"))
+    return entries.select("lang", "uses").mapInArrow(run, "lang string, source string, item string, both long")
 
 
 def audit(docs: DataFrame, *, least_documents: int = 10, top: int = 10) -> DataFrame:
@@ -255,13 +257,15 @@ def audit(docs: DataFrame, *, least_documents: int = 10, top: int = 10) -> DataF
     marks = marks.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
 
     other = groups.select("lang", F.col("source").alias("item"), F.col("p0").alias("q0"))
-    base = groups.join(few(other), "lang").where("source <> item").select("lang", "source", "item", F.coalesce(F.col("v") * _gap(F.col("p0"), F.col("q0")), F.lit(0)).alias("value"))
+    one, two = F.least("source", "item").alias("source"), F.greatest("source", "item").alias("item")
+    base = groups.join(few(other), "lang").where("source < item").select("lang", "source", "item", F.coalesce(F.col("v") * _gap(F.col("p0"), F.col("q0")), F.lit(0)).alias("value"))
     steps = entries.groupBy("lang", "source", "p", "p0").agg(F.count("*").alias("n"))
-    alone = steps.join(few(other), "lang").where("source <> item").select("lang", "source", "item", (F.col("n") * (_gap(F.col("p"), F.col("q0")) - _gap(F.col("p0"), F.col("q0")))).alias("value"))
-    mirrored = alone.select("lang", F.col("item").alias("source"), F.col("source").alias("item"), "value")
+    alone = steps.join(few(other), "lang").where("source <> item").select("lang", one, two, (F.col("n") * (_gap(F.col("p"), F.col("q0")) - _gap(F.col("p0"), F.col("q0")))).alias("value"))
     uses = entries.groupBy("lang", "term").agg(F.array_sort(F.collect_list(F.struct("source", "p", "p0"))).alias("uses"))
     both = shared_terms(uses).withColumnRenamed("both", "value")
-    pairs = base.unionByName(alone).unionByName(mirrored).unionByName(both).groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
+    pairs = base.unionByName(alone).unionByName(both).groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
+    ways = F.explode(F.array(F.struct("source", "item"), F.struct(F.col("item").alias("source"), F.col("source").alias("item"))))
+    pairs = pairs.select("lang", ways.alias("w"), "value").select("lang", "w.source", "w.item", "value")
     pairs = pairs.withColumn("rank", F.row_number().over(order)).select("lang", "source", F.lit("pair").alias("part"), "item", "value", "rank")
     return pairs.unionByName(marks)
 
