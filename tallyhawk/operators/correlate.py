@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tallyhawk.functions.scalars import usable_identity
 from tallyhawk.operators.islands import join_spans
+from tallyhawk.plans.session import cut
 
 
 def key_pairs(rows: DataFrame, identifier: str, entity: str, group_limit: int = 25, differ: tuple[str, ...] = ("connector", "surface"), scope: str | None = None) -> DataFrame:
@@ -77,19 +79,83 @@ def link_sessions(events: DataFrame, assumptions: DataFrame, key: str, event_id:
     return out.select(event_id, "candidates", F.when(F.col("candidates") == 1, F.col("_one")).alias("linked"), status.alias("status"))
 
 
-def lineage(links: DataFrame, hops: int = 5, child: str = "child", parent: str = "parent") -> DataFrame:
-    """Each child's origin over at most ``hops`` links: ``child, origin, path, status`` (root, cycle, depth)."""
-    edges = links.select(F.col(child).alias("_c"), F.col(parent).alias("_p"))
-    walk = links.select(F.col(child).alias("child"), F.col(parent).alias("origin"), F.array(child, parent).alias("path"), F.lit("open").alias("status"))
-    for _ in range(hops - 1):
-        step = walk.join(edges, (F.col("origin") == F.col("_c")) & (F.col("status") == "open"), "left")
-        seen = F.array_contains("path", F.col("_p"))
-        walk = step.select(
-            "child", F.when(F.col("_p").isNotNull() & ~seen, F.col("_p")).otherwise(F.col("origin")).alias("origin"),
-            F.when(F.col("_p").isNotNull() & ~seen, F.concat("path", F.array("_p"))).otherwise(F.col("path")).alias("path"),
-            F.when(F.col("status") != "open", F.col("status")).when(F.col("_p").isNull(), "root").when(seen, "cycle").otherwise("open").alias("status"),
-        )
-    return walk.withColumn("status", F.when(F.col("status") == "open", F.lit("depth")).otherwise(F.col("status")))
+def lineage(links: DataFrame, hops: int | None = None, child: str = "child", parent: str = "parent") -> DataFrame:
+    """``child, origin, hops, status``: where each child's chain of parents begins, and how many links away.
+
+    Status ``root``: the origin is nobody's child. ``ambiguous``: the chain ends at one with several parents (its
+    origin). ``cycle``: it never ends. ``depth``: it is longer than ``hops`` (if given), which says nothing about its
+    end. Cycles and depths have no origin. Null ends are no links; repeated links are one.
+
+    Pointer doubling: a round replaces each pointer by its pointer's pointer, so a chain of n links takes
+    about log2(n) rounds. The lengths of chains have no gaps, so a round after which nothing more has
+    ended leaves cycles only. The state is cut each round; the driver learns how many are open.
+    """
+    edges = links.select(F.col(child).alias("node"), F.col(parent).alias("to")).where("node is not null and to is not null").distinct()
+    parents = edges.groupBy("node").agg(F.count("*").alias("_n"), F.min("to").alias("to"))
+    own = cut(parents.select("node", F.when(F.col("_n") > 1, F.col("node")).otherwise(F.col("to")).alias("to"), F.when(F.col("_n") > 1, 0).otherwise(1).cast("long").alias("hops"), (F.col("_n") > 1).alias("several")))
+    inner = own.select(F.col("node").alias("to"), F.col("several").alias("_several"))
+    first = own.join(inner, "to", "left")
+    # a pointer has arrived at what is nobody's child or has several parents
+    ended = F.col("several") | F.col("_several").isNull() | F.col("_several")
+    state = cut(first.select("node", "to", "hops", ended.alias("ended"), F.when(F.col("_several").isNull(), "root").otherwise("ambiguous").alias("end")))
+    left = state.where("not ended").count()
+    while left:
+        ahead = state.select(F.col("node").alias("to"), F.col("to").alias("_to"), F.col("hops").alias("_hops"), F.col("ended").alias("_ended"), F.col("end").alias("_end"))
+        moved = state.where("not ended").join(ahead, "to").select("node", F.col("_to").alias("to"), (F.col("hops") + F.col("_hops")).alias("hops"), F.col("_ended").alias("ended"), F.col("_end").alias("end"))
+        state = cut(state.where("ended").unionByName(moved))
+        before, left = left, state.where("not ended").count()
+        if left == before:
+            break
+    status = F.when(~F.col("ended"), "cycle").otherwise(F.col("end"))
+    if hops is not None:
+        status = F.when(F.col("ended") & (F.col("hops") > hops), "depth").otherwise(status)
+    known = status.isin("root", "ambiguous")
+    return state.select(F.col("node").alias("child"), F.when(known, F.col("to")).alias("origin"), F.when(known, F.col("hops")).alias("hops"), status.alias("status"))
+
+
+# Identifier kinds that are exact only where both sides name all of these scopes.
+REQUIRED_SCOPE = {"client-id": ("tenant",), "role-name": ("account",), "service-account-name": ("cluster", "namespace")}
+
+
+def scoped_links(identifiers: DataFrame, group_limit: int = 25, peers: int = 24) -> DataFrame:
+    """``src, dst, assurance, matches``: findings (src < dst) that share identifiers, told apart by what their scopes prove.
+
+    ``identifiers``: ``finding_id, connector, surface, kind, key, field``, a ``scope`` map (tenant, account, ...) and
+    ``is_global`` (the key is unique everywhere). Two findings of one identifier must differ in connector or
+    surface, and no scope that both name may differ. A match is exact if both keys are global, or if both name
+    all scopes that the kind requires, or, for other kinds, one scope at least. Else it is a candidate for
+    review; a pair with an exact match has no candidate. ``matches`` lists kind, fields of either side and the joint scope.
+
+    Identifiers of more than ``group_limit`` findings say nothing and are left out before pairs are made. A
+    finding keeps its first ``peers`` peers of either assurance, by kind, key and peer; a link must be kept at both ends.
+    """
+    own = identifiers.where(usable_identity("key")).groupBy("kind", "key", "finding_id").agg(
+        F.min("connector").alias("connector"), F.min("surface").alias("surface"), F.array_sort(F.collect_set("field")).alias("fields"),
+        F.min(F.struct(F.array_sort(F.map_entries(F.coalesce("scope", F.create_map().cast("map<string,string>")))).alias("e"), "is_global")).alias("_first"),
+    ).select("kind", "key", "finding_id", "connector", "surface", "fields", F.map_from_entries("_first.e").alias("scope"), F.col("_first.is_global").alias("is_global"))
+    fit = own.groupBy("kind", "key").agg(F.count("*").alias("_n")).where((F.col("_n") > 1) & (F.col("_n") <= group_limit)).select("kind", "key")
+    own = own.join(fit, ["kind", "key"], "left_semi")
+    a, b = own.alias("a"), own.alias("b")
+    pair = a.join(b, (F.col("a.kind") == F.col("b.kind")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.finding_id") < F.col("b.finding_id")))
+    pair = pair.where(~F.col("a.connector").eqNullSafe(F.col("b.connector")) | ~F.col("a.surface").eqNullSafe(F.col("b.surface")))
+    shared = F.array_intersect(F.map_keys("a.scope"), F.map_keys("b.scope"))
+    agree = F.forall(shared, lambda k: F.col("a.scope")[k] == F.col("b.scope")[k])
+    verified = F.size(shared) > 0
+    for kind, names in REQUIRED_SCOPE.items():
+        verified = F.when(F.col("a.kind") == kind, F.size(F.array_intersect(shared, F.array(*[F.lit(n) for n in names]))) == len(names)).otherwise(verified)
+    exact = (F.col("a.is_global") & F.col("b.is_global")) | verified
+    scope = F.array_sort(F.array_distinct(F.concat(F.map_entries("a.scope"), F.map_entries("b.scope"))))
+    found = pair.where(agree).select(
+        F.col("a.finding_id").alias("src"), F.col("b.finding_id").alias("dst"), F.when(exact, "exact").otherwise("candidate").alias("assurance"), F.col("a.key").alias("key"),
+        F.struct(F.col("a.kind").alias("kind"), F.col("a.fields").alias("source_fields"), F.col("b.fields").alias("target_fields"), scope.alias("scope")).alias("match"),
+    )
+    links = found.groupBy("src", "dst", "assurance").agg(F.array_sort(F.collect_set("match")).alias("matches"), F.min(F.struct("match.kind", "key")).alias("_first"))
+    for here, there in (("src", "dst"), ("dst", "src")):
+        order = Window.partitionBy(here, "assurance").orderBy("_first", there)
+        links = links.withColumn(f"_{here}", F.row_number().over(order))
+    links = links.where((F.col("_src") <= peers) & (F.col("_dst") <= peers))
+    best = links.where("assurance = 'exact'").select("src", "dst", F.lit(True).alias("_exact"))
+    return links.join(best, ["src", "dst"], "left").where("assurance = 'exact' or _exact is null").select("src", "dst", "assurance", "matches")
 
 
 def dedupe_events(events: DataFrame, key: str, content: str) -> DataFrame:

@@ -166,9 +166,48 @@ def reference_counts(refs: DataFrame, titles: DataFrame) -> DataFrame:
     return refs.groupBy("ref").agg(F.count_distinct("id").alias("findings")).join(titles, "ref", "left")
 
 
+def numbered(rows: DataFrame, *order: str | Column, name: str = "ordinal") -> DataFrame:
+    """``rows`` with their place from 1 in an order of all: dealt by ranges, of which only the sizes meet in one task."""
+    dealt = cut(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    sizes = dealt.groupBy("_range").agg(F.count("*").alias("_size"))
+    before = F.coalesce(F.sum("_size").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return dealt.withColumn("_own", own).join(sizes.select("_range", before.alias("_before")), "_range").withColumn(name, F.col("_own") + F.col("_before")).drop("_range", "_own", "_before")
+
+
 def history_pairs(reports: DataFrame, order: str, ident: str) -> DataFrame:
     """Each report with the one before it."""
-    return reports.withColumn("previous", F.lag(ident).over(Window.orderBy(order, ident)))
+    at = numbered(reports, order, ident, name="_at")
+    return at.join(at.select((F.col("_at") + 1).alias("_at"), F.col(ident).alias("previous")), "_at", "left").drop("_at")
+
+
+def report_history(reports: DataFrame, rows: DataFrame, ident: str = "report", order: str = "started_at", key: str = "id") -> DataFrame:
+    """``report, previous, change, findings``: what changed at each report against the one before it.
+
+    ``reports``: ``report, started_at, complete`` and a ``scope`` that two comparable reports share. ``rows``:
+    ``report, id, state`` (what a change is told by) and ``scan_local`` (an id that means nothing in another scan).
+    Changes: ``new`` (never seen before), ``returned`` (seen, but not in the report before), ``same``, ``changed``,
+    ``resolved`` (no longer there), ``unknown`` (no longer there, but the two reports don't compare), and ``not_comparable`` (an
+    unmatched scan-local id, on either side). All reports are gone through at once: a finding's runs of presence follow
+    from its own rows in order, whatever the number of reports.
+    """
+    at = cut(numbered(reports.select(ident, order, "complete", "scope"), order, ident, name="_at"))
+    ahead = at.select((F.col("_at") - 1).alias("_at"), F.col(ident).alias("_next"), F.col("complete").alias("_next_complete"), F.col("scope").alias("_next_scope"))
+    behind = at.select((F.col("_at") + 1).alias("_at"), F.col(ident).alias("previous"))
+    both = F.coalesce(F.col("complete") & F.col("_next_complete") & (F.col("scope") == F.col("_next_scope")), F.lit(False))
+    known = at.join(ahead, "_at", "left").join(behind, "_at", "left").select(ident, "_at", "previous", "_next", both.alias("_compares"))
+    runs = Window.partitionBy(key).orderBy("_at")
+    seen = rows.select(ident, key, "state", "scan_local").join(known, ident).withColumns({
+        "_was": F.lag("_at").over(runs), "_state": F.lag("state").over(runs), "_is": F.lead("_at").over(runs),
+    })
+    here = (
+        F.when(F.col("_was") == F.col("_at") - 1, F.when(F.col("state").eqNullSafe(F.col("_state")), "same").otherwise("changed"))
+        .when(F.col("previous").isNull(), None).when(F.col("scan_local"), "not_comparable").when(F.col("_was").isNull(), "new").otherwise("returned")
+    )
+    gone = F.when(F.col("_next").isNotNull() & ~F.coalesce(F.col("_is") == F.col("_at") + 1, F.lit(False)), F.when(F.col("scan_local"), "not_comparable").when(F.col("_compares"), "resolved").otherwise("unknown"))
+    events = F.array(F.struct(F.col(ident).alias("report"), F.col("previous"), here.alias("change")), F.struct(F.col("_next").alias("report"), F.col(ident).alias("previous"), gone.alias("change")))
+    out = seen.select(F.explode(events).alias("e")).select("e.*").where("change is not null")
+    return out.groupBy(F.col("report").alias(ident), "previous", "change").agg(F.count("*").alias("findings"))
 
 
 def detection_metrics(cases: DataFrame) -> DataFrame:
