@@ -2,24 +2,31 @@
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
-from collections.abc import Iterator
+import re
+from collections import defaultdict
+from collections.abc import Callable, Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallyhawk.plans.session import cut, stored
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
-#: Entries that a task's counts hold before they are passed on.
-HELD = 1_500_000
-#: An entry is its occurrences and, from this bit on, its documents.
-ONE_BITS = 40
-ONE = 1 << ONE_BITS
+#: A-Z to a-z, in UTF-8 bytes.
+LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+#: Runs of ASCII letters and of characters beyond ASCII, in UTF-8 bytes.
+TERM = re.compile(rb"[A-Za-z\x80-\xff]+")
+#: A use of a chunk or term: language and group (language and source) by their 64-bit hashes, occurrences, documents of the
+#: group; once a language has them, documents of the language that are sure (one chunk's) and possible (all chunks').
+USE = np.dtype([("lang", "<i8"), ("group", "<i8"), ("n", "<i8"), ("docs", "<i8"), ("least", "<i8"), ("most", "<i8")])
+#: Words of texts, and different chunks, that a task's counts hold before they are passed on.
+HELD_WORDS, HELD_CHUNKS = 3_000_000, 1_000_000
+#: Uses that are merged at once.
+HELD_USES = 500_000
 #: Chunks of a language that a task remembers to have looked up in the filter.
 LOOKED_UP = 400_000
 #: Bits of the filter of chunks whose documents must be told apart: 2 MB, whatever the input.
@@ -31,67 +38,165 @@ PAIRS = 1_000_000
 UNIT = 1_000_000_000
 
 
+def _hash(text: str, seed: int = 42) -> int:
+    """The engine's hash of a text column, signed; of a second column with the first one's as its seed."""
+    import xxhash
+
+    h = xxhash.xxh64_intdigest(text.encode(), seed=seed & (2**64 - 1))
+    return h - 2**64 if h >= 2**63 else h
+
+
+def _payloads(uses: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """One binary value for each run of uses that ends before ``ends``."""
+    offsets = np.concatenate(([0], ends)).astype(np.int64) * USE.itemsize
+    return pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(uses.tobytes())]).cast(pa.binary())
+
+
+def _summed(key: np.ndarray, uses: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(key, uses)`` sorted, with the uses of equal key and group as one; ``least`` is their maximum."""
+    order = np.lexsort((uses["group"], key))
+    key, uses = key[order], uses[order]
+    if not len(key):
+        return key, uses
+    starts = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (uses["group"][1:] != uses["group"][:-1]))))
+    out = uses[starts].copy()
+    for name in ("n", "docs", "most"):
+        out[name] = np.add.reduceat(uses[name], starts)
+    out["least"] = np.maximum.reduceat(uses["least"], starts)
+    return key[starts], out
+
+
 def count_chunks(docs: DataFrame) -> DataFrame:
-    """``lang, source, chunk, occurrences, documents``: partial counts of the chunks between ASCII white space.
+    """``chunk, uses``: partial counts of the chunks between ASCII white space, packed by chunk.
 
-    Every document's chunks are counted once; a task adds them up in bounded memory, so common chunks leave it as
-    one row for each group, however many documents have them.
+    Every document's different chunks are counted; a task adds them up in bounded memory, so a common chunk leaves it
+    as one row, however many documents and groups have it.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows(counts: dict) -> Iterator[pa.RecordBatch]:
-            for (lang, source), entries in counts.items():
-                n = len(entries)
-                both = np.fromiter(entries.values(), dtype=np.int64, count=n)
-                chunks = pa.array(list(entries), pa.binary()).cast(pa.string())
-                yield pa.RecordBatch.from_arrays([pa.repeat(lang, n), pa.repeat(source, n), chunks, pa.array(both & (ONE - 1)), pa.array(both >> ONE_BITS)], ["lang", "source", "chunk", "occurrences", "documents"])
-
-        counts: dict[tuple, dict[bytes, int]] = defaultdict(dict)
+        index: dict[bytes, int] = defaultdict(count().__next__)
+        groups: dict[tuple, int] = {}
+        parts: list[tuple[np.ndarray, np.ndarray, int]] = []  # chunks, occurrences and group of a document
+
+        def settle() -> pa.RecordBatch:
+            chunk = np.concatenate([p[0] for p in parts])
+            uses = np.zeros(len(chunk), dtype=USE)
+            uses["n"] = np.concatenate([p[1] for p in parts])
+            uses["docs"] = 1
+            uses["group"] = np.repeat([p[2] for p in parts], [len(p[0]) for p in parts])
+            chunk, uses = _summed(chunk, uses)
+            of = list(groups)
+            ids = np.array([(_hash(lang), _hash(source, _hash(lang))) for lang, source in of], dtype=np.int64)
+            uses["lang"], uses["group"] = ids[uses["group"], 0], ids[uses["group"], 1]
+            ends = np.append(np.flatnonzero(np.diff(chunk)) + 1, len(chunk))
+            names = pa.array(list(index), pa.binary()).take(pa.array(chunk[ends - 1])).cast(pa.string())
+            return pa.RecordBatch.from_arrays([names, _payloads(uses, ends)], ["chunk", "uses"])
+
         held = 0
         for batch in batches:
-            langs, sources = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            for text, lang, source in zip(batch.column(0), langs, sources, strict=True):
-                group = counts[lang, source]
-                held -= len(group)
-                known = group.get
-                for chunk, n in Counter(text.as_buffer().to_pybytes().split()).items():
-                    group[chunk] = known(chunk, 0) + n + ONE
-                held += len(group)
-                if held > HELD:
-                    yield from rows(counts)
-                    counts.clear()
+            for text, lang, source in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                words = text.as_buffer().to_pybytes().split()
+                if not words:
+                    continue
+                ids, n = np.unique(np.fromiter(map(index.__getitem__, words), dtype=np.int64, count=len(words)), return_counts=True)
+                parts.append((ids, n, groups.setdefault((lang, source), len(groups))))
+                held += len(words)
+                if held > HELD_WORDS or len(index) > HELD_CHUNKS:
+                    yield settle()
+                    parts.clear()
+                    index = defaultdict(count().__next__)
                     held = 0
-        yield from rows(counts)
+        if parts:
+            yield settle()
 
-    return docs.select("text", "lang", "source").mapInArrow(run, "lang string, source string, chunk string, occurrences long, documents long")
+    return docs.select("text", "lang", "source").mapInArrow(run, "chunk string, uses binary")
 
 
-def chunk_table(counts: DataFrame) -> DataFrame:
-    """``chunk, terms, langs``: each different chunk of the corpus once, its terms, and where it occurs.
+def _merged(batches: Iterator[pa.RecordBatch], emit: Callable[[pa.Array, np.ndarray, np.ndarray], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of (name, uses), sorted by name, with the uses of a name as one: ``emit(names, uses, ends)``.
 
-    ``langs`` has the documents of each language and within it the occurrences of each source. One shuffle.
+    A name whose rows go on is summed up as it comes, so what is held of it are its groups.
+    """
+    rest_name: pa.Array | None = None
+    rest = np.zeros(0, dtype=USE)
+    for batch in batches:
+        names, packed = batch.column(0), batch.column(1)
+        if not len(names):
+            continue
+        step = max(1, len(names) * HELD_USES * USE.itemsize // max(1, packed.nbytes))
+        for a in range(0, len(names), step):
+            name, payload = names.slice(a, step), packed.slice(a, step)
+            offsets = np.frombuffer(payload.buffers()[1], dtype=np.int32)[payload.offset : payload.offset + len(payload) + 1]
+            uses = np.frombuffer(payload.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]].view(USE)
+            new = np.ones(len(name), dtype=bool)
+            new[1:] = pc.not_equal(name.slice(1), name.slice(0, len(name) - 1)).to_numpy(zero_copy_only=False)
+            if rest_name is not None:
+                new[0] = rest_name[0].as_py() != name[0].as_py()
+            key = np.repeat(np.cumsum(new), np.diff(offsets) // USE.itemsize)
+            key, uses = _summed(np.concatenate([np.zeros(len(rest), dtype=key.dtype), key]), np.concatenate([rest, uses]))
+            last = int(np.searchsorted(key, key[-1]))
+            if last:
+                at = np.flatnonzero(new)
+                whole = name.take(pa.array(at[:-1])) if len(at) > 1 else name.slice(0, 0)
+                done = [rest_name, whole] if rest_name is not None else [whole]
+                yield emit(pa.concat_arrays(done), uses[:last], np.append(np.flatnonzero(np.diff(key[:last])) + 1, last))
+            if rest_name is None or new.any():
+                rest_name = name.slice(int(np.flatnonzero(new)[-1]), 1)
+            rest = uses[last:]
+    if rest_name is not None:
+        yield emit(rest_name, rest, np.array([len(rest)]))
+
+
+def chunk_terms(counts: DataFrame, least_documents: int) -> DataFrame:
+    """``chunk, term, uses, rare``: each different chunk of the corpus is split into terms once; its uses go to each.
+
+    ``uses`` has the occurrences of each group and, once a language, its documents. A term that a chunk has twice is
+    two rows. ``rare`` are languages in which the chunk is in too few documents to decide about its terms.
     """
-    by_source = counts.repartition("chunk").groupBy("chunk", "lang", "source").agg(F.sum("occurrences").alias("occurrences"), F.sum("documents").alias("documents"))
-    by_chunk = by_source.groupBy("chunk").agg(F.collect_list(F.struct("lang", "source", "occurrences", "documents")).alias("all"))
-    of = lambda lang: F.filter("all", lambda u: u["lang"] == lang)
-    documents = lambda lang: F.aggregate(of(lang), F.lit(0).cast("long"), lambda a, u: a + u["documents"])
-    uses = lambda lang: F.transform(of(lang), lambda u: F.struct(u["source"].alias("source"), u["occurrences"].alias("occurrences")))
-    langs = F.transform(F.array_distinct(F.transform("all", lambda u: u["lang"])), lambda g: F.struct(g.alias("lang"), documents(g).alias("documents"), uses(g).alias("uses")))
-    terms = F.regexp_extract_all(F.translate("chunk", UPPER, LOWER), F.lit(TERM), F.lit(0))
-    return by_chunk.select("chunk", "all", terms.alias("terms")).where(F.size("terms") > 0).select("chunk", "terms", langs.alias("langs"))
+
+    def emit(names: pa.Array, uses: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
+        # documents of a language: those of its groups, as documents are in one group
+        key = np.repeat(np.arange(len(ends)), np.diff(np.concatenate(([0], ends))))
+        order = np.lexsort((uses["lang"], key))
+        uses, key = uses[order].copy(), key[order]
+        starts = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (uses["lang"][1:] != uses["lang"][:-1]))))
+        documents = np.add.reduceat(uses["docs"], starts)
+        uses["least"][starts], uses["most"][starts] = documents, documents
+        few = documents < least_documents
+        rare_of, rare_lang = key[starts][few], uses["lang"][starts][few]
+        bounds = np.searchsorted(rare_of, np.arange(len(ends) + 1))
+        rare = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(rare_lang))
+        found = [TERM.findall(name.as_buffer().to_pybytes().translate(LOWER)) for name in names]
+        which = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
+        terms = pa.array([t for f in found for t in f], pa.binary()).cast(pa.string())
+        return pa.RecordBatch.from_arrays([names.take(which), terms, _payloads(uses, ends).take(which), rare.take(which)], ["chunk", "term", "uses", "rare"])
+
+    dealt = counts.repartition("chunk").sortWithinPartitions("chunk")
+    return dealt.mapInArrow(lambda batches: _merged(batches, emit), "chunk string, term string, uses binary, rare array<long>")
 
 
 def term_uses(chunks: DataFrame, least_documents: int) -> DataFrame:
-    """``lang, term, sources, least, most``: occurrences by source of terms that may be in enough documents.
+    """``lang_id, term, least, most, groups, counts``: terms that may be in enough documents of a language.
 
     A term is in as many documents as any of its chunks at least, and as all of them together at most.
     """
-    one = chunks.select(F.explode("terms").alias("term"), "langs").select("term", F.explode("langs").alias("l"))
-    use = one.select("term", "l.lang", "l.documents", F.posexplode("l.uses").alias("at", "use"))
-    use = use.select("lang", "term", "use.source", "use.occurrences", "documents", F.when(F.col("at") == 0, F.col("documents")).otherwise(0).alias("once"))
-    by_source = use.repartition("lang", "term").groupBy("lang", "term", "source").agg(F.sum("occurrences").alias("n"), F.max("documents").alias("least"), F.sum("once").alias("most"))
-    out = by_source.groupBy("lang", "term").agg(F.collect_list(F.struct("source", "n")).alias("sources"), F.max("least").alias("least"), F.sum("most").alias("most"))
-    return out.where(F.col("most") >= least_documents)
+
+    def emit(names: pa.Array, uses: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
+        key = np.repeat(np.arange(len(ends)), np.diff(np.concatenate(([0], ends))))
+        order = np.lexsort((uses["lang"], key))
+        uses, key = uses[order], key[order]
+        starts = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (uses["lang"][1:] != uses["lang"][:-1]))))
+        least, most = np.maximum.reduceat(uses["least"], starts), np.add.reduceat(uses["most"], starts)
+        keep = most >= least_documents
+        sizes = np.diff(np.append(starts, len(uses)))
+        inside = np.repeat(keep, sizes)
+        offsets = pa.array(np.concatenate(([0], np.cumsum(sizes[keep]))).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(uses[c][inside])) for c in ("group", "n")]
+        rows = [pa.array(uses["lang"][starts][keep]), names.take(pa.array(key[starts][keep])), pa.array(least[keep]), pa.array(most[keep])]
+        return pa.RecordBatch.from_arrays([*rows, *lists], ["lang_id", "term", "least", "most", "groups", "counts"])
+
+    dealt = chunks.select("term", "uses").repartition("term").sortWithinPartitions("term")
+    return dealt.mapInArrow(lambda batches: _merged(batches, emit), "lang_id long, term string, least long, most long, groups array<long>, counts array<long>")
 
 
 def _positions(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -100,7 +205,7 @@ def _positions(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _filter(keys: DataFrame) -> np.ndarray:
-    """A bit filter of (lang, chunk): as many rows as it has 64-bit words reach the driver at most."""
+    """A bit filter of (language, chunk): as many rows as it has 64-bit words reach the driver at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -108,28 +213,28 @@ def _filter(keys: DataFrame) -> np.ndarray:
             bits = np.left_shift(np.uint64(1), places & np.uint64(63)).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array((places >> np.uint64(6)).astype(np.int64)), pa.array(bits)], ["word", "bits"])
 
-    rows = keys.select(F.xxhash64("lang", "chunk").alias("h")).mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
+    rows = keys.select("h").mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
     words = np.zeros(FILTER_BITS // 64, dtype=np.int64)
     words[rows["word"].to_numpy(dtype=np.int64)] = rows["bits"].to_numpy(dtype=np.int64)
     return words.view(np.uint64)
 
 
 def count_documents(docs: DataFrame, chunks: DataFrame, open_terms: DataFrame, least_documents: int) -> DataFrame:
-    """``lang, term`` of those ``open_terms`` that are in enough documents, whose different documents are counted.
+    """``lang_id, term`` of those ``open_terms`` that are in enough documents, whose different documents are counted.
 
     Only chunks of fewer documents matter here: others would have decided their terms. The documents are read
     again; what passes a filter of fixed size meets these chunks and their terms in a join.
     """
-    rare = chunks.select("chunk", F.explode(F.array_distinct("terms")).alias("term"), "langs").select("chunk", "term", F.explode("langs").alias("l")).where(F.col("l.documents") < least_documents)
-    rare = cut(rare.select(F.col("l.lang").alias("lang"), "chunk", "term").join(open_terms, ["lang", "term"], "left_semi"))
-    bits = _filter(rare.select("lang", "chunk").distinct())
+    rare = chunks.select("chunk", "term", F.explode("rare").alias("lang_id")).distinct()
+    rare = cut(rare.join(open_terms, ["lang_id", "term"], "left_semi"))
+    bits = _filter(rare.select("lang_id", "chunk").distinct().select(F.xxhash64("lang_id", "chunk").alias("h")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
         from pyspark import TaskContext
 
-        def looked_up(lang: str, chunks: list[bytes]) -> Iterator[bytes]:
-            seed = xxhash.xxh64_intdigest(lang.encode(), seed=42)  # as the hash of two columns has it
+        def looked_up(lang_id: int, chunks: list[bytes]) -> Iterator[bytes]:
+            seed = xxhash.xxh64_intdigest(lang_id.to_bytes(8, "little", signed=True), seed=42)  # as the hash of two columns has it
             h = np.fromiter((xxhash.xxh64_intdigest(c, seed=seed) for c in chunks), dtype=np.uint64, count=len(chunks))
             hit = np.ones(len(h), dtype=bool)
             for place in _positions(h):
@@ -137,13 +242,15 @@ def count_documents(docs: DataFrame, chunks: DataFrame, open_terms: DataFrame, l
             return (chunks[i] for i in np.flatnonzero(hit).tolist())
 
         row = TaskContext.get().partitionId() << 40
-        known: dict[str, tuple[set[bytes], set[bytes]]] = defaultdict(lambda: (set(), set()))
+        ids: dict[str, int] = {}
+        known: dict[int, tuple[set[bytes], set[bytes]]] = defaultdict(lambda: (set(), set()))
         for batch in batches:
             rows, langs, found = [], [], []
             for text, lang in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 row += 1
                 different = set(text.as_buffer().to_pybytes().split())
-                seen, hits = known[lang]
+                lang_id = ids[lang] if lang in ids else ids.setdefault(lang, _hash(lang))
+                seen, hits = known[lang_id]
                 new = different - seen
                 if new:
                     if len(seen) > LOOKED_UP:
@@ -151,15 +258,15 @@ def count_documents(docs: DataFrame, chunks: DataFrame, open_terms: DataFrame, l
                         hits.clear()
                         new = different
                     seen |= new
-                    hits.update(looked_up(lang, list(new)))
+                    hits.update(looked_up(lang_id, list(new)))
                 mine = different & hits
                 rows += [row] * len(mine)
-                langs += [lang] * len(mine)
+                langs += [lang_id] * len(mine)
                 found += mine
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(langs, pa.string()), pa.array(found, pa.binary()).cast(pa.string())], ["row", "lang", "chunk"])
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(langs, pa.int64()), pa.array(found, pa.binary()).cast(pa.string())], ["row", "lang_id", "chunk"])
 
-    seen = docs.select("text", "lang").mapInArrow(run, "row long, lang string, chunk string").join(rare, ["lang", "chunk"])
-    return seen.groupBy("lang", "term", "row").agg(F.lit(1).alias("_one")).groupBy("lang", "term").agg(F.count("*").alias("_n")).where(F.col("_n") >= least_documents).select("lang", "term")
+    seen = docs.select("text", "lang").mapInArrow(run, "row long, lang_id long, chunk string").join(rare, ["lang_id", "chunk"])
+    return seen.select("lang_id", "term", "row").distinct().groupBy("lang_id", "term").agg(F.count("*").alias("_n")).where(F.col("_n") >= least_documents).select("lang_id", "term")
 
 
 def _share(n: str | Column, total: str, terms: str) -> Column:
@@ -232,25 +339,26 @@ def audit(docs: DataFrame, *, least_documents: int = 10, top: int = 10) -> DataF
     ties go by the item's bytes; an empty table gives an empty table.
     """
     docs = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"))
-    chunks = stored(chunk_table(count_chunks(docs)))
+    named = docs.select("lang", "source").distinct().select("lang", "source", F.xxhash64("lang").alias("lang_id"), F.xxhash64("lang", "source").alias("group_id"))
+    named = cut(named)
+    apart = named.agg(F.count("*") == F.count_distinct("group_id"), F.count_distinct("lang") == F.count_distinct("lang_id")).first()
+    if not all(apart):
+        raise RuntimeError("two sources or languages share a 64-bit hash")
+    chunks = stored(chunk_terms(count_chunks(docs), least_documents))
     terms = cut(term_uses(chunks, least_documents))
-    undecided = terms.where(F.col("least") < least_documents).select("lang", "term")
+    undecided = terms.where(F.col("least") < least_documents)
     kept = terms.where(F.col("least") >= least_documents)
     if not undecided.isEmpty():
-        counted = count_documents(docs, chunks, undecided, least_documents)
-        kept = kept.unionByName(terms.where(F.col("least") < least_documents).join(counted, ["lang", "term"], "left_semi"))
-    kept = cut(kept.select("lang", "term", "sources"))
-    total = F.aggregate("sources", F.lit(0).cast("long"), lambda a, s: a + s["n"])
-    whole = kept.groupBy("lang").agg(F.count("*").alias("v"), F.sum(total).alias("lang_n"))
-    own = kept.select("lang", F.explode("sources").alias("s")).groupBy("lang", "s.source").agg(F.sum("s.n").alias("n"))
-    groups = docs.select("lang", "source").distinct().join(own, ["lang", "source"], "left").join(whole, "lang", "left")
-    groups = groups.select("lang", "source", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n", "v", "lang_n")])
+        counted = count_documents(docs, chunks, undecided.select("lang_id", "term"), least_documents)
+        kept = kept.unionByName(undecided.join(counted, ["lang_id", "term"], "left_semi"))
+    kept = cut(kept.select("lang_id", "term", "groups", "counts", F.aggregate("counts", F.lit(0).cast("long"), lambda a, n: a + n).alias("in_lang")))
+    whole = kept.groupBy("lang_id").agg(F.count("*").alias("v"), F.sum("in_lang").alias("lang_n"))
+    uses = kept.select("lang_id", "term", "in_lang", F.explode(F.arrays_zip(F.col("groups").alias("g"), F.col("counts").alias("n"))).alias("u")).select("lang_id", "term", "in_lang", F.col("u.g").alias("group_id"), F.col("u.n").alias("count"))
+    own = uses.groupBy("group_id").agg(F.sum("count").alias("n"))
+    groups = named.join(own, "group_id", "left").join(whole, "lang_id", "left").select("lang", "source", "group_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n", "v", "lang_n")])
     groups = cut(groups.withColumn("p0", F.when(F.col("v") > 0, _share(F.lit(0), "n", "v"))))
     few = F.broadcast if groups.count() <= BROADCAST_GROUPS else (lambda df: df)
-
-    entries = kept.select("lang", "term", total.alias("in_lang"), F.explode("sources").alias("s")).select("lang", "s.source", "term", "in_lang", F.col("s.n").alias("count"))
-    entries = entries.join(few(groups), ["lang", "source"]).select("lang", "source", "term", _share("count", "n", "v").alias("p"), _share("in_lang", "lang_n", "v").alias("q"), "p0")
-    entries = cut(entries)
+    entries = cut(uses.join(few(groups), "group_id").select("lang", "source", "term", _share("count", "n", "v").alias("p"), _share("in_lang", "lang_n", "v").alias("q"), "p0"))
 
     marks = entries.where("p > q").select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), _gap(F.col("p"), F.col("q")).alias("value"))
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")

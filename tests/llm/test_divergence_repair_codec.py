@@ -23,8 +23,8 @@ from tests.oracle import same_rows
 
 
 def plain_audit(rows: list[tuple], least: int = 10) -> set[tuple]:
-    lower = str.maketrans(divergence.UPPER, divergence.LOWER)
-    docs = [(re.findall(divergence.TERM, (t or "").translate(lower)), lang or "", source or "") for t, lang, source in rows]
+    lower = {c: c + 32 for c in range(65, 91)}
+    docs = [(re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", (t or "").translate(lower)), lang or "", source or "") for t, lang, source in rows]
     out = set()
     for lang in {d[1] for d in docs}:
         df = collections.Counter(t for ts, g, _ in docs if g == lang for t in set(ts))
@@ -77,7 +77,8 @@ def test_divergence_flushes_and_shuffles(spark, monkeypatch):
     rows = [(f"a{i % 3} common x{i % 2}", "en", f"s{i % 4}") for i in range(80)]
     docs = spark.createDataFrame(rows, "text string, lang string, source string")
     once = {tuple(r) for r in divergence.audit(docs).collect()}
-    monkeypatch.setattr(divergence, "HELD", 3)
+    monkeypatch.setattr(divergence, "HELD_WORDS", 3)
+    monkeypatch.setattr(divergence, "HELD_USES", 2)
     monkeypatch.setattr(divergence, "BROADCAST_GROUPS", 0)
     monkeypatch.setattr(divergence, "PAIRS", 1)
     assert {tuple(r) for r in divergence.audit(docs).collect()} == once and once
