@@ -21,13 +21,32 @@ def _in_scope(approval: str) -> Column:
     return test
 
 
+# What the source of a gateway caller's name may vouch for, weakest last.
+CALLER_ASSURANCE = ("provider-authenticated-field", "operator-asserted")
+
+
+def caller_assurance(findings: DataFrame) -> Column:
+    """``unverified`` or ``operator-asserted`` for a gateway finding whose caller no provider authenticated, else null.
+
+    ``assurances`` lists what each of the finding's observations says; none, or one that is not known, is unverified.
+    Without that column nothing is said.
+    """
+    if "assurances" not in findings.columns:
+        return F.lit(None).cast("string")
+    said = F.coalesce("assurances", F.array().cast("array<string>"))
+    known = F.forall(said, lambda a: F.coalesce(a.isin(*CALLER_ASSURANCE), F.lit(False)))
+    weakest = F.when((F.size(said) == 0) | ~known, "unverified").when(F.array_contains(said, CALLER_ASSURANCE[1]), CALLER_ASSURANCE[1])
+    return F.when(F.col("surface") == "gateway", weakest)
+
+
 def reconcile_inventory(findings: DataFrame, inventory: DataFrame, pattern: str = "pattern", ident: str = "agent_id") -> DataFrame:
-    """``findings`` with ``shadow, registry_match, reason``.
+    """``findings`` with ``shadow_now, match_now, reason, suggestions, assurance``.
 
     ``inventory`` has one row per approval and pattern, and lists ``surfaces, providers, accounts, regions`` (empty: any).
     Literal patterns are an equi-join; patterns with wild cards are met by their rarest literal piece. Exactly one
-    approval approves; several are ambiguous; an identity that is redacted or padded is not compared; an
-    empty inventory leaves ``shadow`` null.
+    approval approves; several are ambiguous, and are suggested; what fits a gateway caller that no provider has
+    authenticated is for review only (see ``caller_assurance``), as callers write their own names; an identity that is
+    redacted or padded is not compared; an empty inventory leaves ``shadow_now`` null.
     """
     wild = F.col(pattern).rlike(r"[*?\[]")
     inv = inventory.select(F.struct(ident, pattern, *[f"{s}s" for s in SCOPES]).alias("inv"), F.col(pattern).alias("_pattern"), wild.alias("_wild"))
@@ -35,12 +54,19 @@ def reconcile_inventory(findings: DataFrame, inventory: DataFrame, pattern: str
     literal = usable.join(inv.where("not _wild"), F.col("resource") == F.col("_pattern")).where(_in_scope("inv"))
     globs = index_patterns(inv.where("_wild").withColumn("_regex", glob_to_regex("_pattern")), glob_literal(F.col("_pattern")))
     matched = candidates(usable, F.col("resource"), globs).where(F.regexp_like(F.col("resource"), F.col("_regex"))).where(_in_scope("inv"))
-    hits = literal.select("id", f"inv.{ident}").union(matched.select("id", f"inv.{ident}")).groupBy("id").agg(F.count_distinct(ident).alias("_n"), F.min(ident).alias("_one"))
+    hits = literal.select("id", f"inv.{ident}").union(matched.select("id", f"inv.{ident}")).groupBy("id").agg(F.array_sort(F.collect_set(ident)).alias("_fits"))
     known = inventory.limit(1).agg(F.count("*").alias("_known"))
-    out = findings.join(hits, "id", "left").crossJoin(F.broadcast(known))  # one row
-    assessed = F.col("_known") > 0
-    reason = F.when(~assessed, "no-inventory").when(~usable_identity("resource"), "unusable-identity").when(F.col("_n") > 1, "ambiguous-resource-approval").when(F.col("_n") == 1, "approved").otherwise("unregistered")
-    return out.select(*findings.columns, F.when(assessed, reason != "approved").alias("shadow_now"), F.when(reason == "approved", F.col("_one")).alias("match_now"), reason.alias("reason"))
+    out = findings.withColumn("_assurance", caller_assurance(findings)).join(hits, "id", "left").crossJoin(F.broadcast(known))  # one row
+    assessed, n = F.col("_known") > 0, F.coalesce(F.size("_fits"), F.lit(0))
+    reason = (
+        F.when(~assessed, "no-inventory").when(~usable_identity("resource"), "unusable-identity").when((n > 0) & F.col("_assurance").isNotNull(), "unverified-gateway-caller-identity")
+        .when(n > 1, "ambiguous-resource-approval").when(n == 1, "approved").otherwise("unregistered")
+    )
+    review = reason.isin("unverified-gateway-caller-identity", "ambiguous-resource-approval")
+    return out.select(
+        *findings.columns, F.when(assessed, reason != "approved").alias("shadow_now"), F.when(reason == "approved", F.col("_fits")[0]).alias("match_now"), reason.alias("reason"),
+        F.when(review, F.col("_fits")).alias("suggestions"), F.when(reason == "unverified-gateway-caller-identity", F.col("_assurance")).alias("assurance"),
+    )
 
 
 def suggest_by_name(findings: DataFrame, names: DataFrame, text: str = "title", least: int = 4) -> DataFrame:

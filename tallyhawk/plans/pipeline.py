@@ -106,7 +106,7 @@ def run_pipeline(
         tables["bindings"], tables["unregistered"] = reconcile.reconcile_registry(context.records, known)
         if context.trusted_statuses:
             inventory = inventory.unionByName(reconcile.trusted_approvals(context.records, context.trusted_statuses), allowMissingColumns=True)
-    known = reconcile.reconcile_inventory(known, inventory).withColumnsRenamed({"shadow_now": "shadow", "match_now": "registry_match", "reason": "registry_reason"})
+    known = reconcile.reconcile_inventory(known, inventory).withColumnsRenamed({"shadow_now": "shadow", "match_now": "registry_match", "reason": "registry_reason", "suggestions": "registry_suggestions", "assurance": "registry_assurance"})
     known = governance.classify_autonomy(known)
     declared = tuple(c for c in ("owner_team", "autonomy_level") if c in inventory.columns)
     if declared:

@@ -128,6 +128,29 @@ def inventory_glob_approval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconcile.reconcile_inventory(f, inv).select("id", F.col("shadow_now").alias("shadow"), F.col("match_now").alias("registry_match"), "reason")
 
 
+@query("""
+WITH f AS (SELECT c_custkey AS id, CASE WHEN c_nationkey % 3 = 0 THEN 'identity' ELSE 'gateway' END AS surface, 'principal:' || c_mktsegment || '-' || c_custkey AS resource,
+                  CASE c_custkey % 5 WHEN 0 THEN [] WHEN 1 THEN ['provider-authenticated-field'] WHEN 2 THEN ['provider-authenticated-field', 'operator-asserted'] WHEN 3 THEN ['operator-asserted', 'hearsay'] END AS said FROM customer),
+i AS (SELECT 'seg-' || s AS agent, 'principal:' || s || '-%' AS pat FROM (SELECT DISTINCT c_mktsegment AS s FROM customer WHERE c_mktsegment < 'H') UNION ALL SELECT 'all-9', 'principal:%9'),
+w AS (SELECT *, CASE WHEN surface = 'gateway' THEN CASE WHEN coalesce(len(said), 0) = 0 OR len(list_filter(said, lambda x: x NOT IN ('provider-authenticated-field', 'operator-asserted'))) > 0 THEN 'unverified'
+                     WHEN list_contains(said, 'operator-asserted') THEN 'operator-asserted' END END AS weak FROM f),
+h AS (SELECT id, any_value(weak) AS weak, count(agent) AS n, min(agent) AS one, string_agg(agent, '|' ORDER BY agent) AS fits FROM w LEFT JOIN i ON resource LIKE pat GROUP BY id)
+SELECT id, n <> 1 OR weak IS NOT NULL AS shadow, CASE WHEN n = 1 AND weak IS NULL THEN one END AS registry_match, CASE WHEN n > 0 AND weak IS NOT NULL THEN 'unverified-gateway-caller-identity' WHEN n > 1 THEN 'ambiguous-resource-approval' WHEN n = 1 THEN 'approved' ELSE 'unregistered' END AS reason,
+       CASE WHEN n > 1 OR n > 0 AND weak IS NOT NULL THEN fits END AS suggestions, CASE WHEN n > 0 THEN weak END AS assurance FROM h""")
+def gateway_review(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer")
+    none = F.array().cast("array<string>")
+    segments = c.where("c_mktsegment < 'H'").select("c_mktsegment").distinct().select(F.concat(F.lit("seg-"), "c_mktsegment").alias("agent_id"), F.concat(F.lit("principal:"), "c_mktsegment", F.lit("-*")).alias("pattern"))
+    inventory = segments.unionByName(spark.createDataFrame([("all-9", "principal:*9")], "agent_id string, pattern string")).select("*", *[none.alias(f"{s}s") for s in reconcile.SCOPES])
+    authenticated, asserted = F.lit(reconcile.CALLER_ASSURANCE[0]), F.lit(reconcile.CALLER_ASSURANCE[1])
+    k = F.col("c_custkey") % 5
+    f = c.select(
+        F.col("c_custkey").alias("id"), F.when(F.col("c_nationkey") % 3 == 0, "identity").otherwise("gateway").alias("surface"), F.concat(F.lit("principal:"), "c_mktsegment", F.lit("-"), F.col("c_custkey").cast("string")).alias("resource"),
+        F.when(k == 0, none).when(k == 1, F.array(authenticated)).when(k == 2, F.array(authenticated, asserted)).when(k == 3, F.array(asserted, F.lit("hearsay"))).alias("assurances"), *[F.lit("x").alias(s) for s in ("provider", "account", "region")],
+    )
+    return reconcile.reconcile_inventory(f, inventory).select("id", F.col("shadow_now").alias("shadow"), F.col("match_now").alias("registry_match"), "reason", F.array_join("suggestions", "|").alias("suggestions"), "assurance")
+
+
 @query("""
 SELECT p_partkey AS id, n AS name FROM part, (VALUES ('widget'), ('bolt'), ('ring'), ('gear')) v(n)
 WHERE length(n) >= 4 AND regexp_matches(lower(p_name), '(^|[^a-z0-9])' || n || '($|[^a-z0-9])')""")

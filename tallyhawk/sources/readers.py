@@ -39,15 +39,35 @@ def read_json_envelope(spark: SparkSession, path: str) -> DataFrame:
     return t.select("source", F.explode(rows).alias("raw"), partial.alias("partial"))
 
 
+def read_csv_records(spark: SparkSession, path: str) -> DataFrame:
+    """Every record of a header CSV: its columns, ``source``, ``reason`` and ``raw``.
+
+    ``reason`` says why a record is left out: ``malformed`` (of another width than the header; ``raw`` has its text),
+    ``empty``, or ``error`` (it only carries a provider's error); null for good ones. Nothing is dropped, so
+    ``input_completeness`` counts what a reader leaves out. Files of one call have one header.
+    """
+    plain = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("recursiveFileLookup", True)
+    columns = plain.csv(path).columns
+    schema = ", ".join(f"`{c}` string" for c in (*columns, "_raw"))
+    df = plain.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_raw").csv(path)
+    known = F.lit(False)
+    for c in columns:
+        known = known | F.col(f"`{c}`").isNotNull()
+    reason = F.when(F.col("_raw").isNotNull() & (known | ~known), "malformed").when(~known, "empty")
+    if "error" in columns and len(columns) > 1:
+        reason = reason.when(F.col("error").isNotNull(), "error")
+    return df.select(*[f"`{c}`" for c in columns], F.col("_metadata.file_path").alias("source"), reason.alias("reason"), F.col("_raw").alias("raw"))
+
+
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Header CSV; rows of another width and rows that only carry a provider's error are dropped."""
-    df = spark.read.option("header", True).option("mode", "DROPMALFORMED").option("multiLine", True).option("escape", '"').csv(path)
-    known = [F.col(f"`{c}`").isNotNull() for c in df.columns]
-    some = known[0]
-    for k in known[1:]:
-        some = some | k
-    out = df.where(some)
-    return out.where(F.col("error").isNull()) if "error" in df.columns and len(df.columns) > 1 else out
+    """The good records of a header CSV; see ``read_csv_records`` for what they leave out."""
+    return read_csv_records(spark, path).where("reason is null").drop("source", "reason", "raw")
+
+
+def left_out(records: DataFrame) -> DataFrame:
+    """Records with a ``reason`` in the form that ``input_completeness`` counts: too large ones limit a source, others are bad."""
+    limited = F.coalesce(F.col("reason").isin("too-large"), F.lit(False))
+    return records.withColumn("bad", F.coalesce(F.col("reason").isin("malformed", "binary"), F.lit(False))).withColumn("partial", limited)
 
 
 COMBINED = r'^(\S+) \S+ (\S+) \[([^\]]+)\] "([A-Z]+) ([^"\s]*)[^"]*" (\d{3}) (\S+)(?: "([^"]*)" "([^"]*)")?(.*)$'
@@ -197,11 +217,25 @@ def read_mapping_catalog(spark: SparkSession, path: str) -> DataFrame:
 SKIP = r"(^|/)(\.git|node_modules|\.venv|venv|__pycache__|dist|build|\.tox|vendor)(/|$)"
 
 
-def read_file_tree(spark: SparkSession, root: str, most_bytes: int = 2_000_000, globs: str = "*") -> DataFrame:
-    """``path, size, text`` of a tree; skipped folders, large files and binary contents are left out."""
+def walk_file_tree(spark: SparkSession, root: str, most_bytes: int = 2_000_000, globs: str = "*") -> DataFrame:
+    """Every file of a tree: ``path, size, text, reason``.
+
+    ``reason`` says why a file has no text: ``skipped`` (in a folder of other people's code), ``too-large`` or
+    ``binary``; null for the others. The contents of skipped and large files are never read.
+    """
     f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", globs).load(root)
-    f = f.where((F.col("length") <= most_bytes) & ~F.col("path").rlike(SKIP)).select("path", F.col("length").alias("size"), F.decode("content", "UTF-8").alias("text"))
-    return f.where(~F.col("text").contains("\x00"))
+    wanted = (F.col("length") <= most_bytes) & ~F.col("path").rlike(SKIP)
+    size = F.col("length").alias("size")
+    read = f.where(wanted).select("path", size, F.decode("content", "UTF-8").alias("_text"))
+    binary = F.col("_text").contains("\x00")
+    read = read.select("path", "size", F.when(~binary, F.col("_text")).alias("text"), F.when(binary, "binary").alias("reason"))
+    other = f.where(~wanted).select("path", size, F.lit(None).cast("string").alias("text"), F.when(F.col("path").rlike(SKIP), "skipped").otherwise("too-large").alias("reason"))
+    return read.unionByName(other)
+
+
+def read_file_tree(spark: SparkSession, root: str, most_bytes: int = 2_000_000, globs: str = "*") -> DataFrame:
+    """``path, size, text`` of the files that are read; ``walk_file_tree`` has the others with their reasons."""
+    return walk_file_tree(spark, root, most_bytes, globs).where("reason is null").drop("reason")
 
 
 def input_completeness(records: DataFrame, by: str = "source") -> DataFrame:
