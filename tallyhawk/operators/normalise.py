@@ -154,15 +154,15 @@ def discard_unusable_usage(events: DataFrame, most: float = 1e15) -> DataFrame:
 def provider_alias(events: DataFrame, aliases: DataFrame, column: str = "provider") -> DataFrame:
     """``provider_id`` by alias, else by the provider's slug among the known ids."""
     own = F.lower(F.trim(F.col(column)))
-    a = F.broadcast(aliases.select(F.lower("alias").alias("_alias"), "provider_id"))
+    a = aliases.select(F.lower("alias").alias("_alias"), "provider_id")
     slug = F.concat(F.lit("provider."), F.regexp_replace(own, r"[^a-z0-9]+", "-"))
-    ids = F.broadcast(aliases.select(F.col("provider_id").alias("_id")).distinct())
+    ids = aliases.select(F.col("provider_id").alias("_id")).distinct()
     return events.join(a, own == F.col("_alias"), "left").join(ids, slug == F.col("_id"), "left").withColumn("provider_id", F.coalesce("provider_id", "_id")).drop("_alias", "_id")
 
 
 def bind_workloads(events: DataFrame, bindings: DataFrame) -> DataFrame:
     """Operator-declared code resources of exact callers (and environment, where the binding names one)."""
-    b = F.broadcast(bindings.select(F.col("caller").alias("_c"), F.col("environment").alias("_env"), "code_resources", "assurance"))
+    b = bindings.select(F.col("caller").alias("_c"), F.col("environment").alias("_env"), "code_resources", "assurance")
     return events.join(b, (F.col("caller") == F.col("_c")) & F.coalesce(F.col("_env") == F.col("environment"), F.col("_env").isNull()), "left").drop("_c", "_env")
 
 

@@ -300,7 +300,7 @@ def inventory_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 SELECT value, n, row_number() OVER (ORDER BY n DESC, value NULLS LAST) AS place FROM (SELECT n_name AS value, count(*) AS n FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey GROUP BY 1)""")
 def ranked_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "customer").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("n_nationkey") == F.col("c_nationkey"), "left")
+    c = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("c_nationkey"), "left")
     return reports.ranked_counts(c, "n_name").withColumn("place", F.col("place").cast("long"))
 
 

@@ -99,7 +99,7 @@ def read_zeek(spark: SparkSession, path: str) -> DataFrame:
     t = spark.read.text(path).select(F.col("_metadata.file_path").alias("source"), F.col("value").alias("line"))
     head = t.where(F.col("line").startswith("#")).groupBy("source").agg(
         F.max(F.when(F.col("line").startswith("#fields"), F.slice(F.split("line", "\t"), 2, 10_000))).alias("names"), F.max(F.when(F.col("line").startswith("#path"), F.split("line", "\t")[1])).alias("log"))
-    rows = t.where(~F.col("line").startswith("#") & (F.col("line") != "")).join(F.broadcast(head), "source")  # one row per file
+    rows = t.where(~F.col("line").startswith("#") & (F.col("line") != "")).join(head, "source")
     cells = F.transform(F.split("line", "\t"), lambda v: F.nullif(F.nullif(v, F.lit("-")), F.lit("(empty)")))
     return rows.select("source", "log", F.when(F.size(cells) == F.size("names"), F.map_from_arrays("names", cells)).alias("fields")).withColumn("bad", F.col("fields").isNull())
 
@@ -183,7 +183,7 @@ def read_inventory(spark: SparkSession, path: str) -> DataFrame:
     """Approved agents from CSV with lists split at bars, one row per resource pattern; a row without an id is an error."""
     df = read_csv(spark, path)
     col = lambda c: F.col(c) if c in df.columns else F.lit(None).cast("string")
-    listed = lambda c: F.filter(F.transform(F.split(F.coalesce(col(c), F.lit("")), r"\|"), F.trim), lambda x: x != "")
+    listed = lambda c: F.filter(F.transform(F.split(F.coalesce(col(c), F.lit("")), r"\|"), lambda x: F.trim(x)), lambda x: x != "")
     ident = F.coalesce(F.nullif(F.trim(col("agent_id")), F.lit("")), F.nullif(F.trim(col("id")), F.lit("")))
     if df.where(ident.isNull()).limit(1).count():
         raise ValueError(f"an approval without agent_id in {path}")
