@@ -39,11 +39,53 @@ def cap_confidence(weights: Column, cap: float, steps: int = 40, floor: float =
     return F.transform(weights, lambda w: F.greatest(w * scale, F.lit(floor)))
 
 
-def finalize_findings(findings: DataFrame, evidence: DataFrame) -> DataFrame:
-    """Findings with ``confidence`` and ``likelihood``; framework use with agent indicators is an agent."""
+# The greatest joint weight of an application for which nothing says AI, and the tags that do say so.
+UNATTRIBUTED_MOST = 0.35
+AI_TAGS = ("policy.llm-access-scopes", "entra-agent-identity", "registry-record")
+
+
+def bound_unattributed(findings: DataFrame, evidence: DataFrame, key: str = "finding_id") -> DataFrame:
+    """``evidence`` in which an application without any sign of AI counts as one weak observation.
+
+    For findings with ``app_assessment`` and neither frameworks, providers, AI tags nor a registry record, all evidence
+    but hints from names is of one group and weighs ``UNATTRIBUTED_MOST`` at most. The bound is in the weights, so
+    later scores reproduce it.
+    """
+    has = set(findings.columns)
+    some = lambda c: F.coalesce(F.size(c), F.lit(0)) > 0 if c in has else F.lit(False)
+    tagged = F.coalesce(F.arrays_overlap("tags", F.array(*[F.lit(t) for t in AI_TAGS])), F.lit(False)) if "tags" in has else F.lit(False)
+    open_apps = findings.where(F.coalesce("app_assessment", F.lit(False)) & ~(some("frameworks") | some("model_providers") | tagged)).select(F.col("id").alias(key)).distinct()
+    registered = evidence.where("confidence_group = 'registry-record'").select(key).distinct()
+    open_apps = open_apps.join(registered, key, "left_anti").withColumn("_open", F.lit(True))
+    hint = F.col("signal").rlike("^(?:signature:)?name") & ~F.coalesce(F.col("confidence_group").isin("ambiguous-name", "unverified-app-name"), F.lit(False))
+    weak = F.coalesce("_open", F.lit(False)) & ~F.coalesce(hint, F.lit(False))
+    return evidence.join(open_apps, key, "left").withColumns({
+        "confidence_group": F.when(weak, "unattributed-app").otherwise(F.col("confidence_group")), "weight": F.when(weak, F.least("weight", F.lit(UNATTRIBUTED_MOST))).otherwise(F.col("weight")),
+    }).select(*evidence.columns)
+
+
+def technologies(findings: DataFrame, signatures: DataFrame) -> DataFrame:
+    """``id, technologies``: what a finding's frameworks and providers are, in that order (``signature_id, name, category, vendor``)."""
+    none = F.array().cast("array<string>")
+    used = F.concat(F.coalesce("frameworks", none), F.coalesce("model_providers", none))
+    each = findings.select("id", F.posexplode(used).alias("at", "signature_id")).join(signatures.select("signature_id", "name", "category", "vendor"), "signature_id")
+    listed = F.array_sort(F.collect_list(F.struct("at", "signature_id", "name", "category", "vendor")))
+    return each.groupBy("id").agg(F.transform(listed, lambda t: F.struct(t["signature_id"].alias("id"), t["name"].alias("name"), t["category"].alias("category"), t["vendor"].alias("vendor"))).alias("technologies"))
+
+
+def finalize_findings(findings: DataFrame, evidence: DataFrame, signatures: DataFrame | None = None) -> DataFrame:
+    """Findings with ``confidence`` and ``likelihood``; framework use with agent indicators is an agent.
+
+    ``evidence`` has the finding's ``id``. Applications that nothing attributes to AI are bounded first (see
+    ``bound_unattributed``); with ``signatures`` there is a ``technologies`` list.
+    """
+    if "app_assessment" in findings.columns:
+        evidence = bound_unattributed(findings, evidence, "id")
     scored = findings.join(noisy_or_confidence(evidence, "id"), "id", "left").withColumn("confidence", F.coalesce("confidence", F.lit(0.0)))
     if "agent_indicators" in findings.columns:
         scored = scored.withColumn("kind", F.when((F.col("kind") == "framework-usage") & (F.col("agent_indicators") > 0), "agent").otherwise(F.col("kind")))
+    if signatures is not None:
+        scored = scored.join(technologies(findings, signatures), "id", "left")
     return scored.withColumn("likelihood", likelihood("confidence"))
 
 

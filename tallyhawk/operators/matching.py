@@ -145,10 +145,14 @@ def keep_secret_matches(matches: DataFrame, key: str = "doc") -> DataFrame:
     return good.join(specific, inside, "left_anti")
 
 
-def apply_matches(matches: DataFrame, key: str = "subject", most: int = 12) -> tuple[DataFrame, DataFrame]:
+def apply_matches(matches: DataFrame, key: str = "subject", most: int = 12, scale: float = 1.0) -> tuple[DataFrame, DataFrame]:
     """Evidence rows (at most ``most`` of a signature and type, ambiguous names as one weak hint) and per subject the
-    frameworks, providers, capabilities and how many indicators there are."""
-    order = Window.partitionBy(key, "signature_id", "type").orderBy(F.desc("weight"), "value")
+    frameworks, providers, capabilities and how many indicators there are.
+
+    Weights are multiplied by ``scale`` and kept within 0 and 1; a weak hint weighs 0.2 at most after that.
+    """
+    matches = matches.withColumn("weight", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("weight") * scale)))
+    order = Window.partitionBy(key, "signature_id", "type").orderBy(F.desc("weight"), "value", *sorted(set(matches.columns) - {key, "signature_id", "type", "weight", "value"}))
     ambiguous = F.coalesce(F.col("ambiguous"), F.lit(False)) if "ambiguous" in matches.columns else F.lit(False)
     e = matches.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= most)
     e = e.select(F.col(key).alias("finding_id"), F.concat(F.lit("signature:"), "type").alias("signal"), F.col("signature_id").alias("signature"), "value", F.when(ambiguous, F.least("weight", F.lit(0.2))).otherwise(F.col("weight")).alias("weight"), F.when(ambiguous, "ambiguous-name").alias("confidence_group"))

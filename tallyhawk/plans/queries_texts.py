@@ -59,7 +59,7 @@ _SECRETS = f"""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line FROM documents WHERE text IS NOT NULL),
 v AS (SELECT doc_id, line, unnest(regexp_extract_all(x, '{_RX}', 1)) AS value FROM l),
 e AS (SELECT doc_id, line, value, {_ENTROPY} AS bits FROM v WHERE length(value) >= 16),
-p AS (SELECT doc_id, line, value, bits, regexp_replace(regexp_replace(value, '^([A-Za-z0-9]{1,8}[-_]){1,3}', ''), '[^A-Za-z0-9]+', '', 'g') AS body FROM e),
+p AS (SELECT doc_id, line, value, bits, list_max([{{'n': length(x), 'x': x}} FOR x IN string_split_regex(value, '[^A-Za-z0-9]+')]).x AS body FROM e),
 s AS (SELECT doc_id, line, value FROM p WHERE bits >= 3.0
   AND NOT regexp_matches(lower(value), '(^|[^a-z])(replaceme|replace|placeholder|changeme|example|sample|dummy|fake|test|insert|paste|here|todo|your|redacted|mock|demo)([^a-z]|$)')
   AND NOT regexp_matches(value, '[*#?]{4}|(^|[^A-Za-z])(x{4,}|X{4,})([^A-Za-z]|$)')

@@ -26,4 +26,4 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 def load() -> None:
     """Import the modules that register queries."""
-    from tallyhawk.plans import queries_callers, queries_estate, queries_files, queries_findings, queries_history, queries_logs, queries_scans, queries_texts  # noqa: F401
+    from tallyhawk.plans import queries_assess, queries_callers, queries_estate, queries_files, queries_findings, queries_history, queries_logs, queries_scans, queries_texts  # noqa: F401
