@@ -106,8 +106,8 @@ def read(page: str, forms: bool = True) -> Page:
     tags, parents, last = [""], [-1], [0]
     paths: dict[tuple[int, str], int] = {}
     prior = [1.0]
-    # tag, element, path, surroundings, within an article
-    stack: list[tuple[str, int, int, bool, bool]] = [("", 0, 0, False, False)]
+    # tag, element, path, surroundings, within an article, place of the nearest open element below that is no heading
+    stack: list[tuple[str, int, int, bool, bool, int]] = [("", 0, 0, False, False, 0)]
     open_: dict[str, int] = {}
     out: list[Block] = []
     pieces: list[str] = []
@@ -116,7 +116,7 @@ def read(page: str, forms: bool = True) -> Page:
     def flush() -> None:
         nonlocal linked
         text = " ".join("".join(pieces).split())
-        tag, element, path, around, _ = stack[-1]
+        tag, element, path, around, *_ = stack[-1]
         if text and not around:
             out.append(Block(path, tag, text, min(linked, len(text)), element))
         pieces.clear()
@@ -173,15 +173,18 @@ def read(page: str, forms: bool = True) -> Page:
             continue
         if tag not in ("html", "body"):
             ends, keep = CLOSES.get(tag, set()) | {"p"}, len(stack)
-            for k in range(len(stack) - 1, 0, -1):
+            k = len(stack) - 1
+            while k > 0:
                 name = stack[k][0]
-                if name in ends:
-                    keep = k
-                elif name not in HEADINGS:
+                if name in ends:  # visited once, as it is closed below
+                    keep, k = k, k - 1
+                elif name in HEADINGS:
+                    k = stack[k][5]
+                else:
                     break
             while len(stack) > keep:
                 pop()
-        _, above, path, around, inside = stack[-1]
+        _, above, path, around, inside, _ = stack[-1]
         found = _attributes(m[3])
         kind = " ".join(sorted(re.sub(r"[0-9]+", "0", found.get("class", "")).split()))
         key = (path, f"{tag}.{kind}")
@@ -195,7 +198,8 @@ def read(page: str, forms: bool = True) -> Page:
         parents.append(above)
         last.append(0)
         open_[tag] = open_.get(tag, 0) + 1
-        stack.append((tag, len(tags) - 1, paths[key], around or _around(tag, found, inside, forms), inside or tag in ("article", "main")))
+        below = stack[-1][5] if stack[-1][0] in HEADINGS else len(stack) - 1
+        stack.append((tag, len(tags) - 1, paths[key], around or _around(tag, found, inside, forms), inside or tag in ("article", "main"), below))
     flush()
     while len(stack) > 1:
         pop()

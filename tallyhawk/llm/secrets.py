@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -49,6 +50,24 @@ def candidates(text: str) -> list[tuple[int, int]]:
     return [m.span() for m in _CANDIDATE.finditer(text)]
 
 
+class Covered:
+    """Which stretches of a text a set of spans covers; a question costs the logarithm of their number."""
+
+    def __init__(self, spans: list[Span]) -> None:
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for s, e in sorted((s, e) for _, s, e in spans):
+            if self.ends and s <= self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], e)
+            else:
+                self.starts.append(s)
+                self.ends.append(e)
+
+    def meets(self, start: int, end: int) -> bool:
+        i = bisect_right(self.ends, start)
+        return i < len(self.ends) and self.starts[i] < end
+
+
 #: Characters of context on either side; a value is seen whole, in pieces of PIECE that overlap by what a filter spans.
 LEFT, RIGHT, PIECE, OVERLAP = 24, 10, 52, 4
 #: Values beyond this are found like all others but not learnt from.
@@ -207,7 +226,7 @@ _LEADS = ("key = ", "Bearer ", "auth: ", '"credential": "', "export SESSION=", "
 
 def secret_form(n: Callable[[int], int]) -> str:
     """A made-up secret of one of several forms."""
-    match n(7):
+    match n(6):
         case 0:
             return _drawn(n, _LOW + _UP + _DIG, 20, 48)
         case 1:
@@ -218,16 +237,26 @@ def secret_form(n: Callable[[int], int]) -> str:
             return _drawn(n, _LOW, 2, 4) + "_-"[n(2)] + _drawn(n, _LOW + _UP + _DIG, 20, 40)
         case 4:
             return ".".join(_drawn(n, _LOW + _UP + _DIG + "_-", 18, 40) for _ in range(3))
-        case 5:
-            return _drawn(n, _LOW + _DIG, 20, 40)
         case _:
-            return "-".join(_drawn(n, _LOW[:6] + _DIG, k, k) for k in (8, 4, 4, 4, 12))
+            return _drawn(n, _LOW + _DIG, 20, 40)
 
 
 def plain_form(n: Callable[[int], int]) -> str:
-    """A made-up long run that is no secret."""
+    """A made-up long run that is no secret: words in a row, numbers, and public identifiers."""
     word = lambda: _drawn(n, "aeiou", 1, 1) + _drawn(n, _LOW, 2, 8)
-    match n(10):
+    match n(20):
+        case 10:  # a UUID
+            return "-".join(_drawn(n, (_LOW[:6], _UP[:6])[k % 2] + _DIG, size, size) for k in [n(8) // 7] for size in (8, 4, 4, 4, 12))
+        case 11:  # a DOI
+            return f"10.{1000 + n(90000)}/" + (f"{n(10**7)}.{n(10**7)}" if n(2) else f"{word()}.{n(10**6)}")
+        case 12:  # an ISBN
+            return f"97{8 + n(2)}-{n(10)}-{n(10**2):02d}-{n(10**6):06d}-{n(10)}"
+        case 13:
+            return "-".join(word() for _ in range(2 + n(4)))
+        case 14 | 16 | 17 | 18 | 19:  # names of programs
+            return "".join((word() if n(2) else _drawn(n, _LOW, 2, 6)).capitalize() + (str(n((10, 1000)[n(2)])) if n(3) else "") for _ in range(2 + n(4)))
+        case 15:
+            return "/".join(word() + (str(n(100)) if n(3) == 0 else "") for _ in range(2 + n(3))) + f".{_drawn(n, _LOW, 1, 4)}"
         case 9:
             return (word() + _drawn(n, _LOW, 10, 16)).upper()
         case 0:
@@ -276,9 +305,9 @@ def train(
         for batch in batches:
             for text in batch.column("t"):
                 if (text := text.as_py()) and (found := candidates(text)):
-                    base = base_spans(text)
+                    base = Covered(base_spans(text))
                     for s, e in found:
-                        covered = any(s < b and a < e for _, a, b in base)
+                        covered = base.meets(s, e)
                         if e - s <= LEARNT and (covered or not looks_random(text[s:e])):
                             w = _parts(text, s, e)
                             best[1 if covered else 0 if w[1].strip(".-=_/+").isalpha() else 2][w] = xxhash.xxh64_intdigest("\0".join(w).encode("utf-8", "surrogatepass"), 42) >> 1
@@ -320,6 +349,7 @@ def find(texts: list[str], net: CharNet | None) -> list[tuple[list[Span], list[S
     Every candidate is judged, whole. Added spans overlap no base span.
     """
     base = [base_spans(t) for t in texts]
+    covered = [Covered(b) for b in base]
     all_ = [(i, s, e) for i, t in enumerate(texts) for s, e in candidates(t)] if net else []
     more: list[list[Span]] = [[] for _ in texts]
     agreed = [0] * len(texts)
@@ -327,7 +357,7 @@ def find(texts: list[str], net: CharNet | None) -> list[tuple[list[Span], list[S
         part = all_[lo:hi]
         for (i, s, e), p in zip(part, net.probability(Seen.of([_parts(texts[i], s, e) for i, s, e in part])), strict=True):
             if p >= net.threshold:
-                if any(s < b and a < e for _, a, b in base[i]):
+                if covered[i].meets(s, e):
                     agreed[i] += 1
                 else:
                     more[i].append(("model", s, e))
