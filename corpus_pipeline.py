@@ -26,21 +26,25 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least id of each class of near-duplicates; rows with equal id and text once.
 
-    Null and empty texts and rows with a null id are classes by themselves and stay (equal ones once); very long
-    texts are compared like others; an empty table gives an empty table.
+    Null and empty texts and rows with a null id are classes by themselves and stay (equal ones once); of rows with
+    equal id and text the one with the least (lang, source, n_chars) stays, nulls first; very long texts are
+    compared like others; other columns, whatever their names, are left out; an empty table gives an empty table.
     """
     others = near_dup.near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(others, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"])
+    kept = docs.select(*COLUMNS).join(others, "doc_id", "left_anti")
+    one = kept.groupBy("doc_id", "text").agg(F.min(F.struct("lang", "source", "n_chars")).alias("_row"))
+    return one.select("doc_id", "text", "_row.lang", "_row.source", "_row.n_chars").select(*COLUMNS)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no window of a benchmark item occurs.
 
-    Null and empty texts have no words and stay; rows are judged by id and text, so repeated rows and rows
-    with a null id stay or go by their own text; very long texts are searched whole; with an empty benchmark all
-    stay; an empty table gives an empty table.
+    Null and empty texts have no words and stay; rows are judged by id and text (their SHA-256, so a clean row
+    never goes with another one), so repeated rows and rows with a null id stay or go by their own text; very
+    long texts are searched whole; with an empty benchmark all stay; other columns, whatever their names, are left out;
+    an empty table gives an empty table.
     """
-    keyed = docs.select(*COLUMNS, F.xxhash64("doc_id", "text").alias("_key"))
+    keyed = docs.select(*COLUMNS, F.unhex(F.sha2(F.to_json(F.struct("doc_id", "text")), 256)).alias("_key"))
     leaks = decontaminate.find_leaks(keyed, table(spark, sf_dir, "benchmark"), keep=("_key",))
     return keyed.join(leaks.where("contaminated").select("_key").distinct(), "_key", "left_anti").select(*COLUMNS)
 
