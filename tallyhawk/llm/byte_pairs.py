@@ -57,24 +57,28 @@ class Vocabulary:
         parts = self.special.split(text)
         return [t for part in parts for t in self.pattern.findall(part)], len(parts) - 1
 
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks of pairs of neighbours; NONE for those that do not merge."""
+        key = (left << 20) | right
+        at = np.searchsorted(self.keys, key)
+        return np.where(self.keys[at] == key, self.rank[at], NONE)
+
     def count_merged(self, tokens: list[bytes]) -> np.ndarray:
         """Symbols left in each pre-token after all merges: rank-synchronous, on ragged arrays.
 
         In each round every sequence finds its lowest-ranked adjacent pair and merges all its places (from
-        the left, without overlap) at once; sequences without a pair are done and leave the arrays.
+        the left, without overlap) at once; sequences without a pair are done and leave the arrays. Ranks are
+        looked up anew only where a merge has changed a neighbour.
         """
         left = np.zeros(len(tokens), dtype=np.int64)
         size = np.fromiter(map(len, tokens), dtype=np.int64, count=len(tokens))
         live = np.flatnonzero(size)
         symbols = self.byte_ids[np.frombuffer(b"".join(tokens), dtype=np.uint8)]
         size = size[live]
+        rank = self._ranks(symbols, np.append(symbols[1:], 0)[: len(symbols)])
+        rank[np.cumsum(size) - 1] = NONE
         while len(live):
             start = np.cumsum(size) - size
-            last = np.zeros(len(symbols), dtype=bool)
-            last[start + size - 1] = True
-            key = (symbols << 20) | np.append(symbols[1:], 0)
-            at = np.searchsorted(self.keys, key)
-            rank = np.where((self.keys[at] == key) & ~last, self.rank[at], NONE)
             low = np.minimum.reduceat(rank, start)
             done = low == NONE
             left[live[done]] = size[done]
@@ -88,7 +92,15 @@ class Vocabulary:
             keep = np.repeat(~done, size)
             keep[where + 1] = False
             size = (size - np.add.reduceat(hit.astype(np.int64), start))[~done]
-            symbols, live = symbols[keep], live[~done]
+            live = live[~done]
+            changed = (np.cumsum(keep) - 1)[where]
+            symbols, rank = symbols[keep], rank[keep]
+            ends = np.zeros(len(symbols), dtype=bool)
+            ends[np.cumsum(size) - 1] = True
+            near = np.concatenate([changed, changed[changed > 0] - 1])
+            rank[near] = NONE
+            near = near[~ends[near]]
+            rank[near] = self._ranks(symbols[near], symbols[near + 1])
         return left
 
     def token_counts(self, texts: list[str], known: Memory, block: int = 50_000) -> list[int]:

@@ -52,3 +52,17 @@ def test_public_identifiers_are_no_secrets(spark):
     assert sum(bool(more) for _, more, _ in secrets.find(texts, net)) <= 2
     made = [f"key = {secrets.secret_form(rng.randrange)} there" for _ in range(300)]
     assert sum(bool(base or more) for base, more, _ in secrets.find(made, net)) >= 0.95 * 300
+
+
+def test_one_long_pre_token():
+    from tokenizers import Tokenizer
+
+    from tallyhawk.llm.byte_pairs import vocabulary
+    from tallyhawk.llm.token_counts import default_vocabulary
+
+    rng = random.Random(3)
+    text = "".join(rng.choice("abcdefgh") for _ in range(200_000))
+    start = time.monotonic()
+    n = int(vocabulary(default_vocabulary()).count_merged([text.encode()])[0])
+    assert time.monotonic() - start < 10
+    assert n == len(Tokenizer.from_file(default_vocabulary()).encode(text, add_special_tokens=False).ids)
