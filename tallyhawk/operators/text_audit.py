@@ -25,6 +25,9 @@ TOKEN_FORMS = (
     ("csk-", "A-Za-z0-9", 30), ("nvapi-", "A-Za-z0-9_-", 60), ("r8_", "A-Za-z0-9", 30), ("npm_", "A-Za-z0-9", 30), ("pypi-AgE", "A-Za-z0-9_-", 40), ("dapi", "a-f0-9", 32),
     ("dop_v1_", "a-f0-9", 64), ("ATATT3", "A-Za-z0-9_=-", 40), ("lin_api_", "A-Za-z0-9", 32), ("ntn_", "A-Za-z0-9", 40), ("sbp_", "a-f0-9", 40), ("glc_", "A-Za-z0-9+/", 32),
     ("shpat_", "a-fA-F0-9", 32), ("hvs.", "A-Za-z0-9_-", 24), ("ABSK", "A-Za-z0-9+/", 60), ("bedrock-api-key-", "A-Za-z0-9+/_-", 40),
+    ("SG.", "A-Za-z0-9_.-", 60), ("PMAK-", "a-f0-9-", 58), ("dp.pt.", "A-Za-z0-9", 40), ("dp.st.", "A-Za-z0-9._-", 40), ("dp.ct.", "A-Za-z0-9", 40), ("dp.sa.", "A-Za-z0-9", 40), ("glsa_", "A-Za-z0-9_", 41), ("sntrys_", "A-Za-z0-9+/=_-", 60), ("sntryu_", "a-f0-9", 64),
+    ("fw_", "A-Za-z0-9", 22), ("1//0", "A-Za-z0-9_-", 40), ("e2b_", "a-f0-9", 40), ("lsv2_pt_", "a-f0-9_", 40), ("lsv2_sk_", "a-f0-9_", 40), ("fc-", "a-f0-9", 32),
+    ("glsoat-", "A-Za-z0-9_-", 20), ("glcbt-", "A-Za-z0-9_-", 20), ("glft-", "A-Za-z0-9_-", 20), ("glagent-", "A-Za-z0-9_-", 20), ("gloas-", "A-Za-z0-9_-", 20), ("glimt-", "A-Za-z0-9_-", 20), ("glffct-", "A-Za-z0-9_-", 20),
 )
 # Addresses whose path is the credential; what is kept of them.
 SECRET_PATHS = (
@@ -51,6 +54,7 @@ REDACTIONS = (
     (("eyj",), r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}(?:\.[A-Za-z0-9_-]*)+", "[REDACTED:jwt]"),
     (("akia", "asia"), r"AKIA[A-Z0-9]{14,}|\bASIA[A-Z0-9]{16}\b", "[REDACTED:access-key]"),
     ((), r"(?<![A-Za-z0-9_])" + _token_pattern(), "[REDACTED:api-key]"),
+    (("atlasv1",), r"\b[A-Za-z0-9]{14}\.atlasv1\.[A-Za-z0-9_=-]{60,}", "[REDACTED:api-key]"),
     (("hooks", "mcp", "telegram"), f"({_either(SECRET_PATHS)})[^\\s\"'<>\\[\\]]+", "$1[REDACTED]"),
     (("authorization",), r"(?i)(authorization\s*[:=]\s*(?:bearer|basic)\s+)[A-Za-z0-9+/_.=-]+", "$1[REDACTED]"),
     (("://",), r"([a-zA-Z][a-zA-Z0-9+.-]*://)[^/\s:@]+:[^/\s@]+@", "$1[REDACTED]@"),

@@ -87,8 +87,10 @@ _WITHHELD = (
     (r"\b(sk-[\w-]{8,}|[pr]k-[\w-]{16,}|[sr]k_(live|test)_[[:alnum:]]{16,}|whsec_[[:alnum:]]{24,}|gh[pousr]_[[:alnum:]]{8,}|github_pat_\w{8,}|gl(pat|rt|dt|ptt)-[\w-]{8,}"
      r"|(xox[abeprs]|xapp)-[[:alnum:]-]{8,}|AIza[\w-]{16,}|ya29[.][\w-]{20,}|GOCSPX-[\w-]{20,}|hf_[[:alnum:]]{8,}|gsk_[[:alnum:]]{40,}|pcsk_\w{20,}|tgp_v1_[\w-]{30,}|tvly-[\w-]{20,}"
      r"|xai-[[:alnum:]]{60,}|pplx-[[:alnum:]]{40,}|csk-[[:alnum:]]{30,}|nvapi-[\w-]{60,}|r8_[[:alnum:]]{30,}|npm_[[:alnum:]]{30,}|pypi-AgE[\w-]{40,}|dapi[0-9a-f]{32,}|dop_v1_[0-9a-f]{64,}"
-     r"|ATATT3[\w=-]{40,}|lin_api_[[:alnum:]]{32,}|ntn_[[:alnum:]]{40,}|sbp_[0-9a-f]{40,}|glc_[[:alnum:]+/]{32,}|shpat_[[:xdigit:]]{32,}|hvs[.][\w-]{24,}|ABSK[[:alnum:]+/]{60,}|bedrock-api-key-[\w+/-]{40,})",
+     r"|ATATT3[\w=-]{40,}|lin_api_[[:alnum:]]{32,}|ntn_[[:alnum:]]{40,}|sbp_[0-9a-f]{40,}|glc_[[:alnum:]+/]{32,}|shpat_[[:xdigit:]]{32,}|hvs[.][\w-]{24,}|SG[.][\w.-]{60,}|PMAK-[0-9a-f-]{58,}|dp[.](pt|ct|sa)[.][[:alnum:]]{40,}|dp[.]st[.][\w.-]{40,}|glsa_\w{41,}|sntrys_[\w+/=-]{60,}|sntryu_[0-9a-f]{64,}|fw_[[:alnum:]]{22,}|1//0[\w-]{40,}|e2b_[0-9a-f]{40,}"
+     r"|lsv2_(pt|sk)_[0-9a-f_]{40,}|fc-[0-9a-f]{32,}|gl(soat|cbt|ft|agent|oas|imt|ffct)-[\w-]{20,}|ABSK[[:alnum:]+/]{60,}|bedrock-api-key-[\w+/-]{40,})",
      "[REDACTED:api-key]"),
+    (r"\b[[:alnum:]]{14}[.]atlasv1[.][\w=-]{60,}", "[REDACTED:api-key]"),
     (r"(hooks[.]slack[.]com/(?:services|workflows|triggers)/|discord(?:app)?[.]com/api/webhooks/|outlook[.]office[.]com/webhook/|hooks[.]zapier[.]com/hooks/|mcp[.]zapier[.]com/api/mcp/s/|actions[.]zapier[.]com/mcp/"
      r"""|api[.]telegram[.]org/bot)[^\s"''<>\[\]]+""", r"\1[REDACTED]"),
     (r"(?i)(authorization\s*[=:]\s*(?:basic|bearer)\s+)[\w+/.=-]+", r"\1[REDACTED]"),

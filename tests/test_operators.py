@@ -315,3 +315,12 @@ def test_a_gap_of_thirty_seconds_is_one_session(spark):
 
     e = spark.sql("select 'a' as caller, timestamp_seconds(t) as ts from values (0), (30), (60), (60), (91), (200), (201), (201) as v(t)")
     assert [(r["calls"]) for r in live.session_loops(e).collect()] == [3]
+
+
+def test_published_tokens_are_withheld(spark):
+    from tallyhawk.operators.text_audit import redact_text
+
+    hexa, alnum = "0123456789abcdef" * 5, "aB3dE6gH9jK2mN5pQ8rS" * 4
+    tokens = [f"SG.{alnum[:22]}.{alnum[:43]}", f"PMAK-{hexa[:24]}-{hexa[:34]}", f"dp.pt.{alnum[:43]}", f"glsa_{alnum[:32]}_{hexa[:8]}", f"sntryu_{hexa[:64]}", f"fw_{alnum[:24]}", f"1//0{alnum[:60]}", f"e2b_{hexa[:40]}", f"lsv2_pt_{hexa[:32]}_{hexa[:10]}", f"fc-{hexa[:32]}", f"glcbt-{alnum[:24]}", f"{alnum[:14]}.atlasv1.{alnum[:67]}"]
+    got = [r[0] for r in spark.createDataFrame([(f"use {t} now",) for t in tokens], "t string").select(redact_text(F.col("t"))).collect()]
+    assert got == ["use [REDACTED:api-key] now"] * len(tokens)
