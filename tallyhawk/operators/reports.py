@@ -224,6 +224,24 @@ def detection_metrics(cases: DataFrame) -> DataFrame:
     )
 
 
+def paired_metrics(cases: DataFrame) -> DataFrame:
+    """One row for ``truth, first, second`` booleans: how two detectors differ on the same cases (McNemar).
+
+    ``only_first`` and ``only_second`` are cases that one alone gets right; ``statistic`` has the continuity
+    correction; ``p_value`` is the exact two-sided binomial one, 1 where they never differ.
+    """
+    right = lambda c: F.col(c) == F.col("truth")
+    c = cases.agg(F.count_if(right("first") & ~right("second")).alias("only_first"), F.count_if(~right("first") & right("second")).alias("only_second"), F.count_if(right("first") & right("second")).alias("both"))
+    n, k = F.col("only_first") + F.col("only_second"), F.least("only_first", "only_second")
+    at = F.sequence(F.lit(1), F.greatest(k, F.lit(1)))
+    # the chance of exactly k of n, by logarithms, and of fewer relative to it
+    log = F.aggregate(at, F.lit(0.0), lambda a, i: F.when(k > 0, a + F.log((n - k + i) / i)).otherwise(a)) - n * F.log(F.lit(2.0))
+    down = F.aggregate(at, F.struct(F.lit(1.0).alias("t"), F.lit(1.0).alias("s")), lambda a, i: F.when(k > 0, F.struct((a["t"] * (k - i + 1) / (n - k + i)).alias("t"), (a["s"] + a["t"] * (k - i + 1) / (n - k + i)).alias("s"))).otherwise(a))["s"]
+    gap = F.abs(F.col("only_first") - F.col("only_second"))
+    statistic = F.when(n > 0, F.round(F.pow(F.greatest(gap - 1, F.lit(0)), F.lit(2)) / n, 6)).otherwise(0.0)
+    return c.select("both", "only_first", "only_second", statistic.alias("statistic"), F.round(F.when(n > 0, F.least(F.lit(1.0), 2 * F.exp(log) * down)).otherwise(1.0), 6).alias("p_value"))
+
+
 def gate(findings: DataFrame, complete: Column, threshold: int) -> DataFrame:
     """One row ``verdict``: 3 incomplete, 2 a score at or over the threshold, else 0."""
     return findings.agg(F.when(~F.bool_and(complete), 3).when(F.coalesce(F.max("score"), F.lit(0)) >= threshold, 2).otherwise(0).alias("verdict"))

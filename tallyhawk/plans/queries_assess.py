@@ -224,6 +224,59 @@ def comparable_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.baseline_gate(one("lo"), one("hi")).select(F.array_join("reasons", "|").alias("reasons"))
 
 
+@query("""
+WITH c AS (SELECT o_orderpriority < '3' AS truth, o_totalprice < 150000 AS a, o_custkey % 40 < 17 AS b FROM orders),
+k AS (SELECT count(*) FILTER (a = truth AND b = truth) AS both_, count(*) FILTER (a = truth AND b <> truth) AS x, count(*) FILTER (a <> truth AND b = truth) AS y FROM c),
+p AS (SELECT least(1, 2 * sum(exp(lgamma(x + y + 1) - lgamma(i + 1) - lgamma(x + y - i + 1) - (x + y) * ln(2)))) AS p FROM k, range(least(x, y) + 1) r(i))
+SELECT both_ AS "both", x AS only_first, y AS only_second, round(greatest(abs(x - y) - 1, 0) ** 2 / (x + y), 6) AS statistic, round(p, 6) AS p_value FROM k, p""")
+def paired_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    return reports.paired_metrics(o.select((F.col("o_orderpriority") < "3").alias("truth"), (F.col("o_totalprice") < 150_000).alias("first"), (F.col("o_custkey") % 40 < 17).alias("second")))
+
+
+# ---------------------------------------------------------------- gateways
+
+
+@query("""
+SELECT 'gcp:u' || user_id AS caller, 'models/m-' || event_type AS model, count(*) AS n, count(*) FILTER (event_id % 3 = 0) AS tools, count(*) FILTER (event_id % 5 = 0) AS failed, min(epoch_us(date_trunc('second', ts))) AS first_us FROM events GROUP BY 1, 2""")
+def vertex_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audit records of a cloud's model service; a request that lists tools declares them."""
+    n = F.col("event_id")
+    request = F.struct(F.when(n % 3 == 0, F.array(F.struct(F.lit("f").alias("name")))).when(n % 3 == 1, F.array().cast("array<struct<name: string>>")).alias("tools"))
+    body = F.struct(
+        F.lit("aiplatform.googleapis.com").alias("serviceName"), F.lit("google.cloud.aiplatform.v1.PredictionService.GenerateContent").alias("methodName"), F.struct(F.concat(F.lit("u"), _t("user_id")).alias("principalEmail")).alias("authenticationInfo"),
+        F.concat(F.lit("projects/p/locations/l/models/m-"), "event_type").alias("resourceName"), request.alias("request"), F.when(n % 5 == 0, F.struct(F.lit(7).alias("code"))).alias("status"),
+    )
+    raw = F.to_json(F.struct(body.alias("protoPayload"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp")))
+    r = normalise.normalise_all(table(spark, sf_dir, "events").select(raw.alias("raw"))).where("schema = 'vertex'")
+    return r.groupBy("caller", "model").agg(F.count("*").alias("n"), F.count_if("tools").alias("tools"), F.count_if(F.col("status") != "ok").alias("failed"), F.unix_micros(F.min("ts")).alias("first_us"))
+
+
+@query("""
+WITH e AS (SELECT user_id, CASE WHEN event_id % 3 = 0 THEN 'p' || (event_id % 4) END AS person, CASE WHEN event_id % 5 = 0 THEN 't' || (event_id % 2) END AS team, event_type, ts FROM events),
+p AS (SELECT user_id, first(person ORDER BY n DESC, f, person) AS person FROM (SELECT user_id, person, count(*) AS n, min(ts) AS f FROM e WHERE person IS NOT NULL GROUP BY ALL) GROUP BY user_id),
+t AS (SELECT user_id, first(team ORDER BY n DESC, f, team) AS team FROM (SELECT user_id, team, count(*) AS n, min(ts) AS f FROM e WHERE team IS NOT NULL GROUP BY ALL) GROUP BY user_id),
+c AS (SELECT user_id, count(*) AS n, count(*) FILTER (event_type = 'error') AS bad, count(*) FILTER (event_type IN ('purchase', 'signup')) AS tool, count(DISTINCT event_type) AS m, count(*) FILTER (event_type = 'purchase') AS declared FROM e GROUP BY user_id)
+SELECT 'u' || user_id AS resource, coalesce(person, team) AS owner, n AS events, tool > 0 AS tool_use, bad / n > 0.2 AS high_error_rate,
+       concat_ws('|', 'gateway:caller', CASE WHEN m >= 4 THEN 'gateway:multi-model' END, CASE WHEN declared > 0 THEN 'gateway:tool-use' ELSE CASE WHEN tool > 0 THEN 'gateway:tool-calls' END END, CASE WHEN n >= 1000 THEN 'gateway:volume' END) AS signals
+FROM c LEFT JOIN p USING (user_id) LEFT JOIN t USING (user_id)""")
+def gateway_callers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of gateway callers with their owners, tags and signals (temporal and loop signals have their own queries)."""
+    from tallyhawk.operators.callers import caller_findings
+
+    n = F.col("event_id")
+    caller = F.concat(F.lit("u"), _t("user_id"))
+    full = table(spark, sf_dir, "events").select(
+        caller.alias("caller"), F.lit("user").alias("caller_kind"), caller.alias("caller_label"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("model"), F.when(F.col("event_type") == "error", "error").otherwise("ok").alias("status"), F.lit(1).alias("request_count"),
+        F.lit(None).cast("long").alias("tokens_in"), F.lit(None).cast("long").alias("tokens_out"), F.col("value").alias("cost"), (F.col("event_type") == "purchase").alias("tools"), (F.col("event_type") == "signup").alias("tool_calls"), F.lit("events").alias("schema"),
+        F.when(n % 3 == 0, F.concat(F.lit("p"), (n % 4).cast("string"))).alias("user"), F.when(n % 5 == 0, F.concat(F.lit("t"), (n % 2).cast("string"))).alias("team"),
+        *[F.lit(None).cast("string").alias(c) for c in ("path", "method", "host", "user_agent")],
+    )
+    f, evidence = caller_findings(full)
+    kinds = evidence.where("signal in ('gateway:caller', 'gateway:multi-model', 'gateway:tool-use', 'gateway:tool-calls', 'gateway:volume')").groupBy("id").agg(F.array_join(F.array_sort(F.collect_set("signal")), "|").alias("signals"))
+    return f.join(kinds, "id").select("resource", "owner", "events", F.array_contains("capabilities", "tool-use").alias("tool_use"), F.array_contains("tags", "high-error-rate").alias("high_error_rate"), "signals")
+
+
 # ---------------------------------------------------------------- the whole scan
 
 
