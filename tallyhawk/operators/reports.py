@@ -148,6 +148,36 @@ def inventory_document(findings: DataFrame) -> DataFrame:
     )
 
 
+def inventory_sections(findings: DataFrame, stats: DataFrame, history: DataFrame, refs: DataFrame, worst: int = 3) -> DataFrame:
+    """The whole inventory as rows ``section, name, item, n, unowned, shadow, worst, place`` for a reader to lay out.
+
+    Sections: those of ``inventory_document`` (level, kind, owner, status, total); ``owner-worst``: the ``worst`` findings of each
+    owner by score, then id; ``coverage``: each source's worst status (``stats``: source, connector, status) and its
+    connectors; ``history``: what changed at each report (see ``report_history``); ``control``: findings that refer to a control
+    (``refs``: id, ref). What a section does not have is null. Each section is one aggregation; none is collected.
+    """
+    none = lambda kind: F.lit(None).cast(kind)
+    counts = inventory_document(findings).select(F.col("part").alias("section"), "name", none("string").alias("item"), "n", "unowned", "shadow", "worst", none("int").alias("place"))
+
+    def section(df: DataFrame, name: Column) -> DataFrame:
+        have = set(df.columns)
+        kinds = {"name": "string", "item": "string", "n": "long", "unowned": "long", "shadow": "long", "worst": "long", "place": "int"}
+        return df.select(name.alias("section"), *[(F.col(c) if c in have else none(k)).cast(k).alias(c) for c, k in kinds.items()])
+
+    order = Window.partitionBy("name").orderBy(F.desc("score"), "id")
+    owners = findings.where("kind <> 'secret'").select(F.coalesce("owner", F.lit("unowned")).alias("name"), "id", "score").withColumn("place", F.row_number().over(order)).where(F.col("place") <= worst)
+    owners = owners.select("name", F.col("id").cast("string").alias("item"), F.col("score").alias("worst"), "place")
+    rank = F.create_map(*[F.lit(x) for kv in COVERAGE_RANK.items() for x in kv])
+    names = F.create_map(*[F.lit(x) for k, v in COVERAGE_RANK.items() for x in (v, k)])
+    coverage = stats.groupBy(F.col("source").alias("name")).agg(F.max(rank[F.col("status")]).alias("_worst"), F.count_distinct("connector").alias("n")).select("name", names[F.col("_worst")].alias("item"), "n")
+    changes = history.select(F.col("report").alias("name"), F.col("change").alias("item"), F.col("findings").alias("n"))
+    controls = refs.groupBy(F.col("ref").alias("name")).agg(F.count_distinct("id").alias("n"))
+    out = section(counts, F.col("section"))
+    for df, name in ((owners, "owner-worst"), (coverage, "coverage"), (changes, "history"), (controls, "control")):
+        out = out.unionByName(section(df, F.lit(name)))
+    return out
+
+
 def autonomy_matrix(findings: DataFrame, tiers: str, status: str, statuses: Sequence[str]) -> DataFrame:
     """Tier by status; the statuses are given, so the pivot takes one pass."""
     return findings.groupBy(tiers).pivot(status, list(statuses)).count().fillna(0)

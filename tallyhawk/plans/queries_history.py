@@ -51,6 +51,39 @@ def report_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.report_history(heads, rows)
 
 
+_INVENTORY = _REPORTS + """,
+f AS (SELECT o_orderkey AS id, CAST(floor(o_totalprice / 5000) AS BIGINT) AS score, CASE o_orderstatus WHEN 'O' THEN true WHEN 'F' THEN false END AS shadow, o_orderpriority AS level,
+             CASE o_custkey % 5 WHEN 0 THEN 'secret' WHEN 1 THEN 'token' ELSE 'agent' END AS kind, CASE WHEN o_custkey % 3 <> 0 THEN 'team' || (o_custkey % 11) END AS owner FROM orders),
+v AS (SELECT *, CASE WHEN shadow THEN 'shadow' WHEN NOT shadow THEN 'registered' ELSE 'unassessed' END AS status FROM f WHERE kind <> 'secret'),
+g AS (SELECT section, name, count(*) AS n, count(*) FILTER (owner IS NULL) AS unowned, count(*) FILTER (shadow) AS shadow, max(score) AS worst
+      FROM v, LATERAL (VALUES ('level', level), ('kind', kind), ('owner', coalesce(owner, 'unowned')), ('status', status), ('total', 'all')) s(section, name) GROUP BY ALL),
+w AS (SELECT coalesce(owner, 'unowned') AS name, id, score, row_number() OVER (PARTITION BY coalesce(owner, 'unowned') ORDER BY score DESC, id) AS place FROM v),
+c AS (SELECT n_name AS name, max(CASE s_suppkey % 7 WHEN 0 THEN 3 WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE 0 END) AS r, count(DISTINCT s_suppkey % 4) AS n FROM supplier JOIN nation ON n_nationkey = s_nationkey GROUP BY n_name),
+b AS (SELECT p.report, CASE WHEN b.state = c.state THEN 'same' ELSE 'changed' END AS change FROM pairs p JOIN rows b ON b.report = p.previous JOIN rows c ON c.report = p.report AND c.id = b.id),
+h AS (SELECT p.report, CASE WHEN c.scan_local THEN 'not_comparable' WHEN f.since = c.report THEN 'new' ELSE 'returned' END AS change FROM pairs p JOIN rows c ON c.report = p.report JOIN firsts f USING (id) WHERE NOT EXISTS (SELECT 1 FROM rows b WHERE b.report = p.previous AND b.id = c.id)),
+x AS (SELECT p.report, CASE WHEN b.scan_local THEN 'not_comparable' WHEN p.compares THEN 'resolved' ELSE 'unknown' END AS change FROM pairs p JOIN rows b ON b.report = p.previous WHERE NOT EXISTS (SELECT 1 FROM rows c WHERE c.report = p.report AND c.id = b.id))"""
+
+
+@query(_INVENTORY + """
+SELECT section, name, NULL AS item, n, unowned, shadow, worst, NULL AS place FROM g
+UNION ALL SELECT 'owner-worst', name, CAST(id AS VARCHAR), NULL, NULL, NULL, score, place FROM w WHERE place <= 3
+UNION ALL SELECT 'coverage', name, ['complete', 'skipped', 'incomplete', 'failed'][r + 1], n, NULL, NULL, NULL, NULL FROM c
+UNION ALL SELECT 'history', report, change, count(*), NULL, NULL, NULL, NULL FROM (FROM b UNION ALL FROM h UNION ALL FROM x) GROUP BY report, change
+UNION ALL SELECT 'control', 'C' || (o_orderkey % 6), NULL, count(DISTINCT o_custkey), NULL, NULL, NULL, NULL FROM orders GROUP BY 2""")
+def inventory_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o, k = table(spark, sf_dir, "orders"), F.col("o_custkey")
+    f = o.select(
+        F.col("o_orderkey").alias("id"), F.floor(F.col("o_totalprice") / 5000).cast("long").alias("score"), F.when(F.col("o_orderstatus") == "O", True).when(F.col("o_orderstatus") == "F", False).alias("shadow"), F.col("o_orderpriority").alias("level"),
+        F.when(k % 5 == 0, "secret").when(k % 5 == 1, "token").otherwise("agent").alias("kind"), F.when(k % 3 != 0, F.concat(F.lit("team"), (k % 11).cast("string"))).alias("owner"),
+    )
+    s = F.col("s_suppkey")
+    stats = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(
+        F.col("n_name").alias("source"), (s % 4).alias("connector"), F.when(s % 7 == 0, "failed").when(s % 7 == 1, "incomplete").when(s % 7 == 2, "skipped").otherwise("complete").alias("status"))
+    history = report_history(spark, sf_dir)
+    refs = o.select(F.col("o_custkey").alias("id"), F.concat(F.lit("C"), (F.col("o_orderkey") % 6).cast("string")).alias("ref"))
+    return reports.inventory_sections(f, stats, history, refs)
+
+
 # ---------------------------------------------------------------- links
 
 _IDENTIFIERS = """
