@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyhawk.operators import correlate, findings, governance, reconcile
+from tallyhawk.plans.session import cut
 
 #: Detectors by name: functions of a session and parameters that give finding rows. Only names that a caller allows run.
 DETECTORS: dict[str, Callable[[SparkSession, dict], DataFrame]] = {}
@@ -80,7 +81,8 @@ def run_pipeline(
     The order is fixed: merge, confidence, correlation, runtime, lifecycle, MCP registry, registry, inventory,
     autonomy, declared governance, risk, filter, prune, sort. ``tables`` holds ``candidates`` (links by name) and,
     where ``context`` has their inputs, ``runtime, lifecycle, bindings, unregistered``; all are of findings that
-    are kept. The shuffles are those of the merge, of evidence per finding and of shared identifiers.
+    are kept. The shuffles are those of the merge, of evidence per finding and of shared identifiers. What several
+    stages read is written to the checkpoint folder once: merged, reconciled and kept findings.
     """
     context = context or Context()
     lists = tuple(c for c in ("capabilities", "tags", "frameworks", "model_providers") if c in rows.columns)
@@ -93,6 +95,7 @@ def run_pipeline(
     for c in ("provider", "account", "region"):
         if c not in known.columns:
             known = known.withColumn(c, F.lit(None).cast("string"))
+    known = cut(known)  # several stages read it
     seen = rows.select("id", "connector", "surface", "resource").distinct()
     links = correlate.key_pairs(seen, "resource", "id")
     named = rows.select(F.col("title").alias("name"), F.col("id").alias("finding_id"), "connector", "surface").distinct()
@@ -101,18 +104,19 @@ def run_pipeline(
         tables["runtime"] = correlate.attribute_runtime(known.where("surface = 'code'"), context.observed)
     if context.configs is not None and context.processes is not None:
         tables["lifecycle"] = correlate.correlate_lifecycle(context.configs, context.processes)
-    known = _mcp_stage(known, context)
+    known = cut(_mcp_stage(known, context)) if context.servers is not None else known
     if context.records is not None:
         tables["bindings"], tables["unregistered"] = reconcile.reconcile_registry(context.records, known)
         if context.trusted_statuses:
             inventory = inventory.unionByName(reconcile.trusted_approvals(context.records, context.trusted_statuses), allowMissingColumns=True)
     known = reconcile.reconcile_inventory(known, inventory).withColumnsRenamed({"shadow_now": "shadow", "match_now": "registry_match", "reason": "registry_reason", "suggestions": "registry_suggestions", "assurance": "registry_assurance"})
+    known = cut(known)
     known = governance.classify_autonomy(known)
     declared = tuple(c for c in ("owner_team", "autonomy_level") if c in inventory.columns)
     if declared:
         known = governance.declared_governance(known, inventory, declared)
     risked = governance.score_risk(known, governance.weight_table(spark, policy), inventory_present=True, basis=basis)
-    kept = findings.min_confidence(risked, least_confidence)
+    kept = cut(findings.min_confidence(risked, least_confidence))
     for name in ("candidates", "lifecycle"):
         if name in tables:
             tables[name] = findings.prune_links(tables[name], kept)
