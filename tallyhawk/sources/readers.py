@@ -94,12 +94,17 @@ def read_logfmt(spark: SparkSession, path: str) -> DataFrame:
     return t.select("source", logfmt(F.col("line")).alias("fields")).withColumn("bad", F.col("fields").isNull())
 
 
+#: Files up to which their headers are broadcast; beyond, they are joined by a shuffle.
+BROADCAST_FILES = 10_000
+
+
 def read_zeek(spark: SparkSession, path: str) -> DataFrame:
     """``source, log, fields``: rows of tab-separated logs, named by the header of their own file; unset values are null."""
     t = spark.read.text(path).select(F.col("_metadata.file_path").alias("source"), F.col("value").alias("line"))
     head = t.where(F.col("line").startswith("#")).groupBy("source").agg(
         F.max(F.when(F.col("line").startswith("#fields"), F.slice(F.split("line", "\t"), 2, 10_000))).alias("names"), F.max(F.when(F.col("line").startswith("#path"), F.split("line", "\t")[1])).alias("log"))
-    rows = t.where(~F.col("line").startswith("#") & (F.col("line") != "")).join(head, "source")
+    few = head.limit(BROADCAST_FILES + 1).count() <= BROADCAST_FILES
+    rows = t.where(~F.col("line").startswith("#") & (F.col("line") != "")).join(F.broadcast(head) if few else head, "source")
     cells = F.transform(F.split("line", "\t"), lambda v: F.nullif(F.nullif(v, F.lit("-")), F.lit("(empty)")))
     return rows.select("source", "log", F.when(F.size(cells) == F.size("names"), F.map_from_arrays("names", cells)).alias("fields")).withColumn("bad", F.col("fields").isNull())
 
