@@ -226,7 +226,7 @@ _LEADS = ("key = ", "Bearer ", "auth: ", '"credential": "', "export SESSION=", "
 
 def secret_form(n: Callable[[int], int]) -> str:
     """A made-up secret of one of several forms."""
-    match n(6):
+    match n(7):
         case 0:
             return _drawn(n, _LOW + _UP + _DIG, 20, 48)
         case 1:
@@ -237,8 +237,10 @@ def secret_form(n: Callable[[int], int]) -> str:
             return _drawn(n, _LOW, 2, 4) + "_-"[n(2)] + _drawn(n, _LOW + _UP + _DIG, 20, 40)
         case 4:
             return ".".join(_drawn(n, _LOW + _UP + _DIG + "_-", 18, 40) for _ in range(3))
-        case _:
+        case 5:
             return _drawn(n, _LOW + _DIG, 20, 40)
+        case _:  # a base32 seed
+            return _drawn(n, _UP + "234567", 26, 56)
 
 
 def plain_form(n: Callable[[int], int]) -> str:
