@@ -48,9 +48,17 @@ def attribute_runtime(code: DataFrame, observed: DataFrame) -> DataFrame:
     the rollup columns. Observed needs a common resource and framework; without one the status is unobserved
     if all observations are complete, else unknown.
     """
-    o = observed.select(F.explode("code_resources").alias("resource"), F.col("frameworks").alias("_f"), "environment", "events", "first_seen", "last_seen")
-    j = code.select("id", "resource", "frameworks").join(o, "resource", "left").where(F.col("_f").isNull() | (F.size("_f") == 0) | F.arrays_overlap("frameworks", "_f"))
-    found = j.groupBy("id").agg(F.sum("events").alias("events"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.array_sort(F.collect_set("environment")).alias("environments"))
+    span = [F.sum("events").alias("events"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen")]
+    of = lambda c: F.array_sort(F.array_distinct(c))
+    o = observed.select(F.explode("code_resources").alias("resource"), of("frameworks").alias("_f"), "environment", "events", "first_seen", "last_seen")
+    o = o.groupBy("resource", "_f").agg(*span, F.collect_set("environment").alias("_e"))
+    c = code.select("id", "resource", of("frameworks").alias("_own"))
+    environments = F.array_sort(F.array_distinct(F.flatten(F.collect_list("_e")))).alias("environments")
+    # findings of one resource and frameworks see the same: they meet the observations once
+    j = c.select("resource", "_own").distinct().join(o, "resource", "left").where(F.col("_f").isNull() | (F.size("_f") == 0) | F.arrays_overlap("_own", "_f"))
+    seen = j.groupBy(F.col("resource").alias("_r"), F.col("_own").alias("_o")).agg(*span, environments)
+    each = c.join(seen, c["resource"].eqNullSafe(seen["_r"]) & c["_own"].eqNullSafe(seen["_o"])).withColumnRenamed("environments", "_e")
+    found = each.groupBy("id").agg(*span, environments)
     complete = observed.agg(F.coalesce(F.bool_and("complete"), F.lit(False)).alias("_complete"))
     out = code.select("id").join(found, "id", "left").crossJoin(F.broadcast(complete))  # one row
     return out.withColumn("status", F.when(F.col("events") > 0, "observed").when(F.col("_complete"), "unobserved").otherwise("unknown")).drop("_complete")
