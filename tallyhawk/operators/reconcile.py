@@ -133,14 +133,15 @@ def match_mcp_registry(servers: DataFrame, registry: DataFrame) -> DataFrame:
     by = by.union(s.join(rm, s["_url"] == F.col("_k")).select("server_id", rm["name"].alias("entry"), F.lit(1).alias("way")))
     by = by.union(s.join(registry.select(F.col("name").alias("entry")).distinct(), s["name"] == F.col("entry")).select("server_id", "entry", F.lit(2).alias("way")))
     best = by.withColumn("_k", F.row_number().over(Window.partitionBy("server_id").orderBy("way", "entry"))).where("_k = 1").select("server_id", "entry", "way")
-    latest = registry.groupBy(F.col("name").alias("entry")).agg(F.max_by("version", F.struct("published_at", "version")).alias("latest"), F.max_by("status", F.struct("published_at", "version")).alias("status"), F.collect_set("version").alias("all_versions"))
-    j = servers.join(best, "server_id", "left").join(latest, "entry", "left")
+    latest = registry.groupBy(F.col("name").alias("entry")).agg(F.max_by("version", F.struct("published_at", "version")).alias("latest"), F.max_by("status", F.struct("published_at", "version")).alias("status"))
+    published = registry.where("version is not null").select(F.col("name").alias("entry"), "version").distinct().withColumn("_published", F.lit(True))
+    j = servers.join(best, "server_id", "left").join(latest, "entry", "left").join(published, ["entry", "version"], "left")
     known = F.col("package").isNotNull() | F.col("url").isNotNull()
     tags = F.array_compact(F.array(
         F.when(F.col("entry").isNotNull(), "mcp-registry-published"), F.when(F.col("entry").isNull() & known, "mcp-unpublished"), F.when(F.col("entry").isNull() & ~known, "mcp-registry-unidentified"),
         F.when(F.col("status") == "deprecated", "mcp-registry-deprecated"), F.when(F.col("status") == "deleted", "mcp-registry-deleted"),
-        F.when(F.col("entry").isNotNull() & F.col("version").isNotNull() & ~F.array_contains("all_versions", F.col("version")), "mcp-registry-version-unpublished"),
-        F.when(F.col("entry").isNotNull() & F.array_contains("all_versions", F.col("version")) & (F.col("version") != F.col("latest")), "mcp-registry-outdated"),
+        F.when(F.col("entry").isNotNull() & F.col("version").isNotNull() & F.col("_published").isNull(), "mcp-registry-version-unpublished"),
+        F.when(F.col("_published") & (F.col("version") != F.col("latest")), "mcp-registry-outdated"),
     ))
     return j.select("server_id", "entry", "latest", tags.alias("tags"))
 

@@ -72,3 +72,12 @@ def test_runtime_observations_meet_alike_findings_once(spark):
     any_, one = sum(range(0, n, 3)), sum(range(1, n, 3))
     assert (rows[0]["events"], rows[1]["events"], rows[3]["events"]) == (any_, any_ + one, 2 * any_)
     assert (rows[1]["first_seen"], rows[1]["last_seen"], rows[1]["environments"], rows[900]["status"], rows[901]["environments"]) == (0, n - 2, ["e0", "e1"], "unobserved", [])
+
+
+def test_versions_of_an_entry_are_no_list(spark):
+    servers = spark.createDataFrame([("a", "pkg", "2", None, "x"), ("b", "pkg", "9", None, "x"), ("c", "pkg", "3", None, "x"), ("d", "pkg", None, None, "x"), ("e", None, "2", None, "x")], "server_id string, package string, version string, url string, name string")
+    registry = spark.range(4).select(F.lit("io/e").alias("name"), F.col("id").cast("string").alias("version"), F.lit("active").alias("status"), F.col("id").alias("published_at"), F.array(F.lit("pkg")).alias("packages"), F.array().cast("array<string>").alias("remotes"))
+    got = reconcile.match_mcp_registry(servers, registry)
+    assert "collect_" not in got._jdf.queryExecution().optimizedPlan().toString()
+    tag = "mcp-registry-"
+    assert {r["server_id"]: r["tags"] for r in got.collect()} == {"a": [f"{tag}published", f"{tag}outdated"], "b": [f"{tag}published", f"{tag}version-unpublished"], "c": [f"{tag}published"], "d": [f"{tag}published"], "e": [f"{tag}unidentified"]}
