@@ -32,11 +32,11 @@ def cap_confidence(weights: Column, cap: float, steps: int = 40, floor: float =
 
     def halve(acc: Column, _: Column) -> Column:
         mid = (acc["lo"] + acc["hi"]) / 2
-        fits = joint(mid) <= cap
-        return F.struct(F.when(fits, mid).otherwise(acc["lo"]).alias("lo"), F.when(fits, acc["hi"]).otherwise(mid).alias("hi"))
+        return F.when(joint(mid) <= cap, F.struct(mid.alias("lo"), acc["hi"].alias("hi"))).otherwise(F.struct(acc["lo"].alias("lo"), mid.alias("hi")))
 
     scale = F.when(joint(F.lit(1.0)) <= cap, 1.0).otherwise(F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, halve)["lo"])
-    return F.transform(weights, lambda w: F.greatest(w * scale, F.lit(floor)))
+    # the factor is found once, not once for each weight
+    return F.element_at(F.transform(F.array(scale), lambda s: F.transform(weights, lambda w: F.greatest(w * s, F.lit(floor)))), 1)
 
 
 # The greatest joint weight of an application for which nothing says AI, and the tags that do say so.

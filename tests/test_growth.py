@@ -81,3 +81,14 @@ def test_versions_of_an_entry_are_no_list(spark):
     assert "collect_" not in got._jdf.queryExecution().optimizedPlan().toString()
     tag = "mcp-registry-"
     assert {r["server_id"]: r["tags"] for r in got.collect()} == {"a": [f"{tag}published", f"{tag}outdated"], "b": [f"{tag}published", f"{tag}version-unpublished"], "c": [f"{tag}published"], "d": [f"{tag}published"], "e": [f"{tag}unidentified"]}
+
+
+def test_the_factor_of_weights_is_found_once(spark):
+    df = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(3000)), lambda i: i / 3001).alias("w"))
+    start = time.perf_counter()
+    got = df.select(findings.cap_confidence(F.col("w"), 0.6).alias("c")).first()["c"]
+    assert time.perf_counter() - start < 10
+    joint = 1.0
+    for x in got:
+        joint *= 1 - max(x - 1e-4, 0)
+    assert len(got) == 3000 and 1 - joint <= 0.6
