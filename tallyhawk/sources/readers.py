@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallyhawk.functions.scalars import get_path, parse_timestamp
+from tallyhawk.functions.scalars import get_path, named, parse_timestamp
 from tallyhawk.plans.session import cut
 
 RECORD = "source string, raw string"
@@ -138,7 +138,8 @@ NETWORK_ALIASES = {
 
 def read_network_generic(rows: DataFrame) -> DataFrame:
     """JSON records in ``raw`` with aliased names as network columns; which kind is told by the columns that are there."""
-    v = {k: get_path("raw", *names) for k, names in NETWORK_ALIASES.items()}
+    rows = rows.select(*[get_path("raw", *names).alias(k) for k, names in NETWORK_ALIASES.items()])  # each found once
+    v = {k: F.col(k) for k in NETWORK_ALIASES}
     listed = F.when(v["answers"].startswith("["), F.from_json(v["answers"], "array<string>")).otherwise(F.filter(F.split(v["answers"], r"[,; ]+"), lambda a: a != ""))
     kind = F.when(v["sni"].isNotNull(), "tls").when(v["query"].isNotNull(), "dns").when(v["server"].isNotNull(), "flow")
     return rows.select(kind.alias("kind"), parse_timestamp(v["ts"]).alias("ts"), v["client"].alias("client"), v["query"].alias("query"), listed.alias("answers"), F.lower(v["sni"]).alias("sni"), v["server"].alias("server"), v["port"].try_cast("int").alias("port"), v["bytes"].try_cast("long").alias("bytes"), v["uid"].alias("uid"), v["sensor"].alias("sensor"), v["ja4"].alias("ja4")).where("kind is not null")
@@ -252,14 +253,14 @@ def input_completeness(records: DataFrame, by: str = "source") -> DataFrame:
 
 def _carried(raw: str) -> Column:
     """What a record carries: messages of log events, dated usage buckets, one JSON payload; null for a plain record."""
-    events = F.transform(F.from_json(F.get_json_object(raw, "$.logEvents"), "array<struct<message:string,timestamp:string>>"), lambda e: e["message"])
-    buckets = F.from_json(F.get_json_object(raw, "$.results"), "array<string>")
-    start, end = F.get_json_object(raw, "$.start_time"), F.get_json_object(raw, "$.end_time")
-    span = F.concat(F.lit('{"start_time":"'), start, F.lit('","end_time":"'), F.coalesce(end, F.lit("")), F.lit('",'))
-    dated = F.transform(buckets, lambda b: F.when(start.isNotNull(), F.concat(span, F.substring(b, 2, 2_147_483_647))).otherwise(b))
-    payloads = [F.get_json_object(raw, f"$.{k}") for k in ("message", "textPayload", "log")]
-    inner = F.coalesce(F.get_json_object(raw, "$.jsonPayload"), *[F.when(F.json_object_keys(p).isNotNull(), p) for p in payloads])
-    return F.coalesce(events, dated, F.when(inner.isNotNull(), F.array(inner)))
+    at = lambda k: F.get_json_object(raw, f"$.{k}")
+    events = F.transform(F.from_json(at("logEvents"), "array<struct<message:string,timestamp:string>>"), lambda e: e["message"])
+    span = F.concat(F.lit('{"start_time":"'), at("start_time"), F.lit('","end_time":"'), F.coalesce(at("end_time"), F.lit("")), F.lit('",'))
+    opened = lambda s: F.transform(F.from_json(at("results"), "array<string>"), lambda b: F.when(s.isNotNull(), F.concat(s, F.substring(b, 2, 2_147_483_647))).otherwise(b))
+    dated = F.when(at("results").isNotNull(), named(span, opened))
+    payloads = [named(at(k), lambda p: F.when(F.json_object_keys(p).isNotNull(), p)) for k in ("message", "textPayload", "log")]
+    inner = named(F.coalesce(at("jsonPayload"), *payloads), lambda i: F.when(i.isNotNull(), F.array(i)))
+    return F.coalesce(events, dated, inner)
 
 
 def expand_envelopes(rows: DataFrame, raw: str = "raw", depth: int = 16) -> DataFrame:

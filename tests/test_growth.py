@@ -101,3 +101,10 @@ def test_values_are_taken_apart_once(spark):
     assert str(scalars.host_of(value)).count("regexp_extract(") == 1
     rows = spark.createDataFrame([("aab",), ("",), (None,), ("\U0001f600a",)], "v string").select(F.round(scalars.shannon_entropy(value), 4).alias("e")).collect()
     assert [r["e"] for r in rows] == [0.9183, 0.0, 0.0, 1.0]
+
+
+def test_records_are_read_once_for_each_field(spark):
+    assert str(scalars.parse_timestamp(F.get_json_object("raw", "$.ts"))).count("get_json_object") == 1
+    from tallyhawk.sources import readers
+
+    assert str(readers._carried("raw")).count("get_json_object") <= 9
