@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallyhawk.operators import findings, identity, matching, normalise, reports
 from tallyhawk.plans import pipeline
 from tallyhawk.plans.registry import query
-from tallyhawk.plans.session import table
+from tallyhawk.plans.session import parts_for, table
 
 
 def _t(c: str) -> F.Column:
@@ -72,7 +72,7 @@ def finished_apps(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(name & (F.col("l_linestatus") == "O"), "ambiguous-name").when(F.col("l_partkey") % 97 == 0, "registry-record").alias("confidence_group"), (F.col("l_quantity") / 64).alias("weight"),
     )
     known = spark.createDataFrame([(f"sig{i}", f"Sig {i}", "framework", "v") for i in range(4)], "signature_id string, name string, category string, vendor string")
-    out = findings.finalize_findings(f, e, known)
+    out = findings.finalize_findings(f, e, known, partitions=parts_for(table(spark, sf_dir, "lineitem")))
     return out.select("id", "kind", "confidence", "likelihood", F.array_join(F.transform("technologies", lambda t: F.concat(t["id"], F.lit(":"), t["name"])), "|").alias("technologies"))
 
 

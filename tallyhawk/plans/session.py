@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
@@ -29,6 +30,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def parts_for(df: DataFrame, rows: int = 500_000) -> int:
+    """As many partitions as ``df`` has ``rows``, the session's own number at least, so that a task's share stays the same.
+
+    Counting a table reads the footers of its files only.
+    """
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(df.count() / rows))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A folder that the driver and all executors see: the one in ``spark.checkpoint.dir``.
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tallyhawk.functions import scalars
 from tallyhawk.operators import correlate, findings, literals, matching, reconcile
+from tallyhawk.plans import session
 from tallyhawk.plans.queries_texts import SIGNAL_SCHEMA
 
 
@@ -108,3 +109,23 @@ def test_records_are_read_once_for_each_field(spark):
     from tallyhawk.sources import readers
 
     assert str(readers._carried("raw")).count("get_json_object") <= 9
+
+
+def test_bounded_confidence_reads_evidence_once(spark):
+    """One aggregation gives what bounding each row of evidence before it gives, in as many tasks as the rows need."""
+    none = F.array().cast("array<string>")
+    k = F.col("id") % 9
+    f = spark.range(60).select("id", F.when(k != 1, k != 2).alias("app_assessment"), F.when(k == 3, F.array(F.lit("x"))).otherwise(none).alias("frameworks"), F.when(k == 4, F.array(F.lit("registry-record"))).when(k == 5, none).alias("tags"))
+    f = f.union(spark.createDataFrame([(3, True, [], []), (None, True, [], None)], "id long, app_assessment boolean, frameworks array<string>, tags array<string>"))
+    i = F.col("id")
+    e = spark.range(700).select(
+        F.when(i != 13, i % 67).alias("id"), F.when(i % 4 == 0, "signature:name-a").when(i % 4 == 1, "name").when(i % 4 == 2, "saas:x").alias("signal"), F.when(i % 11 == 0, "registry-record").when(i % 5 == 0, "ambiguous-name").when(i % 7 == 0, "unattributed-app").when(i % 3 == 0, "g").alias("confidence_group"),
+        F.when(i % 13 == 1, F.lit(None)).when(i % 13 == 2, 1.7).when(i % 13 == 3, -1.0).otherwise(i % 10 / 11).alias("weight"), F.when(i % 6 == 0, "code").otherwise("cloud").alias("surface"))
+    for evidence in (e, e.drop("surface")):
+        plain = f.join(findings.noisy_or_confidence(findings.bound_unattributed(f, evidence, "id"), "id"), "id", "left").select("id", F.coalesce("confidence", F.lit(0.0)).alias("confidence"))
+        for n in (None, 7):
+            got = findings.finalize_findings(f, evidence, partitions=n).select("id", "confidence")
+            assert sorted(map(str, got.collect())) == sorted(map(str, plain.collect()))
+    plan = findings.finalize_findings(f, e)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Range (0, 700") == 1
+    assert session.parts_for(spark.range(100), 9) == 12 and session.parts_for(spark.range(100)) == 4
