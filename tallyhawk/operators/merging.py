@@ -75,15 +75,18 @@ def assemble(facts: DataFrame, scalars: Sequence[str], lists: Sequence[str] = ()
     return out.drop("_pair", "_kinds")
 
 
-def merge_evidence(*evidence: DataFrame) -> DataFrame:
+def merge_evidence(*evidence: DataFrame, partitions: int | None = None) -> DataFrame:
     """One row per (finding, signal, location, description), of the greatest weight; its source and order are the first that had it.
 
-    Associative as well: weights by their maximum, origins by their minimum.
+    Associative as well: weights by their maximum, origins by their minimum. With ``partitions`` (see
+    ``session.parts_for``) the evidence is dealt into so many; merging what is dealt alike deals nothing anew.
     """
+    same = ("finding_id", "signal", "location", "description")
     every = evidence[0]
     for e in evidence[1:]:
         every = every.unionByName(e)
-    return every.groupBy("finding_id", "signal", "location", "description").agg(F.max("weight").alias("weight"), F.min(F.struct("ord", "source")).alias("w")).select("finding_id", "signal", "location", "description", "weight", "w.ord", "w.source")
+    every = every.repartition(partitions, *same) if partitions else every
+    return every.groupBy(*same).agg(F.max("weight").alias("weight"), F.min(F.struct("ord", "source")).alias("w")).select("finding_id", "signal", "location", "description", "weight", "w.ord", "w.source")
 
 
 def identity_conflicts(rows: DataFrame, fields: Sequence[str] = IDENTITY) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyhawk.operators import correlate, merging, reports
 from tallyhawk.plans.registry import query
-from tallyhawk.plans.session import table
+from tallyhawk.plans.session import parts_for, table
 
 # ---------------------------------------------------------------- lineage
 
@@ -162,4 +162,5 @@ def merged_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_orderkey").alias("ord"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("source"),
     )
     half = F.col("ord") % 2 == 0
-    return merging.merge_evidence(merging.merge_evidence(e.where(half)), merging.merge_evidence(e.where(~half)))
+    n = parts_for(e)
+    return merging.merge_evidence(merging.merge_evidence(e.where(half), partitions=n), merging.merge_evidence(e.where(~half), partitions=n))

@@ -7,7 +7,7 @@ import time
 from pyspark.sql import functions as F
 
 from tallyhawk.functions import scalars
-from tallyhawk.operators import correlate, findings, literals, matching, reconcile
+from tallyhawk.operators import correlate, findings, literals, matching, merging, reconcile
 from tallyhawk.plans import session
 from tallyhawk.plans.queries_texts import SIGNAL_SCHEMA
 
@@ -129,3 +129,13 @@ def test_bounded_confidence_reads_evidence_once(spark):
     plan = findings.finalize_findings(f, e)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Range (0, 700") == 1
     assert session.parts_for(spark.range(100), 9) == 12 and session.parts_for(spark.range(100)) == 4
+
+
+def test_evidence_is_dealt_by_its_rows(spark):
+    """A merge of merges in so many partitions, each row dealt once, with the rows of one merge."""
+    k = F.col("id")
+    e = spark.range(3000).select((k % 50).alias("finding_id"), F.when(k % 3 > 0, "s").alias("signal"), (k % 2).cast("string").alias("location"), F.concat(F.lit("d"), (k % 4).cast("string")).alias("description"), (k % 7 / 7).alias("weight"), (k % 11).alias("ord"), (k % 5).cast("string").alias("source"))
+    got = merging.merge_evidence(merging.merge_evidence(e.where("ord < 5"), partitions=37), merging.merge_evidence(e.where("ord >= 5"), partitions=37))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert (plan.count("Exchange"), plan.count(", 37)")) == (2, 2)
+    assert sorted(map(str, got.collect())) == sorted(map(str, merging.merge_evidence(e).collect()))
