@@ -146,7 +146,7 @@ def fleet_merge_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
         (n("l_suppkey") % 4).alias("floor"), (n("l_suppkey") % 4 + 1).alias("ceiling"), F.element_at(F.array(F.lit("agent"), F.lit("service-identity"), F.lit("token")), (n("l_suppkey") % 3 + 1).cast("int")).alias("kind"),
         F.when(n("l_partkey") % 13 == 0, n("l_returnflag")).otherwise("r").alias("resource"),
     )
-    out = merging.merge_fleet(v, ("owner",), ("capabilities",), ("metadata",))
+    out = merging.merge_fleet(v, ("owner",), ("capabilities",), ("metadata",), partitions=parts_for(v))
     entries = F.transform(F.array_sort(F.map_entries("metadata")), lambda e: F.concat(e["key"], F.lit("="), e["value"], F.lit("@"), F.col("came_from")[F.concat(F.lit("metadata."), e["key"])]))
     return out.select(
         "id", "owner", F.col("came_from")["owner"].alias("owner_from"), F.array_join("capabilities", ",").alias("capabilities"), F.nullif(F.array_join(entries, ","), F.lit("")).alias("metadata"), "score", "danger_score", F.array_join("sources", ",").alias("sources"),

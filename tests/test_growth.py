@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import time
 
 from pyspark.sql import functions as F
@@ -139,3 +140,18 @@ def test_evidence_is_dealt_by_its_rows(spark):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert (plan.count("Exchange"), plan.count(", 37)")) == (2, 2)
     assert sorted(map(str, got.collect())) == sorted(map(str, merging.merge_evidence(e).collect()))
+
+
+def test_facts_of_a_fleet_are_not_shuffled(spark):
+    """Rows are dealt by id, twice at most; facts, of which a row has several, stay where they are."""
+    k = F.col("id")
+    rows = spark.range(900).select(
+        (k % 40).alias("id"), k.alias("ord"), (k % 7).cast("string").alias("source"), F.when(k % 3 > 0, F.concat(F.lit("o"), k % 5)).alias("owner"), F.array((k % 4).cast("string"), F.when(k % 2 > 0, "c")).alias("tags"), F.create_map((k % 6).cast("string"), F.when(k % 5 > 0, (k % 9).cast("string"))).alias("metadata"),
+        (k % 11).alias("score"), (k % 3).alias("danger_score"), k.alias("first_seen"), k.alias("last_seen"), F.when(k % 8 > 2, k % 8 > 5).alias("shadow"), F.when(k % 4 > 1, (k % 4).cast("string")).alias("registry_match"), F.when(k % 40 < 9, k % 3).alias("region"), F.when(k % 2 > 0, "agent").otherwise("token").alias("kind"))
+    parts = (("owner",), ("tags",), ("metadata",))
+    got, plain = merging.merge_fleet(rows, *parts, partitions=37), merging.merge_fleet(rows, *parts)
+    exchanges = re.findall(r"(?<!Broadcast)Exchange (\w+\([^)]*\))", got._jdf.queryExecution().executedPlan().toString())
+    assert len(exchanges) == 2 and all(re.fullmatch(r"hashpartitioning\(id#\d+L, 37\)", x) for x in exchanges)
+    assert sorted(map(str, got.collect())) == sorted(map(str, plain.collect()))
+    conflicts = {r["id"] for r in merging.identity_conflicts(rows).collect()}
+    assert conflicts and {r["id"] for r in got.where("not identity_agrees").collect()} == conflicts
