@@ -215,6 +215,55 @@ def test_op2_states_against_plain_counts(spark, monkeypatch, hot):
     assert states > 100
 
 
+def test_op2_frequent_words_are_contexts(spark, monkeypatch):
+    """All contexts, those of a word of more than 200,000 occurrences too, counted, tested and applied one by one."""
+    from tallyhawk.llm import suffix_tree as S
+
+    for name, x in (("SPLIT", 4_000), ("GROUP", 50_000), ("NEXT_GROUP", 20_000)):
+        monkeypatch.setattr(S, name, x, raising=False)
+    rng = np.random.default_rng(6)
+    common, rare = list("aaaaabbc"), [f"r{i}" for i in range(40)]
+    texts = ["one text begins like all " + " ".join(rng.choice(common if rng.random() < 0.9 else rare) for _ in range(100)) for _ in range(60)]
+    texts = [" ".join(rng.permutation(texts[i % 60].split()[5:])) if i % 9 == 0 else texts[i % 60] + f" z{i % 700} a a a a b" for i in range(4_600)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3, "doc_id")
+    seqs = [[*t.split(), "end"] for t in texts]
+    taught = [zlib.crc32(str(i).encode()) % 7 != 2 for i in range(len(texts))]
+    c = collections.Counter(w for s, t in zip(seqs, taught, strict=True) if t for w in s)
+    assert c["a"] > 200_000
+    z = c.total() + len(c) + 1
+    shorter, n = {}, collections.defaultdict(collections.Counter)
+
+    def contexts(s, i):
+        w = [s[i - k] if i >= k else None for k in range(1, 5)]
+        return (w[0],), (w[0], w[1]), (*w,)
+
+    for s, t in zip(seqs, taught, strict=True):
+        for i in range(1, len(s)):
+            x1, x2, x4 = contexts(s, i)
+            shorter |= {x1: None, x2: x1, x4: x2}
+            for x in (x1, x2, x4):
+                n[x][s[i]] += t
+    state, p, kinds, whole = {}, {}, {}, {}
+    often = {w for w in c if c[w] >= 2 and w != "end"}
+    slots = len(c) - len(often)
+    rest = c.total() - sum(c[w] for w in often) - c["end"]
+    p[None] = {w: (c[w] + 1) / z if w in often or w == "end" else (rest + slots) / slots / z for s in seqs for w in s}
+    for x in sorted(n, key=len):
+        up, kinds[x], whole[x] = p[shorter[x]], sum(m > 0 for m in n[x].values()), n[x].total()
+        gain = 0.0
+        for w, m in n[x].items():
+            if m:
+                others = kinds[x] - (m == 1)
+                gain += m * math.log(max((m - 1 + others * up[w]) / max(whole[x] - 1 + others, 1e-9), 1e-300) / up[w])
+        state[x] = whole[x] >= 2 and gain > 0
+        p[x] = {w: (m + kinds[x] * up[w]) / (whole[x] + kinds[x]) if state[x] else up[w] for w, m in n[x].items()}
+    assert state["a",] and state["a", "a"]
+    got = {r["doc_id"]: r["score"] for r in S.score_texts(docs).collect()}
+    for d, s in enumerate(seqs):
+        expected = math.log10(p[None][s[0]]) + sum(math.log10(p[contexts(s, i)[-1]][s[i]]) for i in range(1, len(s)))
+        assert math.isclose(got[d], expected, rel_tol=1e-6), d
+
+
 def test_op3_round_trip(spark, sf, texts):
     lib = library()
     ids = {i: lib.encode(t, add_special_tokens=False).ids + [0] for i, t in texts.items()}
