@@ -29,7 +29,7 @@ LEVELS, BITS = (1, 2, 4), (24, 44, 64)
 #: A context must have been seen this often.
 LEAST = 2
 #: Tokens of one group of contexts and of one group of words, about, and of one group of words after frequent contexts.
-GROUP, WORD_GROUP, NEXT_GROUP = 400_000, 4_000_000, 16_000_000
+GROUP, WORD_GROUP, NEXT_GROUP = 400_000, 4_000_000, 8_000_000
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _U = np.uint64
 #: What stands before a text's first word.
@@ -340,9 +340,9 @@ def after_frequent(docs: DataFrame, told: Broadcast[Root], split: Split, taught:
                 own, often = merged([x[rows] << 32 | code[rows].astype(np.int64)], [learnt[rows]])
                 keys.append(own)
                 n.append(often)
-            if sum(map(len, keys)) > 2_000_000:
+            if sum(map(len, keys)) > 800_000:
                 keys[:], n[:] = ([x] for x in merged(keys, n))
-                if len(keys[0]) > 1_000_000:
+                if len(keys[0]) > 400_000:
                     yield out()
         keys[:], n[:] = ([x] for x in merged(keys, n))
         yield out()
